@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, secrets
+from . import decontaminate, fingerprint, language_id, line_dedup, mixing, secrets
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_secret_scan": secrets.op2_secret_scan,
+    "op3_language_id": language_id.op3_language_id,
+    "op4_fingerprint": fingerprint.op4_fingerprint,
     "op9_mixing": mixing.op9_mixing,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
-SQL = {"op9_mixing": mixing.SQL, "op10_line_dedup": line_dedup.SQL}
+SQL = {"op1_decontaminate": decontaminate.SQL, "op9_mixing": mixing.SQL, "op10_line_dedup": line_dedup.SQL}
