@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, language_id, line_dedup, mixing, near_dedup, secrets
+from . import decontaminate, fingerprint, language_id, line_dedup, mixing, near_dedup, secrets, substring_dedup
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_secret_scan": secrets.op2_secret_scan,
     "op3_language_id": language_id.op3_language_id,
     "op4_fingerprint": fingerprint.op4_fingerprint,
+    "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_mixing": mixing.op9_mixing,
     "op10_line_dedup": line_dedup.op10_line_dedup,
