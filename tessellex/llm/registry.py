@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, language_id, line_dedup, mixing, near_dedup, secrets, substring_dedup
+from . import decontaminate, fingerprint, language_id, line_dedup, mixing, near_dedup, pii, secrets, substring_dedup, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -10,6 +10,8 @@ QUERIES = {
     "op3_language_id": language_id.op3_language_id,
     "op4_fingerprint": fingerprint.op4_fingerprint,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
+    "op6_toxicity": toxicity.op6_toxicity,
+    "op7_pii": pii.op7_pii,
     "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_mixing": mixing.op9_mixing,
     "op10_line_dedup": line_dedup.op10_line_dedup,
