@@ -22,7 +22,9 @@ from .common import NO_ID, Bytes, Powers, append_columns, chunks, mix, partition
 LENGTH, K = 50, 8
 SPAN = LENGTH - K + 1
 #: Bytes of text of a map step, and of a block; the windows of a block travel as about 3.3 times as many bytes.
-STEP = BLOCK = 3 << 20
+STEP = BLOCK = 3 << 19
+#: Steps of a task whose segments for a bucket share a blob: larger blobs compress better.
+JOINED = 12
 PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -108,6 +110,11 @@ def classes(data: np.ndarray, first: np.ndarray, size: np.ndarray, hashes: Hashe
 # --- packing --------------------------------------------------------------------------------------
 
 
+def steps(x: np.ndarray) -> np.ndarray:
+    """Differences, which compress better; undone by cumsum."""
+    return np.diff(x, prepend=x.dtype.type(0))
+
+
 def pack(arrays: list[np.ndarray]) -> bytes:
     head = np.array([x.nbytes for x in arrays], np.int64).tobytes()
     return zstandard.compress(head + b"".join(x.tobytes() for x in arrays), 3)
@@ -123,8 +130,8 @@ def unpack(blob: bytes, kinds: list[type]) -> list[np.ndarray]:
     return out
 
 
-SEGMENTS = [np.uint8, np.uint8, np.int32, np.int64, np.int64, np.int64]  # bytes, sizes; of entries: segment, id, row, start
-SPANS = [np.int64, np.int64, np.int64, np.int64]  # id, row, start, end
+SEGMENTS = [np.uint8, np.uint8, np.int32, np.int64, np.uint16, np.int64]  # bytes, sizes; of entries: segment and id (both as differences), row, start
+SPANS = [np.int64, np.uint16, np.int64, np.int64]  # id, row, start, end
 PACKED = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("blob", T.BinaryType())])
 
 
@@ -136,40 +143,66 @@ def pack_segments(buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
+        held: dict[int, list[list[np.ndarray]]] = {}
+        late: list[list[np.ndarray]] = []
+        done = 0
         for batch in chunks(batches, limit=STEP):
-            ids, rows = (np.array(batch.column(i).to_pylist(), np.int64) for i in (0, 1))
+            ids, rows = np.array(batch.column(0).to_pylist(), np.int64), np.array(batch.column(1).to_pylist(), np.uint16)
             b = Bytes(batch.column(2))
             if len(b.data) <= 4 * STEP:
-                yield from step(b.data, b.starts, b.ends, ids, rows, np.zeros(len(ids), np.int64), powers)
+                pieces = [(b.data, b.starts, b.ends, np.zeros(len(ids), np.int64))]
             else:  # one long text: pieces that overlap by a window less a byte
                 text = b.data[: int(b.ends[0])]
-                for at in range(0, max(1, len(text) - LENGTH + 1), STEP):
-                    piece = text[at : at + STEP + LENGTH - 1]
-                    yield from step(piece, np.zeros(1, np.int64), np.array([len(piece)]), ids[:1], rows[:1], np.array([at]), powers)
-
-    def step(data, first, last, ids, rows, base, powers):
+                pieces = ((p := text[at : at + STEP + LENGTH - 1], np.zeros(1, np.int64), np.array([len(p)]), np.array([at])) for at in range(0, len(text) - LENGTH + 1, STEP))
+            for data, first, last, base in pieces:
+                step(data, first, last, ids, rows, base, powers, held, late)
+                done += 1
+                if done % JOINED == 0:
+                    yield flushed(held, late)
+        if held or late:
+            yield flushed(held, late)
+
+    def flushed(held, late) -> pa.RecordBatch:
+        out = []
+        if late:
+            out.append((int(late[0][0][0] % buckets), 1, pack([np.concatenate([x[i] for x in late]) for i in range(4)])))
+        for bucket, parts in sorted(held.items()):
+            shift = np.cumsum([0] + [len(x[1]) for x in parts])
+            number = np.concatenate([x[2] + n for x, n in zip(parts, shift, strict=False)])
+            data, size, ids, rows, start = (np.concatenate([x[i] for x in parts]) for i in (0, 1, 3, 4, 5))
+            out.append((bucket, 0, pack([data, size, steps(number.astype(np.int32)), steps(ids), rows, start])))
+        held.clear()
+        late.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[]] * 3, (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "kind", "blob"])
+
+    def step(data, first, last, ids, rows, base, powers, held, late) -> None:
         start, size, key = segments(data, first, last)
         if not len(start):
             return
         text = np.searchsorted(first, start, side="right") - 1
         owner = ids[text]
-        order = np.argsort(owner, kind="stable")  # so that the first of equal segments has the least id
-        start, size, key, text, owner = (x[order] for x in (start, size, key, text, owner))
+        if (owner[1:] < owner[:-1]).any():
+            order = np.argsort(owner, kind="stable")  # so that the first of equal segments has the least id
+            start, size, key, text, owner = (x[order] for x in (start, size, key, text, owner))
         head = classes(data, start, size, Hashes(data, powers))
-        late = np.flatnonzero(owner > owner[head])
         where = base[text] + start - first[text]
-        out = []
-        if len(late):
-            out.append((int(key[late[0]] % np.uint64(buckets)), 1, pack([ids[text[late]], rows[text[late]], where[late], where[late] + size[late]])))
-        stay = np.flatnonzero(owner == owner[head])
-        bucket = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(buckets)
-        stay = stay[np.lexsort((stay, head[stay], bucket[stay]))]
-        cuts = np.flatnonzero(np.concatenate(([True], bucket[stay][1:] != bucket[stay][:-1], [True])))
-        for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            own = stay[a:z]
-            distinct, number = np.unique(head[own], return_inverse=True)
-            out.append((int(bucket[own[0]]), 0, pack([gather(data, start[distinct], size[distinct]), size[distinct].astype(np.uint8), number.astype(np.int32), ids[text[own]], rows[text[own]], where[own]])))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "kind", "blob"])
+        later = owner > owner[head]
+        if later.any():
+            t = text[later]
+            late.append([ids[t], rows[t], where[later], where[later] + size[later]])
+        bucket = (((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+        stay = np.flatnonzero(~later)
+        stay = stay[np.argsort(bucket[stay] * len(start) + head[stay], kind="stable")]
+        new = np.concatenate(([True], head[stay][1:] != head[stay][:-1]))
+        distinct, number = head[stay][new], np.cumsum(new) - 1
+        sent, length = gather(data, start[distinct], size[distinct]), size[distinct]
+        ends = np.concatenate(([0], np.cumsum(length)))
+        b = bucket[stay]
+        cuts = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1], [True])))
+        length, who, row, at = length.astype(np.uint8), ids[text[stay]], rows[text[stay]], where[stay]
+        for a, z, k in zip(cuts[:-1].tolist(), cuts[1:].tolist(), b[cuts[:-1]].tolist(), strict=True):
+            lo, hi = int(number[a]), int(number[z - 1]) + 1
+            held.setdefault(k, []).append([sent[ends[lo] : ends[hi]], length[lo:hi], number[a:z] - lo, who[a:z], row[a:z], at[a:z]])
 
     return run
 
@@ -231,8 +264,9 @@ def sort_block(blobs: list[bytes], powers: Powers) -> list[np.ndarray]:
     size = np.concatenate([p[1] for p in parts]).astype(np.int64)
     first = np.cumsum(size) - size
     shift = np.cumsum([0] + [len(p[1]) for p in parts])
-    segment = np.concatenate([p[2] + s for p, s in zip(parts, shift, strict=False)]).astype(np.int64)
-    ids, rows, start = (np.concatenate([p[i] for p in parts]) for i in (3, 4, 5))
+    segment = np.concatenate([np.cumsum(p[2], dtype=np.int64) + s for p, s in zip(parts, shift, strict=False)])
+    ids = np.concatenate([np.cumsum(p[3]) for p in parts])
+    rows, start = (np.concatenate([p[i] for p in parts]) for i in (4, 5))
     hashes = Hashes(data, powers)
     owner = classes(data, first, size, hashes)[segment]  # equal segments are one
     least = np.full(len(size), NO_ID, np.int64)
@@ -291,7 +325,7 @@ def repeats_of_block(blobs: pa.Table) -> pa.Table:
     sent = [r for k, r in zip(kind, rows, strict=True) if k == 0]
     if sent:
         made.append(sort_block(sent, Powers()))
-    columns = [np.concatenate([m[i] for m in made]) for i in range(4)]
+    columns = [np.concatenate([m[i] for m in made]).astype(np.int64) for i in range(4)]
     return pa.table(dict(zip(("sd_id", "sd_row", "sd_start", "sd_end"), columns, strict=True)))
 
 
@@ -313,7 +347,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     each for itself, to their spans. Strings that a third of all documents hold are sent once a step.
     """
     spark = docs.sparkSession
-    base = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("sd_id"), F.xxhash64("text").alias("sd_row"), "doc_id", "text")
+    base = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("sd_id"), F.pmod(F.xxhash64("text"), F.lit(1 << 16)).alias("sd_row"), "doc_id", "text")
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0]
     n = partitions(spark)
     buckets = max(n, min(-(-total // BLOCK), 64 * n))
