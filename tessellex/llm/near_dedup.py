@@ -221,12 +221,13 @@ def find_links(docs: DataFrame, nodes: DataFrame, percent: int, k: int) -> DataF
     """Confirmed links (u, v) that connect what all links connect. nodes: node, nd_row, nd_n, nd_bands, nd_sig; docs: doc_id, text."""
     spark = docs.sparkSession
     n = partitions(spark)
+    by_merge = lambda df: df.hint("merge")  # noqa: E731  one plan at every size
     flat = nodes.select(F.explode("nd_bands").alias("key"), "node", "nd_n")
     candidates = materialize(flat.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(bucket_candidates, CANDIDATES))
     pairs = candidates.where(F.col("b").isNotNull()).select("a", "b").distinct()
     members = candidates.where(F.col("b").isNull()).select("key", F.col("a").alias("node"), "block")
     signed = nodes.select("node", "nd_sig")
-    pairs = pairs.join(signed.toDF("a", "sig_a"), "a").join(signed.toDF("b", "sig_b"), "b")
+    pairs = pairs.join(by_merge(signed.toDF("a", "sig_a")), "a").join(by_merge(signed.toDF("b", "sig_b")), "b")
     limits = least_matches(percent)
 
     def alive():
@@ -241,14 +242,14 @@ def find_links(docs: DataFrame, nodes: DataFrame, percent: int, k: int) -> DataF
     ok = [T.StructField("ok", T.BooleanType())]
     pairs = materialize(append_columns(pairs.withColumn("text", F.lit("")), alive, ok, keep=["a", "b"]).where("ok").select("a", "b"))
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(members.select("node")).distinct()
-    wanted = materialize(wanted.join(nodes.select("node", "nd_row"), "node"))
+    wanted = materialize(wanted.join(by_merge(nodes.select("node", "nd_row")), "node"))
     texts = docs.select(F.col("doc_id").alias("node"), "text").withColumn("nd_row", F.xxhash64("text"))
-    texts = materialize(wanted.join(texts, ["node", "nd_row"]).dropDuplicates(["node"]).select("node", "text"))
-    both = pairs.toDF("u", "v").join(texts.toDF("u", "text"), "u").join(texts.toDF("v", "text_v"), "v")
+    texts = materialize(wanted.join(by_merge(texts), ["node", "nd_row"]).dropDuplicates(["node"]).select("node", "text"))
+    both = pairs.toDF("u", "v").join(by_merge(texts.toDF("u", "text")), "u").join(by_merge(texts.toDF("v", "text_v")), "v")
     links = append_columns(both, confirm_pairs(percent, k), ok, keep=["u", "v"], limit=1 << 20).where("ok").select("u", "v")
     # larger buckets: every pair of their blocks is a group of 2 * BLOCK members at most
     blocks = materialize(members.groupBy("key").agg(F.max("block").alias("last")))
-    own = members.join(blocks, "key").join(nodes.select("node", F.col("nd_sig").alias("sig"), F.col("nd_bands").alias("bands")), "node").join(texts, "node")
+    own = members.join(blocks, "key").join(nodes.select("node", F.col("nd_sig").alias("sig"), F.col("nd_bands").alias("bands")).hint("merge"), "node").join(by_merge(texts), "node")
     pair = F.transform(F.sequence(F.lit(0), F.col("last")), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
     own = own.withColumn("pair", F.explode(pair)).select("key", "pair.i", "pair.j", "node", "block", "sig", "bands", "text")
     more = own.groupBy("key", "i", "j").applyInArrow(join_blocks(percent, k), "u long, v long")
