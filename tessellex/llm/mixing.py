@@ -53,7 +53,7 @@ def water_fill(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epoch
 def mix_sources(docs: DataFrame, seed: int = 42, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, keep: tuple[str, ...] = ()) -> DataFrame:
     """Draws documents so that each source's words come to its target.
 
-    Returns doc_id, keep, mx_size (words of the text; null or empty: 0), mx_source_size, mx_target, mx_taken
+    Returns doc_id, source, keep, mx_size (words of the text; null or empty: 0), mx_source_size, mx_target, mx_taken
     (long), mx_repeats (double: mx_taken / mx_size, 0 where the size is 0). Every document is taken floor(target /
     source size) times whole. What is then missing comes from the documents in a seeded order (MD5 of seed and
     doc_id), each once more, until the target is reached; the last one is taken in part. So the sum is the target,
@@ -85,7 +85,7 @@ def mix_sources(docs: DataFrame, seed: int = 42, weights: tuple[int, ...] = WEIG
     outside = d.where(~F.coalesce(F.col("mx_bin") == F.col("mx_edge"), F.lit(False))).withColumn("mx_extra", F.when(F.col("mx_bin") < F.col("mx_edge"), F.col("mx_size")).otherwise(F.lit(0)))
     taken = (F.col("mx_whole") * F.col("mx_size") + F.col("mx_extra")).cast("long")
     out = outside.unionByName(inside).withColumn("mx_taken", taken).withColumn("mx_repeats", F.when(F.col("mx_size") > 0, F.col("mx_taken") / F.col("mx_size")).otherwise(F.lit(0.0)))
-    return out.select("doc_id", *keep, "mx_size", "mx_source_size", "mx_target", "mx_taken", "mx_repeats")
+    return out.select("doc_id", "source", *keep, "mx_size", "mx_source_size", "mx_target", "mx_taken", "mx_repeats")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
