@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from .common import Shingler, append_columns, materialize, table
 
-TOKEN = re.compile(r"[^\W_](?:[@$\w]*[^\W_])?")
+TOKEN = re.compile(r"[^\W_]+(?:[@$_]+[^\W_]+)*")
 #: Digits and signs that stand for letters in misspelled words.
 LOOKALIKE = str.maketrans("013457@$", "oieastas")
 QUOTES = frozenset("\"“”«»„‟")
@@ -30,7 +30,7 @@ STEM = "*"
 
 def allowed(term: str) -> int:
     """Edits within which a token counts as the term; stems count as they are."""
-    return 0 if term.endswith(STEM) or len(term) < 5 else 1 if len(term) < 9 else 2
+    return 0 if term.endswith(STEM) or len(term) < 5 else 1 if len(term) < 12 else 2
 
 
 class Matcher:
@@ -57,6 +57,7 @@ class Matcher:
             self.term[node] = t
             for p in path:
                 self.most[p] = max(self.most[p], allowed(t))
+        self.letters = {c: c for t in terms for c in t}  # all others move alike
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
@@ -98,8 +99,9 @@ class Matcher:
 
     def find(self, token: str) -> tuple[str, int] | None:
         """(term, edits) of the nearest term within its allowed edits."""
-        state, stem = self.start, None
+        state, stem, letters = self.start, None, self.letters
         for c in token:
+            c = letters.get(c, "")
             to = self.moves[state].get(c)
             if to is None:
                 to = self.moves[state][c] = self._move(state, c)
@@ -122,7 +124,7 @@ def fold(token: str) -> str:
 class Finder:
     """Hits of a text: (token number, token, term, edits, quoted). Tokens are judged once each, as far as the memo reaches."""
 
-    MEMO = 500_000
+    MEMO = 200_000
 
     def __init__(self, terms: list[str], ordinary: frozenset[str]) -> None:
         self.matcher, self.ordinary, self.memo = Matcher(terms), ordinary, {}
@@ -139,7 +141,7 @@ class Finder:
             return []
         tokens = TOKEN.findall(text)
         memo = self.memo
-        if new := set(tokens) - memo.keys():
+        if new := {t for t in tokens if t not in memo}:
             if len(memo) > self.MEMO:
                 memo.clear()
                 new = set(tokens)
