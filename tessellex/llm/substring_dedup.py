@@ -90,9 +90,9 @@ def equal_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray
     return np.logical_and.reduceat(same, np.cumsum(size) - size)
 
 
-def classes(data: np.ndarray, first: np.ndarray, size: np.ndarray, hashes: Hashes) -> np.ndarray:
+def classes(data: np.ndarray, first: np.ndarray, size: np.ndarray, code: np.ndarray) -> np.ndarray:
     """For each segment the number of the first segment, in the order given, with the same bytes. Equal hashes are verified."""
-    code = mix(hashes.of(first, size) + size.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    code = mix(code + size.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
     order = np.argsort(code, kind="stable")
     new = np.concatenate(([True], code[order][1:] != code[order][:-1]))
     head = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
@@ -100,13 +100,27 @@ def classes(data: np.ndarray, first: np.ndarray, size: np.ndarray, hashes: Hashe
     out[order] = head
     other = np.flatnonzero(out != np.arange(len(out)))
     alike = (size[other] == size[out[other]])
-    alike[alike] = equal_bytes(data, first[other[alike]], first[out[other[alike]]], size[other[alike]])
+    check = other[alike]
+    for i in range(0, len(check), 20_000):
+        part = check[i : i + 20_000]
+        alike[np.flatnonzero(alike)[i : i + 20_000]] = equal_bytes(data, first[part], first[out[part]], size[part])
     seen: dict[bytes, int] = {}
     for i in other[~alike].tolist():  # a collision of hashes
         out[i] = seen.setdefault(data[first[i] : first[i] + size[i]].tobytes(), i)
     return out
 
 
+def pieces(data: np.ndarray, first: np.ndarray, size: np.ndarray, powers: Powers, limit: int = 1 << 20) -> Iterator[tuple]:
+    """(numbers, hashes, first, size) of the segments by turns, their bytes copied together: hashes of a block take no more memory than of a piece."""
+    ends = np.cumsum(size)
+    at = 0
+    while at < len(size):
+        stop = max(at + 1, int(np.searchsorted(ends, ends[at] + limit)))
+        own = size[at:stop]
+        yield np.arange(at, stop), Hashes(gather(data, first[at:stop], own), powers), np.cumsum(own) - own, own
+        at = stop
+
+
 # --- packing --------------------------------------------------------------------------------------
 
 
@@ -184,7 +198,7 @@ def pack_segments(buckets: int):
         if (owner[1:] < owner[:-1]).any():
             order = np.argsort(owner, kind="stable")  # so that the first of equal segments has the least id
             start, size, key, text, owner = (x[order] for x in (start, size, key, text, owner))
-        head = classes(data, start, size, Hashes(data, powers))
+        head = classes(data, start, size, Hashes(data, powers).of(start, size))
         where = base[text] + start - first[text]
         later = owner > owner[head]
         if later.any():
@@ -267,35 +281,37 @@ def sort_block(blobs: list[bytes], powers: Powers) -> list[np.ndarray]:
     segment = np.concatenate([np.cumsum(p[2], dtype=np.int64) + s for p, s in zip(parts, shift, strict=False)])
     ids = np.concatenate([np.cumsum(p[3]) for p in parts])
     rows, start = (np.concatenate([p[i] for p in parts]) for i in (4, 5))
-    hashes = Hashes(data, powers)
-    owner = classes(data, first, size, hashes)[segment]  # equal segments are one
+    owner = classes(data, first, size, np.concatenate([h.of(f, n) for _, h, f, n in pieces(data, first, size, powers)]))[segment]  # equal segments are one
     least = np.full(len(size), NO_ID, np.int64)
     np.minimum.at(least, owner, ids)
     heads = np.unique(owner)
     windows = size[heads] - LENGTH + 1
-    whose = np.repeat(heads, windows)
-    at = gather(np.arange(len(data)), first[heads], windows)
     # windows of different segments that may be equal: the rest needs no sort
-    code = hashes.of(at, LENGTH)
+    code = np.concatenate([h.of(gather(np.arange(f[-1] + n[-1]), f, n - LENGTH + 1), LENGTH) for _, h, f, n in pieces(data, first[heads], size[heads], powers)])
     order = np.argsort(code)
-    again = code[order][1:] == code[order][:-1]
-    suspect = np.zeros(len(at), bool)
-    suspect[order[1:][again]] = True
-    suspect[order[:-1][again]] = True
-    minimum = least[whose]
+    again = np.flatnonzero(code[order[1:]] == code[order[:-1]])
+    del code
+    suspect = np.zeros(len(order), bool)
+    suspect[order[again]] = suspect[order[again + 1]] = True
+    del order, again
+    minimum = np.repeat(least[heads], windows)
     if suspect.any():
-        where = np.flatnonzero(suspect)
-        back = np.empty(len(data), np.int64)
-        back[at[where]] = where
-        run, common = suffix_sort(data, at[where], hashes)
+        begin = np.cumsum(windows) - windows
+        some = np.flatnonzero(np.logical_or.reduceat(suspect, begin))  # only their bytes are needed from here
+        near = np.concatenate((gather(data, first[heads[some]], size[heads[some]]), np.zeros(LENGTH + 16, np.uint8)))
+        where = gather(np.arange(len(suspect)), begin[some], windows[some])
+        at = gather(np.arange(len(near)), np.cumsum(size[heads[some]]) - size[heads[some]], windows[some])
+        where, at = where[suspect[where]], at[suspect[where]]
+        back = np.empty(len(near), np.int64)
+        back[at] = where
+        run, common = suffix_sort(near, at, Hashes(near, powers))
         same = common == LENGTH
         other = np.flatnonzero(same)
-        verified = equal_bytes(data, run[other], run[other - 1], np.full(len(other), LENGTH))
+        verified = np.concatenate([np.ones(0, bool), *(equal_bytes(near, run[o], run[o - 1], np.full(len(o), LENGTH)) for o in (other[i : i + 20_000] for i in range(0, len(other), 20_000)))])
         if not verified.all():  # a collision of hashes: sort the bytes themselves
-            run = np.array(sorted(run.tolist(), key=lambda p: data[p : p + LENGTH].tobytes()), np.int64)
-            same = np.concatenate(([False], equal_bytes(data, run[1:], run[:-1], np.full(len(run) - 1, LENGTH))))
-        heads_of = np.flatnonzero(~same)
-        low = np.minimum.reduceat(minimum[back[run]], heads_of)
+            run = np.array(sorted(run.tolist(), key=lambda p: near[p : p + LENGTH].tobytes()), np.int64)
+            same = np.concatenate(([False], equal_bytes(near, run[1:], run[:-1], np.full(len(run) - 1, LENGTH))))
+        low = np.minimum.reduceat(minimum[back[run]], np.flatnonzero(~same))
         minimum[back[run]] = low[np.cumsum(~same) - 1]
     # a window is repeated where the least id that has it is below the entry's
     offset = np.full(len(size), -1, np.int64)
