@@ -21,7 +21,7 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 #: What may be an identifier: six characters or more, with three digits at least.
-IDENTIFIER = re.compile(r"(?=(?:[^\W_-]*[0-9]){3})[^\W_](?:[^\W_]|[-_](?=[^\W_])){5,}")
+IDENTIFIER = re.compile(r"(?<![\w-])[^\W_](?:[^\W_]|[-_](?=[^\W_])){5,}")
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -93,7 +93,7 @@ def occurrences(batch: pa.RecordBatch) -> dict:
             for m in IDENTIFIER.finditer(text):
                 while ahead and ahead[0] < m.end():
                     reach, ahead = max(reach, ahead[1]), next(spans, None)
-                if m.start() >= reach:
+                if m.start() >= reach and len(DIGIT.findall(m.group())) >= 3:
                     near.append((m.start(), 4, m.end()))
         base.append([{"start": a, "kind": k, "end": z} for a, k, z in found])
         seen.append([{"start": a, "kind": k, "end": z, "value": text[a:z], "patterns": patterns_of(text, a, z)} for a, k, z in near])

@@ -16,6 +16,8 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 # a run of one class is one match whatever its length, so the least lengths of 20 and 24 can stand in the pattern
 ACCESS = "AKIA[A-Z0-9]{16,}"
 HEX = "[0-9a-f]{24,}"
+#: Weight of the single symbols beside the counts of pairs.
+BACK_OFF = 5.0
 #: Runs of such symbols, which the models judge. A run starts where no symbol stands before it.
 SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 RUN = "(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}+"
@@ -103,16 +105,20 @@ def labelled_samples(docs: DataFrame, max_docs: int, seed: int) -> DataFrame:
 
 
 def fit_llr(samples: DataFrame) -> list[float]:
-    """Log-likelihood ratios of the two first-order models for each pair of symbols, add-one smoothed.
+    """Log-likelihood ratios of the two first-order models for each pair of symbols; pairs back off to single symbols.
 
     Only counts of pairs come to the driver: two for each of at most 69 * 69 pairs, whatever the input.
     """
     n = len(SYMBOLS) + 1
     rows = samples.select("random", F.explode(code_pairs(F.col("value"))).alias("pair")).groupBy("random", "pair").count().collect()
-    counts = [[1.0] * (n * n), [1.0] * (n * n)]
+    counts = [[0] * (n * n), [0] * (n * n)]
     for r in rows:
         counts[r["random"]][r["pair"]] += r["count"]
-    p = [[c / sum(m[i // n * n : i // n * n + n]) for i, c in enumerate(m)] for m in counts]
+    p = []
+    for m in counts:
+        single = [sum(m[b::n]) + 0.5 for b in range(n)]
+        before = [sum(m[a * n : a * n + n]) for a in range(n)]
+        p.append([(c + BACK_OFF * single[i % n] / sum(single)) / (before[i // n] + BACK_OFF) for i, c in enumerate(m)])
     return [math.log(b / a) for a, b in zip(*p, strict=True)]
 
 
