@@ -58,9 +58,9 @@ def q_bm25_weights(spark, sf_dir):
     return ir.bm25_weights(passages(spark, sf_dir)).select("did", "term", "tf", F.round("w", 6).alias("w"))
 
 
-@query(f"WITH {sql()} SELECT qid, did, round(score, 6) AS score FROM s")
+@query(f"WITH {sql()} SELECT qid, did, round(score, 4) AS score FROM s")
 def q_bm25_scores(spark, sf_dir):
-    return ir.bm25_scores(questions(spark, sf_dir), ir.bm25_weights(passages(spark, sf_dir))).select("qid", "did", F.round(F.round("score", 9), 6).alias("score"))
+    return ir.bm25_scores(questions(spark, sf_dir), ir.bm25_weights(passages(spark, sf_dir))).select("qid", "did", F.round(F.round("score", 9), 4).alias("score"))
 
 
 METRICS = "round(avg((rank = 1)::INT), 6) AS r1, round(avg((rank <= 10)::INT), 6) AS r10, round(avg(CASE WHEN rank <= 10 THEN 1.0::DOUBLE / rank ELSE 0 END), 6) AS mrr10, round(avg(rank), 6) AS mean_rank"
