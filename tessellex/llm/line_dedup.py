@@ -36,6 +36,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, keep: t
         common = held.agg(F.min("ld_id").alias("ld_first"), F.max("ld_id").alias("ld_last")).where(F.lit(min_docs < 2) | (F.col("ld_first") < F.col("ld_last")))
     else:
         common = held.agg(F.min("ld_id").alias("ld_first"), F.count_distinct("ld_id").alias("ld_n")).where(F.col("ld_n") >= min_docs)
+    common = materialize(common)  # so that the join's sides are plain exchanges, whose skewed partitions Spark splits
     dropped = keyed.join(common, ["ld_h1", "ld_h2"]).where(F.col("ld_id") != F.col("ld_first"))
     # one row of many equal ones may come more than once: positions are a set
     dropped = dropped.groupBy("ld_id", "ld_row").agg(F.collect_set("ld_pos").alias("ld_drop"))
