@@ -1,4 +1,4 @@
-"""Stemmers from their published definitions: Porter's for English, Snowball's for German. Other languages plug in as functions."""
+"""Stemmers from their published definitions: Porter's, and Snowball's for English, German and Spanish. Other languages plug in as functions."""
 
 from __future__ import annotations
 
@@ -116,7 +116,144 @@ def german(word: str) -> str:
     return w.translate(str.maketrans("UYäöü", "uyaou"))
 
 
-BY_LANGUAGE: dict[str, Callable[[str], str]] = {"en": porter, "de": german}
+# Words that the English Snowball stemmer treats by themselves, and its tables for steps 2 and 3.
+ENGLISH_WORDS = {"skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl"}
+ENGLISH_KEPT = ("sky", "news", "howe", "atlas", "cosmos", "bias", "andes")
+ENGLISH_KEPT_AFTER_1A = ("inning", "outing", "canning", "herring", "earring", "proceed", "exceed", "succeed")
+ENGLISH2 = {"tional": "tion", "enci": "ence", "anci": "ance", "abli": "able", "entli": "ent", "izer": "ize", "ization": "ize", "ational": "ate", "ation": "ate", "ator": "ate", "alism": "al", "aliti": "al", "alli": "al", "fulness": "ful", "ousli": "ous", "ousness": "ous", "iveness": "ive", "iviti": "ive", "biliti": "ble", "bli": "ble", "fulli": "ful", "lessli": "less", "ogi": "og", "li": ""}
+ENGLISH3 = {"tional": "tion", "ational": "ate", "alize": "al", "icate": "ic", "iciti": "ic", "ical": "ic", "ful": "", "ness": "", "ative": ""}
+
+
+def _short_end(w: str) -> bool:
+    return bool(re.search("(?:[^aeiouy][aeiouy][^aeiouywxY]|^[aeiouy][^aeiouy])$", w))
+
+
+def english(word: str) -> str:
+    """The Snowball stemmer for English."""
+    w = word.lower()
+    if len(w) < 3:
+        return w
+    if w in ENGLISH_WORDS:
+        return ENGLISH_WORDS[w]
+    if w in ENGLISH_KEPT:
+        return w
+    w = re.sub("^y|(?<=[aeiouy])y", "Y", w.removeprefix("'"))
+    head = next((h for h in ("gener", "commun", "arsen") if w.startswith(h)), None)
+    r1 = len(head) if head else _region(w, "aeiouy")
+    r2 = r1 + _region(w[r1:], "aeiouy")
+    w = w.removesuffix("'").removesuffix("'s")
+    if w.endswith("sses"):
+        w = w[:-2]
+    elif w.endswith(("ied", "ies")):
+        w = w[:-2] if len(w) > 4 else w[:-1]
+    elif w.endswith("s") and not w.endswith(("us", "ss")) and re.search("[aeiouy]", w[:-2]):
+        w = w[:-1]
+    if w in ENGLISH_KEPT_AFTER_1A:
+        return w
+    s = _longest(w, ("eed", "eedly", "ed", "edly", "ing", "ingly"))
+    if s and s.startswith("eed"):
+        w = w[: -len(s)] + "ee" if len(w) - len(s) >= r1 else w
+    elif s and re.search("[aeiouy]", w[: -len(s)]):
+        w = w[: -len(s)]
+        if w.endswith(("at", "bl", "iz")):
+            w += "e"
+        elif re.search(r"(bb|dd|ff|gg|mm|nn|pp|rr|tt)$", w):
+            w = w[:-1]
+        elif r1 >= len(w) and _short_end(w):
+            w += "e"
+    if len(w) > 2 and w[-1] in "yY" and w[-2] not in "aeiouy":
+        w = w[:-1] + "i"
+    s = _longest(w, ENGLISH2)
+    if s and len(w) - len(s) >= r1 and (s != "ogi" or w.endswith("logi")) and (s != "li" or w[-3:-2] and w[-3] in "cdeghkmnrt"):
+        w = w[: -len(s)] + ENGLISH2[s]
+    s = _longest(w, ENGLISH3)
+    if s and len(w) - len(s) >= (r2 if s == "ative" else r1):
+        w = w[: -len(s)] + ENGLISH3[s]
+    s = _longest(w, [*STEP4, "ion"])
+    if s and s != "ou" and len(w) - len(s) >= r2 and (s != "ion" or w[-4:-3] in ("s", "t")):
+        w = w[: -len(s)]
+    if w.endswith("e") and (len(w) - 1 >= r2 or len(w) - 1 >= r1 and not _short_end(w[:-1])) or w.endswith("ll") and len(w) - 1 >= r2:
+        w = w[:-1]
+    return w.replace("Y", "y")
+
+
+# The suffixes of the Spanish Snowball stemmer, by step.
+ES_PRONOUN = "me se sela selo selas selos la le lo las les los nos".split()
+ES_PLAIN = "anza anzas ico ica icos icas ismo ismos able ables ible ibles ista istas oso osa osos osas amiento amientos imiento imientos".split()
+ES_IC = "adora ador ación adoras adores aciones ante antes ancia ancias".split()
+ES_BECOME = {"logía": "log", "logías": "log", "ución": "u", "uciones": "u", "encia": "ente", "encias": "ente"}
+ES_IDAD, ES_IVA = ["idad", "idades"], ["iva", "ivo", "ivas", "ivos"]
+ES_Y = "ya ye yan yen yeron yendo yo yó yas yes yais yamos".split()
+ES_GU = ["en", "es", "éis", "emos"]
+ES_VERB = (
+    "arían arías arán arás aríais aría aréis aríamos aremos ará aré erían erías erán erás eríais ería eréis eríamos eremos erá eré irían irías irán irás iríais iría iréis iríamos iremos irá iré "
+    "aba ada ida ía ara iera ad ed id ase iese aste iste an aban ían aran ieran asen iesen aron ieron ado ido ando iendo ió ar er ir as abas adas idas ías aras ieras ases ieses ís áis abais íais "
+    "arais ierais aseis ieseis asteis isteis ados idos amos ábamos íamos imos áramos iéramos iésemos ásemos"
+).split()
+ACUTE = str.maketrans("áéíóú", "aeiou")
+
+
+def spanish(word: str) -> str:
+    """The Snowball stemmer for Spanish."""
+    v = "aeiouáéíóúü"
+    w = word.lower()
+    r1 = _region(w, v)
+    r2 = r1 + _region(w[r1:], v)
+    rv = len(w)
+    if len(w) > 2:
+        if w[1] not in v:
+            m = re.search(f"[{v}]", w[2:])
+            rv = 2 + m.end() if m else len(w)
+        elif w[0] in v:
+            m = re.search(f"[^{v}]", w[2:])
+            rv = 2 + m.end() if m else len(w)
+        else:
+            rv = 3
+    s = _longest(w[rv:], ES_PRONOUN)
+    if s:
+        left = w[: -len(s)]
+        accented = _longest(left[rv:], ("iéndo", "ándo", "ár", "ér", "ír"))
+        if accented:
+            w = left[: -len(accented)] + accented.translate(ACUTE)
+        elif _longest(left[rv:], ("ando", "iendo", "ar", "er", "ir")) or left[rv:].endswith("yendo") and left.endswith("uyendo"):
+            w = left
+    done = False
+    s = _longest(w, [*ES_PLAIN, *ES_IC, *ES_BECOME, "amente", "mente", *ES_IDAD, *ES_IVA])
+    if s:
+        left = w[: -len(s)]
+        if s == "amente":
+            if len(left) >= r1:
+                w, done = left, True
+                t = _longest(w, ("iv", "os", "ic", "ad"))
+                if t and len(w) - 2 >= r2:
+                    w = w[:-2]
+                    if t == "iv" and w.endswith("at") and len(w) - 2 >= r2:
+                        w = w[:-2]
+        elif len(left) >= r2:
+            w, done = left + ES_BECOME.get(s, ""), True
+            more = ("ic",) if s in ES_IC else ("ante", "able", "ible") if s == "mente" else ("abil", "ic", "iv") if s in ES_IDAD else ("at",) if s in ES_IVA else ()
+            t = _longest(w, more)
+            if t and len(w) - len(t) >= r2:
+                w = w[: -len(t)]
+    if not done:
+        s = _longest(w[rv:], ES_Y)
+        if s and w[: -len(s)].endswith("u"):
+            w = w[: -len(s)]
+        else:
+            s = _longest(w[rv:], [*ES_GU, *ES_VERB])
+            if s:
+                w = w[: -len(s)]
+                if s in ES_GU and w.endswith("gu"):
+                    w = w[:-1]
+    s = _longest(w[rv:], ("os", "a", "o", "á", "í", "ó", "e", "é"))
+    if s:
+        w = w[: -len(s)]
+        if s in ("e", "é") and w.endswith("gu") and len(w) - 1 >= rv:
+            w = w[:-1]
+    return w.translate(ACUTE)
+
+
+BY_LANGUAGE: dict[str, Callable[[str], str]] = {"en": english, "de": german, "es": spanish}
 
 
 def stem_column(token: Column, lang: Column) -> Column:

@@ -28,6 +28,16 @@ def test_german(word, stem):
     assert stemmers.german(word) == stem
 
 
+@pytest.mark.parametrize(("word", "stem"), [("consignment", "consign"), ("knightly", "knight"), ("generously", "generous"), ("consistency", "consist"), ("skies", "sky"), ("ties", "tie")])
+def test_english(word, stem):
+    assert stemmers.english(word) == stem
+
+
+@pytest.mark.parametrize(("word", "stem"), [("chicharrones", "chicharron"), ("chicas", "chic"), ("torneando", "torn"), ("torneos", "torne"), ("torturando", "tortur")])
+def test_spanish(word, stem):
+    assert stemmers.spanish(word) == stem
+
+
 def test_orthography():
     assert text.orthographic("  Été, İI x!") == "ete ii x"
     assert text.orthographic("İI", turkish=True) == "iı"
