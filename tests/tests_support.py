@@ -1,11 +1,19 @@
 from pathlib import Path
 
+import pandas as pd
+
 DATA = Path("/root/testdata")
 
 
+def cell(v):
+    if pd.isna(v):
+        return "None"
+    return str(int(v)) if isinstance(v, float) and v.is_integer() else str(v)
+
+
 def same(a, b):
     """Whether two pandas frames hold the same rows, columns by name and rows in any order."""
     columns = sorted(a.columns)
     assert columns == sorted(b.columns)
-    rows = lambda x: sorted(map(repr, x[columns].astype(str).values.tolist()))
+    rows = lambda x: sorted(str([*map(cell, r)]) for r in x[columns].itertuples(index=False, name=None))
     assert rows(a) == rows(b)
