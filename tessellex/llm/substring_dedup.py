@@ -131,7 +131,7 @@ def steps(x: np.ndarray) -> np.ndarray:
 
 def pack(arrays: list[np.ndarray]) -> bytes:
     head = np.array([x.nbytes for x in arrays], np.int64).tobytes()
-    return zstandard.compress(head + b"".join(x.tobytes() for x in arrays), 3)
+    return zstandard.compress(head + b"".join(x.tobytes() for x in arrays), 6)
 
 
 def unpack(blob: bytes, kinds: list[type]) -> list[np.ndarray]:
