@@ -110,8 +110,8 @@ def sign(percent: int, k: int):
 CANDIDATES = T.StructType([T.StructField("key", T.LongType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("block", T.IntegerType())])
 
 
-def bucket_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, node, size) sorted by the first two, as a stream: pairs of small buckets, and members of larger ones with the number of their block."""
+def bucket_candidates(batches: Iterator[pa.RecordBatch], most: int = BLOCK) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node, size) with equal keys together, as a stream: pairs of small buckets, and members of larger ones with the number of their block."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = to_arrow_schema(CANDIDATES)
@@ -120,7 +120,7 @@ def bucket_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
     def flush() -> None:
         if 1 < len(group) and seen <= SMALL:
-            out.extend((key, a, b, None) for i, (a, _) in enumerate(group) for b, _ in group[i + 1 :])
+            out.extend((key, min(a, b), max(a, b), None) for i, (a, _) in enumerate(group) for b, _ in group[i + 1 :])
 
     def made() -> pa.RecordBatch:
         columns = list(zip(*out, strict=True)) or [[]] * 4
@@ -134,7 +134,7 @@ def bucket_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
                 key, group, seen = k, [], 0
                 block, members, filled = 0, 0, 0
             seen += 1
-            if members >= BLOCK or members and filled + size > BLOCK_SHINGLES:
+            if members >= most or members and filled + size > BLOCK_SHINGLES:
                 block, members, filled = block + 1, 0, 0
             members, filled = members + 1, filled + size
             if seen <= SMALL:
@@ -169,24 +169,28 @@ def confirm_pairs(percent: int, k: int):
     return make
 
 
-def join_blocks(percent: int, k: int):
-    """For applyInArrow over the members of two blocks of a bucket (or of one): links that connect all that is connected there.
+def join_members(percent: int, k: int, across: bool):
+    """For applyInArrow over members of a bucket: links that connect all that is connected there.
 
-    Only pairs that share no earlier band are compared; those of an earlier band are compared there. Likely pairs
-    come first, and a pair that links confirmed before already connect isn't verified again.
+    Without across, the rows are one block, and all its pairs are compared. With across, the rows are some strays (left)
+    and a block (the others), and pairs of different blocks and different roots are compared. A pair that shares an
+    earlier band is compared there, but where a bucket has several blocks, one block compares all it has, so that the
+    blocks of different bands link each other. Likely pairs come first, and a pair that links confirmed before already
+    connect isn't verified again.
     """
     limits = least_matches(percent)
 
     def work(rows: pa.Table) -> pa.Table:
         shingler = Shingler(k)
         rows = rows.combine_chunks().to_batches()[0]
-        nodes, block = rows.column("node").to_pylist(), np.array(rows.column("block").to_pylist())
-        sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint16).reshape(len(nodes), SIGNATURE)
-        keys = np.array(rows.column("bands").to_pylist(), np.int64)
-        own = keys[0] == rows.column("key")[0].as_py()
-        earlier = int(np.flatnonzero((keys == rows.column("key")[0].as_py()).all(axis=0))[0]) if own.any() else 0
-        sets = sets_of(rows.column("text").to_pylist(), shingler)
-        root = list(range(len(nodes)))
+        get = lambda name: rows.column(name).to_pylist()
+        key, nodes, roots, block, stray, left = rows.column("key")[0].as_py(), *(np.array(get(c)) for c in ("node", "root", "block", "stray", "left"))
+        sig = np.frombuffer(b"".join(get("sig")), np.uint16).reshape(len(nodes), SIGNATURE)
+        keys = np.array(get("bands"), np.int64)
+        earlier = int(np.flatnonzero((keys == key).all(axis=0))[0]) if across or rows.column("last")[0].as_py() == 0 else 0
+        sets = sets_of(get("text"), shingler)
+        first: dict[int, int] = {}
+        root = [first.setdefault(r, x) for x, r in enumerate(roots.tolist())] if across else list(range(len(nodes)))
 
         def find(x: int) -> int:
             while root[x] != x:
@@ -195,10 +199,12 @@ def join_blocks(percent: int, k: int):
             return x
 
         xs, ys, score = [], [], []
-        i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
-        for x in np.flatnonzero(block == i).tolist():
-            others = np.flatnonzero(block == j)
-            others = others[others > x] if i == j else others
+        members = np.flatnonzero(~left) if across else np.arange(len(nodes))
+        for x in np.flatnonzero(left).tolist() if across else range(len(nodes)):
+            if across:  # two strays meet twice: the one of the smaller id is left
+                others = members[(roots[members] != roots[x]) & (block[members] != block[x]) & (~stray[members] | (nodes[members] > nodes[x]))]
+            else:
+                others = members[x + 1 :]
             if earlier and len(others):
                 others = others[~(keys[others, :earlier] == keys[x, :earlier]).any(axis=1)]
             alive, matches = survivors(sig[others], sig[x], limits)
@@ -217,13 +223,14 @@ def join_blocks(percent: int, k: int):
     return work
 
 
-def find_links(docs: DataFrame, nodes: DataFrame, percent: int, k: int) -> DataFrame:
-    """Confirmed links (u, v) that connect what all links connect. nodes: node, nd_row, nd_n, nd_bands, nd_sig; docs: doc_id, text."""
+def find_components(docs: DataFrame, nodes: DataFrame, percent: int, k: int, block: int) -> DataFrame:
+    """(node, root) as components() gives it, for the confirmed links. nodes: node, nd_row, nd_n, nd_bands, nd_sig; docs: doc_id, text."""
     spark = docs.sparkSession
     n = partitions(spark)
     by_merge = lambda df: df.hint("merge")  # noqa: E731  one plan at every size
-    flat = nodes.select(F.explode("nd_bands").alias("key"), "node", "nd_n")
-    candidates = materialize(flat.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(bucket_candidates, CANDIDATES))
+    # members in a random order that differs by band, so that blocks of different bands overlap
+    flat = nodes.select(F.explode("nd_bands").alias("key"), "node", "nd_n").repartition(n, "key").sortWithinPartitions("key", F.xxhash64("key", "node"), "node")
+    candidates = materialize(flat.mapInArrow(lambda batches: bucket_candidates(batches, block), CANDIDATES))
     pairs = candidates.where(F.col("b").isNotNull()).select("a", "b").distinct()
     members = candidates.where(F.col("b").isNull()).select("key", F.col("a").alias("node"), "block")
     signed = nodes.select("node", "nd_sig")
@@ -247,16 +254,34 @@ def find_links(docs: DataFrame, nodes: DataFrame, percent: int, k: int) -> DataF
     texts = materialize(wanted.join(by_merge(texts), ["node", "nd_row"]).dropDuplicates(["node"]).select("node", "text"))
     both = pairs.toDF("u", "v").join(by_merge(texts.toDF("u", "text")), "u").join(by_merge(texts.toDF("v", "text_v")), "v")
     links = append_columns(both, confirm_pairs(percent, k), ok, keep=["u", "v"], limit=1 << 20).where("ok").select("u", "v")
-    # larger buckets: every pair of their blocks is a group of 2 * BLOCK members at most
+    # larger buckets: the pairs of each block, then those of different blocks that are not connected by now
     blocks = materialize(members.groupBy("key").agg(F.max("block").alias("last")))
-    own = members.join(blocks, "key").join(nodes.select("node", F.col("nd_sig").alias("sig"), F.col("nd_bands").alias("bands")).hint("merge"), "node").join(by_merge(texts), "node")
-    pair = F.transform(F.sequence(F.lit(0), F.col("last")), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
-    own = own.withColumn("pair", F.explode(pair)).select("key", "pair.i", "pair.j", "node", "block", "sig", "bands", "text")
-    more = own.groupBy("key", "i", "j").applyInArrow(join_blocks(percent, k), "u long, v long")
-    return links.unionByName(more)
-
-
-def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame:
+    members = members.join(blocks, "key")
+    signs = by_merge(nodes.select("node", F.col("nd_sig").alias("sig"), F.col("nd_bands").alias("bands")))
+    no = F.lit(False)
+    own = members.select("*", F.col("node").alias("root"), no.alias("stray"), no.alias("left")).join(signs, "node").join(by_merge(texts), "node")
+    own = own.groupBy("key", "block").applyInArrow(join_members(percent, k, across=False), "u long, v long")
+    roots = materialize(components(links.unionByName(own)))
+    rest = members.where("last > 0").join(by_merge(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sizes = rest.groupBy("key", "root").agg(F.count("*").alias("n"))
+    apart = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
+    rest = rest.join(apart, "key").join(by_merge(nodes.select("node", "nd_n")), "node")
+    rest = materialize(rest.select("key", "node", "block", "last", "root", (F.col("root") != F.col("main")).alias("stray"), "nd_n"))
+    if rest.isEmpty():
+        return roots
+    # strays are those outside their bucket's largest component; only they are compared with the other blocks
+    cuts = F.ceil(F.greatest(F.count("*") / block, F.sum("nd_n") / BLOCK_SHINGLES)).cast("int")
+    rest = rest.join(rest.where("stray").groupBy("key").agg(cuts.alias("cuts")), "key").join(signs, "node").join(by_merge(texts), "node")
+    own_cut = F.pmod(F.xxhash64("node"), "cuts").cast("int")
+    as_stray = F.transform(F.sequence(F.lit(0), "last"), lambda j: F.struct(own_cut.alias("i"), j.alias("j"), F.lit(True).alias("left")))
+    as_other = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda i: F.struct(i.alias("i"), F.col("block").alias("j"), F.lit(False).alias("left")))
+    rest = rest.withColumn("at", F.explode(F.when(F.col("stray"), F.concat(as_stray, as_other)).otherwise(as_other)))
+    rest = rest.select("key", "node", "block", "last", "root", "stray", "at.left", "at.i", "at.j", "sig", "bands", "text")
+    more = rest.groupBy("key", "i", "j").applyInArrow(join_members(percent, k, across=True), "u long, v long")
+    return materialize(components(roots.toDF("u", "v").unionByName(more)))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, block: int = BLOCK) -> DataFrame:
     """One row for each row of docs: doc_id, nd_n (size of its shingle set), nd_component (the least doc_id reachable by links), nd_kept.
 
     Texts are linked if their sets of k-word shingles (A-Z lower-cased; a text of fewer words is one shingle) share at
@@ -265,7 +290,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame
     their own texts.
 
     Equal sets are one node before anything else, so copies cost no pairs. A bucket of many texts that aren't equal is
-    cut into blocks, whose pairs are groups of bounded size; they return a spanning forest, not all pairs.
+    cut into blocks of at most block members, each of which returns a spanning forest, not all pairs. Then those outside
+    the largest component of a bucket are compared with its other blocks, so that no link is missed; what is connected
+    already is neither sent nor compared again.
     """
     base = append_columns(docs.select("doc_id", "text", F.xxhash64("text").alias("nd_row")), sign(percent, k), BASE, keep=["doc_id", "nd_row"], limit=1 << 20)
     base = materialize(base)
@@ -273,7 +300,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame
     first = F.min(F.struct("doc_id", "nd_row"))
     nodes = some.groupBy("nd_set").agg(first.alias("m"), F.first("nd_n").alias("nd_n"), F.first("nd_bands").alias("nd_bands"), F.first("nd_sig").alias("nd_sig"))
     nodes = materialize(nodes.select("nd_set", F.col("m.doc_id").alias("node"), F.col("m.nd_row").alias("nd_row"), "nd_n", "nd_bands", "nd_sig"))
-    roots = materialize(components(find_links(docs.select("doc_id", "text"), nodes, percent, k)))
+    roots = find_components(docs.select("doc_id", "text"), nodes, percent, k, block)
     named = materialize(nodes.select("nd_set", "node").join(roots, "node", "left").select("nd_set", F.coalesce("root", "node").alias("root")))
     out = base.select("doc_id", "nd_n", "nd_set").join(named, "nd_set", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))

@@ -1,5 +1,6 @@
 """Each operator on nulls, empty and long texts, ties, repeated rows, clashing columns and empty tables, against brute force."""
 
+import random
 import re
 from collections import defaultdict
 
@@ -256,3 +257,37 @@ def test_matcher_is_levenshtein():
         for w in map("".join, product("moru", repeat=n)):
             assert (m.find(w) is not None) == (distance(w, "moron") <= 1), w
     assert m.find("stupyd") == ("stupid", 1) and m.find("scam") is None and m.find("stemming") == ("stem*", 0)
+
+
+def test_near_dedup_blocks_of_large_buckets(spark):
+    """Buckets of several blocks, with chains, strays and texts just below the threshold, against brute force."""
+    from tessellex.llm.near_dedup import near_duplicates
+
+    rng = random.Random(5)
+    rows, base = [], [f"w{i}" for i in range(120)]
+    for i in range(260):  # one large group at different distances, some of it out of reach
+        words = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 3, 5])):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+        rows.append((i * 7 % 263, " ".join(words)))
+    words = list(base)
+    for i in range(40):  # a chain that leads away from it
+        words[i * 3] = f"y{i}"
+        rows.append((1000 + i, " ".join(words)))
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=20).collect()
+    sets = {d: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for d, t in rows}
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x in sets:
+        for y in sets:
+            if x < y and 100 * len(sets[x] & sets[y]) >= 85 * len(sets[x] | sets[y]):
+                a, b = find(x), find(y)
+                root[max(a, b)] = min(a, b)
+    want = {d: find(d) for d in sets}
+    assert len(set(want.values())) > 3
+    assert {r["doc_id"]: r["nd_component"] for r in found} == want
