@@ -259,6 +259,13 @@ def test_matcher_is_levenshtein():
     assert m.find("stupyd") == ("stupid", 1) and m.find("scam") is None and m.find("stemming") == ("stem*", 0)
 
 
+@pytest.mark.parametrize(("token", "term"), [("wrothless", "worthless"), ("disgsuting", "disgusting")])
+def test_long_terms_allow_two_edits(token, term):
+    m = toxicity.Matcher(["worthless", "disgusting", "horrible"])
+    assert m.find(token) == (term, 2)
+    assert m.find("hrorible") is None
+
+
 def test_near_dedup_blocks_of_large_buckets(spark):
     """Buckets of several blocks, with chains, strays and texts just below the threshold, against brute force."""
     from tessellex.llm.near_dedup import near_duplicates
