@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessellex.llm.common import materialize, table
 from tessellex.llm.decontaminate import find_items
-from tessellex.llm.language_id import UNKNOWN, fold, identify, learn
+from tessellex.llm.language_id import fold, identify, learn
 from tessellex.llm.line_dedup import dedup_lines
 from tessellex.llm.mixing import mix_sources
 from tessellex.llm.near_dedup import near_duplicates
@@ -33,10 +33,10 @@ def _unpacked(df: DataFrame, like: DataFrame, **new: Column) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: null texts and texts without a letter. A null lang becomes the predicted one."""
+    """Drops null texts and texts without a letter. A null lang becomes the predicted one, and stays null if nothing was learned."""
     model = learn(docs.where(fold(docs, 3) != 1))
-    judged = identify(_packed(docs), model, keep=["doc_id", "text", "cp_rest"]).where(F.col("li_lang") != UNKNOWN)
-    return _unpacked(judged, docs, lang=F.coalesce(F.col("cp_rest.lang"), F.col("li_lang")))
+    judged = identify(_packed(docs), model, keep=["doc_id", "text", "cp_rest"]).where("li_lettered")
+    return _unpacked(judged, docs, lang=F.coalesce(F.col("cp_rest.lang"), F.when(F.col("li_entropy").isNotNull(), F.col("li_lang"))))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

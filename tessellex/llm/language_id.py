@@ -140,9 +140,9 @@ def learn(docs: DataFrame, max_symbols: int = 24_000, max_docs: int = 200, max_c
 
 
 def identify(docs: DataFrame, model: dict, keep: list[str] | None = None) -> DataFrame:
-    """docs' columns keep (doc_id where None), then li_lang, li_score (0 to 1) and li_entropy (bits a symbol; null for und).
+    """docs' columns keep (doc_id where None), then li_lang, li_score (0 to 1), li_entropy (bits a symbol; null for und) and li_lettered.
 
-    li_lang is `und` where the text is null or has no letter, or nothing was learned. Ties go to the first language by
+    li_lang is `und` where the text is null or has no letter (li_lettered is false), or nothing was learned. Ties go to the first language by
     code points. li_score is 1 - least / second least entropy: 0 where two languages explain the text alike. Every
     symbol of a text is parsed. Rows are judged each for itself: no shuffle, and nothing depends on other columns.
     """
@@ -156,7 +156,7 @@ def identify(docs: DataFrame, model: dict, keep: list[str] | None = None) -> Dat
         def work(batch: pa.RecordBatch) -> dict:
             codes, (first, last), lettered = symbols_of(batch.column("text").to_pylist(), to)
             if not langs:
-                return {"li_lang": [UNKNOWN] * len(first), "li_score": np.zeros(len(first)), "li_entropy": [None] * len(first)}
+                return {"li_lang": [UNKNOWN] * len(first), "li_score": np.zeros(len(first)), "li_entropy": [None] * len(first), "li_lettered": lettered.tolist()}
             n = np.maximum(last - first, 1)
             h = np.stack([phrases(codes, first, last, step, m["width"]) * bits / n for _, bits, step in m["models"]])
             best = h.argmin(axis=0)
@@ -166,11 +166,12 @@ def identify(docs: DataFrame, model: dict, keep: list[str] | None = None) -> Dat
                 "li_lang": [langs[b] if x else UNKNOWN for b, x in zip(best.tolist(), lettered.tolist(), strict=True)],
                 "li_score": np.where(lettered, np.clip(score, 0, 1), 0.0),
                 "li_entropy": [e if x else None for e, x in zip(low[0].tolist(), lettered.tolist(), strict=True)],
+                "li_lettered": lettered.tolist(),
             }
 
         return work
 
-    fields = [T.StructField("li_lang", T.StringType()), T.StructField("li_score", T.DoubleType()), T.StructField("li_entropy", T.DoubleType())]
+    fields = [T.StructField("li_lang", T.StringType()), T.StructField("li_score", T.DoubleType()), T.StructField("li_entropy", T.DoubleType()), T.StructField("li_lettered", T.BooleanType())]
     return append_columns(docs.select(*dict.fromkeys([*keep, "text"])), make, fields, keep=keep, limit=4 << 20)
 
 

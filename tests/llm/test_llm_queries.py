@@ -41,3 +41,12 @@ def test_held_out_accuracy(spark, name, label, least):
     truth = spark.read.parquet(f"{sf}/{table}.parquet").select("doc_id", label).toPandas()
     both = got.merge(truth, on="doc_id")
     assert (both["lang_pred" if label == "lang" else "predicted"] == both[label]).mean() >= least
+
+
+@pytest.mark.parametrize("labelled", [False, True])
+def test_language_stage_keeps_lettered_texts_when_nothing_is_learned(spark, labelled):
+    """lang null throughout, and labels on rows of a null doc_id only."""
+    rows = [(i, "some words of a text", None) for i in range(9)] + [(20, "12 !", None), (21, None, None), (22, "", None), (None, "more words", "en" if labelled else None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = corpus_pipeline.language_stage(spark, docs, "")
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, (r for r in rows if r[1] and r[1] != "12 !")))
