@@ -43,6 +43,7 @@ class Matcher:
     def __init__(self, terms: list[str]) -> None:
         self.step: list[dict[str, int]] = [{}]
         self.term: list[str | None] = [None]
+        self.stem: dict[int, str] = {}  # apart from the words, of which one may be the same letters
         self.most = [0]
         for t in terms:
             node, path = 0, [0]
@@ -54,7 +55,10 @@ class Matcher:
                     self.most.append(0)
                 node = self.step[node][c]
                 path.append(node)
-            self.term[node] = t
+            if t.endswith(STEM):
+                self.stem[node] = t
+            else:
+                self.term[node] = t
             for p in path:
                 self.most[p] = max(self.most[p], allowed(t))
         self.letters = {c: c for t in terms for c in t}  # all others move alike
@@ -85,7 +89,7 @@ class Matcher:
             self.moves.append({})
             found = [(e, self.term[n]) for n, e in s if self.term[n] is not None and e <= allowed(self.term[n])]
             self.ends.append((min(found)[1], min(found)[0]) if found else None)
-            self.stems.append(next((t for _, t in sorted(found) if t.endswith(STEM)), None))
+            self.stems.append(min((self.stem[n] for n, e in s if n in self.stem and e == 0), default=None))
         return self.states[s]
 
     def _move(self, state: int, c: str) -> int:
@@ -210,11 +214,14 @@ def least_shingle():
 
 
 def choose(found: list[tuple[str, int]]) -> list[str]:
-    """Of forms and their toxic counts: no form that begins with a chosen stem, no stem that a chosen longer form all but equals."""
+    """Of forms and their toxic counts: no stem that begins with a chosen one or that a chosen longer form all but equals.
+
+    Words stay beside the stems they begin with, since only words are found with edits.
+    """
     out: list[tuple[str, int]] = []
     for form, t in sorted(found, key=lambda x: (-x[1], x[0].endswith(STEM), -len(x[0]), x[0])):
         bare = form.removesuffix(STEM)
-        if not any(o.endswith(STEM) and bare.startswith(o[:-1]) or form.endswith(STEM) and o.removesuffix(STEM).startswith(bare) and n >= 0.95 * t for o, n in out):
+        if not (form.endswith(STEM) and any(o.endswith(STEM) and bare.startswith(o[:-1]) or o.removesuffix(STEM).startswith(bare) and n >= 0.95 * t for o, n in out)):
             out.append((form, t))
     return [o for o, _ in out]
 

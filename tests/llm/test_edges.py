@@ -266,6 +266,27 @@ def test_long_terms_allow_two_edits(token, term):
     assert m.find("hrorible") is None
 
 
+def test_words_keep_their_edits_beside_a_stem():
+    for stem in ("idio*", "idiot*"):
+        terms = toxicity.choose([(stem, 12), ("idiot", 11), ("idiots", 2), ("idiotic*", 2)])
+        assert sorted(terms) == sorted([stem, "idiot", "idiots"])
+        for order in (terms, terms[::-1]):
+            m = toxicity.Matcher(order)
+            assert m.find("ideot") == m.find("idot") == ("idiot", 1)
+            assert m.find("idiotz") == (stem, 0) and m.find("idea") is None
+
+
+def test_misspelled_words_of_a_stem_are_hits(spark):
+    """A toxic document more has an inflected form, so that a stem comes before the word."""
+    own = lambda i: " ".join(f" own{i * k}" for k in range(2, 20))
+    insult = lambda i: "idiots" if i == 400 else "idiot"
+    d = spark.createDataFrame([(i, f"you are a {insult(i) if i % 5 == 0 else 'nice person'} today {own(i)}") for i in range(1, 401)], "doc_id long, text string")
+    model = toxicity.learn(d, d.select("doc_id", (F.col("doc_id") % 5 == 0).cast("int").alias("toxic")))
+    assert "idiot" in model["terms"] and any(t.endswith("*") and "idiots".startswith(t[:-1]) for t in model["terms"])
+    test = spark.createDataFrame([(1, "you ideot"), (2, "you idot"), (3, "you idiots"), (4, "you there")], "doc_id long, text string")
+    assert {r.doc_id: [h.edits for h in r.tx_hits] for r in toxicity.score_toxicity(test, model).collect()} == {1: [1], 2: [1], 3: [0], 4: []}
+
+
 def test_near_dedup_blocks_of_large_buckets(spark):
     """Buckets of several blocks, with chains, strays and texts just below the threshold, against brute force."""
     from tessellex.llm.near_dedup import near_duplicates
