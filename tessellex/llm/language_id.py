@@ -109,16 +109,19 @@ def phrases(codes: np.ndarray, first: np.ndarray, last: np.ndarray, step: np.nda
 def learn(docs: DataFrame, max_symbols: int = 24_000, max_docs: int = 200, max_chars: int = 20_000, seed: int = 11) -> dict:
     """The automata of the languages in docs (text, lang, doc_id): about max_docs documents each at most, chosen by a hash of doc_id.
 
-    Of these, whole texts of max_chars at most, in the order of the hash, until there are max_symbols; this bounds what
-    comes to the driver and goes to each executor: languages * 2 * max_symbols * letters * 4 bytes.
+    Of these, whole texts of max_chars at most, in the order of the hash, until there are max_symbols; of a language that
+    has no such text with a letter, the first max_chars of its longer ones. This bounds what comes to the driver and goes to each executor: languages * 2 * max_symbols * letters * 4 bytes.
     """
-    docs = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.char_length("text") <= max_chars))
-    counts = {r.lang: r["count"] for r in docs.groupBy("lang").count().collect()}  # a row a language
+    docs = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    short = F.char_length("text") <= max_chars
+    found = docs.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(short).alias("short"), F.count_if(short & F.col("text").rlike(r"\p{L}")).alias("lettered")).collect()  # a row a language
+    counts = {r.lang: r.short if r.lettered else r.n for r in found}
+    docs = docs.where(short | F.col("lang").isin([r.lang for r in found if not r.lettered]))
     h = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 30))
     limit = F.lit(0)
     for lang, n in counts.items():
         limit = F.when(F.col("lang") == lang, F.lit(int(min(1.0, max_docs / n) * (1 << 30)))).otherwise(limit)
-    rows = docs.where(h < limit).select("lang", "text", h.alias("h")).collect() if counts else []
+    rows = docs.where(h < limit).select("lang", F.substring("text", 1, max_chars).alias("text"), h.alias("h")).collect() if counts else []
     texts: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r.lang, r.h, r.text)):
         texts.setdefault(r.lang, []).append(r.text)

@@ -167,6 +167,13 @@ def test_language_id(spark, docs, none):
     assert language_id.identify(none, model).count() == 0
 
 
+def test_language_of_long_documents_only(spark):
+    rows = [(i, "the cat and the dog sat on the mat " * 30, "aa") for i in range(20)] + [(i, "der hund und die katze sind auf dem dach " * 600, "bb") for i in range(20, 23)] + [(30, "", "bb")]
+    model = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    test = spark.createDataFrame([(1, "the cat sat"), (2, "die katze")], "doc_id long, text string")
+    assert {r.doc_id: r.li_lang for r in language_id.identify(test, model).collect()} == {1: "aa", 2: "bb"}
+
+
 def test_automaton_finds_longest_matches():
     import numpy as np
 
