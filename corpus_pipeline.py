@@ -47,9 +47,9 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates: the one with the smallest doc_id."""
-    judged = near_duplicates(docs.select("doc_id", "text"), percent=NEAR_PERCENT)
-    gone = judged.where(~F.col("nd_kept")).select(F.col("doc_id").alias("cp_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["cp_gone"], "left_anti")
+    judged = near_duplicates(docs.select("doc_id", "text"), percent=NEAR_PERCENT, keep_row=True)
+    gone = judged.where(~F.col("nd_kept")).select(F.col("doc_id").alias("cp_gone"), F.col("nd_row").alias("cp_row")).distinct()
+    return docs.join(gone, (docs["doc_id"] == gone["cp_gone"]) & (F.xxhash64(docs["text"]) == gone["cp_row"]), "left_anti")
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -281,13 +281,13 @@ def find_components(docs: DataFrame, nodes: DataFrame, percent: int, k: int, blo
     return materialize(components(roots.toDF("u", "v").unionByName(more)))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, block: int = BLOCK, keep_row: bool = False) -> DataFrame:
     """One row for each row of docs: doc_id, nd_n (size of its shingle set), nd_component (the least doc_id reachable by links), nd_kept.
 
     Texts are linked if their sets of k-word shingles (A-Z lower-cased; a text of fewer words is one shingle) share at
     least percent of their union. Null and empty texts and those without words are linked with nothing. Rows with a
     null doc_id are linked with nothing, too, have a null component and are kept. Rows that repeat a doc_id are judged by
-    their own texts.
+    their own texts; with keep_row, nd_row (xxhash64 of the text) tells them apart.
 
     Equal sets are one node before anything else, so copies cost no pairs. A bucket of many texts that aren't equal is
     cut into blocks of at most block members, each of which returns a spanning forest, not all pairs. Then those outside
@@ -302,9 +302,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, block: int =
     nodes = materialize(nodes.select("nd_set", F.col("m.doc_id").alias("node"), F.col("m.nd_row").alias("nd_row"), "nd_n", "nd_bands", "nd_sig"))
     roots = find_components(docs.select("doc_id", "text"), nodes, percent, k, block)
     named = materialize(nodes.select("nd_set", "node").join(roots, "node", "left").select("nd_set", F.coalesce("root", "node").alias("root")))
-    out = base.select("doc_id", "nd_n", "nd_set").join(named, "nd_set", "left")
+    row = ["nd_row"] if keep_row else []
+    out = base.select("doc_id", *row, "nd_n", "nd_set").join(named, "nd_set", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
-    return out.select("doc_id", "nd_n", component.alias("nd_component"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("nd_kept"))
+    return out.select("doc_id", *row, "nd_n", component.alias("nd_component"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("nd_kept"))
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,3 +50,9 @@ def test_language_stage_keeps_lettered_texts_when_nothing_is_learned(spark, labe
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = corpus_pipeline.language_stage(spark, docs, "")
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, (r for r in rows if r[1] and r[1] != "12 !")))
+
+
+def test_near_stage_keeps_the_unique_text_of_a_repeated_doc_id(spark):
+    copy, own = (" ".join(f"{w}{i}" for i in range(30)) for w in ("copy", "own"))
+    docs = spark.createDataFrame([(1, copy), (5, copy), (5, own), (6, copy)], "doc_id long, text string")
+    assert sorted(map(tuple, corpus_pipeline.near_stage(spark, docs, "").collect())) == [(1, copy), (5, own)]
