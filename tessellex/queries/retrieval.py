@@ -211,4 +211,4 @@ def q_dense_vs_sparse(spark, sf_dir):
 def q_bootstrap_mrr(spark, sf_dir):
     """Percentile interval of the reciprocal rank by NumPy's generator, one group of one value a query."""
     r = ranks(spark, sf_dir).select(F.lit("tok").alias("condition"), "qid", F.when(F.col("rank") <= 10, 1 / F.col("rank")).otherwise(0.0).alias("rr"))
-    return st.bootstrap(r, ["condition"], "rr", "qid", n_boot=2000)
+    return st.bootstrap(r, ["condition"], "rr", "qid")
