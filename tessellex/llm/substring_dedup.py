@@ -8,6 +8,7 @@ hashes by binary search, a mergesort compares with them, and neighbours that see
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,14 +21,23 @@ from pyspark.sql import types as T
 from .common import NO_ID, Bytes, Powers, append_columns, chunks, mix, partitions, table
 
 LENGTH, K = 50, 8
-SPAN = LENGTH - K + 1
 #: Bytes of text of a map step, and of a block; the windows of a block travel as about 3.3 times as many bytes.
 STEP = BLOCK = 3 << 19
 #: Steps of a task whose segments for a bucket share a blob: larger blobs compress better.
 JOINED = 12
+#: Buckets among which one round deals. More of them take more rounds, so that blobs stay large at any size of the input.
+FAN = 4096
 PLACE = np.uint64((1 << 24) - 1)
 
 
+def rounds(blocks: int, fan: int) -> list[int]:
+    """How many ways each round deals, so that there are blocks buckets or more in the end."""
+    n = 1
+    while fan**n < blocks:
+        n += 1
+    return [max(1, math.ceil(blocks ** (1 / n)))] * n
+
+
 def ngrams(data: np.ndarray) -> np.ndarray:
     """The 8 bytes from each position as one integer, the first byte highest; past the end come zeros."""
     padded = np.concatenate((data, np.zeros(16, np.uint8)))
@@ -44,19 +54,25 @@ def gather(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return data[np.repeat(first - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-def segments(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, size, key) of the runs of windows that share their least K-gram, in the texts data[first[i]:last[i]], fewer than 2**24 bytes in all."""
+def segments(data: np.ndarray, first: np.ndarray, last: np.ndarray, grams: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, size, key) of the runs of windows that share their least gram, in the texts data[first[i]:last[i]], fewer than 2**24 bytes in all.
+
+    A gram is K bytes, or a multiple of that: longer ones deal out what holds a frequent short one.
+    """
+    span = LENGTH - K * grams + 1
     n = len(data) - LENGTH + 1
     if n <= 0:
         none = np.zeros(0, np.int64)
         return none, none, none.astype(np.uint64)
-    h = mix(ngrams(data))
-    value = np.full(-(-len(data) // SPAN) * SPAN, ~np.uint64(0))
+    h = part = mix(ngrams(data))
+    for g in range(1, grams):
+        h = mix(h * np.uint64(0xC2B2AE3D27D4EB4F) + np.concatenate((part[K * g :], np.zeros(min(K * g, len(part)), np.uint64))))
+    value = np.full(-(-len(data) // span) * span, ~np.uint64(0))
     value[: len(data)] = h & ~PLACE | np.arange(len(data), dtype=np.uint64)
-    rows = value.reshape(-1, SPAN)
+    rows = value.reshape(-1, span)
     before = np.minimum.accumulate(rows, axis=1).ravel()
     after = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-    anchor = (np.minimum(after[:n], before[SPAN - 1 : SPAN - 1 + n]) & PLACE).astype(np.int64)
+    anchor = (np.minimum(after[:n], before[span - 1 : span - 1 + n]) & PLACE).astype(np.int64)
     mark = np.zeros(len(data) + 1, np.int8)
     long = last - first >= LENGTH
     np.add.at(mark, first[long], 1)
@@ -144,53 +160,45 @@ def unpack(blob: bytes, kinds: list[type]) -> list[np.ndarray]:
     return out
 
 
-SEGMENTS = [np.uint8, np.uint8, np.int32, np.int64, np.uint16, np.int64]  # bytes, sizes; of entries: segment and id (both as differences), row, start
-SPANS = [np.int64, np.uint16, np.int64, np.int64]  # id, row, start, end
-PACKED = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("blob", T.BinaryType())])
+SEGMENTS = [np.uint8, np.uint8, np.int32, np.int64, np.int64, np.int64]  # bytes, sizes; of entries: segment and id (both as differences), row, start
+SPANS = [np.int64, np.int64, np.int64, np.int64]  # id, row, start, end
+PACKED = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("blob", T.BinaryType())])
 
 
-def pack_segments(buckets: int):
-    """For mapInArrow over (sd_id, sd_row, text): blobs of segments for each bucket, and of spans that are decided here.
+class Packer:
+    """Blobs of segments for each bucket, and of spans that are decided here.
 
     Of equal segments of a step, the document with the least id sends one copy; those of larger ids are repeats already.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
-        held: dict[int, list[list[np.ndarray]]] = {}
-        late: list[list[np.ndarray]] = []
-        done = 0
-        for batch in chunks(batches, limit=STEP):
-            ids, rows = np.array(batch.column(0).to_pylist(), np.int64), np.array(batch.column(1).to_pylist(), np.uint16)
-            b = Bytes(batch.column(2))
-            if len(b.data) <= 4 * STEP:
-                pieces = [(b.data, b.starts, b.ends, np.zeros(len(ids), np.int64))]
-            else:  # one long text: pieces that overlap by a window less a byte
-                text = b.data[: int(b.ends[0])]
-                pieces = ((p := text[at : at + STEP + LENGTH - 1], np.zeros(1, np.int64), np.array([len(p)]), np.array([at])) for at in range(0, len(text) - LENGTH + 1, STEP))
-            for data, first, last, base in pieces:
-                step(data, first, last, ids, rows, base, powers, held, late)
-                done += 1
-                if done % JOINED == 0:
-                    yield flushed(held, late)
-        if held or late:
-            yield flushed(held, late)
-
-    def flushed(held, late) -> pa.RecordBatch:
+    def __init__(self, fan: int, grams: int) -> None:
+        self.fan, self.grams, self.powers = fan, grams, Powers()
+        self.held: dict[int, list[list[np.ndarray]]] = {}
+        self.late: list[list[np.ndarray]] = []
+        self.done = 0
+
+    def flushed(self) -> pa.RecordBatch:
         out = []
-        if late:
-            out.append((int(late[0][0][0] % buckets), 1, pack([np.concatenate([x[i] for x in late]) for i in range(4)])))
-        for bucket, parts in sorted(held.items()):
+        if self.late:
+            out.append((int(self.late[0][0][0] % self.fan), 1, pack([np.concatenate([x[i] for x in self.late]) for i in range(4)])))
+        for bucket, parts in sorted(self.held.items()):
             shift = np.cumsum([0] + [len(x[1]) for x in parts])
             number = np.concatenate([x[2] + n for x, n in zip(parts, shift, strict=False)])
             data, size, ids, rows, start = (np.concatenate([x[i] for x in parts]) for i in (0, 1, 3, 4, 5))
             out.append((bucket, 0, pack([data, size, steps(number.astype(np.int32)), steps(ids), rows, start])))
-        held.clear()
-        late.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[]] * 3, (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "kind", "blob"])
-
-    def step(data, first, last, ids, rows, base, powers, held, late) -> None:
-        start, size, key = segments(data, first, last)
+        self.held.clear()
+        self.late.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[]] * 3, (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "kind", "blob"])
+
+    def step(self, data: np.ndarray, first: np.ndarray, last: np.ndarray, ids: np.ndarray, rows: np.ndarray, base: np.ndarray, within: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Takes the texts data[first[i]:last[i]] of (ids[i], rows[i]), which start at base[i] there; within are their buckets of the round before."""
+        self._take(data, first, last, ids, rows, base, within)
+        self.done += 1
+        if self.done % JOINED == 0:
+            yield self.flushed()
+
+    def _take(self, data, first, last, ids, rows, base, within) -> None:
+        start, size, key = segments(data, first, last, self.grams)
         if not len(start):
             return
         text = np.searchsorted(first, start, side="right") - 1
@@ -198,15 +206,15 @@ def pack_segments(buckets: int):
         if (owner[1:] < owner[:-1]).any():
             order = np.argsort(owner, kind="stable")  # so that the first of equal segments has the least id
             start, size, key, text, owner = (x[order] for x in (start, size, key, text, owner))
-        head = classes(data, start, size, Hashes(data, powers).of(start, size))
+        head = classes(data, start, size, Hashes(data, self.powers).of(start, size))
         where = base[text] + start - first[text]
         later = owner > owner[head]
         if later.any():
             t = text[later]
-            late.append([ids[t], rows[t], where[later], where[later] + size[later]])
-        bucket = (((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+            self.late.append([ids[t], rows[t], where[later], where[later] + size[later]])
+        bucket = within[text] * self.fan + (((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(self.fan)).astype(np.int64)
         stay = np.flatnonzero(~later)
-        stay = stay[np.argsort(bucket[stay] * len(start) + head[stay], kind="stable")]
+        stay = stay[np.lexsort((head[stay], bucket[stay]))]
         new = np.concatenate(([True], head[stay][1:] != head[stay][:-1]))
         distinct, number = head[stay][new], np.cumsum(new) - 1
         sent, length = gather(data, start[distinct], size[distinct]), size[distinct]
@@ -216,11 +224,72 @@ def pack_segments(buckets: int):
         length, who, row, at = length.astype(np.uint8), ids[text[stay]], rows[text[stay]], where[stay]
         for a, z, k in zip(cuts[:-1].tolist(), cuts[1:].tolist(), b[cuts[:-1]].tolist(), strict=True):
             lo, hi = int(number[a]), int(number[z - 1]) + 1
-            held.setdefault(k, []).append([sent[ends[lo] : ends[hi]], length[lo:hi], number[a:z] - lo, who[a:z], row[a:z], at[a:z]])
+            self.held.setdefault(k, []).append([sent[ends[lo] : ends[hi]], length[lo:hi], number[a:z] - lo, who[a:z], row[a:z], at[a:z]])
+
+
+def pack_segments(fan: int):
+    """For mapInArrow over (sd_id, sd_row, text): the first round."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = Packer(fan, 1)
+        for batch in chunks(batches, limit=STEP):
+            ids, rows = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            b = Bytes(batch.column(2))
+            if len(b.data) <= 4 * STEP:
+                pieces = [(b.data, b.starts, b.ends, np.zeros(len(ids), np.int64))]
+            else:  # one long text: pieces that overlap by a window less a byte
+                text = b.data[: int(b.ends[0])]
+                pieces = ((p := text[at : at + STEP + LENGTH - 1], np.zeros(1, np.int64), np.array([len(p)]), np.array([at])) for at in range(0, len(text) - LENGTH + 1, STEP))
+            for data, first, last, base in pieces:
+                yield from packer.step(data, first, last, ids, rows, base, np.zeros(len(ids), np.int64))
+        yield packer.flushed()
 
     return run
 
 
+def deal_again(fan: int, grams: int):
+    """For mapInArrow over PACKED, blobs of one bucket together: a later round, in which the segments of a bucket are cut and dealt by longer grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, held, size = Packer(fan, grams), [], 0
+        for batch in batches:
+            spans = np.array(batch.column(1).to_pylist(), np.int64) == 1
+            if spans.any():
+                yield pa.RecordBatch.from_arrays([c.filter(pa.array(spans)) for c in batch.columns], names=["bucket", "kind", "blob"])
+            for i in np.flatnonzero(~spans).tolist():
+                held.append((batch.column(0)[i].as_py(), *unpack(batch.column(2)[i].as_py(), SEGMENTS)))
+                size += len(held[-1][1])
+                if size > STEP:
+                    for part in entries(held):
+                        yield from packer.step(*part)
+                    held, size = [], 0
+        for part in entries(held):
+            yield from packer.step(*part)
+        yield packer.flushed()
+
+    return run
+
+
+def entries(held: list[tuple]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Unpacked blobs as arguments of Packer.step, about STEP bytes at a time: each entry is a text."""
+    if not held:
+        return
+    size = np.concatenate([h[2] for h in held]).astype(np.int64)
+    shift = np.cumsum([0] + [len(h[2]) for h in held])
+    segment = np.concatenate([np.cumsum(h[3], dtype=np.int64) + s for h, s in zip(held, shift, strict=False)])
+    data, begin = np.concatenate([h[1] for h in held]), np.cumsum(size) - size
+    ids = np.concatenate([np.cumsum(h[4]) for h in held])
+    rows, start = (np.concatenate([h[i] for h in held]) for i in (5, 6))
+    within = np.repeat([h[0] for h in held], [len(h[3]) for h in held])
+    ends, at = np.cumsum(size[segment]), 0
+    while at < len(segment):
+        stop = max(at + 1, int(np.searchsorted(ends, ends[at] + STEP)))
+        own, n = segment[at:stop], size[segment[at:stop]]
+        first = np.cumsum(n) - n
+        yield gather(data, begin[own], n), first, first + n, ids[at:stop], rows[at:stop], start[at:stop], within[at:stop]
+        at = stop
+
+
 # --- sorting a block ------------------------------------------------------------------------------
 
 
@@ -352,22 +421,32 @@ def squeeze(rows: pa.RecordBatch) -> dict:
     return {"sd_text": [None if t is None else zstandard.compress(t.encode(), 3) for t in rows.column(rows.schema.get_field_index("text")).to_pylist()]}
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, block: int = BLOCK, fan: int = FAN) -> DataFrame:
     """doc_id, sd_n_bytes, sd_spans (merged, in bytes of the UTF-8 text) and sd_kept (the bytes that stay), for each row of docs.
 
     A byte goes if a string of LENGTH bytes that covers it also starts in a document with a smaller doc_id, all judged
     on the input. Null texts are empty. A null doc_id counts as the largest one; rows with one doc_id don't count as
     repeats of each other. Texts of fewer than LENGTH bytes stay.
 
-    The windows are shuffled once, packed, in buckets whose number follows the input, and the texts once, compressed
-    each for itself, to their spans. Strings that a third of all documents hold are sent once a step.
+    The windows are shuffled packed, in buckets whose number follows the input, and the texts once, compressed each for
+    itself, to their spans. Up to FAN buckets the windows are shuffled once; beyond, each round of shuffles deals a bucket
+    FAN ways at most, by longer grams, which takes apart what a frequent short gram has brought together. Strings that a
+    third of all documents hold are sent once a step and round. A very long text is read in pieces that overlap. An
+    empty table gives no rows; other columns than doc_id and text are not looked at.
+
+    Rows that repeat a doc_id, and rows of null doc_ids, are told apart by 64 bits of a text hash.
     """
     spark = docs.sparkSession
-    base = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("sd_id"), F.pmod(F.xxhash64("text"), F.lit(1 << 16)).alias("sd_row"), "doc_id", "text")
+    ids = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n"))
+    hashed = F.lit(True) if not ids.where("n > 1").isEmpty() else F.col("doc_id").isNull()  # where all ids differ, they need no hash beside them
+    row = F.when(hashed, F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
+    base = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("sd_id"), row.alias("sd_row"), "doc_id", "text")
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0]
     n = partitions(spark)
-    buckets = max(n, min(-(-total // BLOCK), 64 * n))
-    packed = base.where(F.col("text").isNotNull()).select("sd_id", "sd_row", "text").mapInArrow(pack_segments(buckets), PACKED)
+    first, *later = rounds(max(n, -(-total // block)), fan)
+    packed = base.where(F.col("text").isNotNull()).select("sd_id", "sd_row", "text").mapInArrow(pack_segments(first), PACKED)
+    for i, f in enumerate(later):
+        packed = packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(deal_again(f, min(i + 2, 4)), PACKED)
     spans = packed.groupBy("bucket").applyInArrow(repeats_of_block, "sd_id long, sd_row long, sd_start long, sd_end long")
     spans = spans.groupBy("sd_id", "sd_row").agg(F.collect_list(F.struct("sd_start", "sd_end")).alias("sd_found"))
     texts = append_columns(base, lambda: squeeze, [T.StructField("sd_text", T.BinaryType())], keep=["sd_id", "sd_row", "doc_id"])
