@@ -224,7 +224,7 @@ def join_members(percent: int, k: int, across: bool):
 
 
 def find_components(docs: DataFrame, nodes: DataFrame, percent: int, k: int, block: int) -> DataFrame:
-    """(node, root) as components() gives it, for the confirmed links. nodes: node, nd_row, nd_n, nd_bands, nd_sig; docs: doc_id, text."""
+    """(node, root) as components() gives it, for the confirmed links. docs: doc_id, text; nodes: node, nd_doc and nd_row (of a row that has its set), nd_n, nd_bands, nd_sig."""
     spark = docs.sparkSession
     n = partitions(spark)
     by_merge = lambda df: df.hint("merge")  # noqa: E731  one plan at every size
@@ -249,9 +249,9 @@ def find_components(docs: DataFrame, nodes: DataFrame, percent: int, k: int, blo
     ok = [T.StructField("ok", T.BooleanType())]
     pairs = materialize(append_columns(pairs.withColumn("text", F.lit("")), alive, ok, keep=["a", "b"]).where("ok").select("a", "b"))
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(members.select("node")).distinct()
-    wanted = materialize(wanted.join(by_merge(nodes.select("node", "nd_row")), "node"))
-    texts = docs.select(F.col("doc_id").alias("node"), "text").withColumn("nd_row", F.xxhash64("text"))
-    texts = materialize(wanted.join(by_merge(texts), ["node", "nd_row"]).dropDuplicates(["node"]).select("node", "text"))
+    wanted = materialize(wanted.join(by_merge(nodes.select("node", "nd_doc", "nd_row")), "node"))
+    texts = docs.select(F.col("doc_id").alias("nd_doc"), "text").withColumn("nd_row", F.xxhash64("text"))
+    texts = materialize(wanted.join(by_merge(texts), ["nd_doc", "nd_row"]).dropDuplicates(["node"]).select("node", "text"))  # repeated rows are alike
     both = pairs.toDF("u", "v").join(by_merge(texts.toDF("u", "text")), "u").join(by_merge(texts.toDF("v", "text_v")), "v")
     links = append_columns(both, confirm_pairs(percent, k), ok, keep=["u", "v"], limit=1 << 20).where("ok").select("u", "v")
     # larger buckets: the pairs of each block, then those of different blocks that are not connected by now
@@ -287,7 +287,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, block: int =
     Texts are linked if their sets of k-word shingles (A-Z lower-cased; a text of fewer words is one shingle) share at
     least percent of their union. Null and empty texts and those without words are linked with nothing. Rows with a
     null doc_id are linked with nothing, too, have a null component and are kept. Rows that repeat a doc_id are judged by
-    their own texts; with keep_row, nd_row (xxhash64 of the text) tells them apart.
+    their own texts: each set of shingles is a node of its own, and doc_ids only name components. Very long texts are
+    hashed whole, about 50 bytes of memory for each of theirs. An empty table gives no rows.
+
+    nd_kept holds for the rows whose doc_id names their component. With keep_row there are nd_row (xxhash64 of the text)
+    and nd_first, which holds for the rows of one (doc_id, text) of each component only, and for rows linked with nothing.
 
     Equal sets are one node before anything else, so copies cost no pairs. A bucket of many texts that aren't equal is
     cut into blocks of at most block members, each of which returns a spanning forest, not all pairs. Then those outside
@@ -299,12 +303,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, block: int =
     some = base.where(F.col("nd_set").isNotNull() & F.col("doc_id").isNotNull())
     first = F.min(F.struct("doc_id", "nd_row"))
     nodes = some.groupBy("nd_set").agg(first.alias("m"), F.first("nd_n").alias("nd_n"), F.first("nd_bands").alias("nd_bands"), F.first("nd_sig").alias("nd_sig"))
-    nodes = materialize(nodes.select("nd_set", F.col("m.doc_id").alias("node"), F.col("m.nd_row").alias("nd_row"), "nd_n", "nd_bands", "nd_sig"))
+    # the numbers are unique in what is written, whatever a task that is run again had given
+    nodes = materialize(nodes.select(F.monotonically_increasing_id().alias("node"), "nd_set", F.col("m.doc_id").alias("nd_doc"), F.col("m.nd_row").alias("nd_row"), "nd_n", "nd_bands", "nd_sig"))
     roots = find_components(docs.select("doc_id", "text"), nodes, percent, k, block)
-    named = materialize(nodes.select("nd_set", "node").join(roots, "node", "left").select("nd_set", F.coalesce("root", "node").alias("root")))
-    row = ["nd_row"] if keep_row else []
-    out = base.select("doc_id", *row, "nd_n", "nd_set").join(named, "nd_set", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
+    rooted = materialize(nodes.select("nd_set", "node", "nd_doc", "nd_row").join(roots, "node", "left").select("nd_set", F.coalesce("root", "node").alias("root"), "nd_doc", "nd_row"))
+    names = rooted.groupBy("root").agg(F.min(F.struct("nd_doc", "nd_row")).alias("nd_name"))
+    named = materialize(rooted.join(names, "root").select("nd_set", "nd_name"))
+    out = base.select("doc_id", "nd_row", "nd_n", "nd_set").join(named, "nd_set", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("nd_name.nd_doc", "doc_id"))
+    is_first = F.col("doc_id").isNull() | F.col("nd_name").isNull() | (F.struct(F.col("doc_id").alias("nd_doc"), "nd_row") == F.col("nd_name"))
+    row = ["nd_row", is_first.alias("nd_first")] if keep_row else []
     return out.select("doc_id", *row, "nd_n", component.alias("nd_component"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("nd_kept"))
 
 

@@ -76,7 +76,9 @@ def test_decontaminate(spark, docs, rows, none, block_bytes):
     assert decontaminate.find_items(none, b).count() == 0
 
 
-def test_near_dedup(docs, rows, none):
+def near_groups(rows):
+    """(doc_id, shingles, component, kept) by brute force."""
+
     def shingles(t):
         w = words(t)
         return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
@@ -95,10 +97,24 @@ def test_near_dedup(docs, rows, none):
     for a, (i, _) in enumerate(rows):
         c = None if i is None else min(rows[b][0] for b in range(len(rows)) if find(b) == find(a))
         want.append((i, len(sets[a]), c, i is None or c == i))
-    assert bag(map(tuple, near_dedup.near_duplicates(docs).collect())) == bag(want)
+    return want
+
+
+def test_near_dedup(docs, rows, none):
+    assert bag(tuple(r) for r in near_dedup.near_duplicates(docs).collect()) == bag(near_groups(rows))
     assert near_dedup.near_duplicates(none).count() == 0
 
 
+def test_near_dedup_of_repeated_ids(spark):
+    """Each text of a doc_id keeps its links: 1 has two texts, of which 2 is near to one and 3 to the other."""
+    a, b = (" ".join(f"{w}{i}" for i in range(80)) for w in "ab")
+    rows = [(1, a), (1, b), (2, a.replace("a79", "x")), (3, b.replace("b79", "x")), (4, "own words of a text here"), (4, "own words of a text here"), (4, b.replace("b0 ", "y "))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert bag(map(tuple, near_dedup.near_duplicates(d).collect())) == bag(near_groups(rows))
+    first = {(r.doc_id, r.nd_first) for r in near_dedup.near_duplicates(d, keep_row=True).collect()}
+    assert first == {(1, True), (2, False), (3, False), (4, True), (4, False)}
+
+
 def test_near_dedup_of_a_large_bucket(spark):
     """More near copies than a small bucket holds, so that blocks join them."""
     base = [f"t{i}" for i in range(400)]
@@ -108,7 +124,8 @@ def test_near_dedup_of_a_large_bucket(spark):
     assert sum(r.nd_kept for r in got) == 1
 
 
-def test_substring_dedup(docs, rows, none):
+def repeats(rows):
+    """(doc_id, bytes, removed bytes, runs, kept bytes) by brute force."""
     least = {}
     for i, t in rows:
         b = (t or "").encode()
@@ -122,11 +139,54 @@ def test_substring_dedup(docs, rows, none):
             if least[b[p : p + 50]] < (BIG if i is None else i):
                 gone |= set(range(p, p + 50))
         want.append((i, len(b), len(gone), sum(p - 1 not in gone for p in gone), bytes(b[p] for p in range(len(b)) if p not in gone)))
-    got = [(r.doc_id, r.sd_n_bytes, sum(s.end - s.start for s in r.sd_spans), len(r.sd_spans), bytes(r.sd_kept)) for r in substring_dedup.remove_repeats(docs).collect()]
-    assert bag(got) == bag(want)
+    return want
+
+
+def removed(d, **how):
+    return [(r.doc_id, r.sd_n_bytes, sum(s.end - s.start for s in r.sd_spans), len(r.sd_spans), bytes(r.sd_kept)) for r in substring_dedup.remove_repeats(d, **how).collect()]
+
+
+def test_substring_dedup(docs, rows, none):
+    assert bag(removed(docs)) == bag(repeats(rows))
     assert substring_dedup.remove_repeats(none).count() == 0
 
 
+def random_passages(seed, ids):
+    """Texts of shared passages and of own words."""
+    rng = random.Random(seed)
+    own = lambda n: " ".join("".join(rng.choices("abcdefg", k=rng.randint(2, 9))) for _ in range(n))
+    shared = [own(14) for _ in range(12)]
+    return [(i, " ".join(rng.choice(shared) if rng.random() < 0.4 else own(12) for _ in range(rng.randint(0, 6)))) for i in ids]
+
+
+def test_substring_dedup_of_null_and_repeated_ids(spark):
+    """A thousand null ids and ids that come with several texts: rows are told apart by more bits than few."""
+    rows = random_passages(1, [None] * 1000 + [k % 150 for k in range(600)])
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert bag(removed(d)) == bag(repeats(rows))
+    nulls = rows[:1000] + random_passages(2, range(50))
+    assert bag(removed(spark.createDataFrame(nulls, "doc_id long, text string"))) == bag(repeats(nulls))
+
+
+@pytest.mark.parametrize("fan", [3, 40])
+def test_substring_dedup_in_rounds(spark, fan):
+    """Several rounds of few buckets each give what one round gives."""
+    assert substring_dedup.rounds(1, 4) == [1] and substring_dedup.rounds(17, 4) == [3, 3, 3] and substring_dedup.rounds(4096, 4096) == [4096]
+    rows = random_passages(3, [*range(300), *range(0, 300, 7)]) + [(400, "x" * 700), (401, "y" + "x" * 300)]
+    assert bag(removed(spark.createDataFrame(rows, "doc_id long, text string"), block=2000, fan=fan)) == bag(repeats(rows))
+
+
+def test_substring_dedup_of_a_very_long_text(spark):
+    """A text that is read in pieces: what it repeats lies across their edges."""
+    rng = random.Random(4)
+    step = substring_dedup.STEP
+    own = "".join(rng.choices("abcdefghijklmnop", k=4 * step + 9000))
+    short = [own[at - 40 : at + 60] for at in (step, 2 * step, 4 * step)]
+    rows = [(1, short[0]), (2, short[1]), (3, own), (4, short[2]), (5, own[:200])]
+    got = {r.doc_id: [tuple(s) for s in r.sd_spans] for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [], 2: [], 3: [(step - 40, step + 60), (2 * step - 40, 2 * step + 60)], 4: [(0, 100)], 5: [(0, 200)]}
+
+
 def test_suffix_sort():
     import numpy as np
 
