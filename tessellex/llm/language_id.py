@@ -16,15 +16,17 @@ from pyspark.sql import types as T
 
 from .common import append_columns, table
 
-#: Symbols of a lane. A phrase ends with its lane, in all languages alike.
-LANE = 256
+#: Symbols of a lane. The lanes of a chunk are parsed together; where a phrase crosses into a lane, that lane is parsed again.
+LANE = 512
+#: The most frequent symbols of a language have a column each in its table of transitions; the others' are searched.
+DENSE = 127
 UNKNOWN = "und"
 
 
 def symbol_table(letters: str) -> np.ndarray:
     """By code point: 0 for what is no letter, the number of the letter lower-cased, or one more for letters not learned."""
     known = {c: i + 1 for i, c in enumerate(letters)}
-    out = np.zeros(0x110000, np.uint8)
+    out = np.zeros(0x110000, np.uint16)
     for cp in range(0x110000):
         c = chr(cp)
         if c.isalpha():
@@ -48,8 +50,46 @@ def symbols_of(texts: list[str | None], to: np.ndarray) -> tuple[np.ndarray, np.
     return out, np.stack([first, end - trailing]), end - trailing > first
 
 
-def automaton(codes: list[int], width: int) -> np.ndarray:
-    """The suffix automaton of codes as a flat table state * width + code; state 0 is the start, and no transition is 0."""
+class Automaton:
+    """The suffix automaton of codes below width. State 0 is the start, and no transition leads there.
+
+    Codes are numbered anew by their frequency, so that a table of states * (DENSE + 1) holds nearly all transitions;
+    those by rarer codes are a sorted list, of at most three times as many entries as there are codes.
+    """
+
+    def __init__(self, codes: np.ndarray, width: int) -> None:
+        count = np.bincount(codes, minlength=width)
+        order = np.argsort(-count, kind="stable")
+        self.number = np.empty(width, np.int64)
+        self.number[order] = np.arange(width)
+        step = suffix_automaton(self.number[codes].tolist())
+        self.columns = min(width, DENSE + 1)
+        self.dense = np.zeros(len(step) * self.columns, np.int32)
+        self.width, rare = width, []
+        for s, to in enumerate(step):
+            for c, t in to.items():
+                if c < self.columns:
+                    self.dense[s * self.columns + c] = t
+                else:
+                    rare.append((s * width + c, t))
+        rare.sort()
+        self.keys, self.to = np.array([k for k, _ in rare], np.int64), np.array([t for _, t in rare], np.int32)
+
+    def __call__(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The states that follow by c (new numbers), 0 where there is none."""
+        if self.columns == self.width:
+            return self.dense[state * self.columns + c]
+        out = self.dense[state * self.columns + np.minimum(c, self.columns - 1)]
+        rare = np.flatnonzero(c >= self.columns)
+        if len(rare):
+            key = state[rare].astype(np.int64) * self.width + c[rare]
+            at = np.searchsorted(self.keys, key)
+            out[rare] = np.where(np.append(self.keys, -1)[at] == key, np.append(self.to, 0)[at], 0)
+        return out
+
+
+def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
+    """The transitions of each state."""
     step, link, size, last = [{}], [-1], [0], 0
     for c in codes:
         cur = len(step)
@@ -74,72 +114,109 @@ def automaton(codes: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    out = np.zeros(len(step) * width, np.int32)
-    for s, to in enumerate(step):
-        for c, t in to.items():
-            out[s * width + c] = t
+    return step
+
+
+def walk(codes: np.ndarray, start: np.ndarray, size: np.ndarray, state: np.ndarray, begins: np.ndarray, step: Automaton, until: bool) -> np.ndarray:
+    """Parses the lanes codes[start[i]:start[i] + size[i]] from the states given and marks in begins where phrases begin.
+
+    Returns the states in the end. With until, a lane ends, with state -1, at the first phrase that begins where begins
+    has one already: from there on all is as it was.
+    """
+    order = np.argsort(-size, kind="stable")
+    at, left, own = start[order], size[order], order
+    now, out = state[order].astype(np.int32), np.empty(len(start), np.int32)
+    while len(at):
+        done = int(left[-1])  # the shortest of the lanes that are left
+        for t in range(done):
+            c = codes[at + t]
+            to = step(now, c)
+            begin = (now == 0) | (to == 0)
+            stuck = np.flatnonzero((to == 0) & (now != 0))
+            if len(stuck):
+                to[stuck] = step(np.zeros(len(stuck), np.int32), c[stuck])  # where that fails too, the symbol is a phrase of its own
+            if until:
+                met = begin & begins[at + t]
+                begins[at + t] = begin
+                if met.any():
+                    out[own[met]] = -1
+                    stay = ~met
+                    at, left, own, now, to = at[stay], left[stay], own[stay], now[stay], to[stay]
+                    if not len(at):
+                        return out
+            else:
+                begins[at + t] = begin
+            now = to
+        at, left = at + done, left - done
+        ended = left == 0
+        out[own[ended]] = now[ended]
+        stay = ~ended
+        at, left, own, now = at[stay], left[stay], own[stay], now[stay]
     return out
 
 
-def phrases(codes: np.ndarray, first: np.ndarray, last: np.ndarray, step: np.ndarray, width: int) -> np.ndarray:
-    """Phrases of each text codes[first[i]:last[i]]."""
-    lanes = -(-(last - first) // LANE)
+def phrases(codes: np.ndarray, first: np.ndarray, last: np.ndarray, step: Automaton, lane: int = LANE) -> np.ndarray:
+    """Phrases of each text codes[first[i]:last[i]]: each is the longest match from where it begins, or one symbol.
+
+    Lanes of a text are parsed at once, as if a phrase began with each. Then the phrase that is open at the end of a lane
+    goes on into the next one, up to where both agree on the beginning of a phrase, which takes some phrases at most of
+    ordinary texts; this goes on while ends of lanes change, so that the count is that of one parse from the start.
+    """
+    codes = step.number[codes]
+    lanes = -(-(last - first) // lane)
     text = np.repeat(np.arange(len(first)), lanes)
-    start = first[text] + (np.arange(len(text)) - np.repeat(np.cumsum(lanes) - lanes, lanes)) * LANE
-    size = np.minimum(LANE, last[text] - start)
-    order = np.argsort(-size, kind="stable")
-    start, size, text = start[order], size[order], text[order]
-    state, count = np.zeros(len(start), np.int32), np.zeros(len(start), np.int64)
-    active = np.searchsorted(-size, -np.arange(LANE), side="left")  # lanes longer than t
-    for t in range(int(size[0]) if len(size) else 0):
-        n = int(active[t])
-        c = codes[start[:n] + t]
-        to = step[state[:n] * width + c]
-        stuck = np.flatnonzero(to == 0)
-        if len(stuck):
-            open_ = state[stuck] != 0
-            again = step[c[stuck]]  # from the start; where that fails too, the symbol is a phrase of its own
-            count[stuck] += open_.astype(np.int64) + (again == 0)
-            to[stuck] = again
-        state[:n] = to
-    count += state != 0
-    return np.bincount(text, weights=count, minlength=len(first))
-
-
-def learn(docs: DataFrame, max_symbols: int = 24_000, max_docs: int = 200, max_chars: int = 20_000, seed: int = 11) -> dict:
+    nth = np.arange(len(text)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+    start = first[text] + nth * lane
+    size = np.minimum(lane, last[text] - start)
+    begins = np.zeros(len(codes), bool)
+    state = walk(codes, start, size, np.zeros(len(start), np.int32), begins, step, until=False)
+    again = np.flatnonzero(nth > 0)
+    again = again[state[again - 1] != 0]
+    while len(again):
+        ends = walk(codes, start[again], size[again], state[again - 1], begins, step, until=True)
+        changed = (ends >= 0) & (ends != state[again])
+        state[again[changed]] = ends[changed]
+        again = again[changed] + 1
+        again = again[again < len(text)]
+        again = again[nth[again] > 0]
+    return np.bincount(text, weights=np.add.reduceat(begins, start, dtype=np.int64) if len(start) else None, minlength=len(first))
+
+
+def learn(docs: DataFrame, max_symbols: int = 24_000, max_docs: int = 200, max_chars: int = 20_000, max_languages: int = 256, seed: int = 11) -> dict:
     """The automata of the languages in docs (text, lang, doc_id): about max_docs documents each at most, chosen by a hash of doc_id.
 
-    Of these, whole texts of max_chars at most, in the order of the hash, until there are max_symbols; of a language that
-    has no such text with a letter, the first max_chars of its longer ones. This bounds what comes to the driver and goes to each executor: languages * 2 * max_symbols * letters * 4 bytes.
+    Of these, in the order of the hash, whole texts, and of one longer than max_chars so many from a place that the hash
+    chooses, until there are max_symbols. Languages are the max_languages with the most labelled texts. This bounds what
+    comes to the driver (max_languages * max_docs * max_chars characters) and goes to each executor (languages * 2 *
+    max_symbols * 128 * 4 bytes). Of the letters the 65,000 most frequent in the sample are told apart. Null texts and
+    null languages aren't learned; without any other, the model knows no language.
     """
+    spark = docs.sparkSession
     docs = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    short = F.char_length("text") <= max_chars
-    found = docs.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(short).alias("short"), F.count_if(short & F.col("text").rlike(r"\p{L}")).alias("lettered")).collect()  # a row a language
-    counts = {r.lang: r.short if r.lettered else r.n for r in found}
-    docs = docs.where(short | F.col("lang").isin([r.lang for r in found if not r.lettered]))
+    counts = docs.where(F.col("text").rlike(r"\p{L}")).groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    limits = spark.createDataFrame([(r.lang, int(min(1.0, max_docs / r.n) * (1 << 30))) for r in counts], "lang string, li_limit long")  # max_languages rows
     h = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 30))
-    limit = F.lit(0)
-    for lang, n in counts.items():
-        limit = F.when(F.col("lang") == lang, F.lit(int(min(1.0, max_docs / n) * (1 << 30)))).otherwise(limit)
-    rows = docs.where(h < limit).select("lang", F.substring("text", 1, max_chars).alias("text"), h.alias("h")).collect() if counts else []
+    place = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "text"), F.greatest(F.lit(1), F.char_length("text") - max_chars + 1)).cast("int")
+    part = F.when(F.char_length("text") <= max_chars, F.col("text")).otherwise(F.substring(F.col("text"), place + 1, F.lit(max_chars)))
+    sample = docs.join(F.broadcast(limits), "lang").where(F.col("text").rlike(r"\p{L}") & (h < F.col("li_limit")))
     texts: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: (r.lang, r.h, r.text)):
+    for r in sorted(sample.select("lang", part.alias("text"), h.alias("h")).collect(), key=lambda r: (r.lang, r.h, r.text)):
         texts.setdefault(r.lang, []).append(r.text)
     seen: dict[str, int] = {}
     for c in (c for ts in texts.values() for t in ts for c in t if c.isalpha()):
         seen[c.lower()] = seen.get(c.lower(), 0) + 1
-    letters = "".join(sorted(sorted((c for c in seen if len(c) == 1), key=lambda c: (-seen[c], c))[:120]))
-    to, width, models = symbol_table(letters), len(letters) + 2, []
+    letters = "".join(sorted(sorted((c for c in seen if len(c) == 1), key=lambda c: (-seen[c], c))[:65_000]))
+    to, models = symbol_table(letters), []
     for lang in sorted(texts):
         parts: list[np.ndarray] = []
         for t in texts[lang]:
             codes, bounds, _ = symbols_of([t], to)
-            parts += [codes[bounds[0, 0] : bounds[1, 0]], np.zeros(1, np.uint8)]
+            parts += [codes[bounds[0, 0] : bounds[1, 0]], np.zeros(1, np.uint16)]
             if sum(map(len, parts)) >= max_symbols:
                 break
         codes = np.concatenate(parts)[:max_symbols]
-        models.append((lang, math.log2(max(2, len(codes))), automaton(codes.tolist(), width)))
-    return {"letters": letters, "width": width, "models": models}
+        models.append((lang, math.log2(max(2, len(codes))), Automaton(codes, len(letters) + 2)))
+    return {"letters": letters, "models": models}
 
 
 def identify(docs: DataFrame, model: dict, keep: list[str] | None = None) -> DataFrame:
@@ -147,7 +224,8 @@ def identify(docs: DataFrame, model: dict, keep: list[str] | None = None) -> Dat
 
     li_lang is `und` where the text is null or has no letter (li_lettered is false), or nothing was learned. Ties go to the first language by
     code points. li_score is 1 - least / second least entropy: 0 where two languages explain the text alike. Every
-    symbol of a text is parsed. Rows are judged each for itself: no shuffle, and nothing depends on other columns.
+    symbol of a text is parsed, whatever its length. Rows are judged each for itself: repeats get equal results, an empty
+    table gives no rows, nothing is shuffled or depends on other columns.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = ["doc_id"] if keep is None else keep
@@ -161,7 +239,7 @@ def identify(docs: DataFrame, model: dict, keep: list[str] | None = None) -> Dat
             if not langs:
                 return {"li_lang": [UNKNOWN] * len(first), "li_score": np.zeros(len(first)), "li_entropy": [None] * len(first), "li_lettered": lettered.tolist()}
             n = np.maximum(last - first, 1)
-            h = np.stack([phrases(codes, first, last, step, m["width"]) * bits / n for _, bits, step in m["models"]])
+            h = np.stack([phrases(codes, first, last, step) * bits / n for _, bits, step in m["models"]])
             best = h.argmin(axis=0)
             low = np.sort(h, axis=0)
             score = 1 - low[0] / np.maximum(low[1], 1e-12) if len(langs) > 1 else np.ones(len(first))

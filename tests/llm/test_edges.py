@@ -234,20 +234,38 @@ def test_language_of_long_documents_only(spark):
     assert {r.doc_id: r.li_lang for r in language_id.identify(test, model).collect()} == {1: "aa", 2: "bb"}
 
 
-def test_automaton_finds_longest_matches():
+@pytest.mark.parametrize(("alphabet", "lane"), [(3, 16), (3, 512), (2000, 64), (1, 32)])
+def test_phrases_are_longest_matches(alphabet, lane):
+    """Over small and large alphabets and periodic texts, with phrases longer than a lane."""
     import numpy as np
 
-    rng = np.random.default_rng(0)
-    learned, read = rng.integers(0, 3, 200), rng.integers(0, 4, 150)
-    step = language_id.automaton(learned.tolist(), 4)
-    hay, n, i = bytes(learned.tolist()), 0, 0
-    while i < len(read):
-        k = 1
-        while i + k <= len(read) and bytes(read[i : i + k].tolist()) in hay:
-            k += 1
-        i += max(1, k - 1)
-        n += 1
-    assert language_id.phrases(read, np.array([0]), np.array([len(read)]), step, 4)[0] == n
+    rng = np.random.default_rng(alphabet)
+    learned = rng.integers(0, alphabet, 900)
+    texts = [rng.integers(0, alphabet + 1, n) for n in (0, 1, 700)] + [np.concatenate([learned[a : a + n] for a, n in ((3, 80), (100, 300), (50, 200), (400, 3))]), np.tile(learned[:5], 90), learned]
+    hay, want = learned.astype(np.uint16).tobytes().decode("utf-16-le"), []
+    for x in texts:
+        read, n, i = x.astype(np.uint16).tobytes().decode("utf-16-le"), 0, 0
+        while i < len(read):
+            k = 1
+            while i + k <= len(read) and read[i : i + k] in hay:
+                k += 1
+            i += max(1, k - 1)
+            n += 1
+        want.append(n)
+    ends = np.cumsum([len(x) for x in texts])
+    step = language_id.Automaton(learned, alphabet + 1)
+    assert language_id.phrases(np.concatenate(texts), ends - [len(x) for x in texts], ends, step, lane).tolist() == want
+
+
+def test_languages_of_large_alphabets(spark):
+    """Two made languages of 2,000 ideographs each, 500 of them shared."""
+    rng = random.Random(6)
+    letters = {"aa": range(0x4E00, 0x4E00 + 2000), "bb": range(0x4E00 + 1500, 0x4E00 + 3500)}
+    words = {la: ["".join(chr(rng.choice(x)) for _ in range(rng.randint(1, 3))) for _ in range(1500)] for la, x in letters.items()}
+    rows = [(i, " ".join(rng.choices(words[la], k=120)), la) for i, la in enumerate(["aa", "bb"] * 150)]
+    model = language_id.learn(spark.createDataFrame(rows[:200], "doc_id long, text string, lang string"))
+    got = language_id.identify(spark.createDataFrame(rows[200:], "doc_id long, text string, lang string"), model).collect()
+    assert sum(r.li_lang == rows[r.doc_id][2] for r in got) >= 0.99 * len(got)
 
 
 def test_secrets(docs, rows, none):
