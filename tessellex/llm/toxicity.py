@@ -19,9 +19,14 @@ TOKEN = re.compile(r"[^\W_]+(?:[@$_]+[^\W_]+)*")
 #: Digits and signs that stand for letters in misspelled words.
 LOOKALIKE = str.maketrans("013457@$", "oieastas")
 QUOTES = frozenset("\"“”«»„‟")
-#: Words near a term that report it rather than use it.
-REPORTING = frozenset("said says say wrote writes called calls quoted quotes quote quoting reported reports stated word words term terms phrase insult slur".split())
+#: Words near a term that report it rather than use it, in English, French, German and Spanish.
+REPORTING = frozenset(
+    "said says say wrote writes called calls quoted quotes quote quoting reported reports stated word words term terms phrase insult slur "
+    "dit écrit cité cite citation appelé mot mots terme insulte sagte schrieb zitiert zitat nannte wort wörter begriff beleidigung dijo escribió citó cita llamó palabra palabras término insulto".split()
+)
 WINDOW = 5
+#: What a misspelled term counts, a term being 1, before its own weight is learned. The edits allowed follow the length, so all count alike.
+DISCOUNT = 0.9
 
 
 #: A term that ends so is a stem: any token that starts with it counts.
@@ -155,20 +160,29 @@ class Finder:
         if not at:
             return []
         where = [m.start() for m in TOKEN.finditer(text)]
-        out = []
+        out, reached, marks = [], 0, 0  # marks: quotation marks of the line up to what is reached
         for i in at:
-            line = text.rfind("\n", 0, where[i]) + 1
-            inside = sum(text.count(q, line, where[i]) for q in QUOTES) % 2 == 1
+            line = text.rfind("\n", reached, where[i]) + 1
+            if line:
+                reached, marks = line, 0
+            marks += sum(text.count(q, reached, where[i]) for q in QUOTES)
+            reached = where[i]
+            inside = marks % 2 == 1
             near = tokens[max(0, i - WINDOW) : i] + tokens[i + 1 : i + 1 + WINDOW]
             out.append((i, tokens[i], *memo[tokens[i]], inside or any(t.lower() in REPORTING for t in near)))
         return out
 
 
 def features(hits: list[tuple[int, str, str, int, bool]]) -> list[float]:
-    """Exact and misspelled terms that are used, terms that are quoted, and how many stand in each other's windows."""
+    """Terms that are used, terms that are quoted, both less for misspelled ones; how many of the used ones are misspelled, and stand in each other's windows.
+
+    A misspelled term counts with the weight of the terms, a little less. Its own feature only corrects that
+    where the labels say so, since samples may hold few or none.
+    """
     used = [h for h in hits if not h[4]]
     close = sum(b[0] - a[0] <= WINDOW for a, b in zip(used, used[1:], strict=False))
-    return [math.log1p(x) for x in (sum(h[3] == 0 for h in used), sum(h[3] > 0 for h in used), len(hits) - len(used), close)]
+    weigh = lambda x: sum(DISCOUNT if h[3] else 1.0 for h in x)
+    return [math.log1p(x) for x in (weigh(used), weigh(h for h in hits if h[4]), sum(h[3] > 0 for h in used), close)]
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -265,7 +279,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_docs: int = 10_000, max_terms:
         for batch in batches:
             yield pa.RecordBatch.from_pydict({"x": pa.array([features(finder(t)) for t in batch.column(0).to_pylist()], pa.list_(pa.float64())), "y": batch.column(1)})
 
-    rows = sample.select("text", "toxic").mapInArrow(described, "x array<double>, y int").orderBy("y", "x").collect()
+    rows = sorted(sample.select("text", "toxic").mapInArrow(described, "x array<double>, y int").collect())  # max_docs rows
     weights = fit(np.array([r.x for r in rows]), np.array([r.y for r in rows], float))
     return {"terms": terms, "ordinary": ordinary, "weights": weights.tolist(), "rate": rate}
 
@@ -278,7 +292,8 @@ def score_toxicity(docs: DataFrame, model: dict, keep: list[str] | None = None)
 
     Every token of a text is judged. Null and empty texts have no hits and the score of such texts. Without toxic or
     without clean labels nothing is learned, and every score is the base rate, 0.49 at most. Rows are scored each for
-    itself, so repeats and other columns don't matter.
+    itself, so repeats and other columns don't matter; time grows with the text's length alone. An empty table gives no
+    rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # max_terms terms and their neighbours
     keep = ["doc_id"] if keep is None else keep

@@ -317,14 +317,52 @@ def test_toxicity(spark, docs, none):
     d = spark.createDataFrame(rows, "doc_id long, text string")
     labels = d.select("doc_id", (F.col("doc_id") % 5 == 0).cast("int").alias("toxic"))
     model = toxicity.learn(d, labels)
-    test = [(1, "a horrible moron"), (2, "a horrbile horible thing"), (3, "nice person"), (4, None), (5, ""), (5, ""), (None, "horrible moron"), (6, 'they said "horrible moron" in a quote')]
-    got = {(r.doc_id, r.tx_score >= 0.5) for r in toxicity.score_toxicity(spark.createDataFrame(test, "doc_id long, text string"), model).collect()}
-    assert {(1, True), (3, False), (4, False), (5, False), (None, True)} <= got
+    test = [(1, "a horrible moron"), (2, "a horible morron thing"), (3, "nice person"), (4, None), (5, ""), (5, ""), (None, "horrible moron"), (6, 'they said "horrible moron" in a quote')]
+    got = bag((r.doc_id, r.tx_score >= 0.5) for r in toxicity.score_toxicity(spark.createDataFrame(test, "doc_id long, text string"), model).collect())
+    assert got == bag([(1, True), (2, True), (3, False), (4, False), (5, False), (5, False), (None, True), (6, False)])
     empty = toxicity.learn(d, labels.where("false"))
     assert toxicity.score_toxicity(docs, empty).where("tx_score >= 0.5").count() == 0
     assert toxicity.score_toxicity(none, model).count() == 0
 
 
+def test_misspelled_and_quoted_terms(spark):
+    """Learned without misspelled or quoted terms; held-out texts with only such ones."""
+    rng = random.Random(8)
+    terms = ["worthless", "disgusting", "pathetic", "moron", "horrible", "stupid"]
+    fill = lambda: ["".join(rng.choices("bcdglnrsaeiou", k=rng.randint(3, 8))) for _ in range(40)]
+
+    def text(put):
+        w = fill()
+        for x in put:
+            w.insert(rng.randrange(len(w)), x)
+        return " ".join(w)
+
+    def misspelled(t):
+        k = rng.randrange(1, len(t) - 1)
+        edits = [t[:k] + t[k + 1 :], t[:k] + rng.choice("xqz") + t[k:], t[:k] + rng.choice("xqz") + t[k + 1 :]]
+        return rng.choice([*edits, t[:k] + t[k + 1] + t[k] + t[k + 2 :]] if len(t) >= 9 else edits)
+
+    train = [(i, text(rng.choices(terms, k=3) if i % 8 == 0 else [])) for i in range(2000)]
+    d = spark.createDataFrame(train, "doc_id long, text string")
+    model = toxicity.learn(d, d.select("doc_id", (F.col("doc_id") % 8 == 0).cast("int").alias("toxic")))
+    assert set(terms) <= set(model["terms"])
+    bad = [(i, text([misspelled(t) for t in rng.sample(terms, 3)])) for i in range(300)]
+    quoted = [(i, text([f'"{a} {b}"']) + " ") for i, (a, b) in ((i, rng.sample(terms, 2)) for i in range(300, 400))]
+    clean = [(i, text([])) for i in range(400, 900)]
+    got = {r.doc_id: r.tx_score for r in toxicity.score_toxicity(spark.createDataFrame(bad + quoted + clean, "doc_id long, text string"), model).collect()}
+    assert sum(got[i] >= 0.5 for i in range(300)) >= 0.9 * 300
+    assert all(got[i] < 0.5 for i in range(300, 400))
+    assert sum(got[i] < 0.5 for i in range(400, 900)) >= 0.99 * 500
+
+
+def test_quotes_are_counted_by_line():
+    finder = toxicity.Finder(["moron"], frozenset())
+    text = 'a "moron" moron "\nmoron "x" moron " moron\n"\n moron'
+    assert [h[4] for h in finder(text)] == [True, False, False, False, True, False]
+    many = finder('" moron ' * 60_000)
+    assert [h[4] for h in many[:4]] == [True, False, True, False] and len(many) == 60_000
+
+
 def test_matcher_is_levenshtein():
     from itertools import product
 
