@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -84,24 +85,61 @@ def code_pairs(c: Column) -> Column:
     return let(codes, lambda a: F.zip_with(F.slice(a, F.lit(1), F.size(a) - 1), F.slice(a, F.lit(2), F.size(a) - 1), lambda x, y: x * (len(SYMBOLS) + 1) + y))
 
 
+#: Modules of the standard library whose public names are samples of identifiers.
+NAMED = ("abc", "argparse", "ast", "asyncio", "builtins", "codecs", "collections", "concurrent.futures", "configparser", "csv", "datetime", "decimal", "email.message", "functools", "http.client", "importlib.abc", "inspect", "io",
+         "json", "logging", "os", "pathlib", "pickle", "platform", "random", "re", "shutil", "signal", "socket", "ssl", "string", "subprocess", "sys", "tarfile", "threading", "tokenize", "typing", "unittest", "urllib.request", "uuid", "xml.dom.minidom", "zipfile")
+
+
+def public_names() -> list[str]:
+    """Names of those modules and of their classes' members, also as paths."""
+    out = set()
+    for name in NAMED:
+        module = importlib.import_module(name)
+        for x in dir(module):
+            members = dir(getattr(module, x)) if isinstance(getattr(module, x), type) else []
+            out |= {x, *members, *(f"/{name.replace('.', '/')}/{x}/{m}" for m in members[:8])}
+    return sorted(x for x in out if not x.startswith("__"))
+
+
+def identifiers(words: Column, every: int = 16) -> Column:
+    """Names as programs have them, made of every so many-th three words in a row: camelCase, snake_case, kebab-case, paths, with and without version numbers."""
+    digit = lambda x: F.pmod(F.xxhash64(x), F.lit(10)).cast("string")
+
+    def forms(a: Column, b: Column, c: Column) -> Column:
+        camel, d, e = F.concat(F.initcap(b), F.initcap(c)), digit(a), digit(b)
+        return F.array(
+            F.concat(a, camel), F.concat(F.initcap(a), camel, d), F.concat(F.initcap(a), F.lit("V"), d, camel), F.concat(a, F.initcap(b), F.lit("By"), F.initcap(c), d, F.lit("From")),
+            F.concat_ws("_", a, b, c), F.concat_ws("_", a, b, F.concat(F.lit("v"), d)), F.concat_ws("_", F.concat(a, d, e), b, c), F.upper(F.concat_ws("_", a, b, c)), F.concat_ws("-", a, b, F.concat(c, d)),
+            F.concat(F.lit("/"), F.concat_ws("/", a, F.concat(b, d), c)), F.concat(a, F.lit("="), b, F.lit("/"), c, F.lit("_"), d, e),
+        )
+
+    at = lambda w: F.when(F.size(w) > 2, F.sequence(F.lit(0), F.size(w) - 3, F.lit(every))).otherwise(F.array().cast("array<int>"))
+    return let(words, lambda w: F.flatten(F.transform(at(w), lambda i: forms(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))))
+
+
 def labelled_samples(docs: DataFrame, max_docs: int, seed: int) -> DataFrame:
-    """(value, random): strings of a sample of about max_docs documents at most, chosen by a hash of doc_id.
+    """(value, random): strings of a sample of about max_docs documents at most, chosen by a hash of doc_id and text.
 
-    Random: values of the fixed patterns there, and digests in hex and base64 made from the seed. Ordinary: all runs of
-    four symbols or more outside the patterns' spans that don't hold digits beside letters: words, names and numbers.
+    Random: values of the fixed patterns there, and digests in hex, base64 and letters with digits made from the seed.
+    Ordinary: all runs of four symbols or more outside the patterns' spans that don't hold digits beside letters (words,
+    names and numbers), identifiers made of the words, and public names of the standard library.
     """
     spark = docs.sparkSession
     share = min(1.0, max_docs / max(1, docs.count()))
     text = F.coalesce("text", F.lit(""))
-    taken = docs.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))).select(text.alias("text"))
+    taken = docs.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 20)) < int(share * (1 << 20))).select(text.alias("text"))
     # cut the patterns out, then what is left are words
     rest = F.regexp_replace(F.regexp_replace(F.col("text"), ASSIGN, " "), f"{ACCESS}|{HEX}", " ")
-    words = taken.select(F.explode(F.regexp_extract_all(rest, F.lit(RUN % 4), F.lit(0))).alias("value")).where(~(F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")))
+    runs = F.filter(F.regexp_extract_all(rest, F.lit(RUN % 4), F.lit(0)), lambda x: ~(x.rlike("[0-9]") & x.rlike("[A-Za-z]")))
+    made_of = F.transform(F.filter(F.regexp_extract_all(rest, F.lit("[A-Za-z]+"), F.lit(0)), lambda x: F.char_length(x).between(2, 12)), F.lower)
+    words = taken.select(F.explode(F.concat(runs, identifiers(made_of))).alias("value"))
+    names = spark.createDataFrame([(x,) for x in public_names()], "value string").select(F.explode(F.array_repeat("value", 4)).alias("value"))  # some thousands, whatever the input
     found = F.concat(F.regexp_extract_all(F.col("text"), F.lit(ASSIGN), F.lit(1)), F.regexp_extract_all(F.col("text"), F.lit(f"{ACCESS}|{HEX}"), F.lit(0)))
     values = taken.select(F.explode(found).alias("value")).where(F.char_length("value") >= 16)
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")), 256)
-    made = spark.range(2000).select(F.explode(F.array(digest, F.base64(F.unhex(digest)), F.base64(F.unhex(digest)))).alias("value"))
-    return words.select("value", F.lit(0).alias("random")).unionByName(values.unionByName(made).select("value", F.lit(1).alias("random")))
+    base64 = F.base64(F.unhex(digest))
+    made = spark.range(4000).select(F.explode(F.array(digest, base64, F.translate(base64, "+/=", ""), F.translate(base64, "+/=", "-_"))).alias("value"))
+    return words.unionByName(names).select("value", F.lit(0).alias("random")).unionByName(values.unionByName(made).select("value", F.lit(1).alias("random")))
 
 
 def fit_llr(samples: DataFrame) -> list[float]:
@@ -122,16 +160,17 @@ def fit_llr(samples: DataFrame) -> list[float]:
     return [math.log(b / a) for a, b in zip(*p, strict=True)]
 
 
-def scan_secrets(docs: DataFrame, min_chars: int = 16, min_mean: float = 0.7, min_total: float = 12.0, max_train_docs: int = 2000, seed: int = 7, keep: tuple[str, ...] = ()) -> DataFrame:
+def scan_secrets(docs: DataFrame, min_chars: int = 16, min_mean: float = 1.0, min_total: float = 12.0, max_train_docs: int = 2000, seed: int = 7, keep: tuple[str, ...] = (), train: DataFrame | None = None) -> DataFrame:
     """doc_id, keep, sc_base and sc_spans: arrays of struct(start, kind, end) in order, kind the number in KINDS.
 
     sc_base has the spans of the fixed patterns. sc_spans has these and, as "markov", every run of min_chars symbols
     or more that no base span touches and that the model of random strings explains better than the one of
     identifiers, by min_mean nats a pair and min_total in all. Null and empty texts have no spans. Repeated rows and
     null ids are scanned like any other; nothing is compared between rows, and no shuffle carries texts. The models are
-    fitted on a sample of about max_train_docs documents.
+    fitted on a sample of about max_train_docs documents (of train, where that is given). Texts are scanned whole, whatever their length; positions take
+    n ** 1.5 steps for n matches in a text. An empty table gives no rows; the models are fitted on made samples then.
     """
-    llr = fit_llr(labelled_samples(docs.select("doc_id", "text"), max_train_docs, seed))
+    llr = fit_llr(labelled_samples((docs if train is None else train).select("doc_id", "text"), max_train_docs, seed))
     scores = F.expr("cast(split('" + ",".join(f"{x:.4f}" for x in llr) + "', ',') as array<double>)")
     d = docs.select("doc_id", *keep, F.coalesce("text", F.lit("")).alias("sc_text"))
     d = d.select("doc_id", *keep, base_spans(F.col("sc_text")).alias("sc_base"), spans(F.col("sc_text"), RUN % min_chars, "markov", min_chars, more=True).alias("sc_runs"))

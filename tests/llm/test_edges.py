@@ -289,6 +289,37 @@ def test_secrets_beyond_the_patterns(spark):
     assert [text[s.start : s.end] for s in r.sc_spans] == ["zX9qLw3RtY7uPk2VbN8mQ1"]
 
 
+#: Fifty ordinary identifiers of sixteen symbols or more.
+IDENTIFIERS = """
+    HttpRequestHandlerFactoryV2Builder /usr/lib/python3/dist-packages/numpy2x/core getUserNameById2FromCache sha256_checksum_of_file_v2
+    AbstractSingletonProxyFactoryBean java/util/concurrent/ConcurrentHashMap org_apache_spark_sql_catalyst spark-3_5_1-bin-hadoop3
+    node_modules/lodash/lib/index_v4 MAX_RETRIES_PER_HOST_V2 base64_encode_url_safe utf8mb4_unicode_ci_0900 x86_64-unknown-linux-gnu
+    i18n_locale_en_US_utf8 test_case_0042_failure 2024-01-15-release-notes http2_stream_window_size IPv6AddressParser2Test convert_h264_to_mp4_file
+    /home/user1/projects/app2/src/main EC2InstanceConnectEndpoint S3BucketPolicyManager2 md5sum_of_archive_v3 log4j2-spring-boot-starter
+    OAuth2TokenRequestHandler K8sPodAutoscalerV2beta1 vertex_shader_330_core mp3_to_wav_converter_2 RFC2822DateTimeFormat Win32_OperatingSystem
+    index_of_column_b12_in_table user_profile_picture_url2 getElementsByClassName0 React18ConcurrentMode com/google/common/collect
+    x509_certificate_chain setUp2DTextureArray vulkan_1_3_feature_flags e2e_integration_tests_v1 sys_admin_panel_v2_beta customer_id_2_order_id
+    JpaRepositoryConfigV1 blake2b_hash_function_512 py310_linux_x86_64_wheel cuda11_8_cudnn8_runtime Jsr310DateTimeConverters config-v1alpha1-schema
+    aes256_gcm_no_padding Utf16LittleEndianDecoder a11y_color_contrast_check4
+""".split()
+
+
+def test_identifiers_are_no_secrets_and_random_strings_are(spark):
+    """Precision and recall of what the models add, learned from texts of which none is here."""
+    import base64
+    import string
+
+    rng = random.Random(3)
+    pick = lambda of, k: "".join(rng.choices(of, k=k))
+    kinds = [string.ascii_letters + string.digits, string.ascii_lowercase + string.digits, string.ascii_uppercase + string.digits]
+    secret = [pick(of, rng.randint(18, 40)) for of in kinds for _ in range(60)] + [base64.b64encode(rng.randbytes(24)).decode() for _ in range(60)] + [rng.randbytes(11).hex() for _ in range(60)]
+    texts = [f"call {x} there" for x in IDENTIFIERS + secret]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id for r in secrets.scan_secrets(d, train=spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).where("size(sc_spans) > size(sc_base)").collect()}
+    assert len(IDENTIFIERS) == 50 and sum(i in got for i in range(50)) <= 1
+    assert sum(i in got for i in range(50, len(texts))) >= 0.95 * len(secret)
+
+
 def test_many_spans_have_right_positions(spark):
     text = "é token=abcdef1 " * 500
     d = spark.createDataFrame([(1, text)], "doc_id long, text string")
