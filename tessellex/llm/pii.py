@@ -13,15 +13,23 @@ from .common import append_columns, materialize, table
 
 #: Kinds in the order in which spans with one start are listed.
 KINDS = ("email", "ip", "card", "phone", "context")
-LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # a match starts where a run of digits starts: from within the run it would fail where it fails from its start
 IP = re.compile(r"(?<![0-9])[0-9]+\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-#: What may be an identifier: six characters or more, with three digits at least.
-IDENTIFIER = re.compile(r"(?<![\w-])[^\W_](?:[^\W_]|[-_](?=[^\W_])){5,}")
+#: What may be an identifier: four characters or more, with a digit or a sign inside.
+IDENTIFIER = re.compile(r"(?<![\w@.-])[^\W_](?:[^\W_]|[-_.@](?=[^\W_])){3,}")
+MARKED = re.compile(r"[\d_.@]")
+#: A word that introduces a value: `word: value`, `word = "value"`. Any value of four characters or more may be an identifier there.
+KEYED = re.compile(r"([^\W\d_]+)[\"']?\x20*[:=#]\x20*[\"']?([^\W_](?:[^\W_]|[-_.@](?=[^\W_])){3,})")
+#: Words of which the values are seeds beside those of the fixed patterns, in English, French, German and Spanish.
+KEYS = frozenset(
+    "account address card email fax iban ip login mail mobile passport passwd password phone secret ssn tel telephone token user username "
+    "adresse carte compte courriel identifiant passeport portable téléphone ausweis benutzer karte kennwort konto passwort telefon contraseña correo cuenta dirección pasaporte tarjeta teléfono usuario".split()
+)
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -37,11 +45,12 @@ def emails(text: str) -> list[tuple[int, int]]:
     """Leftmost matches of the local class, an @ and two domain labels or more, one @ after the other in linear time."""
     out, end, at = [], 0, text.find("@")
     while at >= 0:
-        before = text[end:at]
-        local = len(before) - len(before.rstrip(LOCAL))
-        m = DOMAIN.match(text, at + 1) if local else None
+        start = at
+        while start > end and text[start - 1] in LOCAL:
+            start -= 1
+        m = DOMAIN.match(text, at + 1) if start < at else None
         if m:
-            out.append((at - local, m.end()))
+            out.append((start, m.end()))
             end = m.end()
         at = text.find("@", max(at + 1, end))
     return out
@@ -64,8 +73,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def patterns_of(text: str, start: int, end: int) -> list[str]:
-    """Lexical patterns: the two words before, and the words before and after."""
+def patterns_of(text: str, start: int, end: int, key: str | None) -> list[str]:
+    """Lexical patterns: the two words before, the words before and after, and the word that introduces the value."""
     before = [w.lower() for w in WORD.findall(text, max(0, start - 60), start)][-2:]
     after = [w.lower() for w in WORD.findall(text, end, end + 40)][:1]
     out = []
@@ -73,12 +82,30 @@ def patterns_of(text: str, start: int, end: int) -> list[str]:
         out.append(f"{before[0]} {before[1]} _")
     if before and after:
         out.append(f"{before[-1]} _ {after[0]}")
+    if key:
+        out.append(f"{key}: _")
     return out
 
 
 SPAN = [T.StructField(n, T.LongType()) for n in ("start", "kind", "end")]
 SPANS = T.ArrayType(T.StructType(SPAN))
-CONTEXTS = T.ArrayType(T.StructType([*SPAN, T.StructField("value", T.StringType()), T.StructField("patterns", T.ArrayType(T.StringType()))]))
+CONTEXTS = T.ArrayType(T.StructType([*SPAN, T.StructField("value", T.StringType()), T.StructField("seed", T.BooleanType()), T.StructField("patterns", T.ArrayType(T.StringType()))]))
+
+
+def candidates(text: str, found: list[tuple[int, int, int]]) -> list[tuple[int, int, str | None]]:
+    """(start, end, key) of what may be an identifier and overlaps no span of found, in order."""
+    near = {m.start(2): (m.end(2), m.group(1).lower()) for m in KEYED.finditer(text)}
+    for m in IDENTIFIER.finditer(text):
+        if m.start() not in near and MARKED.search(m.group()):
+            near[m.start()] = (m.end(), None)
+    out, spans, reach = [], iter(sorted((a, z) for a, _, z in found)), 0
+    ahead = next(spans, None)
+    for a, (z, key) in sorted(near.items()):
+        while ahead and ahead[0] < z:
+            reach, ahead = max(reach, ahead[1]), next(spans, None)
+        if a >= reach:
+            out.append((a, z, key))
+    return out
 
 
 def occurrences(batch: pa.RecordBatch) -> dict:
@@ -86,22 +113,16 @@ def occurrences(batch: pa.RecordBatch) -> dict:
     base, seen = [], []
     for text in batch.column(batch.schema.get_field_index("text")).to_pylist():
         found = base_spans(text) if text else []
-        near = [(a, k, z) for a, k, z in found]
-        if text and DIGIT.search(text):
-            spans = iter(sorted((a, z) for a, _, z in found))
-            reach, ahead = 0, next(spans, None)
-            for m in IDENTIFIER.finditer(text):
-                while ahead and ahead[0] < m.end():
-                    reach, ahead = max(reach, ahead[1]), next(spans, None)
-                if m.start() >= reach and len(DIGIT.findall(m.group())) >= 3:
-                    near.append((m.start(), 4, m.end()))
+        own = [{"start": a, "kind": k, "end": z, "value": text[a:z], "seed": True, "patterns": patterns_of(text, a, z, None)} for a, k, z in found]
+        if text:
+            own += [{"start": a, "kind": 4, "end": z, "value": text[a:z], "seed": key in KEYS, "patterns": patterns_of(text, a, z, key)} for a, z, key in candidates(text, found)]
         base.append([{"start": a, "kind": k, "end": z} for a, k, z in found])
-        seen.append([{"start": a, "kind": k, "end": z, "value": text[a:z], "patterns": patterns_of(text, a, z)} for a, k, z in near])
+        seen.append(own)
     return {"pi_base": base, "pi_seen": seen}
 
 
 def bootstrap(edges: DataFrame, rounds: int, min_seeds: int, min_score: float) -> DataFrame:
-    """Patterns (pattern) of high confidence. edges: pattern, value, seed (whether a fixed pattern found the value), distinct.
+    """Patterns (pattern) of high confidence. edges: pattern, value, seed (whether a fixed pattern or a word of KEYS introduced the value), distinct.
 
     A pattern's score is the mean of its values' scores; it counts only with min_seeds distinct values that score above
     0.5. A seed scores 1, another value the noisy-or of the patterns around it that count. Each round is two aggregates of
@@ -121,20 +142,24 @@ def find_pii(docs: DataFrame, rounds: int = 3, min_seeds: int = 3, min_score: fl
     """doc_id, keep, pi_base and pi_spans: arrays of struct(start, kind, end) in code points, kind the number in KINDS.
 
     pi_base are the spans of the fixed patterns. pi_spans are these and, as "context", identifiers that overlap none of
-    them and stand in a pattern of high confidence. Null and empty texts have no spans. Repeated rows get equal spans.
-    No text is shuffled: what a text holds goes to a table, and the graph of patterns and values comes from there.
+    them and stand in a pattern of high confidence. Null and empty texts have no spans. Repeated rows get equal spans,
+    null ids are rows like others, an empty table gives no rows. Texts are read whole, in time that grows with their
+    length alone. No text is shuffled: what a text holds goes to a table, and the graph of patterns and values comes
+    from there. Columns in keep may have any name.
     """
-    d = docs.select("doc_id", *keep, "text", F.xxhash64("text").alias("pi_row"))
-    d = append_columns(d, lambda: occurrences, [T.StructField("pi_base", SPANS), T.StructField("pi_seen", CONTEXTS)], keep=["doc_id", *keep, "pi_row"])
+    d = docs.select("doc_id", "text", F.xxhash64("text").alias("pi_row"), F.struct(F.lit(0), *[F.col(f"`{c}`") for c in keep]).alias("pi_keep"))
+    d = append_columns(d, lambda: occurrences, [T.StructField("pi_base", SPANS), T.StructField("pi_seen", CONTEXTS)], keep=["doc_id", "pi_keep", "pi_row"])
     d = materialize(d)
     key = [F.coalesce("doc_id", F.lit(2**63 - 1)).alias("pi_id"), "pi_row"]
     seen = d.where(F.size("pi_seen") > 0).select(*key, F.explode("pi_seen").alias("o")).select("pi_id", "pi_row", "o.*")
-    seen = materialize(seen.select("pi_id", "pi_row", "start", "kind", "end", "value", F.explode("patterns").alias("pattern")))
-    edges = materialize(seen.groupBy("pattern", "value").agg(F.max(F.col("kind") < 4).alias("seed")))
+    seen = materialize(seen.select("pi_id", "pi_row", "start", "kind", "end", "value", "seed", F.explode("patterns").alias("pattern")))
+    seeds = seen.where("seed").select("value").distinct().withColumn("seed", F.lit(True))
+    edges = seen.groupBy("pattern", "value").agg(F.count("*")).join(seeds, "value", "left")  # a seed is one wherever it stands
+    edges = materialize(edges.select("pattern", "value", F.coalesce("seed", F.lit(False)).alias("seed")))
     good = bootstrap(edges, rounds, min_seeds, min_score)
     more = seen.where("kind = 4").join(good, "pattern", "left_semi").groupBy("pi_id", "pi_row").agg(F.collect_set(F.struct("start", "kind", "end")).alias("pi_more"))
     both = d.withColumns({"pi_id": key[0]}).join(more, ["pi_id", "pi_row"], "left")
-    return both.select("doc_id", *keep, "pi_base", F.array_sort(F.concat("pi_base", F.coalesce("pi_more", F.array().cast("array<struct<start:bigint,kind:bigint,end:bigint>>")))).alias("pi_spans"))
+    return both.select("doc_id", *[F.col(f"pi_keep.`{c}`").alias(c) for c in keep], "pi_base", F.array_sort(F.concat("pi_base", F.coalesce("pi_more", F.array().cast("array<struct<start:bigint,kind:bigint,end:bigint>>")))).alias("pi_spans"))
 
 
 def joined(c: str) -> Column:

@@ -4,6 +4,7 @@ import random
 import re
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -333,6 +334,51 @@ def test_pii(docs, none):
     assert r[7].pi_spans == r[8].pi_spans == []
     assert pii.find_pii(docs).count() == docs.count()
     assert pii.find_pii(none).count() == 0
+    kept = pii.find_pii(docs, keep=("text", "pi_row", "value"))
+    assert kept.columns == ["doc_id", "text", "pi_row", "value", "pi_base", "pi_spans"] and kept.where("doc_id = 8").head().text == ""
+
+
+def test_pii_base_spans_of_all_documents(spark):
+    """All of sf0.01 and texts that are near misses, against the patterns as they stand in the contract."""
+
+    def passes_luhn(d):
+        twice = [x * 2 - 9 * (x > 4) for x in d[-2::-2]]
+        return (sum(twice) + sum(d[-1::-2])) % 10 == 0
+
+    def base(t):
+        out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+        out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+        for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+            digits = [int(c) for c in m[0] if c.isdigit()]
+            if 12 <= len(digits) <= 19 and passes_luhn(digits):
+                out.append((m.start(), 2, m.end()))
+        out += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= sum(c.isdigit() for c in m[0]) <= 15]
+        return sorted(out)
+
+    rng = random.Random(9)
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()] + ["".join(rng.choices("a1.@-+ (0)255é", k=60)) for _ in range(3000)]
+    assert all(pii.base_spans(t or "") == base(t or "") for t in texts)
+
+
+def test_pii_reads_texts_in_linear_time():
+    import time
+
+    def took(n):
+        began = time.perf_counter()
+        pii.occurrences(pa.RecordBatch.from_pydict({"text": pa.array(["x @ a.b@ 12.3@ token: abcd1 " * n])}))
+        return time.perf_counter() - began
+
+    took(100)
+    assert took(20_000) < 20 * took(2_000) + 1
+
+
+def test_pii_values_of_keys(spark):
+    """Values that keys introduce in several texts are found, also without digits; where one of them stands elsewhere, that pattern is learned too."""
+    key = [(i, f'text {i} has token = "{chr(97 + i)}fwqh.zzkl" and more') for i in range(6)]
+    other = [(10 + i, f"our member {chr(97 + i)}fwqh.zzkl arrived") for i in range(6)]
+    d = spark.createDataFrame([*key, *other, (30, "our member qqqq-wwww.x1 arrived"), (31, "the shelf 22-aaaa.x1 fell"), (32, 'note: something and size = "large"')], "doc_id long, text string")
+    r = {x.doc_id: [x.text[s.start : s.end] for s in x.pi_spans] for x in pii.find_pii(d, keep=("text",)).collect()}
+    assert r[3] == ["dfwqh.zzkl"] and r[30] == ["qqqq-wwww.x1"] and r[31] == r[32] == []
 
 
 def test_pii_bootstraps_contexts(spark):
