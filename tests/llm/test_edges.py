@@ -1,5 +1,6 @@
 """Each operator on nulls, empty and long texts, ties, repeated rows, clashing columns and empty tables, against brute force."""
 
+import math
 import random
 import re
 from collections import defaultdict
@@ -199,24 +200,75 @@ def test_suffix_sort():
     assert [c == 50 for c in common[1:]] == [a == b for a, b in zip(cut, cut[1:], strict=False)]
 
 
+def shingle_set(t):
+    w = words(t)
+    return {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
 def test_fingerprint(docs, rows, none):
-    got = fingerprint.fingerprint_and_compare(docs).collect()
-    order = sorted(((-(2**63) if i is None else i, t or "", i) for i, t in rows), key=lambda x: (-x[0], x[1]))
-    want = []
-    for k, (_, t, i) in enumerate(order):
-        after, half = order[(k + 1) % len(order)][1], len(t) // 2
-        import hashlib
+    """Whatever the order among equal ids is: every text has the right follower's half."""
+    import hashlib
 
-        want.append((i, len(t), hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()))
-    assert bag((r.doc_id, r.fp_n_chars, r.fp_edited_sha256) for r in got) == bag(want)
+    got = fingerprint.fingerprint_and_compare(docs).collect()
+    by_id = defaultdict(list)
+    for i, t in rows:
+        by_id[-(2**63) if i is None else i].append(t or "")
+    order = sorted(by_id, reverse=True)
+    after = {i: {t for j in (i, order[(k + 1) % len(order)]) for t in by_id[j]} if len(by_id[i]) > 1 else set(by_id[order[(k + 1) % len(order)]]) for k, i in enumerate(order)}
+    digest = lambda t, n: hashlib.sha256((t[: len(t) - len(t) // 2] + n[: len(t) // 2]).encode()).hexdigest()
+    assert bag((r.doc_id, r.fp_n_chars) for r in got) == bag((i, len(t or "")) for i, t in rows)
+    for r in got:
+        i = -(2**63) if r.doc_id is None else r.doc_id
+        assert r.fp_edited_sha256 in {digest(t, n) for t in by_id[i] if len(t) == r.fp_n_chars for n in after[i]}
     sketch = {r.doc_id: r.fp_sketch for r in got}
     assert sketch[1] == sketch[2] == sketch[4] and sketch[1]
     assert sketch[7] == sketch[8] == sketch[9] == []
+    assert {r.doc_id for r in got if r.fp_least is None} == {7, 8, 9}
     assert all(0 <= x <= 1 for r in got for x in (r.fp_near_edited, r.fp_near_next, r.fp_inside_edited, r.fp_inside_next))
     assert fingerprint.fingerprint_and_compare(none).count() == 0
     assert fingerprint.fingerprint_and_compare(docs.where("doc_id = 1")).head().fp_near_next == 1.0
 
 
+def test_fingerprint_ranges(spark):
+    """Null ids and one repeated id are a third of all rows each, and more than one range has some of them."""
+    import hashlib
+
+    rows = [(None, f"null text {k} of its own") for k in range(400)] + [(7, f"repeated text {k} of its own") for k in range(400)] + [(100 + k, f"text {k} of its own") for k in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    ranges = fingerprint.with_next(d).where("fp_guest = 0").select("fp_bucket", F.spark_partition_id().alias("p"), "doc_id").toPandas()
+    assert ranges.groupby("fp_bucket").size().max() < 300 and ranges.groupby("p").fp_bucket.nunique().max() == 1
+    assert ranges[ranges.doc_id.isna()].fp_bucket.nunique() > 1 and ranges[ranges.doc_id == 7].fp_bucket.nunique() > 1
+    got = fingerprint.fingerprint_and_compare(d).collect()
+    assert len(got) == 1200
+    text = dict(rows[800:])
+    want = {i: hashlib.sha256((text[i][: len(text[i]) - len(text[i]) // 2] + text[i - 1][: len(text[i]) // 2]).encode()).hexdigest() for i in range(101, 500)}
+    assert {r.doc_id: r.fp_edited_sha256 for r in got if (r.doc_id or 0) > 100} == want
+
+
+def test_sketches_merge_and_estimate(spark):
+    """Unions of sketches are sketches of unions; estimates of all of sf0.01 against the true values of whole shingle sets."""
+    import numpy as np
+    from tessellex.llm.common import Shingler
+
+    a, b = " ".join(f"a{i}" for i in range(300)), "only two"
+    shingler = Shingler()
+    (x, y, z), least = fingerprint.sketches(pa.array([a, b, ""]), shingler)
+    both, _ = shingler(pa.array([a, b]))
+    assert np.array_equal(fingerprint.merge([x, y, z]), np.unique(both[both < np.uint64(2**62)] >> np.uint64(16))) and len(least[1]) == 1 and not len(least[2])
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+    order = sorted(text, reverse=True)
+    errors = []
+    for r in fingerprint.fingerprint_and_compare(docs).collect():
+        t, n = text[r.doc_id], text[order[(order.index(r.doc_id) + 1) % len(order)]]
+        half = len(t) // 2
+        own, edited = shingle_set(t), shingle_set(t[: len(t) - half] + n[:half])
+        truth = len(own & edited) / len(own | edited) if own | edited else 1.0
+        errors.append((abs(r.fp_near_edited - truth), len(own | edited)))
+    assert np.mean([e for e, _ in errors]) < 0.05
+    assert all(e < 4.5 * math.sqrt(3 * 0.25 / n) for e, n in errors if n >= 100)  # 4.5 standard errors of a share at one in four
+
+
 def test_language_id(spark, docs, none):
     text = {"aa": "the cat and the dog sat on the mat " * 30, "bb": "der hund und die katze sind auf dem dach " * 30}
     train = spark.createDataFrame([(i, t, la) for i in range(20) for la, t in text.items()] + [(99, None, "aa"), (98, "x", None)], "doc_id long, text string, lang string")
