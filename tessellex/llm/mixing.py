@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,13 +20,11 @@ def with_rank(sources: DataFrame) -> DataFrame:
     order = [F.col("mx_source").isNull(), F.col("mx_source")]
     parts = materialize(sources.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("mx_at", F.monotonically_increasing_id()))
     ranges = parts.groupBy(F.shiftright("mx_at", 33).alias("mx_part")).agg(F.count("*").alias("mx_n")).orderBy("mx_part").collect()  # one row a range
-    before, offsets = 0, []
+    before, offsets = 0, [0] * (1 + max((r.mx_part for r in ranges), default=0))
     for r in ranges:
-        offsets.append((r.mx_part, before))
+        offsets[r.mx_part] = before
         before += r.mx_n
-    shift = F.lit(0)
-    for part, n in offsets:
-        shift = F.when(F.shiftright("mx_at", 33) == part, F.lit(n)).otherwise(shift)
+    shift = F.get(F.expr("cast(split('" + ",".join(map(str, offsets)) + "', ',') as array<bigint>)"), F.shiftright("mx_at", 33).cast("int"))
     return parts.withColumn("mx_rank", (F.col("mx_at").bitwiseAND((1 << 33) - 1) + shift).cast("long")).drop("mx_at")
 
 
@@ -50,6 +50,11 @@ def water_fill(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epoch
     return s.withColumn("mx_target", F.when(clamped, F.col("mx_cap").cast("double")).otherwise(F.col("mx_weight") * F.lit(level)))
 
 
+def bin_digits(rows: int) -> int:
+    """Hex digits of as many ranges as the square root of rows, 3 to 7."""
+    return min(7, max(3, math.ceil(math.log(max(1, rows), 16) / 2)))
+
+
 def mix_sources(docs: DataFrame, seed: int = 42, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, keep: tuple[str, ...] = ()) -> DataFrame:
     """Draws documents so that each source's words come to its target.
 
@@ -59,12 +64,15 @@ def mix_sources(docs: DataFrame, seed: int = 42, weights: tuple[int, ...] = WEIG
     doc_id), each once more, until the target is reached; the last one is taken in part. So the sum is the target,
     rounded, and no document exceeds max_epochs. Equal doc_ids are ordered by size; rows equal in both are alike.
 
-    The seeded order is cut into 4096 ranges a source; sums of ranges combine before their shuffle, and only the
-    one range a source in which the target is reached is sorted. No task gets a whole source.
+    The seeded order is cut into as many ranges a source as the square root of all rows, at least 4096; sums of ranges
+    combine before their shuffle, and only the one range a source in which the target is reached is sorted. No task gets
+    a whole source. Null ids are ordered by a hash of their texts. An empty table gives no rows; texts of any length are
+    only counted.
     """
-    d = docs.select("doc_id", "source", *keep, F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("mx_size"))
-    d = d.withColumn("mx_order", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
-    d = d.withColumn("mx_bin", F.conv(F.substring("mx_order", 1, 3), 16, 10).cast("int"))
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("~"), F.xxhash64("text")))))
+    d = docs.select("doc_id", "source", *keep, F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("mx_size"), order.alias("mx_order"))
+    digits = bin_digits(docs.count())
+    d = d.withColumn("mx_bin", F.conv(F.substring("mx_order", 1, digits), 16, 10).cast("int"))
     d = materialize(d)
     bins = materialize(d.groupBy(F.col("source").alias("mx_source"), "mx_bin").agg(F.sum("mx_size").alias("mx_bin_size")))
     sources = bins.groupBy("mx_source").agg(F.sum("mx_bin_size").alias("mx_size"))

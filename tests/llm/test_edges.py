@@ -53,6 +53,19 @@ def test_mixing(docs, rows, none):
         assert abs(taken[s] - target[s]) <= 0.5
     assert bag(map(tuple, got)) == bag(map(tuple, mixing.mix_sources(docs.repartition(3)).collect()))
     assert mixing.mix_sources(none).count() == 0
+    assert [mixing.bin_digits(n) for n in (0, 1, 10**6, 2**24, 10**10)] == [3, 3, 3, 3, 5]
+
+
+def test_scratch_tables_go(spark, docs):
+    import os
+
+    from tessellex.llm.common import materialize, scratch
+
+    with scratch(spark):
+        (path,) = {os.path.dirname(f) for f in materialize(docs).inputFiles()}
+        path = path.removeprefix("file://")
+        assert os.path.isdir(path)
+    assert not os.path.exists(path)
 
 
 @pytest.mark.parametrize("block_bytes", [1 << 20, 300])
