@@ -20,11 +20,13 @@ IP = re.compile(r"(?<![0-9])[0-9]+\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-#: What may be an identifier: four characters or more, with a digit or a sign inside.
-IDENTIFIER = re.compile(r"(?<![\w@.-])[^\W_](?:[^\W_]|[-_.@](?=[^\W_])){3,}")
-MARKED = re.compile(r"[\d_.@]")
-#: A word that introduces a value: `word: value`, `word = "value"`. Any value of four characters or more may be an identifier there.
-KEYED = re.compile(r"([^\W\d_]+)[\"']?\x20*[:=#]\x20*[\"']?([^\W_](?:[^\W_]|[-_.@](?=[^\W_])){3,})")
+#: What may be an identifier: four characters or more; a digit or a sign inside marks it.
+IDENTIFIER = re.compile(r"[^\W_](?:[^\W_]|[-_.@](?=[^\W_])){3,}")
+MARK = re.compile(r"\d|[_.@](?=[^\W_])")
+#: Between a word that introduces a value and the value: `word: value`, `word = "value"`. Any value of four characters or more may be an identifier there.
+SEPARATOR = re.compile(r"[:=#]")
+KEY = re.compile(r"([^\W\d_]+)[\"']?\x20*$")
+QUOTE = re.compile(r"\x20*[\"']?")
 #: Words of which the values are seeds beside those of the fixed patterns, in English, French, German and Spanish.
 KEYS = frozenset(
     "account address card email fax iban ip login mail mobile passport passwd password phone secret ssn tel telephone token user username "
@@ -92,12 +94,32 @@ SPANS = T.ArrayType(T.StructType(SPAN))
 CONTEXTS = T.ArrayType(T.StructType([*SPAN, T.StructField("value", T.StringType()), T.StructField("seed", T.BooleanType()), T.StructField("patterns", T.ArrayType(T.StringType()))]))
 
 
+def keyed(text: str) -> dict[int, tuple[int, str]]:
+    """Of values that a word and a separator introduce: the end and the word, by start."""
+    out = {}
+    for sep in SEPARATOR.finditer(text):
+        value = IDENTIFIER.match(text, QUOTE.match(text, sep.end()).end())
+        key = KEY.search(text[max(0, sep.start() - 40) : sep.start()]) if value else None
+        if key:
+            out[value.start()] = (value.end(), key.group(1).lower())
+    return out
+
+
 def candidates(text: str, found: list[tuple[int, int, int]]) -> list[tuple[int, int, str | None]]:
     """(start, end, key) of what may be an identifier and overlaps no span of found, in order."""
-    near = {m.start(2): (m.end(2), m.group(1).lower()) for m in KEYED.finditer(text)}
-    for m in IDENTIFIER.finditer(text):
-        if m.start() not in near and MARKED.search(m.group()):
-            near[m.start()] = (m.end(), None)
+    near, done = keyed(text), 0
+    mark = MARK.search(text)
+    while mark:
+        start = mark.start()
+        while start > done and (text[start - 1].isalnum() or text[start - 1] in "-_.@"):
+            start -= 1
+        while not text[start].isalnum():
+            start += 1
+        m = IDENTIFIER.match(text, start)
+        if m and m.end() > mark.start():
+            near.setdefault(start, (m.end(), None))
+        done = max(mark.end(), m.end() if m else 0)
+        mark = MARK.search(text, done)
     out, spans, reach = [], iter(sorted((a, z) for a, _, z in found)), 0
     ahead = next(spans, None)
     for a, (z, key) in sorted(near.items()):
