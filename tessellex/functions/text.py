@@ -52,28 +52,33 @@ def orthographic(text: str | None, punctuation: str = "wide", turkish: bool = Fa
     return " ".join(text.translate(dict.fromkeys(map(ord, PUNCTUATION[punctuation]))).split())
 
 
-def ortho(c: Column, punctuation: str = "wide", lang: Column | None = None) -> Column:
-    """The orthographic stage as a column; where lang starts with tur or is tr, dotted and dotless i are kept apart."""
-    if lang is None:
+# Lower-case Latin-1 letters that decompose, and their base letters.
+ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
+UNACCENTED = "aaaaaaceeeeiiiinooooouuuuyy"
+#: Texts of these characters need no Unicode tables: compatibility characters of Latin-1 are left out.
+PLAIN = r"^[\x00-\x7F¡«»¿À-ÖØ-öø-ÿ]*$"
 
-        @F.pandas_udf("string")
-        def plain(s: pd.Series) -> pd.Series:
-            return s.map(lambda t: orthographic(t, punctuation))
 
-        return plain(c)
+def ortho_latin(c: Column, punctuation: str = "narrow") -> Column:
+    """The orthographic stage for text of ASCII and precomposed Latin-1 letters, inside the JVM."""
+    kept = F.translate(F.lower(F.coalesce(c, F.lit(""))), ACCENTED + PUNCTUATION[punctuation], UNACCENTED)
+    return F.btrim(F.regexp_replace(kept, SPACE, " "))
 
-    @F.pandas_udf("string")
-    def by_language(s: pd.Series, code: pd.Series) -> pd.Series:
-        return pd.Series([orthographic(t, punctuation, bool(x) and (x.startswith("tur") or x == "tr")) for t, x in zip(s, code, strict=True)])
 
-    return by_language(c, lang)
+def ortho(c: Column, punctuation: str = "wide", lang: Column | None = None) -> Column:
+    """The orthographic stage as a column; where lang starts with tur or is tr, dotted and dotless i are kept apart.
 
+    Texts that PLAIN describes stay in the JVM. The others go through the Unicode tables, on Arrow batches; the null that
+    stands there for a plain text costs nothing.
+    """
+    turkish = F.lit(False) if lang is None else F.coalesce(lang.startswith("tur") | (lang == "tr"), F.lit(False))
+    plain = F.coalesce(c.rlike(PLAIN), F.lit(True)) & ~turkish
+
+    @F.pandas_udf("string")
+    def others(s: pd.Series, tr: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else orthographic(t, punctuation, x) for t, x in zip(s, tr, strict=True)], dtype=object)
 
-def ortho_latin(c: Column) -> Column:
-    """The orthographic stage for text of ASCII and precomposed Latin letters, inside the JVM."""
-    accented = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-    plain = "aaaaaaceeeeiiiinooooouuuuyy"
-    return F.btrim(F.regexp_replace(F.regexp_replace(F.translate(F.lower(F.coalesce(c, F.lit(""))), accented, plain), r"[!-/:-@\[-`{-~]", ""), SPACE, " "))
+    return F.when(plain, ortho_latin(c, punctuation)).otherwise(others(F.when(~plain, c), turkish))
 
 
 def turkish_lower(c: Column) -> Column:

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def aligned(a: list[str], b: list[str], padded: bool) -> Iterator[tuple[str, int, str, str | None]]:
@@ -16,6 +17,9 @@ def aligned(a: list[str], b: list[str], padded: bool) -> Iterator[tuple[str, int
     padded: the published package's form, in which popular tokens of long texts are no anchors and what is left over of
     a replaced block maps to nothing. Else a replaced block is cut to its shorter side.
     """
+    if a == b:
+        yield from (("equal", i, x, x) for i, x in enumerate(a))
+        return
     for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(None, a, b, autojunk=padded).get_opcodes():
         for k in range(i2 - i1):
             if tag == "delete":
@@ -26,15 +30,28 @@ def aligned(a: list[str], b: list[str], padded: bool) -> Iterator[tuple[str, int
                 yield tag, i1 + k, a[i1 + k], ""
 
 
-def align(df: DataFrame, padded: bool = True) -> DataFrame:
-    """doc_id, pos, op, src, dst from doc_id, raw, norm (arrays of tokens). One row a token; documents are aligned each for itself."""
+def align(df: DataFrame, padded: bool = True, keys: tuple[str, ...] = (), first_only: bool = False) -> DataFrame:
+    """doc_id, keys, pos, op, src, dst from doc_id, keys, raw, norm (arrays of tokens). One row a token; documents are aligned each for itself.
+
+    With first_only, of each source of a batch and its keys only the row of the least (doc_id, pos): what anld() needs, in rows
+    by types and not by tokens.
+    """
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), *[df.schema[k] for k in keys], *[T.StructField(n, T.LongType() if n == "pos" else T.StringType()) for n in ("pos", "op", "src", "dst")]])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(d, pos, op, s, t) for d, a, b in zip(batch.doc_id, batch.raw, batch.norm, strict=True) for op, pos, s, t in aligned(list(a), list(b), padded)]
-            yield pd.DataFrame(rows, columns=["doc_id", "pos", "op", "src", "dst"])
+            own = list(zip(*(batch[k] for k in keys), strict=True)) if keys else [()] * len(batch)
+            rows = []
+            firsts: dict[tuple, tuple] = {}
+            for d, key, a, b in sorted(zip(batch.doc_id, own, batch.raw, batch.norm, strict=True), key=lambda r: r[0]) if first_only else zip(batch.doc_id, own, batch.raw, batch.norm, strict=True):
+                for op, pos, s, t in aligned(list(a), list(b), padded):
+                    if not first_only:
+                        rows.append((d, *key, pos, op, s, t))
+                    elif (key, s) not in firsts:
+                        firsts[key, s] = (d, *key, pos, op, s, t)
+            yield pd.DataFrame(rows or list(firsts.values()), columns=schema.names)
 
-    return df.select("doc_id", "raw", "norm").mapInPandas(run, "doc_id long, pos long, op string, src string, dst string")
+    return df.select("doc_id", *keys, "raw", "norm").mapInPandas(run, schema)
 
 
 def anld(pairs: DataFrame, keys: list[str]) -> DataFrame:

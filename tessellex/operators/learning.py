@@ -33,27 +33,37 @@ def naive_bayes(tf: DataFrame, items: DataFrame, k: int) -> DataFrame:
     the least label.
     """
     t = tf.join(items, "item")
-    own = t.groupBy("fold", "label", "term").agg(F.sum("tf").alias("c"))
-    every = own.groupBy("label", "term").agg(F.sum("c").alias("c"))
-    folds = items.select("fold").distinct()
-    labels = items.groupBy("label").agg(F.count("*").alias("n_label"))
-    # counts of (label, term) without fold f, for terms that training still has
-    left = every.join(F.broadcast(folds)).join(own.withColumnRenamed("c", "o"), ["fold", "label", "term"], "left").select("fold", "label", "term", (F.col("c") - F.coalesce("o", F.lit(0))).alias("c")).where("c > 0")
-    vocabulary = left.select("fold", "term").distinct().groupBy("fold").agg(F.count("*").alias("v"))
-    totals = left.groupBy("fold", "label").agg(F.sum("c").alias("total"))
-    out_of = items.groupBy("fold", "label").agg(F.count("*").alias("n_own"))
-    prior = folds.join(F.broadcast(labels)).join(out_of, ["fold", "label"], "left").select("fold", "label", (F.col("n_label") - F.coalesce("n_own", F.lit(0))).alias("n")).where("n > 0")
-    size = prior.groupBy("fold").agg(F.sum("n").alias("n_all"))
-    model = prior.join(size, "fold").join(totals, ["fold", "label"], "left").join(vocabulary, "fold", "left")
-    model = model.select("fold", F.col("label").alias("y"), F.log(F.col("n") / F.col("n_all")).alias("lp"), F.log(F.coalesce("total", F.lit(0)) + F.coalesce("v", F.lit(0))).alias("den"))
-    known = t.select("item", "fold", "term", "tf").join(left.select("fold", "term").distinct(), ["fold", "term"], "left_semi")
-    length = known.groupBy("item").agg(F.sum("tf").alias("len"))
-    # sum tf * ln(c + 1) needs only the terms that the label has
-    hits = known.join(left.withColumnRenamed("label", "y"), ["fold", "term"]).groupBy("item", "y").agg(F.sum(F.col("tf") * F.log(F.col("c") + 1.0)).alias("s"))
-    scored = items.join(F.broadcast(model), "fold").join(length, "item", "left").join(hits, ["item", "y"], "left")
-    score = F.round(F.col("lp") + F.coalesce("s", F.lit(0.0)) - F.coalesce("len", F.lit(0)) * F.col("den"), 9)
-    best = scored.withColumn("score", score).groupBy("item", "fold", "label").agg(F.max_by("y", F.struct("score", -F.col("y"))).alias("pred"))
-    return best
+    # a row for each term and label: its counts by fold, of which there are k at most, and in all
+    cells = t.groupBy("term", "label", "fold").agg(F.sum("tf").alias("c"))
+    by_label = cells.groupBy("term", "label").agg(F.sum("c").alias("every"), F.map_from_entries(F.collect_list(F.struct("fold", "c"))).alias("own"))
+    terms = by_label.groupBy("term").agg(F.collect_list(F.struct("label", "every", "own")).alias("labels"))
+
+    def left(fold: Column) -> Column:
+        """(y, c) of the labels that have the term outside the fold."""
+        out = F.transform("labels", lambda x: F.struct(x.getField("label").alias("y"), (x.getField("every") - F.coalesce(F.try_element_at(x.getField("own"), fold), F.lit(0))).alias("c")))
+        return F.filter(out, lambda x: x.getField("c") > 0)
+
+    folds = F.array(*[F.lit(f) for f in range(k)])
+    sides = terms.select(F.explode(folds).alias("fold"), "labels").select("fold", F.posexplode(left(F.col("fold"))).alias("at", "x"))
+    totals = sides.groupBy("fold", F.col("x.y").alias("y")).agg(F.sum("x.c").alias("total"), F.count(F.when(F.col("at") == 0, 1)).alias("v"))
+    sizes = totals.groupBy("fold").agg(F.sum("v").alias("v"))
+    # priors of the training sides
+    counted = items.groupBy("label", "fold").agg(F.count("*").alias("n"))
+    priors = counted.groupBy("label").agg(F.sum("n").alias("every"), F.map_from_entries(F.collect_list(F.struct("fold", "n"))).alias("own"))
+    priors = priors.select(F.col("label").alias("y"), F.explode(folds).alias("fold"), "every", "own")
+    priors = priors.select("fold", "y", (F.col("every") - F.coalesce(F.try_element_at("own", F.col("fold")), F.lit(0))).alias("n")).where("n > 0")
+    n_all = priors.groupBy("fold").agg(F.sum("n").alias("n_all"))
+    model = priors.join(n_all, "fold").join(totals.drop("v"), ["fold", "y"], "left").join(sizes, "fold", "left")
+    lp, den = F.log(F.col("n") / F.col("n_all")), F.log(F.coalesce("total", F.lit(0)) + F.coalesce("v", F.lit(0)))
+    model = model.groupBy("fold").agg(F.collect_list(F.struct("y", lp.alias("lp"), den.alias("den"))).alias("model"))
+    # sum tf * ln(c + 1) needs only the terms that the label has; a term that no label has is left out of the length, too
+    hits = t.join(terms, "term").select("item", "tf", F.posexplode(left(F.col("fold"))).alias("at", "x"))
+    hits = hits.groupBy("item", F.col("x.y").alias("y")).agg(F.sum(F.col("tf") * F.log(F.col("x.c") + 1.0)).alias("s"), F.sum(F.when(F.col("at") == 0, F.col("tf")).otherwise(0)).alias("len"))
+    hits = hits.groupBy("item").agg(F.map_from_entries(F.collect_list(F.struct("y", "s"))).alias("s"), F.sum("len").alias("len"))
+    scored = items.join(model, "fold").join(hits, "item", "left")
+    score = lambda m: F.round(m.getField("lp") + F.coalesce(F.try_element_at("s", m.getField("y")), F.lit(0.0)) - F.coalesce("len", F.lit(0)) * m.getField("den"), 9)
+    best = F.array_max(F.transform("model", lambda m: F.struct(score(m).alias("score"), (-m.getField("y")).alias("tie"), m.getField("y").alias("y"))))
+    return scored.select("item", "fold", "label", best.getField("y").alias("pred"))
 
 
 def macro_f1(pred: DataFrame, keys: list[str]) -> DataFrame:

@@ -9,15 +9,22 @@ from pyspark.sql import functions as F
 
 from tessellex.functions import probability
 
-# Two-sided 95 % quantiles of Student's t by degrees of freedom.
-T95 = {2: 4.302653, 3: 3.182446, 4: 2.776445, 5: 2.570582, 6: 2.446912, 7: 2.364624, 8: 2.306004, 9: 2.262157, 14: 2.144787, 19: 2.093024}
-
-
 def paired(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
-    """keys, n, mean_a, mean_b, delta, sd, d_z of b - a; sd over n - 1, d_z null where sd is 0."""
+    """keys, n, mean_a, mean_b, delta, sd, d_z, lo, hi of b - a; sd over n - 1, d_z null where sd is 0, lo and hi the 95 % t-interval of delta."""
     d = F.col(b) - F.col(a)
     out = df.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(a).alias("mean_a"), F.avg(b).alias("mean_b"), F.avg(d).alias("delta"), F.stddev_samp(d).alias("sd"))
-    return out.withColumn("d_z", F.when(F.col("sd") > 0, F.col("delta") / F.col("sd")))
+    half = t95("n") * F.col("sd") / F.sqrt("n")
+    return out.withColumn("d_z", F.when(F.col("sd") > 0, F.col("delta") / F.col("sd"))).withColumns({"lo": F.col("delta") - half, "hi": F.col("delta") + half})
+
+
+def t95(n: str) -> Column:
+    """Student's two-sided 95 % quantile for n values; null for fewer than two."""
+
+    @F.pandas_udf("double")
+    def quantile(n: pd.Series) -> pd.Series:
+        return pd.Series([probability.t_quantile(int(x) - 1) if x > 1 else None for x in n], dtype=float)
+
+    return quantile(n)
 
 
 def mcnemar(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:

@@ -12,6 +12,11 @@ def exploded(df: DataFrame, keys: list[str], **conditions: Column) -> DataFrame:
     return df.select(*keys, F.explode(pairs).alias("p")).select(*keys, "p.condition", F.explode("p.tokens").alias("token"))
 
 
+def types(df: DataFrame, keys: list[str], tokens: Column) -> DataFrame:
+    """keys, token, n: the distinct tokens of an array column and how often they stand; what costs much is done to these."""
+    return df.select(*keys, F.explode(tokens).alias("token")).groupBy(*keys, "token").agg(F.count("*").alias("n"))
+
+
 def vocabulary(tokens: DataFrame, keys: list[str], conditions: list[str]) -> DataFrame:
     """keys and, for each condition, v_<condition>: its distinct tokens. Distinct rows first, so a hot key's counts combine."""
     seen = tokens.select(*keys, "condition", "token").distinct()
@@ -42,9 +47,10 @@ def aes(irs: Column, gain: Column, beta: Column | float = 1.0, clamped: bool = T
     return F.when(den > 0, (1 + b2) * i * gain / den).otherwise(F.lit(0.0))
 
 
-def kl_divergence(tokens: DataFrame, keys: list[str], p: str, q: str, epsilon: float = 1e-12) -> DataFrame:
-    """keys, kl: of the token distributions of condition p from q, over the union vocabulary, epsilon added to counts first."""
-    counts = tokens.groupBy(*keys, "token").agg(F.count(F.when(F.col("condition") == p, 1)).alias("cp"), F.count(F.when(F.col("condition") == q, 1)).alias("cq"))
+def kl_divergence(tokens: DataFrame, keys: list[str], p: str, q: str, epsilon: float = 1e-12, weight: Column | int = 1) -> DataFrame:
+    """keys, kl: of the token distributions of condition p from q, over the union vocabulary, epsilon added to counts first. A row counts weight times."""
+    n = lambda x: F.coalesce(F.sum(F.when(F.col("condition") == x, weight)), F.lit(0))
+    counts = tokens.groupBy(*keys, "token").agg(n(p).alias("cp"), n(q).alias("cq"))
     counts = counts.where("cp + cq > 0").select(*keys, (F.col("cp") + epsilon).alias("cp"), (F.col("cq") + epsilon).alias("cq"))
     # sum p ln(p / q) with p = cp / P, q = cq / Q: one pass of sums
     s = counts.groupBy(*keys).agg(F.sum("cp").alias("tp"), F.sum("cq").alias("tq"), F.sum(F.col("cp") * F.log(F.col("cp") / F.col("cq"))).alias("s"))

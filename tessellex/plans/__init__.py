@@ -38,7 +38,7 @@ class NormalizationStudy:
         return self.corpus.agg(F.avg(vocabulary.cosine(F.col("raw_vec"), F.col("norm_vec"))).alias("irs"))
 
     def anld(self, padded: bool = True) -> DataFrame:
-        return alignment.anld(alignment.align(self.pairs, padded), []).select(F.coalesce("anld", F.lit(0.0)).alias("anld"))
+        return alignment.anld(alignment.align(self.pairs, padded, first_only=True), []).select(F.coalesce("anld", F.lit(0.0)).alias("anld"))
 
     def kl(self, epsilon: float = 1e-12) -> DataFrame:
         return vocabulary.kl_divergence(self.tokens, [], "raw", "norm", epsilon)

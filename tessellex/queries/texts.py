@@ -141,11 +141,16 @@ def q_has_stemmer(spark, sf_dir):
 # --- vocabulary -----------------------------------------------------------------------------------
 
 
-def conditions(spark: SparkSession, sf_dir: str, keys: list[str]) -> DataFrame:
-    """keys, condition (raw, ortho, full), token. Full is ortho cut to five code points, a stemmer that SQL has too."""
-    d = docs(spark, sf_dir).select(*keys, text.tokenize(F.col("text")).alias("raw"), text.tokenize(text.ortho(F.col("text"), "wide", F.col("lang"))).alias("ortho"))
-    full = F.transform("ortho", lambda t: F.left(t, F.lit(5)))
-    return vocabulary.exploded(d, keys, raw=F.col("raw"), ortho=F.col("ortho"), full=full)
+def conditions(spark: SparkSession, sf_dir: str, keys: list[str], stems: bool = False) -> DataFrame:
+    """keys, n, condition (raw, ortho, full), token, of the raw types. Full is ortho cut to five code points, a stemmer that SQL has too; with stems, the language's.
+
+    Orthography and stems work on what stands between spaces, so the types of a corpus are enough.
+    """
+    d = docs(spark, sf_dir).withColumn("split", F.col("doc_id") % 2)
+    raw = vocabulary.types(d, list(dict.fromkeys([*keys, "lang"])), text.tokenize(F.col("text")))
+    raw = raw.withColumn("ortho", text.tokenize(text.ortho(F.col("token"), "wide", F.col("lang"))))
+    full = stemmers.stem_arrays(F.col("ortho"), F.col("lang")) if stems else F.transform("ortho", lambda t: F.left(t, F.lit(5)))
+    return vocabulary.exploded(raw.withColumn("full", full), [*keys, "n"], raw=F.array("token"), ortho=F.col("ortho"), full=F.col("full"))
 
 
 def condition_sql(keys: str) -> str:
@@ -160,6 +165,7 @@ count(DISTINCT token) FILTER (WHERE condition = 'full')::BIGINT AS v_full FROM (
 
 
 ALL = ["raw", "ortho", "full"]
+ALL_SIZES = [f"v_{c}" for c in ALL]
 
 
 @query(vocabulary_sql("lang"))
@@ -180,13 +186,21 @@ def q_cr_decomposition(spark, sf_dir):
     return q_vocab_size(spark, sf_dir).select("lang", *[F.round(c, 6).alias(n) for n, c in parts.items()])
 
 
+@query()
+def q_cr_stems(spark, sf_dir):
+    """The decomposition with the stems of each language as the full condition; a language without a stemmer keeps its orthographic types."""
+    v = vocabulary.vocabulary(conditions(spark, sf_dir, ["lang"], stems=True), ["lang"], ALL)
+    parts = vocabulary.decomposition(F.col("v_raw"), F.col("v_ortho"), F.col("v_full"))
+    return v.select("lang", *ALL_SIZES, *[F.round(c, 6).alias(n) for n, c in parts.items()])
+
+
 @query(f"""WITH t AS (SELECT lang, doc_id % 2 AS split, condition, token FROM ({condition_sql('lang, doc_id')})),
 s AS (SELECT lang, split, round(count(DISTINCT token) FILTER (WHERE condition = 'raw')::DOUBLE / count(DISTINCT token) FILTER (WHERE condition = 'ortho'), 6) AS cr
 FROM t GROUP BY GROUPING SETS ((lang, split), (lang)))
 SELECT lang, max(cr) FILTER (WHERE split IS NULL) AS pooled, CASE WHEN count(cr) FILTER (WHERE split IS NOT NULL) >= 2 THEN round(max(cr) FILTER (WHERE split IS NOT NULL) - min(cr) FILTER (WHERE split IS NOT NULL), 6) END AS spread
 FROM s GROUP BY lang""")
 def q_cr_replicates(spark, sf_dir):
-    t = conditions(spark, sf_dir, ["lang", "doc_id"]).where("condition <> 'full'").select("lang", (F.col("doc_id") % 2).alias("split"), "condition", "token").distinct()
+    t = conditions(spark, sf_dir, ["lang", "split"]).where("condition <> 'full'").select("lang", "split", "condition", "token").distinct()
     by_split = t.groupBy("lang", "split").agg(*[F.count(F.when(F.col("condition") == c, 1)).alias(c) for c in ("raw", "ortho")])
     pooled = t.drop("split").distinct().groupBy("lang").agg(*[F.count(F.when(F.col("condition") == c, 1)).alias(c) for c in ("raw", "ortho")]).withColumn("split", F.lit(None).cast("long"))
     s = by_split.unionByName(pooled).withColumn("cr", F.round(F.col("raw") / F.col("ortho"), 6))
@@ -206,7 +220,7 @@ FROM ({condition_sql('lang')}) WHERE condition <> 'full' GROUP BY lang, token),
 SELECT c.lang, round(sum(cp / tp * ln((cp / tp) / (cq / tq))), 6) AS kl FROM c JOIN s ON c.lang = s.lang GROUP BY c.lang""")
 def q_kl(spark, sf_dir):
     t = conditions(spark, sf_dir, ["lang"]).where("condition <> 'full'")
-    return vocabulary.kl_divergence(t, ["lang"], "raw", "ortho").select("lang", F.round("kl", 6).alias("kl"))
+    return vocabulary.kl_divergence(t, ["lang"], "raw", "ortho", weight=F.col("n")).select("lang", F.round("kl", 6).alias("kl"))
 
 
 CR_SOURCE = f"SELECT lang, source, round(v_raw::DOUBLE / v_ortho, 6) AS cr FROM ({vocabulary_sql('lang, source')})"
@@ -254,13 +268,13 @@ def q_align_ops(spark, sf_dir):
 
 @query()
 def q_anld(spark, sf_dir):
-    p = alignment.align(pairs(spark, sf_dir)).join(docs(spark, sf_dir).select("doc_id", "lang"), "doc_id")
+    p = alignment.align(pairs(spark, sf_dir), keys=("lang",), first_only=True)
     return alignment.anld(p, ["lang"]).withColumn("anld", F.round("anld", 6))
 
 
 @query()
 def q_anld_trunc(spark, sf_dir):
-    p = alignment.align(pairs(spark, sf_dir), padded=False).join(docs(spark, sf_dir).select("doc_id", "lang"), "doc_id")
+    p = alignment.align(pairs(spark, sf_dir), padded=False, keys=("lang",), first_only=True)
     return alignment.anld(p, ["lang"]).withColumn("anld", F.round("anld", 6))
 
 
