@@ -1,4 +1,4 @@
-"""Stemmers from their published definitions: Porter's, and Snowball's for English, German and Spanish. Other languages plug in as functions."""
+"""Stemmers from their published definitions: Porter's, and Snowball's for English, German, Spanish and, in snowball, ten more languages."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import snowball
 
 
 def _form(word: str) -> str:
@@ -253,13 +254,24 @@ def spanish(word: str) -> str:
     return w.translate(ACUTE)
 
 
-BY_LANGUAGE: dict[str, Callable[[str], str]] = {"en": english, "de": german, "es": spanish}
+BY_LANGUAGE: dict[str, Callable[[str], str]] = {
+    "en": english, "de": german, "es": spanish, "fr": snowball.french, "it": snowball.italian, "pt": snowball.portuguese, "sv": snowball.swedish, "no": snowball.norwegian,
+    "da": snowball.danish, "nl": snowball.dutch, "ru": snowball.russian, "fi": snowball.finnish, "hu": snowball.hungarian,
+}
+# Three-letter codes, as in names like fra_Latn, of the languages with a stemmer.
+CODES = {"eng": "en", "deu": "de", "spa": "es", "fra": "fr", "ita": "it", "por": "pt", "swe": "sv", "nob": "no", "dan": "da", "nld": "nl", "rus": "ru", "fin": "fi", "hun": "hu"}
+BY_LANGUAGE |= {code: BY_LANGUAGE[short] for code, short in CODES.items()}
+
+
+def stemmer_of(lang: str | None) -> Callable[[str], str] | None:
+    """By a two- or three-letter code, whatever script or region follows it; other languages' stemmers, as Bangla ones, are added to BY_LANGUAGE."""
+    return BY_LANGUAGE.get(re.split("[_-]", lang)[0]) if lang else None
 
 
 def stem_column(token: Column, lang: Column) -> Column:
     @F.pandas_udf("string")
     def run(t: pd.Series, code: pd.Series) -> pd.Series:
-        return pd.Series([BY_LANGUAGE[c](w) if c in BY_LANGUAGE else w for w, c in zip(t, code, strict=True)])
+        return pd.Series([f(w) if (f := stemmer_of(c)) else w for w, c in zip(t, code, strict=True)], dtype=object)
 
     return run(token, lang)
 
@@ -272,7 +284,7 @@ def stem_arrays(tokens: Column, lang: Column) -> Column:
         seen: dict[tuple[str, str], str] = {}
         out = []
         for ts, c in zip(t, code, strict=True):
-            f = BY_LANGUAGE.get(c)
+            f = stemmer_of(c)
             for w in ts if f else ():
                 if (c, w) not in seen:
                     seen[c, w] = f(w)

@@ -72,7 +72,7 @@ def ortho(c: Column, punctuation: str = "wide", lang: Column | None = None) -> C
     stands there for a plain text costs nothing.
     """
     turkish = F.lit(False) if lang is None else F.coalesce(lang.startswith("tur") | (lang == "tr"), F.lit(False))
-    plain = F.coalesce(c.rlike(PLAIN), F.lit(True)) & ~turkish
+    plain = c.isNull() | (c.rlike(PLAIN) & ~turkish)
 
     @F.pandas_udf("string")
     def others(s: pd.Series, tr: pd.Series) -> pd.Series:
