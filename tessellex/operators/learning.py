@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import ranking
+
 
 def order_hash(item: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), item.cast("string")))
 
 
 def stratified_folds(df: DataFrame, item: str, label: str, k: int = 10, seed: int = 42) -> DataFrame:
-    """df with fold: items of a label in a seeded order, dealt to k folds by turns."""
-    w = Window.partitionBy(label).orderBy(order_hash(F.col(item), seed), item)
-    return df.withColumn("fold", ((F.row_number().over(w) - 1) % k).cast("int"))
+    """df with fold: items of a label in a seeded order, dealt to k folds by turns. The order's first digits are its ranges."""
+    d = df.withColumn("fold_order", order_hash(F.col(item), seed))
+    d = ranking.positions(d, [label], F.conv(F.substring("fold_order", 1, 3), 16, 10).cast("int"), ["fold_order", item], "fold_at")
+    return d.withColumn("fold", (F.col("fold_at") % k).cast("int")).drop("fold_order", "fold_at")
 
 
 def tfidf(tf: DataFrame, train: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tessellex.functions import probability
 
+from . import ranking
+
 def paired(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     """keys, n, mean_a, mean_b, delta, sd, d_z, lo, hi of b - a; sd over n - 1, d_z null where sd is 0, lo and hi the 95 % t-interval of delta."""
     d = F.col(b) - F.col(a)
@@ -31,12 +33,14 @@ def mcnemar(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     """keys, a_only, b_only, both, neither, statistic, exact, p of two boolean columns."""
     n = lambda x, y: F.count(F.when((F.col(a) == x) & (F.col(b) == y), 1))
     out = df.groupBy(*keys).agg(n(True, False).alias("a_only"), n(False, True).alias("b_only"), n(True, True).alias("both"), n(False, False).alias("neither"))
+    apart = F.col("a_only") + F.col("b_only")
+    corrected = F.pow(F.abs(F.col("a_only") - F.col("b_only")) - 1, F.lit(2.0)) / apart
 
-    @F.pandas_udf("statistic double, p double, exact boolean")
-    def test(x: pd.Series, y: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([probability.mcnemar(int(i), int(j)) for i, j in zip(x, y, strict=True)], columns=["statistic", "p", "exact"])
+    @F.pandas_udf("double")
+    def p(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([probability.mcnemar(int(i), int(j))[1] for i, j in zip(x, y, strict=True)], dtype=float)
 
-    return out.withColumn("t", test("a_only", "b_only")).select("*", "t.statistic", "t.p", "t.exact").drop("t")
+    return out.withColumns({"statistic": F.when(apart < 25, F.least("a_only", "b_only").cast("double")).otherwise(corrected), "exact": apart < 25, "p": p("a_only", "b_only")})
 
 
 def wilcoxon(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -74,14 +78,9 @@ def hash_bootstrap(df: DataFrame, keys: list[str], value: str, item: str, n_boot
     return each.groupBy(*keys).agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"))
 
 
-def midrank(value: str, keys: list[str]) -> Column:
-    w = Window.partitionBy(*keys)
-    return F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*keys, value)) - 1) / F.lit(2.0)
-
-
 def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """keys, n, rho, p: correlation of midranks, and Student's p."""
-    r = df.withColumn("rx", midrank(x, keys)).withColumn("ry", midrank(y, keys))
+    r = ranking.midranks(ranking.midranks(df, keys, x, "rx"), keys, y, "ry")
     out = r.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("rho"))
 
     @F.pandas_udf("double")
@@ -93,8 +92,7 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
 
 def holm(df: DataFrame, keys: list[str], p: str, tie: str) -> DataFrame:
     """df with p_holm: step-down within keys, a running maximum, at most 1."""
-    w = Window.partitionBy(*keys)
-    order = w.orderBy(p, tie)
-    step = F.least(F.lit(1.0), F.col(p) * (F.count("*").over(w) - F.row_number().over(order) + 1))
-    return df.withColumn("p_step", step).withColumn("p_holm", F.max("p_step").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("p_step")
-
+    ranges = ranking.range_of(F.col(p), ranking.bounds(df, p))
+    d = ranking.positions(df, keys, ranges, [p, tie], "p_at").join(df.groupBy(*keys).agg(F.count("*").alias("p_n")), keys)
+    d = d.withColumn("p_step", F.least(F.lit(1.0), F.col(p) * (F.col("p_n") - F.col("p_at"))))
+    return ranking.running_max(d, keys, ranges, [p, tie], "p_step", "p_holm").drop("p_step", "p_at", "p_n")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessellex.functions import text
+from tessellex.operators import ranking
 from tessellex.sources import parse_conllu, table
 
 from . import query
@@ -44,7 +45,7 @@ def q_systematic_sample(spark, sf_dir):
     """Evenly spaced rows (a sampling operator): the positions of linspace(0, n - 1, 100), cut to integers."""
     c = table(spark, sf_dir, "customer").select("c_custkey")
     n = c.count()
-    numbered = c.withColumn("pos", (F.row_number().over(Window.orderBy("c_custkey")) - 1).cast("long"))
+    numbered = ranking.positions(c, [], ranking.range_of(F.col("c_custkey"), ranking.bounds(c, "c_custkey")), ["c_custkey"])
     at = spark.range(100).select(F.floor(F.col("id") * (n - 1) / F.lit(99.0)).alias("pos")).distinct()
     return numbered.join(F.broadcast(at), "pos").select("pos", "c_custkey")
 

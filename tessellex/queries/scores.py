@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessellex.operators import statistics as st
+from tessellex.operators import ranking
 from tessellex.operators import vocabulary as vo
 from tessellex.sources import table
 
@@ -97,6 +97,7 @@ r AS (SELECT lang, dim, rank() OVER (PARTITION BY dim ORDER BY v) + (count(*) OV
 SELECT a.dim AS dim_a, b.dim AS dim_b, count(*)::BIGINT AS n, round(corr(a.r, b.r), 6) + 0.0 AS rho FROM r a JOIN r b ON a.lang = b.lang AND a.dim < b.dim GROUP BY a.dim, b.dim""")
 def q_dim_pairs(spark, sf_dir):
     """Rank correlations of all pairs of dimensions over languages."""
-    long = q_cr_decomposition(spark, sf_dir).unpivot("lang", ["cr_total", "cr_ortho", "cr_morph", "morph_share"], "dim", "v").withColumn("r", st.midrank("v", ["dim"]))
+    long = q_cr_decomposition(spark, sf_dir).unpivot("lang", ["cr_total", "cr_ortho", "cr_morph", "morph_share"], "dim", "v")
+    long = ranking.midranks(long, ["dim"], "v", "r")
     j = long.alias("a").join(long.alias("b"), (F.col("a.lang") == F.col("b.lang")) & (F.col("a.dim") < F.col("b.dim")))
     return j.groupBy(F.col("a.dim").alias("dim_a"), F.col("b.dim").alias("dim_b")).agg(F.count("*").alias("n"), (F.round(F.corr("a.r", "b.r"), 6) + 0.0).alias("rho"))
