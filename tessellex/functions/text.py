@@ -72,13 +72,13 @@ def ortho(c: Column, punctuation: str = "wide", lang: Column | None = None) -> C
     stands there for a plain text costs nothing.
     """
     turkish = F.lit(False) if lang is None else F.coalesce(lang.startswith("tur") | (lang == "tr"), F.lit(False))
-    plain = c.isNull() | (c.rlike(PLAIN) & ~turkish)
+    plain = c.isNull() | (~turkish & ((F.octet_length(c) == F.char_length(c)) | c.rlike(PLAIN)))
 
     @F.pandas_udf("string")
     def others(s: pd.Series, tr: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else orthographic(t, punctuation, x) for t, x in zip(s, tr, strict=True)], dtype=object)
 
-    return F.when(plain, ortho_latin(c, punctuation)).otherwise(others(F.when(~plain, c), turkish))
+    return F.coalesce(others(F.when(~plain, c), turkish), ortho_latin(c, punctuation))
 
 
 def turkish_lower(c: Column) -> Column:

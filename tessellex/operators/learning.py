@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessellex.sources.scratch import materialize
+
 from . import ranking
 
 
@@ -35,7 +37,8 @@ def naive_bayes(tf: DataFrame, items: DataFrame, k: int) -> DataFrame:
     of all folds less the fold's own, so nothing is fitted k times. Terms unseen in training are left out. Ties go to
     the least label.
     """
-    t = tf.join(items, "item")
+    items = materialize(items.select("item", "label", "fold"))  # read in several places below, as the counts are
+    t = materialize(tf.join(items, "item"))
     # a row for each term and label: its counts by fold, of which there are k at most, and in all
     cells = t.groupBy("term", "label", "fold").agg(F.sum("tf").alias("c"))
     by_label = cells.groupBy("term", "label").agg(F.sum("c").alias("every"), F.map_from_entries(F.collect_list(F.struct("fold", "c"))).alias("own"))
@@ -47,8 +50,8 @@ def naive_bayes(tf: DataFrame, items: DataFrame, k: int) -> DataFrame:
         return F.filter(out, lambda x: x.getField("c") > 0)
 
     folds = F.array(*[F.lit(f) for f in range(k)])
-    sides = terms.select(F.explode(folds).alias("fold"), "labels").select("fold", F.posexplode(left(F.col("fold"))).alias("at", "x"))
-    totals = sides.groupBy("fold", F.col("x.y").alias("y")).agg(F.sum("x.c").alias("total"), F.count(F.when(F.col("at") == 0, 1)).alias("v"))
+    sides = terms.select("term", F.explode(folds).alias("fold"), "labels").select("term", "fold", left(F.col("fold")).alias("xs")).where(F.size("xs") > 0)
+    totals = sides.select("fold", F.posexplode("xs").alias("at", "x")).groupBy("fold", F.col("x.y").alias("y")).agg(F.sum("x.c").alias("total"), F.count(F.when(F.col("at") == 0, 1)).alias("v"))
     sizes = totals.groupBy("fold").agg(F.sum("v").alias("v"))
     # priors of the training sides
     counted = items.groupBy("label", "fold").agg(F.count("*").alias("n"))
@@ -60,7 +63,7 @@ def naive_bayes(tf: DataFrame, items: DataFrame, k: int) -> DataFrame:
     lp, den = F.log(F.col("n") / F.col("n_all")), F.log(F.coalesce("total", F.lit(0)) + F.coalesce("v", F.lit(0)))
     model = model.groupBy("fold").agg(F.collect_list(F.struct("y", lp.alias("lp"), den.alias("den"))).alias("model"))
     # sum tf * ln(c + 1) needs only the terms that the label has; a term that no label has is left out of the length, too
-    hits = t.join(terms, "term").select("item", "tf", F.posexplode(left(F.col("fold"))).alias("at", "x"))
+    hits = t.join(sides, ["term", "fold"]).select("item", "tf", F.posexplode("xs").alias("at", "x"))
     hits = hits.groupBy("item", F.col("x.y").alias("y")).agg(F.sum(F.col("tf") * F.log(F.col("x.c") + 1.0)).alias("s"), F.sum(F.when(F.col("at") == 0, F.col("tf")).otherwise(0)).alias("len"))
     hits = hits.groupBy("item").agg(F.map_from_entries(F.collect_list(F.struct("y", "s"))).alias("s"), F.sum("len").alias("len"))
     scored = items.join(model, "fold").join(hits, "item", "left")

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -29,10 +29,11 @@ def bm25_scores(queries: DataFrame, weights: DataFrame) -> DataFrame:
 
 def gold_ranks(queries: DataFrame, scores: DataFrame, n_docs: int, digits: int = 9) -> DataFrame:
     """qid, rank: how many documents score as high as the gold one or higher. queries: qid, gold. A gold score of 0 ranks last."""
-    s = scores.withColumn("score", F.round("score", digits))
-    gold = queries.select("qid", "gold").join(s.withColumnRenamed("did", "gold"), ["qid", "gold"], "left").select("qid", F.coalesce("score", F.lit(0.0)).alias("g"))
-    above = gold.join(s, "qid", "left").groupBy("qid", "g").agg(F.count(F.when(F.col("score") >= F.col("g"), 1)).alias("n"))
-    return above.select("qid", F.when(F.col("g") > 0, F.col("n")).otherwise(F.lit(n_docs)).cast("long").alias("rank"))
+    gold = queries.select("qid", "gold")
+    s = scores.join(gold, "qid").select("qid", F.round("score", digits).alias("score"), (F.col("did") == F.col("gold")).alias("hit"))
+    g = F.max(F.when(F.col("hit"), F.col("score"))).over(Window.partitionBy("qid"))
+    above = s.withColumn("g", g).where((F.col("score") >= F.col("g")) & (F.col("g") > 0)).groupBy("qid").agg(F.count("*").alias("n"))
+    return gold.join(above, "qid", "left").select("qid", F.coalesce("n", F.lit(n_docs)).cast("long").alias("rank"))
 
 
 def ir_metrics(ranks: DataFrame, keys: list[str]) -> DataFrame:

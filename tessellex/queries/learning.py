@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessellex.functions import text
 from tessellex.operators import learning as ml
 from tessellex.operators import statistics as st
-from tessellex.sources import table
+from tessellex.sources import spread, table
 
 from . import query
 from .texts import TOKENS
@@ -28,7 +28,7 @@ def q_folds(spark, sf_dir):
 def counts(spark, sf_dir, cut: int | None = None):
     t = text.tokenize(F.lower("text"))
     t = F.transform(t, lambda x: F.left(x, F.lit(cut))) if cut else t
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), F.explode(t).alias("term"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("item"), F.explode(t).alias("term"))
     return d.join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("item")), "item", "left_semi").groupBy("item", "term").agg(F.count("*").alias("tf"))
 
 

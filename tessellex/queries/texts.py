@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessellex.functions import stemmers, text
 from tessellex.operators import alignment, vocabulary
-from tessellex.sources import table
+from tessellex.sources import spread, table
 
 from . import query
 
@@ -122,14 +122,14 @@ def q_porter(spark, sf_dir):
 @query()
 def q_stem(spark, sf_dir):
     """Types of each language and their stems."""
-    types = docs(spark, sf_dir).where(F.col("lang").isin(*stemmers.BY_LANGUAGE)).select("lang", F.explode(text.words(F.lower("text"))).alias("token")).distinct()
+    types = spread(docs(spark, sf_dir).select("lang", "text")).where(F.col("lang").isin(*stemmers.BY_LANGUAGE)).select("lang", F.explode(text.words(F.lower("text"))).alias("token")).distinct()
     return types.withColumn("stem", stemmers.stem_column(F.col("token"), F.col("lang")))
 
 
 @query()
 def q_full_pipeline(spark, sf_dir):
     """Orthography, then stems; languages without a stemmer keep the orthographic form."""
-    d = docs(spark, sf_dir).select("doc_id", "lang", text.tokenize(text.ortho(F.col("text"), "wide", F.col("lang"))).alias("t"))
+    d = spread(docs(spark, sf_dir).select("doc_id", "lang", "text")).select("doc_id", "lang", text.tokenize(text.ortho(F.col("text"), "wide", F.col("lang"))).alias("t"))
     return d.select("doc_id", *digest(stemmers.stem_arrays(F.col("t"), F.col("lang"))))
 
 
@@ -146,7 +146,7 @@ def conditions(spark: SparkSession, sf_dir: str, keys: list[str], stems: bool =
 
     Orthography and stems work on what stands between spaces, so the types of a corpus are enough.
     """
-    d = docs(spark, sf_dir).withColumn("split", F.col("doc_id") % 2)
+    d = spread(docs(spark, sf_dir).select("doc_id", "lang", "source", "text")).withColumn("split", F.col("doc_id") % 2)
     raw = vocabulary.types(d, list(dict.fromkeys([*keys, "lang"])), text.tokenize(F.col("text")))
     raw = raw.withColumn("ortho", text.tokenize(text.ortho(F.col("token"), "wide", F.col("lang"))))
     full = stemmers.stem_arrays(F.col("ortho"), F.col("lang")) if stems else F.transform("ortho", lambda t: F.left(t, F.lit(5)))
@@ -251,7 +251,7 @@ def q_label_counts(spark, sf_dir):
 
 
 def pairs(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", "lang", text.tokenize(F.col("text")).alias("raw"), text.tokenize(text.ortho(F.col("text"), "wide", F.col("lang"))).alias("norm"))
+    return spread(docs(spark, sf_dir).select("doc_id", "lang", "text")).select("doc_id", "lang", text.tokenize(F.col("text")).alias("raw"), text.tokenize(text.ortho(F.col("text"), "wide", F.col("lang"))).alias("norm"))
 
 
 @query(f"SELECT doc_id, len({TOKENS})::BIGINT AS n_raw, len({ORTHO_TOKENS})::BIGINT AS n_norm FROM documents")

@@ -12,6 +12,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan in as many partitions as there are cores, for what costs much more than its shuffle; a scan that has them already isn't touched.
+
+    For scans and what follows them without a shuffle: counting the partitions of such plans runs nothing.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def read_lines(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     """split, line, text: line-aligned corpora, a file or folder a split; lines are numbered from 0 within a file."""
     parts = []
