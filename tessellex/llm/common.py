@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessellex.sources.scratch import materialize, scratch, scratch_dir
+
+__all__ = ["materialize", "scratch", "scratch_dir"]
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Ids that are null sort after every other id.
 NO_ID = 2**63 - 1
@@ -29,65 +28,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Folders of scratch tables by session, in the order in which they were made.
-_made: dict[str, list[str]] = {}
-_local: dict[str, str] = {}
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors share.
-
-    Without that setting, only a session whose executors are threads of the driver gets a folder of its own machine. The
-    folder goes at the end of the scratch() around it, or when the driver ends.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    app = spark.sparkContext.applicationId
-    if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = _local.setdefault(app, tempfile.mkdtemp(prefix="tessellex-"))
-    path = f"{base.rstrip('/')}/tessellex-{app}/{uuid.uuid4().hex}"
-    _tables(spark).append(path)
-    return path
-
-
-def _tables(spark: SparkSession) -> list[str]:
-    app = spark.sparkContext.applicationId
-    if app not in _made:
-        _made[app] = []
-        atexit.register(_remove, spark, _made[app], 0)
-    return _made[app]
-
-
-@contextlib.contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Removes the tables that operators made inside, so that queries of a long session don't pile up. Results must have been written by then."""
-    made = _tables(spark)
-    before = len(made)
-    try:
-        yield
-    finally:
-        _remove(spark, made, before)
-
-
-def _remove(spark: SparkSession, made: list[str], first: int) -> None:
-    for path in made[first:]:
-        try:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # noqa: BLE001  the session has ended before
-            pass
-    del made[first:]
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Writes df to the shared scratch folder and reads it back: a lost executor costs no more than a task, and nothing is computed twice."""
-    spark = df.sparkSession
-    path = scratch_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value computed once a row even where body uses it inside lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)
