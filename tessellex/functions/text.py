@@ -113,8 +113,18 @@ def rejoined(parts: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(parts), lambda p: p.getField("part")), " ")
 
 
-def clean_lemma(c: Column) -> Column:
-    return F.replace(F.lower(c), F.lit("#"), F.lit(""))
+def clean_lemma(c: Column, lang: Column | None = None) -> Column:
+    """Lower case without #; where lang is Arabic, also without the marks that NFKD takes apart."""
+    clean = F.replace(F.lower(c), F.lit("#"), F.lit(""))
+    if lang is None:
+        return clean
+
+    @F.pandas_udf("string")
+    def bare(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: t if t is None else "".join(x for x in unicodedata.normalize("NFKD", t) if not unicodedata.combining(x)))
+
+    arabic = F.coalesce(lang.startswith("ar"), F.lit(False))
+    return F.coalesce(bare(F.when(arabic, clean)), clean)
 
 
 def valid_output(source: Column, made: Column) -> Column:
@@ -127,10 +137,42 @@ def first_line(c: Column) -> Column:
     return F.trim(F.split_part(F.btrim(c, F.lit(" \n\t\r")), F.lit("\n"), F.lit(1)))
 
 
+def prompt(template: str, **fields: Column) -> Column:
+    """The template with {name} filled in for each field; a null is empty."""
+    out = F.lit(template)
+    for name, c in fields.items():
+        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(c.cast("string"), F.lit("")))
+    return out
+
+
+NUMBER = r"-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
+
+
 def numbers(c: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"-?[0-9]+(?:\.[0-9]+)?"), F.lit(0))
+    """Numbers as they are written, scientific notation included."""
+    return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(NUMBER), F.lit(0))
 
 
 def rounds_to(printed: Column, value: Column, digits: int) -> Column:
     """Whether value rounds to what is printed with so many digits, half a unit of the last one allowed."""
     return F.abs(printed - value) <= 0.5 * 10.0**-digits + 1e-12
+
+
+def as_printed(printed: Column, value: Column) -> Column:
+    """Whether value rounds to a number as it is written, at that precision; 1.2e-3 has digits down to 1e-4."""
+    mantissa, exponent = F.regexp_extract(printed, r"^-?[0-9]+\.?([0-9]*)", 1), F.regexp_extract(printed, r"[eE]([+-]?[0-9]+)$", 1)
+    unit = F.pow(F.lit(10.0), F.coalesce(F.try_to_number(F.ltrim(exponent, F.lit("+")), F.lit("S999")).cast("double"), F.lit(0.0)) - F.char_length(mantissa))
+    return F.abs(printed.cast("double") - value) <= 0.5 * unit * (1 + 1e-9)
+
+
+def p_text(p: Column) -> Column:
+    """A p-value with three decimals, those below 0.001 as <0.001."""
+    return F.when(p < 0.001, F.lit("<0.001")).otherwise(F.format_string("%.3f", F.round(p, 3)))
+
+
+def rouge1(candidate: Column, reference: Column) -> Column:
+    """F1 of the words that two token arrays share, each as often as both have it; 0 where either is empty."""
+    times = lambda a, t: F.size(F.filter(a, lambda x: x == t))
+    shared = F.aggregate(F.transform(F.array_distinct(F.array_intersect(candidate, reference)), lambda t: F.least(times(candidate, t), times(reference, t))), F.lit(0), lambda s, x: s + x)
+    total = F.size(candidate) + F.size(reference)
+    return F.when(total > 0, 2.0 * shared / total).otherwise(F.lit(0.0))

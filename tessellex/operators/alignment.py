@@ -54,11 +54,15 @@ def align(df: DataFrame, padded: bool = True, keys: tuple[str, ...] = (), first_
     return df.select("doc_id", *keys, "raw", "norm").mapInPandas(run, schema)
 
 
-def anld(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, anld, n_types: the mean over distinct sources of their distance to their first target, by length.
+def word_distances(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, src, distance: of each distinct source the edit distance to its first target, by its length.
 
     pairs: keys, doc_id, pos, src, dst. The first target is that of the least (doc_id, pos).
     """
     first = pairs.where("src <> ''").groupBy(*keys, "src").agg(F.min(F.struct("doc_id", "pos", "dst")).alias("m"))
-    each = F.levenshtein("src", F.col("m.dst")) / F.char_length("src")
-    return first.groupBy(*keys).agg(F.avg(each).alias("anld"), F.count("*").alias("n_types"))
+    return first.select(*keys, "src", (F.levenshtein("src", F.col("m.dst")) / F.char_length("src")).alias("distance"))
+
+
+def anld(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, anld, n_types: the mean of word_distances()."""
+    return word_distances(pairs, keys).groupBy(*keys).agg(F.avg("distance").alias("anld"), F.count("*").alias("n_types"))

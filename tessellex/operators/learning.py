@@ -81,3 +81,21 @@ def macro_f1(pred: DataFrame, keys: list[str]) -> DataFrame:
         F.count(F.when(F.col("pred") == F.col("y"), 1)).alias("n_pred"),
     )
     return each.groupBy(*keys).agg(F.avg(2 * F.col("tp") / (F.col("n_true") + F.col("n_pred"))).alias("f1"))
+
+
+def fit_predict(features: DataFrame, k: int, classifier: str = "lr") -> DataFrame:
+    """item, fold, label, pred: each fold predicted by MLlib's logistic regression (lr) or random forest (rf) of the others.
+
+    features: item, fold, label (numeric), features (array<double>): made once by any encoder, or TF-IDF of a bounded
+    vocabulary. One fit a fold; nothing but the model comes to the driver.
+    """
+    from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+    from pyspark.ml.functions import array_to_vector
+
+    made = {"lr": lambda: LogisticRegression(labelCol="label", maxIter=100, regParam=0.0), "rf": lambda: RandomForestClassifier(labelCol="label", numTrees=100, seed=42)}
+    d = materialize(features.select("item", "fold", F.col("label").cast("double").alias("label"), array_to_vector("features").alias("features")))
+    out = None
+    for f in range(k):
+        held = made[classifier]().fit(d.where(F.col("fold") != f)).transform(d.where(F.col("fold") == f))
+        out = held if out is None else out.unionByName(held)
+    return out.select("item", "fold", F.col("label").cast("long").alias("label"), F.col("prediction").cast("long").alias("pred"))

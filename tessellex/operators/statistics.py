@@ -96,3 +96,15 @@ def holm(df: DataFrame, keys: list[str], p: str, tie: str) -> DataFrame:
     d = ranking.positions(df, keys, ranges, [p, tie], "p_at").join(df.groupBy(*keys).agg(F.count("*").alias("p_n")), keys)
     d = d.withColumn("p_step", F.least(F.lit(1.0), F.col(p) * (F.col("p_n") - F.col("p_at"))))
     return ranking.running_max(d, keys, ranges, [p, tie], "p_step", "p_holm").drop("p_step", "p_at", "p_n")
+
+
+def comparison(df: DataFrame, keys: list[str], a: str, b: str, item: str, n_boot: int = 10_000) -> DataFrame:
+    """keys, delta, lo, hi, a_only, b_only, statistic, exact, p of two paired ranks: the change of the reciprocal rank up to ten with its
+    bootstrap interval, and McNemar's test of rank one.
+    """
+    rr = lambda c: F.when(F.col(c) <= 10, 1 / F.col(c)).otherwise(0.0)
+    d = df.withColumn("cp_key", F.lit(0))
+    by = ["cp_key", *keys]
+    ci = bootstrap(d.select(*by, item, (rr(b) - rr(a)).alias("cp_d")), by, "cp_d", item, n_boot).withColumnRenamed("mean", "delta")
+    test = mcnemar(d.select(*by, (F.col(a) == 1).alias("x"), (F.col(b) == 1).alias("y")), by, "x", "y")
+    return test.join(ci, by).select(*keys, "delta", "lo", "hi", "a_only", "b_only", "statistic", "exact", "p")

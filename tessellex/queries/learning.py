@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessellex.functions import text
+from tessellex.operators import inference
 from tessellex.operators import learning as ml
 from tessellex.operators import statistics as st
 from tessellex.sources import spread, table
 
 from . import query
-from .texts import TOKENS
+from .texts import SHORT_OUT, TOKENS, VALID
 
 K = 5
 FOLD = f"(row_number() OVER (PARTITION BY quality ORDER BY md5('42:' || doc_id), doc_id) - 1) % {K}"
@@ -138,12 +139,12 @@ def q_paired_stats(spark, sf_dir):
 POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563]
 
 
-@query(f"""WITH d AS (SELECT label, vec_id, embedding[1]::DOUBLE AS v FROM embeddings),
+@query(f"""WITH d AS (SELECT label, vec_id, round(list_sum(list_transform(embedding, lambda x: abs(x::DOUBLE))), 6) AS v FROM embeddings),
 r AS (SELECT label, v, r, ('0x' || substr(md5(vec_id || ':' || r), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM d, (SELECT unnest(range(1, 101)) AS r)),
 m AS (SELECT label, r, sum(w * v) / sum(w) AS m FROM (SELECT label, r, v, {' + '.join(f'(u >= {c})::INT' for c in POISSON)} AS w FROM r) GROUP BY label, r)
 SELECT label, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM m GROUP BY label""")
 def q_bootstrap(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.get("embedding", 0).cast("double").alias("v"))
+    e = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + F.abs(x.cast("double"))), 6).alias("v"))
     return st.hash_bootstrap(e, ["label"], "v", "vec_id", n_boot=100).select("label", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
 
@@ -163,6 +164,12 @@ def q_spearman(spark, sf_dir):
     return st.spearman(d, ["g"], "x", "y").select("n", F.round("rho", 6).alias("rho"))
 
 
+@query()
+def q_spearman_p(spark, sf_dir):
+    d = by_user(spark, sf_dir).withColumn("g", F.lit(0))
+    return st.spearman(d, ["g"], "x", "y").select("n", F.round("rho", 6).alias("rho"), F.round("p", 9).alias("p"))
+
+
 @query(f"SELECT 'y' AS target, n, rho FROM ({RHO.format(x='x', y='y', t=USERS)}) UNION ALL SELECT 'z', n, rho FROM ({RHO.format(x='x', y='z', t=USERS)})")
 def q_pooled_spearman(spark, sf_dir):
     d = by_user(spark, sf_dir).unpivot(["user_id", "x"], ["y", "z"], "target", "v")
@@ -196,13 +203,12 @@ def q_lemma_accuracy(spark, sf_dir):
     return d.groupBy("lang").agg(F.sum(F.size("t")).alias("tokens"), F.round(F.avg(same), 6).alias("accuracy"), F.round(F.avg(inflected), 6).alias("inflected"))
 
 
-@query(f"""SELECT doc_id, CASE WHEN trim(m) <> '' AND len({TOKENS.replace('text', 'm')}) >= 0.6 * len({TOKENS}) - 1 THEN 'made' ELSE 'input' END AS used FROM (SELECT doc_id, text, left(text, 1500) AS m FROM documents)""")
+@query(f"SELECT doc_id, CASE WHEN {VALID} THEN 'made' ELSE 'input' END AS used, md5(CASE WHEN {VALID} THEN m ELSE text END) AS digest FROM (SELECT doc_id, text, {SHORT_OUT} AS m FROM documents)")
 def q_fallback(spark, sf_dir):
-    """What a normaliser made where it is valid, else the input: distinct inputs only are made once and joined back."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.xxhash64("text").alias("h"))
-    made = d.select("text", "h").dropDuplicates(["h", "text"]).withColumn("m", F.left("text", F.lit(1500)))
-    ok = text.valid_output(F.col("text"), F.col("m"))
-    return d.drop("text").join(made.select("h", ok.alias("ok")), "h").select("doc_id", F.when(F.col("ok"), "made").otherwise("input").alias("used"))
+    """What a normaliser made where it is valid, else the input: distinct inputs only are made once, in batches of like length, and joined back."""
+    load = lambda: lambda texts: [" ".join(t for t in x.split() if len(t) > 2) for x in texts]
+    d = inference.normalise(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "text", load)
+    return d.select("doc_id", F.when(F.col("used") == "input", "input").otherwise("made").alias("used"), F.md5("norm").alias("digest"))
 
 
 @query()

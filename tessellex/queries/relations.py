@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessellex.functions import text
 from tessellex.operators import ranking
-from tessellex.sources import parse_conllu, table
+from tessellex.sources import lookup, parse_conllu, table
 
 from . import query
 from .texts import TOKENS
@@ -50,21 +50,22 @@ def q_systematic_sample(spark, sf_dir):
     return numbered.join(F.broadcast(at), "pos").select("pos", "c_custkey")
 
 
-CACHE = "(SELECT text AS raw, min(lower(left(text, 20))) AS norm FROM documents GROUP BY text)"
+CACHE = "(SELECT text AS raw, translate(text, 'aeiou', 'AEIOU') AS norm FROM documents GROUP BY text)"
 
 
-@query(f"SELECT d.doc_id, c.norm FROM documents d LEFT JOIN {CACHE} c ON d.text = c.raw")
+@query(f"SELECT d.doc_id, md5(c.norm) AS digest FROM documents d LEFT JOIN {CACHE} c ON d.text = c.raw")
 def q_lookup_norm(spark, sf_dir):
-    """Texts joined to a cache by a digest of the raw text."""
-    d = docs(spark, sf_dir).withColumn("h", F.sha2("text", 256))
-    cache = d.groupBy("h").agg(F.min(F.lower(F.left("text", F.lit(20)))).alias("norm"))
-    return d.select("doc_id", "h").join(cache, "h", "left").select("doc_id", "norm")
+    """Texts joined to a cache of normalised texts by a digest of the raw text; a text that it lacks would be an error."""
+    d = docs(spark, sf_dir).select("doc_id", "text")
+    cache = d.select(F.col("text").alias("raw"), F.translate("text", "aeiou", "AEIOU").alias("norm")).distinct().withColumnRenamed("raw", "text")
+    return lookup(d, cache, "text", "norm").select("doc_id", F.md5("norm").alias("digest"))
 
 
-@query("SELECT d.doc_id, coalesce(a.quality, b.toxic, -1)::INT AS value FROM documents d LEFT JOIN (SELECT * FROM labels WHERE doc_id % 2 = 0) a ON a.doc_id = d.doc_id LEFT JOIN labels b ON b.doc_id = d.doc_id")
+@query("SELECT d.doc_id, coalesce(nullif(a.quality, 0), b.toxic, -1)::INT AS value FROM documents d LEFT JOIN labels a ON a.doc_id = d.doc_id LEFT JOIN labels b ON b.doc_id = d.doc_id")
 def q_coalesce_lookup(spark, sf_dir):
+    """The value of one cache where it has one, else of another, else a default."""
     la = table(spark, sf_dir, "labels")
-    d = docs(spark, sf_dir).select("doc_id").join(la.where("doc_id % 2 = 0").select("doc_id", F.col("quality").alias("a")), "doc_id", "left")
+    d = docs(spark, sf_dir).select("doc_id").join(la.select("doc_id", F.nullif("quality", F.lit(0)).alias("a")), "doc_id", "left")
     return d.join(la.select("doc_id", F.col("toxic").alias("b")), "doc_id", "left").select("doc_id", F.coalesce("a", "b", F.lit(-1)).cast("int").alias("value"))
 
 
@@ -86,11 +87,13 @@ def q_tolerance_join(spark, sf_dir):
     return p.groupBy("n_regionkey").agg(F.count("*").alias("cells"), F.count_if(F.abs(F.col("a") - F.col("b")) <= 0.05 * F.abs("a")).alias("matches"))
 
 
-@query("SELECT l_returnflag, round(max(abs(a - b)), 4) AS worst FROM (SELECT l_returnflag, l_linestatus, sum(l_quantity) / count(*) AS a, avg(l_quantity) AS b FROM lineitem GROUP BY ALL) GROUP BY l_returnflag")
+@query("""SELECT label, round(max(abs(a - b)), 6) AS worst, (count(*) FILTER (WHERE abs(a - b) > 0.05))::BIGINT AS apart FROM (SELECT e.label, e.vec_id, list_dot_product(e.v, e.v) AS a, e.n AS b FROM (
+SELECT label, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v, avg(list_dot_product(list_transform(embedding, lambda x: x::DOUBLE), list_transform(embedding, lambda x: x::DOUBLE))) OVER (PARTITION BY label) AS n FROM embeddings) e) GROUP BY label""")
 def q_package_check(spark, sf_dir):
-    """Two ways to one figure, and the worst difference."""
-    x = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg((F.sum("l_quantity") / F.count("*")).alias("a"), F.avg("l_quantity").alias("b"))
-    return x.groupBy("l_returnflag").agg(F.round(F.max(F.abs(F.col("a") - F.col("b"))), 4).alias("worst"))
+    """A figure of each unit against a replica made another way (here its squared norm against its label's mean): the worst difference and how many are apart."""
+    e = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")).alias("a"))
+    x = e.join(e.groupBy("label").agg(F.avg("a").alias("b")), "label")
+    return x.groupBy("label").agg(F.round(F.max(F.abs(F.col("a") - F.col("b"))), 6).alias("worst"), F.count_if(F.abs(F.col("a") - F.col("b")) > 0.05).alias("apart"))
 
 
 @query("SELECT doc_id, CASE quality WHEN 0 THEN 'poor' WHEN 1 THEN 'good' END AS label FROM labels WHERE quality IS NOT NULL")
@@ -99,15 +102,38 @@ def q_label_decode(spark, sf_dir):
     return table(spark, sf_dir, "labels").dropna(subset=["quality"]).select("doc_id", F.element_at(names, F.col("quality")).alias("label"))
 
 
-@query(r"""SELECT doc_id, len(s)::BIGINT AS n_tokens FROM (SELECT doc_id, regexp_extract_all(split_part(coalesce(text, ''), chr(10), 1), '[^ ]+') AS s FROM documents) WHERE len(s) BETWEEN 6 AND 25""")
-def q_conll_filter(spark, sf_dir):
-    """Sentences of 6 to 25 tokens whose lemmas hold no underscore, from treebank blocks made of first lines."""
-    t = F.regexp_extract_all(F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1)), F.lit("[^ ]+"), F.lit(0))
-    lines = F.transform(t, lambda x, i: F.concat_ws("\t", (i + 1).cast("string"), x, F.lower(F.replace(x, F.lit("_"), F.lit("-"))), F.lit("X")))
-    block = F.array_join(F.concat(F.array(F.lit("# text = x")), lines, F.array(F.lit("1-2\tx\tx\tX"))), "\n")
-    s = parse_conllu(docs(spark, sf_dir).select("doc_id", block.alias("value")), "value", keep=["doc_id"])
+SENTENCES = """SELECT doc_id, line, regexp_extract_all(t, '[^ ]+') AS s FROM (SELECT doc_id, unnest(range(0, len(l))) AS line, unnest(l) AS t FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))"""
+
+
+def sentences(spark, sf_dir):
+    """doc_id, line, tokens: each line of each document as a treebank block, read back by the treebank parser."""
+    line = docs(spark, sf_dir).select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line", "t"))
+    t = F.regexp_extract_all("t", F.lit("[^ ]+"), F.lit(0))
+    rows = F.transform(t, lambda x, i: F.concat_ws("\t", (i + 1).cast("string"), x, F.lower(F.replace(x, F.lit("-"), F.lit("_"))), F.lit("X")))
+    block = F.array_join(F.concat(F.array(F.lit("# text = x")), rows, F.array(F.lit("1-2\tx\tx\tX"))), "\n")
+    return parse_conllu(line.select("doc_id", "line", block.alias("value")), "value", keep=["doc_id", "line"])
+
+
+def filtered(spark, sf_dir):
     ok = F.size("tokens").between(6, 25) & F.forall("tokens", lambda x: ~F.contains(x.getField("lemma"), F.lit("_")))
-    return s.where(ok).select("doc_id", F.size("tokens").cast("long").alias("n_tokens"))
+    return sentences(spark, sf_dir).where(ok).select("doc_id", F.col("line").cast("long").alias("line"), F.size("tokens").cast("long").alias("n_tokens"))
+
+
+FILTERED = f"SELECT doc_id, line::BIGINT AS line, len(s)::BIGINT AS n_tokens FROM ({SENTENCES}) WHERE len(s) BETWEEN 6 AND 25 AND len(list_filter(s, lambda x: contains(x, '-') OR contains(x, '_'))) = 0"
+
+
+@query(FILTERED)
+def q_conll_filter(spark, sf_dir):
+    """Sentences of 6 to 25 tokens whose lemmas hold no underscore."""
+    return filtered(spark, sf_dir)
+
+
+@query(f"SELECT CASE WHEN k <= 5 THEN 'example' ELSE 'held out' END AS part, k, doc_id, line FROM (SELECT *, row_number() OVER (ORDER BY doc_id, line) AS k FROM ({FILTERED})) WHERE k <= 65")
+def q_conll_slices(spark, sf_dir):
+    """Of these the first five as examples and the next sixty as held out (a prefix by its meaning)."""
+    f = filtered(spark, sf_dir)
+    first = ranking.positions(f.orderBy("doc_id", "line").limit(65), [], F.lit(0), ["doc_id", "line"])
+    return first.select(F.when(F.col("pos") < 5, "example").otherwise("held out").alias("part"), (F.col("pos") + 1).alias("k"), "doc_id", "line")
 
 
 @query("SELECT event_type, count(*)::BIGINT AS n, sum((props->>'$.k')::BIGINT)::BIGINT AS total FROM events GROUP BY event_type")
@@ -195,11 +221,23 @@ def q_round_match(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", text.rounds_to(F.round("o_totalprice", 1), F.col("o_totalprice"), 1).alias("traced"))
 
 
-@query("SELECT sha256(string_agg(sha256(n.n_name), chr(10) ORDER BY n.n_nationkey)) AS digest FROM nation n")
+@query(r"""WITH n AS (SELECT DISTINCT x FROM (SELECT unnest(regexp_extract_all(coalesce(text, ''), '-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?')) AS x FROM documents) WHERE length(x) <= 3)
+SELECT n.x AS printed, EXISTS (SELECT 1 FROM lineitem WHERE l_quantity::DOUBLE = n.x::DOUBLE) AS traced FROM n""")
+def q_prose_numbers(spark, sf_dir):
+    """Numbers of at most three characters in texts, and whether a column of results has them."""
+    n = docs(spark, sf_dir).select(F.explode(text.numbers(F.col("text"))).alias("printed")).where(F.char_length("printed") <= 3).distinct()
+    values = table(spark, sf_dir, "lineitem").select(F.col("l_quantity").cast("double").alias("value")).distinct().withColumn("traced", F.lit(True))
+    return n.withColumn("value", F.col("printed").cast("double")).join(values, "value", "left").select("printed", F.coalesce("traced", F.lit(False)).alias("traced"))
+
+
+@query("""WITH e AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, sha256(text) AS h FROM documents),
+b AS (SELECT pos // 1000 AS pos, sha256(string_agg(h, chr(10) ORDER BY pos)) AS h FROM e GROUP BY pos // 1000)
+SELECT CASE WHEN count(*) = 1 THEN min(h) ELSE sha256(string_agg(h, chr(10) ORDER BY pos)) END AS digest FROM b""")
 def q_text_digest(spark, sf_dir):
+    """One digest of the corpus in order. (The SQL has two levels of blocks, enough for a million documents.)"""
     from tessellex.sources import text_digest
 
-    return text_digest(table(spark, sf_dir, "nation"), "n_nationkey", "n_name")
+    return text_digest(docs(spark, sf_dir), "doc_id", "text")
 
 
 @query(f"SELECT lang, round(corr(n, w), 6) AS r FROM (SELECT lang, length(text)::DOUBLE AS n, len({TOKENS})::DOUBLE AS w FROM documents) GROUP BY lang")

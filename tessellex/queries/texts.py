@@ -97,13 +97,21 @@ def q_sent_rejoin(spark, sf_dir):
     return c.select("conv_id", F.md5(text.rejoined(F.col("p"))).alias("digest"))
 
 
-@query(f"""SELECT doc_id, trim(m) <> '' AND len({TOKENS.replace('text', 'm')}) >= 0.6 * len({TOKENS}) - 1 AND len({TOKENS.replace('text', 'm')}) <= 1.4 * len({TOKENS}) + 1 AS valid
-FROM (SELECT doc_id, text, left(text, 2000) AS m FROM documents)""")
+# a normaliser of whole texts that leaves out tokens of one or two code points, so that some of what it makes isn't valid
+SHORT_OUT = f"array_to_string(list_filter({TOKENS}, lambda x: length(x) > 2), ' ')"
+VALID = f"trim(m) <> '' AND len({TOKENS.replace('text', 'm')}) >= 0.6 * len({TOKENS}) - 1 AND len({TOKENS.replace('text', 'm')}) <= 1.4 * len({TOKENS}) + 1"
+
+
+def short_out(c):
+    return F.array_join(F.filter(text.tokenize(c), lambda x: F.char_length(x) > 2), " ")
+
+
+@query(f"SELECT doc_id, {VALID} AS valid FROM (SELECT doc_id, text, {SHORT_OUT} AS m FROM documents)")
 def q_validity(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", text.valid_output(F.col("text"), F.left("text", F.lit(2000))).alias("valid"))
+    return docs(spark, sf_dir).select("doc_id", text.valid_output(F.col("text"), short_out(F.col("text"))).alias("valid"))
 
 
-@query(r"SELECT doc_id, len(n)::BIGINT AS n, array_to_string(n, ' ') AS found FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '-?[0-9]+(?:\.[0-9]+)?') AS n FROM documents)")
+@query(r"SELECT doc_id, len(n)::BIGINT AS n, array_to_string(n, ' ') AS found FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?') AS n FROM documents)")
 def q_regex_numbers(spark, sf_dir):
     n = text.numbers(F.col("text"))
     return docs(spark, sf_dir).select("doc_id", F.size(n).cast("long").alias("n"), F.array_join(n, " ").alias("found"))
