@@ -21,4 +21,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from . import learning, relations, retrieval, scores, texts  # noqa: E402, F401
+from . import learning, relations, retrieval, scores, studies, texts  # noqa: E402, F401
