@@ -79,6 +79,20 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(spans(text, ASSIGN, "assign", 6, group=1), spans(text, ACCESS, "access", 20), spans(text, HEX, "hex", 24)))
 
 
+def touches(own: Column, run: Column) -> Column:
+    """Whether one of the spans in own, in order and apart from each other, shares a place with run: a binary search for the first that ends behind its start."""
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.floor((s.getField("lo") + s.getField("hi")) / 2).cast("int")
+        on = s.getField("lo") < s.getField("hi")
+        before = F.get(own, mid).getField("end") <= run.getField("start")
+        return F.struct(F.when(on & before, mid + 1).otherwise(s.getField("lo")).alias("lo"), F.when(on & ~before, mid).otherwise(s.getField("hi")).alias("hi"))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(own) + 1.0)).cast("int"))
+    first = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(own).alias("hi")), halve).getField("lo")
+    return F.coalesce(F.get(own, first).getField("start") < run.getField("end"), F.lit(False))
+
+
 def code_pairs(c: Column) -> Column:
     """Numbers of the adjacent symbol pairs of a string."""
     codes = F.transform(F.split(c, ""), lambda x: F.instr(F.lit(SYMBOLS), x))
@@ -168,7 +182,7 @@ def scan_secrets(docs: DataFrame, min_chars: int = 16, min_mean: float = 1.0, mi
     identifiers, by min_mean nats a pair and min_total in all. Null and empty texts have no spans. Repeated rows and
     null ids are scanned like any other; nothing is compared between rows, and no shuffle carries texts. The models are
     fitted on a sample of about max_train_docs documents (of train, where that is given). Texts are scanned whole, whatever their length; positions take
-    n ** 1.5 steps for n matches in a text. An empty table gives no rows; the models are fitted on made samples then.
+    n ** 1.5 steps for n matches in a text, and which runs touch them n log n. An empty table gives no rows; the models are fitted on made samples then.
     """
     llr = fit_llr(labelled_samples((docs if train is None else train).select("doc_id", "text"), max_train_docs, seed))
     scores = F.expr("cast(split('" + ",".join(f"{x:.4f}" for x in llr) + "', ',') as array<double>)")
@@ -179,7 +193,9 @@ def scan_secrets(docs: DataFrame, min_chars: int = 16, min_mean: float = 1.0, mi
         total = F.aggregate(code_pairs(run.getField("text")), F.lit(0.0), lambda s, k: s + F.get(scores, k))
         return (total >= min_total) & (total >= min_mean * (F.char_length(run.getField("text")) - 1))
 
-    apart = lambda run: ~F.exists(F.col("sc_base"), lambda b: (b.getField("start") < run.getField("end")) & (run.getField("start") < b.getField("end")))
+    of_kind = lambda k: F.filter("sc_base", lambda b: b.getField("kind") == k)  # noqa: E731  the spans of one kind don't overlap
+    d = d.withColumn("sc_kinds", F.array(*map(of_kind, range(3))))
+    apart = lambda run: ~F.exists(F.col("sc_kinds"), lambda own: touches(own, run))
     found = F.transform(F.filter("sc_runs", lambda r: like_secret(r) & apart(r)), lambda r: F.struct(r.getField("start").alias("start"), r.getField("kind").alias("kind"), r.getField("end").alias("end")))
     return d.select("doc_id", *keep, "sc_base", F.array_sort(F.concat("sc_base", found)).alias("sc_spans"))
 

@@ -386,6 +386,21 @@ def test_identifiers_are_no_secrets_and_random_strings_are(spark):
     assert sum(i in got for i in range(50, len(texts))) >= 0.95 * len(secret)
 
 
+def test_runs_that_touch_spans_are_left_out(spark):
+    """Binary search against all pairs, in a text of many runs and spans of every kind."""
+    rng = random.Random(11)
+    pick = lambda of, k: "".join(rng.choices(of, k=k))
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    parts = [lambda: pick(alnum, 24), lambda: pick("0123456789abcdef", 40), lambda: "AKIA" + pick(alnum[:26] + alnum[-10:], 18), lambda: 'token: "' + pick(alnum, 12) + '"', lambda: "zz" + pick("0123456789abcdef", 30) + "QX" + pick(alnum, 9), lambda: "word"]
+    texts = ["", " ".join(rng.choice(parts)() for _ in range(1500)), "é " + " ".join(rng.choice(parts)() for _ in range(7))]
+    for r in secrets.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        more = [s for s in r.sc_spans if s.kind == 3]
+        assert [tuple(s) for s in r.sc_spans if s.kind < 3] == [tuple(s) for s in r.sc_base]
+        assert not any(b.start < s.end and s.start < b.end for s in more for b in r.sc_base)
+        plain = [m for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}", texts[r.doc_id]) if not any(b.start < m.end() and m.start() < b.end for b in r.sc_base)]
+        assert [(s.start, s.end) for s in more] == [m.span() for m in plain]
+
+
 def test_many_spans_have_right_positions(spark):
     text = "é token=abcdef1 " * 500
     d = spark.createDataFrame([(1, text)], "doc_id long, text string")
