@@ -25,8 +25,10 @@ LENGTH, K = 50, 8
 STEP = BLOCK = 3 << 19
 #: Steps of a task whose segments for a bucket share a blob: larger blobs compress better.
 JOINED = 12
-#: Buckets among which one round deals. More of them take more rounds, so that blobs stay large at any size of the input.
-FAN = 4096
+#: Buckets among which one round deals, 48 GB of text. More of them take more rounds, so that blobs stay large at any size of the input.
+FAN = 32_768
+#: A task holds so many bytes of segments for each bucket before it writes their blobs, HELD in all at most.
+BLOB, HELD = 8 << 10, 160 << 20
 PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -175,7 +177,7 @@ class Packer:
         self.fan, self.grams, self.powers = fan, grams, Powers()
         self.held: dict[int, list[list[np.ndarray]]] = {}
         self.late: list[list[np.ndarray]] = []
-        self.done = 0
+        self.done = self.size = 0
 
     def flushed(self) -> pa.RecordBatch:
         out = []
@@ -188,13 +190,14 @@ class Packer:
             out.append((bucket, 0, pack([data, size, steps(number.astype(np.int32)), steps(ids), rows, start])))
         self.held.clear()
         self.late.clear()
+        self.size = 0
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[]] * 3, (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "kind", "blob"])
 
     def step(self, data: np.ndarray, first: np.ndarray, last: np.ndarray, ids: np.ndarray, rows: np.ndarray, base: np.ndarray, within: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Takes the texts data[first[i]:last[i]] of (ids[i], rows[i]), which start at base[i] there; within are their buckets of the round before."""
         self._take(data, first, last, ids, rows, base, within)
         self.done += 1
-        if self.done % JOINED == 0:
+        if self.done % JOINED == 0 and self.size >= min(HELD, BLOB * self.fan):
             yield self.flushed()
 
     def _take(self, data, first, last, ids, rows, base, within) -> None:
@@ -219,6 +222,7 @@ class Packer:
         distinct, number = head[stay][new], np.cumsum(new) - 1
         sent, length = gather(data, start[distinct], size[distinct]), size[distinct]
         ends = np.concatenate(([0], np.cumsum(length)))
+        self.size += len(sent)
         b = bucket[stay]
         cuts = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1], [True])))
         length, who, row, at = length.astype(np.uint8), ids[text[stay]], rows[text[stay]], where[stay]
