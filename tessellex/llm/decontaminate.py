@@ -119,8 +119,8 @@ def find_items(docs: DataFrame, items: DataFrame, window: int = 10, block_bytes:
     dc_hits are the merged runs of words, by number and end exclusive, inside an occurrence of window words in a row of
     an item; an item of fewer words, but not none, is one window. dc_items are the item_ids of these windows. Null and
     empty texts have no words; items without words have no windows. Windows of a null item_id mark words without a
-    name. Repeated item_ids are one item, repeated documents are searched each. docs are read once and not shuffled;
-    the items come in blocks of about block_bytes to the driver and to each executor, however many there are.
+    name. Repeated item_ids are one item, repeated documents are searched each; texts of any length are searched whole, and
+    empty tables give no rows or no hits. docs are read once and not shuffled; the items come in blocks of about block_bytes to the driver and to each executor, however many there are.
     """
     spark = docs.sparkSession
     keep = ["doc_id"] if keep is None else keep
@@ -163,6 +163,7 @@ def find_items(docs: DataFrame, items: DataFrame, window: int = 10, block_bytes:
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against all items of benchmark, with windows of ten words."""
     d = find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     hit = F.aggregate("dc_hits", F.lit(0).cast("long"), lambda s, x: s + x.getField("end") - x.getField("start"))
     return d.select(

@@ -157,6 +157,7 @@ def compared(batch: pa.RecordBatch, at: list[int], bucket: list[int], schema: pa
 
 
 def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; a sketch is written as its hashes, and as least:hash where a text has shingles, but none below the threshold."""
     d = fingerprint_and_compare(table(spark, sf_dir, "documents"))
     number = lambda h: F.lpad(F.lower(F.hex(h)), 12, "0")
     text = lambda c, least: F.when(F.size(c) > 0, F.array_join(F.transform(c, number), ",")).otherwise(F.coalesce(F.concat(F.lit("least:"), number(F.col(least))), F.lit("")))

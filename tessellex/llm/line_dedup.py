@@ -21,7 +21,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, keep: t
     Returns doc_id, the columns named in keep, and ld_n_lines, ld_n_dropped (long), ld_text (the lines that stay,
     joined by newlines). A null or empty text is one empty line. Keys of fewer than min_chars code points stay. A null
     doc_id counts as the largest id; rows that share a doc_id are one document for the counts, and each such row keeps
-    its own lines. Repeats of a line within the smallest document stay.
+    its own lines. Repeats of a line within the smallest document stay. Texts of any length are split whole; an empty table
+    gives no rows.
 
     The keys travel as 128 bits of hash with their document, once, in a scratch table; the counts combine before the
     shuffle, so a line that a third of all documents hold is one row a task. The texts are shuffled once, to
@@ -50,6 +51,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, keep: t
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, keys of ten code points in two documents or more; the kept text as its digest."""
     d = dedup_lines(table(spark, sf_dir, "documents"))
     return d.select("doc_id", F.col("ld_n_lines").alias("n_lines"), F.col("ld_n_dropped").alias("n_dropped"), F.sha2("ld_text", 256).alias("kept_sha256"))
 

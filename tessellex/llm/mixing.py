@@ -97,6 +97,7 @@ def mix_sources(docs: DataFrame, seed: int = 42, weights: tuple[int, ...] = WEIG
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, weights 5, 2, 1 by turns, three epochs at most."""
     d = mix_sources(table(spark, sf_dir, "documents"))
     return d.select("doc_id", F.col("mx_size").alias("size"), F.col("mx_source_size").alias("source_size"), F.col("mx_target").alias("target"), F.col("mx_taken").alias("taken"))
 

@@ -317,6 +317,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, block: int =
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, linked at 85 % of five-word shingles."""
     d = near_duplicates(table(spark, sf_dir, "documents"))
     return d.select("doc_id", F.col("nd_n").alias("n_shingles"), F.col("nd_component").alias("component_id"), F.col("nd_kept").alias("kept"))
 

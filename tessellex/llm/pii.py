@@ -190,6 +190,7 @@ def joined(c: str) -> Column:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; the counts and the digest are of the fixed patterns, spans has those of learned contexts, too."""
     d = find_pii(table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("pi_base", lambda s: s.getField("kind") == k)).cast("long")
     return d.select("doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS[:4])], F.sha2(joined("pi_base"), 256).alias("base_sha256"), joined("pi_spans").alias("spans"))

@@ -206,6 +206,7 @@ def joined(c: str) -> Column:
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; the counts and the digest are of the fixed patterns, spans has what the models add, too."""
     d = scan_secrets(table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("sc_base", lambda s: s.getField("kind") == k)).cast("long")
     return d.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(joined("sc_base"), 256).alias("base_sha256"), joined("sc_spans").alias("spans"))

@@ -488,6 +488,7 @@ def remove_repeats(docs: DataFrame, block: int = BLOCK, fan: int = FAN) -> DataF
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, with strings of 50 bytes; the kept bytes as their digest."""
     d = remove_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("sd_spans", F.lit(0).cast("long"), lambda s, x: s + x.getField("end") - x.getField("start"))
     return d.select("doc_id", F.col("sd_n_bytes").alias("n_bytes"), removed.alias("n_removed"), F.size("sd_spans").cast("long").alias("n_spans"), F.sha2("sd_kept", 256).alias("kept_sha256"))
