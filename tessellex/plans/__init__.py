@@ -8,27 +8,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessellex.functions.text import tokenize, tokenize_at
-from tessellex.operators import alignment, learning, statistics, vocabulary
+from tessellex.operators import alignment, inference, learning, statistics, vocabulary
+from tessellex.sources.scratch import materialize
 
 
 class NormalizationStudy:
     """Measures a normaliser on a corpus of (doc_id, raw, norm[, label][, raw_vec, norm_vec]).
 
     tokenizer: a function from a text column to an array column; or delimiter, a string to split at; else Unicode
-    space. Documents are aligned by doc_id, so there is no length to check; a null side is an error of the input and
-    raises. Every metric is lazy and reads the one cached frame of tokens.
+    space. encoder: a function that returns a model of lists of texts (see inference.encode), for a corpus without
+    vectors. Documents are aligned by doc_id, so there is no length to check; a null side is an error of the input and
+    raises. Tokens and types are made once, in scratch tables that all metrics read; scratch() around the study removes them.
     """
 
-    def __init__(self, corpus: DataFrame, tokenizer: Callable[[Column], Column] | None = None, delimiter: str | None = None) -> None:
+    def __init__(self, corpus: DataFrame, tokenizer: Callable[[Column], Column] | None = None, delimiter: str | None = None, encoder: Callable | None = None) -> None:
         cut = tokenizer or ((lambda c: tokenize_at(c, delimiter)) if delimiter else tokenize)
         if corpus.where("raw is null or norm is null").limit(1).count():
             raise ValueError("every document needs an original and a normalised text")
+        if encoder and "raw_vec" not in corpus.columns:
+            corpus = materialize(inference.encode(inference.encode(corpus, "raw", encoder, out="raw_vec"), "norm", encoder, out="norm_vec"))
         self.corpus = corpus
-        self.pairs = corpus.select("doc_id", cut(F.col("raw")).alias("raw"), cut(F.col("norm")).alias("norm"))
-        self.tokens = vocabulary.exploded(self.pairs, [], raw=F.col("raw"), norm=F.col("norm")).persist()
+        self.pairs = materialize(corpus.select("doc_id", cut(F.col("raw")).alias("raw"), cut(F.col("norm")).alias("norm")))
+        sides = [vocabulary.types(self.pairs, [], F.col(c)).withColumn("condition", F.lit(c)) for c in ("raw", "norm")]
+        self.types = materialize(sides[0].unionByName(sides[1]))
 
     def cr(self) -> DataFrame:
-        v = vocabulary.vocabulary(self.tokens, [], ["raw", "norm"])
+        v = vocabulary.vocabulary(self.types, [], ["raw", "norm"])
         return v.select(vocabulary.ratio(F.col("v_raw"), F.col("v_norm")).alias("cr"))
 
     def irs(self) -> DataFrame:
@@ -41,19 +46,27 @@ class NormalizationStudy:
         return alignment.anld(alignment.align(self.pairs, padded, first_only=True), []).select(F.coalesce("anld", F.lit(0.0)).alias("anld"))
 
     def kl(self, epsilon: float = 1e-12) -> DataFrame:
-        return vocabulary.kl_divergence(self.tokens, [], "raw", "norm", epsilon)
+        return vocabulary.kl_divergence(self.types, [], "raw", "norm", epsilon, weight=F.col("n"))
 
-    def downstream(self, k: int = 5, seed: int = 42) -> DataFrame:
-        """f1_raw, f1_norm, delta, p of naive Bayes over the same stratified folds of both sides; needs label."""
-        items = learning.stratified_folds(self.corpus.select(F.col("doc_id").alias("item"), "label"), "item", "label", k, seed)
+    def downstream(self, k: int = 5, seed: int = 42, classifier: str = "mnb") -> DataFrame:
+        """f1_raw, f1_norm, delta, lo, hi, p over the same stratified folds of both sides; needs label.
+
+        classifier: mnb over counts of tokens, or lr or rf over the vectors, which may be features of any kind.
+        """
+        items = materialize(learning.stratified_folds(self.corpus.select(F.col("doc_id").alias("item"), "label"), "item", "label", k, seed))
         side = {}
         for c in ("raw", "norm"):
-            tf = self.pairs.select(F.col("doc_id").alias("item"), F.explode(c).alias("term")).groupBy("item", "term").agg(F.count("*").alias("tf"))
-            side[c] = learning.macro_f1(learning.naive_bayes(tf, items, k), ["fold"]).withColumnRenamed("f1", c)
-        both = side["raw"].join(side["norm"], "fold").withColumn("g", F.lit(0)).withColumn("d", F.col("norm") - F.col("raw"))
+            if classifier == "mnb":
+                tf = self.pairs.select(F.col("doc_id").alias("item"), F.explode(c).alias("term")).groupBy("item", "term").agg(F.count("*").alias("tf"))
+                pred = learning.naive_bayes(tf, items, k)
+            else:
+                features = self.corpus.select(F.col("doc_id").alias("item"), F.transform(f"{c}_vec", lambda x: x.cast("double")).alias("features"))
+                pred = learning.fit_predict(items.join(features, "item"), k, classifier)
+            side[c] = learning.macro_f1(pred, ["fold"]).withColumnRenamed("f1", c)
+        both = materialize(side["raw"].join(side["norm"], "fold").withColumn("g", F.lit(0)).withColumn("d", F.col("norm") - F.col("raw")))
         paired = statistics.paired(both, ["g"], "raw", "norm")
         p = statistics.wilcoxon(both.select("g", "d"), ["g"], "d")
-        return paired.join(p, "g").select(F.col("mean_a").alias("f1_raw"), F.col("mean_b").alias("f1_norm"), "delta", "p")
+        return paired.join(p, "g").select(F.col("mean_a").alias("f1_raw"), F.col("mean_b").alias("f1_norm"), "delta", "lo", "hi", "p")
 
     def evaluate_all(self) -> DataFrame:
         """One row: cr, irs, aes, anld, kl and, with labels, the downstream figures."""

@@ -21,6 +21,25 @@ def test_lower(spark):
     assert r.cr == pytest.approx(12 / 10) and 0 < r.aes < 1 and r.anld > 0 and r.kl > 0
 
 
+def test_encoder_and_classifiers(spark):
+    """Vectors from a hook, and every classifier over the same folds."""
+    rows = [(i, w := ("good " if i % 2 else "bad ") * 3 + f"w{i}", w.upper(), i % 2) for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, raw string, norm string, label int")
+    load = lambda: lambda texts: [[float(t.lower().count("good")), 1.0, float(t.isupper())] for t in texts]
+    study = NormalizationStudy(d, encoder=load)
+    want = sum((9 * (i % 2) + 1) / (((9 * (i % 2) + 1) ** 0.5) * ((9 * (i % 2) + 2) ** 0.5)) for i in range(40)) / 40
+    assert study.irs().head().irs == pytest.approx(want)
+    for clf in ("mnb", "lr", "rf"):
+        r = study.downstream(k=4, classifier=clf).head()
+        assert (r.f1_raw, r.f1_norm, r.delta, r.p) == (1.0, 1.0, 0.0, 1.0)
+
+
+def test_delimiter_and_tokenizer(spark):
+    d = spark.createDataFrame([(1, "a|b|A", "a|b|a")], "doc_id long, raw string, norm string")
+    assert NormalizationStudy(d, delimiter="|").cr().head().cr == 3 / 2
+    assert NormalizationStudy(d, tokenizer=lambda c: F.split(c, "")).cr().head().cr == 4 / 3
+
+
 def test_a_missing_side_raises(spark):
     with pytest.raises(ValueError):
         NormalizationStudy(corpus(spark, str.lower).withColumn("norm", F.lit(None).cast("string")))
