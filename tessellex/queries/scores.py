@@ -8,8 +8,8 @@ from tessellex.operators import ranking
 from tessellex.operators import vocabulary as vo
 from tessellex.sources import table
 
-from . import query
-from .texts import q_cr, q_cr_decomposition, vocabulary_sql
+from . import SQL, query
+from .texts import q_cr, q_cr_decomposition, q_kl, vocabulary_sql
 
 # the sign vector of an embedding stands for a normalised text's embedding
 E = "SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1.0 WHEN x < 0 THEN -1.0 ELSE 0.0 END::DOUBLE) AS s FROM embeddings"
@@ -90,14 +90,17 @@ def q_infersent(spark, sf_dir):
     return f.select("vec_id", F.size(F.concat("u", "v", "d", "m")).cast("long").alias("n_features"), F.round(total(F.col("d")), 6).alias("l1"), F.round(total(F.col("m")), 6).alias("dot"))
 
 
-@query(f"""WITH b AS (SELECT lang, [cr_total, cr_ortho, cr_morph, morph_share] AS d FROM (SELECT lang, v_raw::DOUBLE / v_full AS cr_total, v_raw::DOUBLE / v_ortho AS cr_ortho,
-v_ortho::DOUBLE / v_full AS cr_morph, ln(v_ortho::DOUBLE / v_full) / ln(v_raw::DOUBLE / v_full) AS morph_share FROM ({vocabulary_sql('lang')}))),
-l AS (SELECT lang, ['cr_total', 'cr_ortho', 'cr_morph', 'morph_share'][i] AS dim, round(d[i], 6) AS v FROM b, (SELECT unnest([1, 2, 3, 4]) AS i)),
+DIMS = ["cr_total", "cr_ortho", "cr_morph", "morph_share", "kl"]
+
+
+@query(f"""WITH b AS (SELECT v.lang, [round(v_raw::DOUBLE / v_full, 6), round(v_raw::DOUBLE / v_ortho, 6), round(v_ortho::DOUBLE / v_full, 6), round(ln(v_ortho::DOUBLE / v_full) / ln(v_raw::DOUBLE / v_full), 6), k.kl] AS d
+FROM ({vocabulary_sql('lang')}) v JOIN ({SQL['q_kl']}) k ON k.lang = v.lang),
+l AS (SELECT lang, {DIMS}[i] AS dim, d[i] AS v FROM b, (SELECT unnest([1, 2, 3, 4, 5]) AS i)),
 r AS (SELECT lang, dim, rank() OVER (PARTITION BY dim ORDER BY v) + (count(*) OVER (PARTITION BY dim, v) - 1) / 2.0::DOUBLE AS r FROM l)
 SELECT a.dim AS dim_a, b.dim AS dim_b, count(*)::BIGINT AS n, round(corr(a.r, b.r), 6) + 0.0 AS rho FROM r a JOIN r b ON a.lang = b.lang AND a.dim < b.dim GROUP BY a.dim, b.dim""")
 def q_dim_pairs(spark, sf_dir):
-    """Rank correlations of all pairs of dimensions over languages."""
-    long = q_cr_decomposition(spark, sf_dir).unpivot("lang", ["cr_total", "cr_ortho", "cr_morph", "morph_share"], "dim", "v")
+    """Rank correlations of all pairs of five dimensions over languages."""
+    long = q_cr_decomposition(spark, sf_dir).join(q_kl(spark, sf_dir), "lang").unpivot("lang", DIMS, "dim", "v")
     long = ranking.midranks(long, ["dim"], "v", "r")
     j = long.alias("a").join(long.alias("b"), (F.col("a.lang") == F.col("b.lang")) & (F.col("a.dim") < F.col("b.dim")))
     return j.groupBy(F.col("a.dim").alias("dim_a"), F.col("b.dim").alias("dim_b")).agg(F.count("*").alias("n"), (F.round(F.corr("a.r", "b.r"), 6) + 0.0).alias("rho"))

@@ -10,6 +10,7 @@ from tessellex.operators import learning as ml
 from tessellex.operators import retrieval as ir
 from tessellex.operators import statistics as st
 from tessellex.operators import vocabulary as vo
+from tessellex.plans.tables import flatten_json
 from tessellex.sources import TextSets, aligned_sheets, table
 
 from . import learning as ql
@@ -303,3 +304,13 @@ def q_irs_morph(spark, sf_dir):
     """Retention of the last stage alone (coarse against sign vectors) beside that of the whole."""
     p = pairs(spark, sf_dir).withColumn("o", F.transform("e", lambda x: F.floor(x * 4 + 0.5) / 4))
     return p.groupBy("label").agg(F.round(F.avg(vo.cosine(F.col("o"), F.col("s"))), 6).alias("irs_morph"), F.round(F.avg(vo.cosine(F.col("e"), F.col("s"))), 6).alias("irs"))
+
+
+@query("SELECT event_type, user_id::VARCHAR AS user, count(*)::BIGINT AS n, sum((props->>'$.k')::BIGINT)::BIGINT AS total, min((props->>'$.k')::BIGINT)::BIGINT AS least FROM events GROUP BY event_type, user_id")
+def q_result_table(spark, sf_dir):
+    """Nested results (a JSON object of users for each event type) and the flat table of them."""
+    e = table(spark, sf_dir, "events").select("event_type", F.col("user_id").cast("string").alias("user"), F.from_json("props", "k bigint")["k"].alias("k"))
+    each = e.groupBy("event_type", "user").agg(F.count("*").alias("n"), F.sum("k").alias("total"), F.min("k").alias("least"))
+    nested = each.groupBy("event_type").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("user", F.struct("n", F.struct("total", F.array("least").alias("span")).alias("k")))))).alias("results"))
+    flat = flatten_json(nested, "results", ["user"], {"n": "$.n", "total": "$.k.total", "least": "$.k.span[0]"}, keep=("event_type",))
+    return flat.select("event_type", "user", *[F.col(c).cast("long").alias(c) for c in ("n", "total", "least")])

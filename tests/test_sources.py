@@ -91,3 +91,20 @@ def test_text_reports(spark):
     assert one(text.prompt("Q: {q} A: {a}", q=F.lit("x"), a=F.lit(None).cast("string"))) == "Q: x A: "
     assert one(text.clean_lemma(F.lit("كِتَاب#"), F.lit("ar"))) == "كتاب" and one(text.clean_lemma(F.lit("É#a"), F.lit("fr"))) == "éa"
     assert one(text.rouge1(F.array(*map(F.lit, "a a b".split())), F.array(*map(F.lit, "a b b".split())))) == pytest.approx(4 / 6)
+
+
+def test_result_tables(spark, tmp_path):
+    """Nested results of every shape, absent values included."""
+    import json
+
+    from tessellex.plans.tables import SHAPES, result_table
+
+    (tmp_path / "d.json").write_text(json.dumps({"u1": {"mnb": {"42": {"n_folds": 10, "delta_mean": 0.5, "delta_ci95": [0.25, 0.75], "mcnemar": {"p": 0.01, "exact": False}}, "7": {"n_folds": 5}}}, "u2": {}}))
+    got = {(r.unit, r.classifier, r.seed): (r.n_folds, r.delta_ci95_lo, r.delta_ci95_hi, r.mcnemar_p, r.mcnemar_exact, r.d_z) for r in result_table(spark, str(tmp_path / "d.json"), "downstream").collect()}
+    assert got == {("u1", "mnb", "42"): ("10", "0.25", "0.75", "0.01", "false", None), ("u1", "mnb", "7"): ("5", None, None, None, None, None)}
+    (tmp_path / "s.json").write_text('{"u": {"0.5": 0.7, "1": 0.6}}')
+    assert {tuple(r) for r in result_table(spark, str(tmp_path / "s.json"), "sweep").collect()} == {("u", "0.5", "0.7"), ("u", "1", "0.6")}
+    (tmp_path / "r.json").write_text('{"fi": {"tok": {"k1": {"R@1": 0.5, "mean_rank": 3}}}}')
+    (r,) = result_table(spark, str(tmp_path / "r.json"), "retrieval").collect()
+    assert (r.lang, r.condition, r.params, r["R@1"], r["MRR@10"], r.mean_rank) == ("fi", "tok", "k1", "0.5", None, "3")
+    assert all(result_table(spark, str(tmp_path / "s.json"), s).columns == [*k, *f] for s, (k, f) in SHAPES.items())
