@@ -8,7 +8,7 @@ suffix hash is compared, first by its prefix, then word by word.
 from __future__ import annotations
 
 import math
-from itertools import chain, repeat
+from itertools import chain, groupby, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +20,9 @@ from .common import append_columns, table
 
 #: Words of a lane. Lanes of one chunk advance together, each by its own shifts.
 LANE = 512
-#: Bytes of test texts whose tables one broadcast holds; more items take more passes over the same rows.
-BLOCK_BYTES = 4 << 20
+#: Bytes of test texts whose tables one broadcast holds, and blocks that one pass over the documents searches: a task
+#: holds the tables of TOGETHER * BLOCK_BYTES of items at most, and more items take more passes.
+BLOCK_BYTES, TOGETHER = 4 << 20, 4
 
 
 def word_table() -> bytes:
@@ -120,46 +121,55 @@ def find_items(docs: DataFrame, items: DataFrame, window: int = 10, block_bytes:
     an item; an item of fewer words, but not none, is one window. dc_items are the item_ids of these windows. Null and
     empty texts have no words; items without words have no windows. Windows of a null item_id mark words without a
     name. Repeated item_ids are one item, repeated documents are searched each; texts of any length are searched whole, and
-    empty tables give no rows or no hits. docs are read once and not shuffled; the items come in blocks of about block_bytes to the driver and to each executor, however many there are.
+    empty tables give no rows or no hits. docs are read once and not shuffled; the items are read once and come in blocks
+    of about block_bytes to the driver and to each executor.
     """
     spark = docs.sparkSession
     keep = ["doc_id"] if keep is None else keep
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0]
     blocks = max(1, -(-total // block_bytes))
-    items = items.select(F.col("item_id").cast("string").alias("item_id"), "text").where(F.col("text").isNotNull())
-    out, state = docs.select(*dict.fromkeys([*keep, "text"])), []
+    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).alias("block")
+    rows = items.where(F.col("text").isNotNull()).select(block, F.col("item_id").cast("string").alias("item_id"), "text")
+    rows = rows.orderBy("block") if blocks > 1 else rows
+    tables = [spark.sparkContext.broadcast(build([(r.item_id, r.text) for r in own], window)) for _, own in groupby(rows.toLocalIterator(), key=lambda r: r.block)]
+    out, state = docs.select(*dict.fromkeys([*keep, "text"])), ()
     fields = [T.StructField("dc_n_words", T.LongType()), T.StructField("dc_hits", HITS), T.StructField("dc_items", T.ArrayType(T.StringType()))]
-    for b in range(blocks):
-        rows = [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).toLocalIterator()]
-        tables = spark.sparkContext.broadcast(build(rows, window))
-
-        def make(tables=tables, state=tuple(state)):
-            to, t = word_table(), tables.value
-            get, names = t["vocabulary"].get, t["names"]
-
-            def work(batch: pa.RecordBatch) -> dict:
-                words = [words_of(x, to) for x in batch.column("text").to_pylist()]
-                size = np.fromiter(map(len, words), np.int64, len(words))
-                last = np.cumsum(size)
-                ids = np.fromiter(map(get, chain.from_iterable(words), repeat(0)), np.int32, int(size.sum()))
-                hits, found = [[] for _ in words], [set() for _ in words]
-                if state:
-                    for i, (h, k) in enumerate(zip(batch.column("dc_hits").to_pylist(), batch.column("dc_items").to_pylist(), strict=True)):
-                        hits[i], found[i] = [(x["start"], x["end"]) for x in h], set(k)
+    groups = [tables[i : i + TOGETHER] for i in range(0, len(tables), TOGETHER)] or [[]]
+    for i, group in enumerate(groups):
+        out = append_columns(out, search(group, state), fields, keep=list(dict.fromkeys([*keep, *(["text"] if i + 1 < len(groups) else [])])))
+        state = ("dc_hits", "dc_items")
+    return out.select(*keep, "dc_n_words", "dc_hits", "dc_items")
+
+
+def search(tables: list, state: tuple[str, ...]):
+    """For append_columns: what the broadcast tables find, beside what the columns in state hold."""
+
+    def make():
+        to = word_table()
+
+        def work(batch: pa.RecordBatch) -> dict:
+            words = [words_of(x, to) for x in batch.column("text").to_pylist()]
+            size = np.fromiter(map(len, words), np.int64, len(words))
+            last = np.cumsum(size)
+            hits, found = [[] for _ in words], [set() for _ in words]
+            if state:
+                for i, (h, k) in enumerate(zip(batch.column("dc_hits").to_pylist(), batch.column("dc_items").to_pylist(), strict=True)):
+                    hits[i], found[i] = [(x["start"], x["end"]) for x in h], set(k)
+            for shared in tables:
+                t = shared.value
+                ids = np.fromiter(map(t["vocabulary"].get, chain.from_iterable(words), repeat(0)), np.int32, int(size.sum()))
                 for s in t["searchers"]:
                     at, which = occurrences(ids, last - size, last, s)
                     text = np.searchsorted(last, at, side="right")
                     for i, a, k in zip(text.tolist(), (at - (last - size)[text]).tolist(), which.tolist(), strict=True):
                         hits[i].append((a, a + s["m"]))
-                        found[i].update(names[o] for o in s["owners"][k] if o >= 0)
-                spans = [[{"start": a, "end": e} for a, e in merged(h)] for h in hits]
-                return {"dc_n_words": size, "dc_hits": spans, "dc_items": [sorted(f) for f in found]}
+                        found[i].update(t["names"][o] for o in s["owners"][k] if o >= 0)
+            spans = [[{"start": a, "end": e} for a, e in merged(h)] for h in hits]
+            return {"dc_n_words": size, "dc_hits": spans, "dc_items": [sorted(f) for f in found]}
 
-            return work
+        return work
 
-        out = append_columns(out, make, fields, keep=list(dict.fromkeys([*keep, *(["text"] if b + 1 < blocks else [])])))
-        state = ["dc_hits", "dc_items"]
-    return out.select(*keep, "dc_n_words", "dc_hits", "dc_items")
+    return make
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

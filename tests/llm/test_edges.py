@@ -68,7 +68,7 @@ def test_scratch_tables_go(spark, docs):
     assert not os.path.exists(path)
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 300])
+@pytest.mark.parametrize("block_bytes", [1 << 20, 300, 30])
 def test_decontaminate(spark, docs, rows, none, block_bytes):
     items = [(1, " ".join(f"ALPHA{i} beta{i % 7}" for i in range(20, 29))), (2, "two three"), (3, None), (4, ""), (2, "w7 w8"), (None, "hunter22"), (5, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w12")]
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(FOLD))
