@@ -22,9 +22,9 @@ from .common import NO_ID, Bytes, Powers, append_columns, chunks, mix, partition
 
 LENGTH, K = 50, 8
 #: Bytes of text of a map step, and of a block; the windows of a block travel as about 3.3 times as many bytes.
-STEP = BLOCK = 3 << 19
+STEP, BLOCK = 1 << 20, 3 << 19
 #: Steps of a task whose segments for a bucket share a blob: larger blobs compress better.
-JOINED = 12
+JOINED = 16
 #: Buckets among which one round deals, 48 GB of text. More of them take more rounds, so that blobs stay large at any size of the input.
 FAN = 32_768
 #: A task holds so many bytes of segments for each bucket before it writes their blobs, HELD in all at most.
@@ -50,10 +50,19 @@ def ngrams(data: np.ndarray) -> np.ndarray:
     return out[: len(data)]
 
 
-def gather(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The concatenation of data[first[i]:first[i] + size[i]]."""
+def gather(data: np.ndarray, first: np.ndarray, size: np.ndarray, limit: int = 1 << 19) -> np.ndarray:
+    """The concatenation of data[first[i]:first[i] + size[i]], in parts, so that places take little memory beside what they fetch."""
     ends = np.cumsum(size)
-    return data[np.repeat(first - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+    out = np.empty(int(ends[-1]) if len(ends) else 0, data.dtype)
+    at = done = 0
+    while at < len(ends):
+        stop = max(at + 1, int(np.searchsorted(ends, done + limit, side="right")))
+        own, last = size[at:stop], int(ends[stop - 1])
+        place = np.repeat(first[at:stop] - (ends[at:stop] - own - done), own)
+        place += np.arange(last - done)
+        out[done:last] = data[place]
+        at, done = stop, last
+    return out
 
 
 def segments(data: np.ndarray, first: np.ndarray, last: np.ndarray, grams: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -179,18 +188,27 @@ class Packer:
         self.late: list[list[np.ndarray]] = []
         self.done = self.size = 0
 
-    def flushed(self) -> pa.RecordBatch:
-        out = []
+    def flushed(self, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+        """What is held, in record batches of about limit bytes; each part is let go as it is packed."""
+        out, size = [], 0
         if self.late:
             out.append((int(self.late[0][0][0] % self.fan), 1, pack([np.concatenate([x[i] for x in self.late]) for i in range(4)])))
-        for bucket, parts in sorted(self.held.items()):
+            self.late.clear()
+        for bucket in sorted(self.held):
+            parts = self.held.pop(bucket)
             shift = np.cumsum([0] + [len(x[1]) for x in parts])
             number = np.concatenate([x[2] + n for x, n in zip(parts, shift, strict=False)])
-            data, size, ids, rows, start = (np.concatenate([x[i] for x in parts]) for i in (0, 1, 3, 4, 5))
-            out.append((bucket, 0, pack([data, size, steps(number.astype(np.int32)), steps(ids), rows, start])))
-        self.held.clear()
-        self.late.clear()
+            data, size_, ids, rows, start = (np.concatenate([x[i] for x in parts]) for i in (0, 1, 3, 4, 5))
+            out.append((bucket, 0, pack([data, size_, steps(number.astype(np.int32)), steps(ids), rows, start])))
+            size += len(out[-1][2])
+            if size > limit:
+                yield self._batch(out)
+                out, size = [], 0
         self.size = 0
+        yield self._batch(out)
+
+    @staticmethod
+    def _batch(out: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[]] * 3, (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "kind", "blob"])
 
     def step(self, data: np.ndarray, first: np.ndarray, last: np.ndarray, ids: np.ndarray, rows: np.ndarray, base: np.ndarray, within: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -198,7 +216,7 @@ class Packer:
         self._take(data, first, last, ids, rows, base, within)
         self.done += 1
         if self.done % JOINED == 0 and self.size >= min(HELD, BLOB * self.fan):
-            yield self.flushed()
+            yield from self.flushed()
 
     def _take(self, data, first, last, ids, rows, base, within) -> None:
         start, size, key = segments(data, first, last, self.grams)
@@ -246,7 +264,7 @@ def pack_segments(fan: int):
                 pieces = ((p := text[at : at + STEP + LENGTH - 1], np.zeros(1, np.int64), np.array([len(p)]), np.array([at])) for at in range(0, len(text) - LENGTH + 1, STEP))
             for data, first, last, base in pieces:
                 yield from packer.step(data, first, last, ids, rows, base, np.zeros(len(ids), np.int64))
-        yield packer.flushed()
+        yield from packer.flushed()
 
     return run
 
@@ -269,7 +287,7 @@ def deal_again(fan: int, grams: int):
                     held, size = [], 0
         for part in entries(held):
             yield from packer.step(*part)
-        yield packer.flushed()
+        yield from packer.flushed()
 
     return run
 
