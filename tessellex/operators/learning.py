@@ -49,17 +49,21 @@ def naive_bayes(tf: DataFrame, items: DataFrame, k: int) -> DataFrame:
         out = F.transform("labels", lambda x: F.struct(x.getField("label").alias("y"), (x.getField("every") - F.coalesce(F.try_element_at(x.getField("own"), fold), F.lit(0))).alias("c")))
         return F.filter(out, lambda x: x.getField("c") > 0)
 
+    # only the folds in which a term stands need its counts outside; what the others need are sums over all terms
+    present = F.array_distinct(F.flatten(F.transform("labels", lambda x: F.map_keys(x.getField("own")))))
+    terms = terms.withColumn("present", present)
+    sides = terms.select("term", F.explode("present").alias("fold"), "labels").select("term", "fold", left(F.col("fold")).alias("xs")).where(F.size("xs") > 0)
     folds = F.array(*[F.lit(f) for f in range(k)])
-    sides = terms.select("term", F.explode(folds).alias("fold"), "labels").select("term", "fold", left(F.col("fold")).alias("xs")).where(F.size("xs") > 0)
-    totals = sides.select("fold", F.posexplode("xs").alias("at", "x")).groupBy("fold", F.col("x.y").alias("y")).agg(F.sum("x.c").alias("total"), F.count(F.when(F.col("at") == 0, 1)).alias("v"))
-    sizes = totals.groupBy("fold").agg(F.sum("v").alias("v"))
+    grid = lambda df, value: df.groupBy("label").agg(F.sum(value).alias("every"), F.map_from_entries(F.collect_list(F.struct("fold", value))).alias("own")).select(F.col("label").alias("y"), F.explode(folds).alias("fold"), (F.col("every") - F.coalesce(F.try_element_at("own", F.col("fold")), F.lit(0))).alias(value))
+    totals = grid(cells.groupBy("label", "fold").agg(F.sum("c").alias("total")), "total")
+    # a training side has all types but those that only its own fold has
+    lone = terms.groupBy(F.when(F.size("present") == 1, F.get("present", 0)).alias("fold")).agg(F.count("*").alias("n"))
+    sizes = lone.agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.when(F.col("fold").isNotNull(), F.struct("fold", "n")))).alias("own"))
+    sizes = sizes.select(F.explode(folds).alias("fold"), "all", "own").select("fold", (F.coalesce("all", F.lit(0)) - F.coalesce(F.try_element_at("own", F.col("fold")), F.lit(0))).alias("v"))
     # priors of the training sides
-    counted = items.groupBy("label", "fold").agg(F.count("*").alias("n"))
-    priors = counted.groupBy("label").agg(F.sum("n").alias("every"), F.map_from_entries(F.collect_list(F.struct("fold", "n"))).alias("own"))
-    priors = priors.select(F.col("label").alias("y"), F.explode(folds).alias("fold"), "every", "own")
-    priors = priors.select("fold", "y", (F.col("every") - F.coalesce(F.try_element_at("own", F.col("fold")), F.lit(0))).alias("n")).where("n > 0")
+    priors = grid(items.groupBy("label", "fold").agg(F.count("*").alias("n")), "n").where("n > 0")
     n_all = priors.groupBy("fold").agg(F.sum("n").alias("n_all"))
-    model = priors.join(n_all, "fold").join(totals.drop("v"), ["fold", "y"], "left").join(sizes, "fold", "left")
+    model = priors.join(n_all, "fold").join(totals, ["fold", "y"], "left").join(sizes, "fold", "left")
     lp, den = F.log(F.col("n") / F.col("n_all")), F.log(F.coalesce("total", F.lit(0)) + F.coalesce("v", F.lit(0)))
     model = model.groupBy("fold").agg(F.collect_list(F.struct("y", lp.alias("lp"), den.alias("den"))).alias("model"))
     # sum tf * ln(c + 1) needs only the terms that the label has; a term that no label has is left out of the length, too

@@ -18,10 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """A scan in as many partitions as there are cores, for what costs much more than its shuffle; a scan that has them already isn't touched.
 
-    For scans and what follows them without a shuffle: counting the partitions of such plans runs nothing.
+    A file of one row group is one task however many partitions it is cut into, so partitions with rows are counted, from
+    the footers. Scans of more files than cores aren't even counted.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    if len(df.inputFiles()) >= cores:
+        return df
+    filled = df.select(F.spark_partition_id().alias("p")).distinct().count()
+    return df if filled >= cores else df.repartition(cores)
 
 
 def read_lines(spark: SparkSession, paths: dict[str, str], limit: int | None = None) -> DataFrame:
