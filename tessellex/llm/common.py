@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessellex.sources import spread
 from tessellex.sources.scratch import materialize, scratch, scratch_dir
 
 __all__ = ["materialize", "scratch", "scratch_dir"]
@@ -25,7 +26,9 @@ CHUNK = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; documents in as many partitions as there are cores, where a few files would be fewer tasks than that."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name == "documents" else df
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
