@@ -22,7 +22,7 @@ def spread(df: DataFrame) -> DataFrame:
     the footers. Scans of more files than cores aren't even counted.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores:
+    if len(df._jdf.inputFiles()) >= cores:  # the names stay in the JVM
         return df
     filled = df.select(F.spark_partition_id().alias("p")).distinct().count()
     return df if filled >= cores else df.repartition(cores)
