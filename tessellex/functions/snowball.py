@@ -1,4 +1,4 @@
-"""Snowball stemmers of more languages, from their published definitions: French, Italian, Portuguese, Swedish, Norwegian, Danish, Dutch, Russian, Finnish and Hungarian.
+"""Snowball stemmers of more languages, from their published definitions: French, Italian, Portuguese, Swedish, Norwegian, Danish, Dutch, Russian, Finnish, Hungarian and Romanian.
 
 Each is a function of a word. A stemmer works on a Word, whose regions are kept as positions while letters go at its end.
 """
@@ -552,3 +552,55 @@ def hungarian(word: str) -> str:
         elif s := w.longest(" ".join(step), w.r1):
             w.put(s, step[s])
     return w.text
+
+
+# The endings of the Romanian stemmer, by step; letters have cedillas.
+RO_PLURAL = {
+    "": "ul ului", "a": "aua", "e": "ea ele elor", "i": "ii iua iei iile iilor ilor ile", "at": "atei", "aţi": "aţie aţia",
+}
+RO_COMBINED = {
+    "abil": "abilitate abilitati abilităi abilităţi", "ibil": "ibilitate", "iv": "ivitate ivitati ivităi ivităţi",
+    "ic": "icitate icitati icităi icităţi icator icatori iciv iciva icive icivi icivă ical icala icale icali icală",
+    "at": "ativ ativa ative ativi ativă aţiune atoare ator atori ătoare ător ători", "it": "itiv itiva itive itivi itivă iţiune itoare itor itori",
+}
+RO_STANDARD = (
+    "at ata ată ati ate ut uta ută uti ute it ita ită iti ite ic ica ice ici ică abil abila abile abili abilă ibil ibila ibile ibili ibilă oasa oasă oase os osi oşi ant anta ante anti antă "
+    "ator atori itate itati ităi ităţi iv iva ive ivi ivă"
+)
+RO_IST = "ism isme ist ista iste isti istă işti"
+RO_VERB_AFTER = (
+    "are ere ire âre ind ând indu ându eze ească ez ezi ează esc eşti eşte ăsc ăşti ăşte am ai au eam eai ea eaţi eau iam iai ia iaţi iau ui aşi arăm arăţi ară uşi urăm urăţi ură işi irăm irăţi iră âi âşi ârăm ârăţi âră "
+    "asem aseşi ase aserăm aserăţi aseră isem iseşi ise iserăm iserăţi iseră âsem âseşi âse âserăm âserăţi âseră usem useşi use userăm userăţi useră"
+)
+RO_VERB = "ăm aţi em eţi im iţi âm âţi seşi serăm serăţi seră sei se sesem seseşi sese seserăm seserăţi seseră"
+
+
+def romanian(word: str) -> str:
+    v = "aăâeiîou"
+    t = word.lower().replace("ș", "ş").replace("ț", "ţ")
+    w = Word(re.sub(f"(?<=[{v}])[ui](?=[{v}])", lambda m: m[0].upper(), t), v)
+    w.rv = romance_rv(w.text, v)
+    s = w.longest(" ".join(RO_PLURAL.values()))
+    if s and w.at(s) >= w.r1 and not (s == "ile" and w.text[: w.at(s)].endswith("ab")):
+        w.put(s, next(k for k, x in RO_PLURAL.items() if s in x.split()))
+    done = False
+    while (s := w.longest(" ".join(RO_COMBINED.values()))) and w.at(s) >= w.r1:
+        w.put(s, next(k for k, x in RO_COMBINED.items() if s in x.split()))
+        done = True
+    s = w.longest(f"{RO_STANDARD} {RO_IST} iune iuni")
+    if s and w.at(s) >= w.r2:
+        if s in RO_STANDARD.split():
+            w.put(s)
+            done = True
+        elif s in RO_IST.split():
+            w.put(s, "ist")
+            done = True
+        elif w.text[: w.at(s)].endswith("ţ"):
+            w.put("ţ" + s, "t")
+            done = True
+    if not done:
+        s = w.longest(f"{RO_VERB_AFTER} {RO_VERB}", w.rv)
+        if s and (s in RO_VERB.split() or w.at(s) - 1 >= w.rv and (not w.vowel(w.at(s) - 1) or w.text[w.at(s) - 1] == "u")):
+            w.put(s)
+    w.cut("a e i ie ă", w.rv)
+    return w.text.lower()

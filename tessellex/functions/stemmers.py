@@ -1,4 +1,4 @@
-"""Stemmers from their published definitions: Porter's, and Snowball's for English, German, Spanish and, in snowball, ten more languages."""
+"""Stemmers from their published definitions: Porter's, and Snowball's for English, German, Spanish and, in snowball, eleven more languages."""
 
 from __future__ import annotations
 
@@ -256,10 +256,10 @@ def spanish(word: str) -> str:
 
 BY_LANGUAGE: dict[str, Callable[[str], str]] = {
     "en": english, "de": german, "es": spanish, "fr": snowball.french, "it": snowball.italian, "pt": snowball.portuguese, "sv": snowball.swedish, "no": snowball.norwegian,
-    "da": snowball.danish, "nl": snowball.dutch, "ru": snowball.russian, "fi": snowball.finnish, "hu": snowball.hungarian,
+    "da": snowball.danish, "nl": snowball.dutch, "ru": snowball.russian, "fi": snowball.finnish, "hu": snowball.hungarian, "ro": snowball.romanian,
 }
 # Three-letter codes, as in names like fra_Latn, of the languages with a stemmer.
-CODES = {"eng": "en", "deu": "de", "spa": "es", "fra": "fr", "ita": "it", "por": "pt", "swe": "sv", "nob": "no", "dan": "da", "nld": "nl", "rus": "ru", "fin": "fi", "hun": "hu"}
+CODES = {"eng": "en", "deu": "de", "spa": "es", "fra": "fr", "ita": "it", "por": "pt", "swe": "sv", "nob": "no", "dan": "da", "nld": "nl", "rus": "ru", "fin": "fi", "hun": "hu", "ron": "ro"}
 BY_LANGUAGE |= {code: BY_LANGUAGE[short] for code, short in CODES.items()}
 
 

@@ -141,7 +141,7 @@ def q_full_pipeline(spark, sf_dir):
     return d.select("doc_id", *digest(stemmers.stem_arrays(F.col("t"), F.col("lang"))))
 
 
-@query("SELECT lang, lang IN ('da', 'de', 'en', 'es', 'fi', 'fr', 'hu', 'it', 'nl', 'no', 'pt', 'ru', 'sv') AS has_stemmer, count(*)::BIGINT AS n FROM documents GROUP BY lang")
+@query("SELECT lang, lang IN ('da', 'de', 'en', 'es', 'fi', 'fr', 'hu', 'it', 'nl', 'no', 'pt', 'ro', 'ru', 'sv') AS has_stemmer, count(*)::BIGINT AS n FROM documents GROUP BY lang")
 def q_has_stemmer(spark, sf_dir):
     return docs(spark, sf_dir).groupBy("lang").agg(F.count("*").alias("n")).withColumn("has_stemmer", F.col("lang").isin(*stemmers.BY_LANGUAGE))
 
