@@ -192,7 +192,7 @@ def learn(docs: DataFrame, max_symbols: int = 24_000, max_docs: int = 200, max_c
     null languages aren't learned; without any other, the model knows no language.
     """
     spark = docs.sparkSession
-    docs = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    docs = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = docs.where(F.col("text").rlike(r"\p{L}")).groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
     limits = spark.createDataFrame([(r.lang, int(min(1.0, max_docs / r.n) * (1 << 30))) for r in counts], "lang string, li_limit long")  # max_languages rows
     h = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 30))

@@ -285,7 +285,7 @@ def test_sketches_merge_and_estimate(spark):
 def test_language_id(spark, docs, none):
     text = {"aa": "the cat and the dog sat on the mat " * 30, "bb": "der hund und die katze sind auf dem dach " * 30}
     train = spark.createDataFrame([(i, t, la) for i in range(20) for la, t in text.items()] + [(99, None, "aa"), (98, "x", None)], "doc_id long, text string, lang string")
-    model = language_id.learn(train)
+    model = language_id.learn(train.select("*", *[F.lit(0).alias(c) for c in ("li_limit", "n", "h")]))
     test = spark.createDataFrame([(1, "the cat sat"), (2, "die katze"), (3, None), (4, "12 !"), (5, ""), (6, "the cat and " * 9000), (6, "the cat and " * 9000), (None, "und der hund")], "doc_id long, text string")
     got = [tuple(r)[:2] for r in language_id.identify(test, model).collect()]
     assert bag(got) == bag([(1, "aa"), (2, "bb"), (3, "und"), (4, "und"), (5, "und"), (6, "aa"), (6, "aa"), (None, "bb")])
