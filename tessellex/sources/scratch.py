@@ -33,6 +33,17 @@ def scratch_dir(spark: SparkSession) -> str:
     return path
 
 
+def release(df: DataFrame) -> None:
+    """Removes the scratch table that df reads; nothing may read it any more."""
+    files = df._jdf.inputFiles()
+    if len(files):
+        made = _tables(df.sparkSession)
+        path = files[0].rpartition("/")[0]
+        (at,) = (i for i, p in enumerate(made) if path.endswith(p.rpartition("/")[2]))
+        gone = [made.pop(at)]
+        _remove(df.sparkSession, gone, 0)
+
+
 def _tables(spark: SparkSession) -> list[str]:
     app = spark.sparkContext.applicationId
     if app not in _made:
