@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessellex.sources.scratch import materialize
+from tessellex.sources.scratch import materialize, written
 
-from . import ranking
+from . import linear, ranking
 
 
 def order_hash(item: Column, seed: int) -> Column:
@@ -21,6 +23,45 @@ def stratified_folds(df: DataFrame, item: str, label: str, k: int = 10, seed: in
     return d.withColumn("fold", (F.col("fold_at") % k).cast("int")).drop("fold_order", "fold_at")
 
 
+def vocabulary_index(terms: DataFrame) -> DataFrame:
+    """terms with id: 0, 1, ... in the order of the terms' MD5, whose first digits are the ranges that are numbered by themselves."""
+    d = terms.withColumn("term_order", F.md5("term"))
+    return ranking.positions(d, [], F.conv(F.substring("term_order", 1, 3), 16, 10).cast("int"), ["term_order", "term"], "id").drop("term_order")
+
+
+def training_sizes(items: DataFrame, k: int) -> list[int]:
+    """The number of items outside each fold."""
+    own = {r["fold"]: r["n"] for r in items.groupBy("fold").agg(F.count("*").alias("n")).collect()}  # a row a fold
+    return [sum(own.values()) - own.get(f, 0) for f in range(k)]
+
+
+def tfidf_rows(tf: DataFrame, items: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """Sparse TF-IDF rows of all items by the training side of each of k folds, and the index of the terms.
+
+    tf: item, term, tf (counts); items: item, label, fold. Returns rows (item, label, fold, entries, norms) and terms (term, id, idf). entries holds
+    (term, id, tf, idf) of the item's terms, where idf[f] is ln((1 + n) / (1 + df)) + 1 over the items outside fold f, null where none of
+    them has the term; norms[f] is the length of the row by fold f. So a weight by fold f is tf * idf[f] / norms[f], and all k fits are
+    one pass: document frequencies of a training side are those of all folds less the fold's own. Both are scratch tables.
+    """
+    items = materialize(items.select("item", "label", "fold"))
+    sizes = training_sizes(items, k)
+    t = materialize(tf.select("item", "term", "tf").join(items, "item"))
+    held = t.groupBy("term", "fold").agg(F.count("*").alias("c")).groupBy("term").agg(F.sum("c").alias("every"), F.map_from_entries(F.collect_list(F.struct("fold", "c"))).alias("own"))
+    df = lambda f: F.col("every") - F.coalesce(F.try_element_at("own", F.lit(f)), F.lit(0))
+    idf = F.array(*[F.when(df(f) > 0, F.log((1 + F.lit(float(n))) / (1 + df(f))) + 1) for f, n in enumerate(sizes)])
+    terms = materialize(vocabulary_index(held.select("term", idf.alias("idf"))))
+    # both sides are read from tables, so a term that most items have is a skewed join that Spark splits
+    rows = t.join(terms, "term").groupBy("item").agg(F.collect_list(F.struct("term", "id", "tf", "idf")).alias("entries"))
+    squares = lambda f: F.aggregate("entries", F.lit(0.0), lambda s, e: s + F.coalesce(F.pow(e["tf"] * F.get(e["idf"], F.lit(f)), F.lit(2.0)), F.lit(0.0)))
+    rows = items.join(rows, "item", "left").select("item", "label", "fold", F.coalesce("entries", F.array().cast(rows.schema["entries"].dataType)).alias("entries"))
+    return materialize(rows.withColumn("norms", F.array(*[F.sqrt(squares(f)) for f in range(k)]))), terms
+
+
+def weight(entry: Column, norms: Column, fold: Column) -> Column:
+    """The weight of an entry by a fold's training side; null for a term that this side lacks."""
+    return entry["tf"] * F.get(entry["idf"], fold) / F.get(norms, fold)
+
+
 def tfidf(tf: DataFrame, train: DataFrame) -> DataFrame:
     """item, term, w: tf * (ln((1 + n) / (1 + df)) + 1), rows of norm 1; n and df from train (item), terms unseen there left out."""
     n = train.count()
@@ -31,51 +72,85 @@ def tfidf(tf: DataFrame, train: DataFrame) -> DataFrame:
 
 
 def naive_bayes(tf: DataFrame, items: DataFrame, k: int) -> DataFrame:
-    """item, fold, label, pred: each fold predicted by a multinomial naive Bayes of the others, add-one smoothed.
+    """item, fold, label, pred: each fold predicted by a multinomial naive Bayes over TF-IDF of the others, add-one smoothed.
 
-    tf: item, term, tf (term counts); items: item, label, fold. All folds at once: counts of a training side are those
-    of all folds less the fold's own, so nothing is fitted k times. Terms unseen in training are left out. Ties go to
-    the least label.
+    tf: item, term, tf (term counts); items: item, label, fold. TF-IDF is fitted on each fold's training side (tfidf_rows), all
+    folds at once: a term's mass for a label is an array of k sums. Terms unseen in training are left out. An item without
+    terms gets the likeliest label of its training side, and ties go to the least label.
     """
-    items = materialize(items.select("item", "label", "fold"))  # read in several places below, as the counts are
-    t = materialize(tf.join(items, "item"))
-    # a row for each term and label: its counts by fold, of which there are k at most, and in all
-    cells = t.groupBy("term", "label", "fold").agg(F.sum("tf").alias("c"))
-    by_label = cells.groupBy("term", "label").agg(F.sum("c").alias("every"), F.map_from_entries(F.collect_list(F.struct("fold", "c"))).alias("own"))
-    terms = by_label.groupBy("term").agg(F.collect_list(F.struct("label", "every", "own")).alias("labels"))
-
-    def left(fold: Column) -> Column:
-        """(y, c) of the labels that have the term outside the fold."""
-        out = F.transform("labels", lambda x: F.struct(x.getField("label").alias("y"), (x.getField("every") - F.coalesce(F.try_element_at(x.getField("own"), fold), F.lit(0))).alias("c")))
-        return F.filter(out, lambda x: x.getField("c") > 0)
-
-    # only the folds in which a term stands need its counts outside; what the others need are sums over all terms
-    present = F.array_distinct(F.flatten(F.transform("labels", lambda x: F.map_keys(x.getField("own")))))
-    terms = terms.withColumn("present", present)
-    sides = terms.select("term", F.explode("present").alias("fold"), "labels").select("term", "fold", left(F.col("fold")).alias("xs")).where(F.size("xs") > 0)
-    folds = F.array(*[F.lit(f) for f in range(k)])
-    grid = lambda df, value: df.groupBy("label").agg(F.sum(value).alias("every"), F.map_from_entries(F.collect_list(F.struct("fold", value))).alias("own")).select(F.col("label").alias("y"), F.explode(folds).alias("fold"), (F.col("every") - F.coalesce(F.try_element_at("own", F.col("fold")), F.lit(0))).alias(value))
-    totals = grid(cells.groupBy("label", "fold").agg(F.sum("c").alias("total")), "total")
-    # a training side has all types but those that only its own fold has
-    lone = terms.groupBy(F.when(F.size("present") == 1, F.get("present", 0)).alias("fold")).agg(F.count("*").alias("n"))
-    sizes = lone.agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.when(F.col("fold").isNotNull(), F.struct("fold", "n")))).alias("own"))
-    sizes = sizes.select(F.explode(folds).alias("fold"), "all", "own").select("fold", (F.coalesce("all", F.lit(0)) - F.coalesce(F.try_element_at("own", F.col("fold")), F.lit(0))).alias("v"))
-    # priors of the training sides
-    priors = grid(items.groupBy("label", "fold").agg(F.count("*").alias("n")), "n").where("n > 0")
-    n_all = priors.groupBy("fold").agg(F.sum("n").alias("n_all"))
-    model = priors.join(n_all, "fold").join(totals, ["fold", "y"], "left").join(sizes, "fold", "left")
-    lp, den = F.log(F.col("n") / F.col("n_all")), F.log(F.coalesce("total", F.lit(0)) + F.coalesce("v", F.lit(0)))
-    model = model.groupBy("fold").agg(F.collect_list(F.struct("y", lp.alias("lp"), den.alias("den"))).alias("model"))
-    # sum tf * ln(c + 1) needs only the terms that the label has; a term that no label has is left out of the length, too
-    hits = t.join(sides, ["term", "fold"]).select("item", "tf", F.posexplode("xs").alias("at", "x"))
-    hits = hits.groupBy("item", F.col("x.y").alias("y")).agg(F.sum(F.col("tf") * F.log(F.col("x.c") + 1.0)).alias("s"), F.sum(F.when(F.col("at") == 0, F.col("tf")).otherwise(0)).alias("len"))
+    return bayes(*tfidf_rows(tf, items, k), k)
+
+
+def bayes(rows: DataFrame, terms: DataFrame, k: int) -> DataFrame:
+    """naive_bayes over the rows of tfidf_rows."""
+    folds = range(k)
+    each = rows.select("label", "fold", "norms", F.explode("entries").alias("e"))
+    train = lambda f: F.when(F.col("fold") != f, weight(F.col("e"), F.col("norms"), F.lit(f)))
+    mass = materialize(each.groupBy(F.col("e.term").alias("term"), F.col("label").alias("y")).agg(F.array(*[F.coalesce(F.sum(train(f)), F.lit(0.0)) for f in folds]).alias("mass")))
+    at = lambda c, f: F.get(c, F.lit(f))
+    # of a label and of all terms there are k sums each
+    totals = {r["y"]: r["total"] for r in mass.groupBy("y").agg(F.array(*[F.sum(at("mass", f)) for f in folds]).alias("total")).collect()}
+    sizes = terms.agg(*[F.count(at("idf", f)).alias(f"v{f}") for f in folds]).first()
+    own = {(r["label"], r["fold"]): r["n"] for r in rows.groupBy("label", "fold").agg(F.count("*").alias("n")).collect()}
+    model = []
+    for f in folds:
+        n = {y: sum(c for (label, g), c in own.items() if label == y and g != f) for y in {y for y, _ in own}}
+        model += [(f, y, math.log(c / sum(n.values())), math.log(max(totals.get(y, [0.0] * k)[f] + sizes[f], 1e-300))) for y, c in n.items() if c]
+    kind = rows.schema["label"].dataType.simpleString()
+    spark = rows.sparkSession
+    model = spark.createDataFrame(model, f"fold int, y {kind}, lp double, den double").groupBy("fold").agg(F.collect_list(F.struct("y", "lp", "den")).alias("model"))
+    by_term = materialize(mass.groupBy("term").agg(F.collect_list(F.struct("y", "mass")).alias("ys")))
+    test = rows.select("item", "fold", "norms", F.explode("entries").alias("e"))
+    test = test.select("item", "fold", F.col("e.term").alias("term"), weight(F.col("e"), F.col("norms"), F.col("fold")).alias("w")).where("w is not null")
+    # a label without the term adds ln 1 = 0, so only the labels that have it are listed
+    hits = test.join(by_term, "term").select("item", "w", "fold", F.posexplode("ys").alias("at", "x"))
+    hits = hits.groupBy("item", F.col("x.y").alias("y")).agg(F.sum(F.col("w") * F.log(F.get("x.mass", F.col("fold")) + 1.0)).alias("s"), F.sum(F.when(F.col("at") == 0, F.col("w")).otherwise(0.0)).alias("len"))
     hits = hits.groupBy("item").agg(F.map_from_entries(F.collect_list(F.struct("y", "s"))).alias("s"), F.sum("len").alias("len"))
-    scored = items.join(model, "fold").join(hits, "item", "left")
-    score = lambda m: F.round(m.getField("lp") + F.coalesce(F.try_element_at("s", m.getField("y")), F.lit(0.0)) - F.coalesce("len", F.lit(0)) * m.getField("den"), 9)
+    scored = rows.select("item", "label", "fold").join(F.broadcast(model), "fold").join(hits, "item", "left")  # the model: labels by folds
+    score = lambda m: F.round(m.getField("lp") + F.coalesce(F.try_element_at("s", m.getField("y")), F.lit(0.0)) - F.coalesce("len", F.lit(0.0)) * m.getField("den"), 9)
     best = F.array_max(F.transform("model", lambda m: F.struct(score(m).alias("score"), (-m.getField("y")).alias("tie"), m.getField("y").alias("y"))))
     return scored.select("item", "fold", "label", best.getField("y").alias("pred"))
 
 
+def fold_features(rows: DataFrame, fold: int, size: int) -> DataFrame:
+    """item, fold, label, features: MLlib's sparse vectors of all items, weighed by the training side of one fold.
+
+    Spark has no function that makes sparse vectors, but reads them: the fields of one are written and read back as vectors.
+    """
+    from pyspark.ml.linalg import VectorUDT
+    from pyspark.sql import types as T
+
+    seen = F.array_sort(F.filter(F.transform("entries", lambda e: F.struct(e["id"].cast("int").alias("id"), weight(e, F.col("norms"), F.lit(fold)).alias("w"))), lambda e: e["w"].isNotNull()))
+    fields = [F.lit(0).cast("byte").alias("type"), F.lit(size).alias("size"), F.transform("seen", lambda e: e["id"]).alias("indices"), F.transform("seen", lambda e: e["w"]).alias("values")]
+    flat = rows.withColumn("seen", seen).select("item", "fold", F.col("label").cast("double").alias("label"), F.struct(*fields).alias("features"))
+    schema = T.StructType([T.StructField("features", VectorUDT()) if f.name == "features" else f for f in flat.schema])
+    return flat.sparkSession.read.schema(schema).parquet(written(flat))
+
+
+def text_predict(tf: DataFrame, items: DataFrame, k: int, classifier: str = "lr", most_terms: int = 4096) -> DataFrame:
+    """item, fold, label, pred: each fold predicted by a classifier over TF-IDF of the others' texts: mnb, or one of CLASSIFIERS.
+
+    lr is fitted by linear.logistic, all folds at once: MLlib scales every feature by its deviation, and isn't done with rare terms after
+    hundreds of steps. rf reads the most_terms terms that most items have (ties by MD5), since MLlib bins every feature of a row; the
+    others read all terms. The rows are made once; each fold fits on its own weights.
+    """
+    if classifier == "rf":
+        counted = tf.groupBy("term").agg(F.count("*").alias("n"))
+        tf = tf.join(counted.orderBy(F.desc("n"), F.md5("term"), "term").limit(most_terms).select("term"), "term", "left_semi")
+    rows, terms = tfidf_rows(tf, items, k)
+    if classifier == "mnb":
+        return bayes(rows, terms, k)
+    size, out = max(1, terms.count()), None
+    if classifier == "lr":
+        w = F.flatten(F.transform("entries", lambda e: F.array(*[weight(e, F.col("norms"), F.lit(f)) for f in range(k)])))
+        return linear.logistic(rows.select("item", "fold", "label", F.transform("entries", lambda e: e["id"].cast("int")).alias("ids"), w.alias("w")), size, k)
+    for f in range(k):
+        features = fold_features(rows, f, size)
+        pred = CLASSIFIERS[classifier](features.where(F.col("fold") != f)).transform(features.where(F.col("fold") == f))
+        out = pred if out is None else out.unionByName(pred)
+    return out.select("item", "fold", F.col("label").cast("long").alias("label"), F.col("prediction").cast("long").alias("pred"))
+
+
 def macro_f1(pred: DataFrame, keys: list[str]) -> DataFrame:
     """keys, f1: the mean over labels that occur or are predicted; undefined ones are 0."""
     each = pred.select(*keys, F.explode(F.array_distinct(F.array("label", "pred"))).alias("y"), "label", "pred")
@@ -87,19 +162,34 @@ def macro_f1(pred: DataFrame, keys: list[str]) -> DataFrame:
     return each.groupBy(*keys).agg(F.avg(2 * F.col("tp") / (F.col("n_true") + F.col("n_pred"))).alias("f1"))
 
 
+def _logistic(train: DataFrame):
+    """Logistic regression that minimises the sum of losses and half the squared norm, which MLlib has as a mean and a strength of 1 / n."""
+    from pyspark.ml.classification import LogisticRegression
+
+    return LogisticRegression(labelCol="label", maxIter=100, regParam=1 / max(1, train.count()), standardization=False).fit(train)
+
+
+def _forest(train: DataFrame):
+    from pyspark.ml.classification import RandomForestClassifier
+
+    return RandomForestClassifier(labelCol="label", numTrees=100, seed=42).fit(train)
+
+
+#: Classifiers by name: functions that fit rows of label and features; their models add prediction.
+CLASSIFIERS = {"lr": _logistic, "rf": _forest}
+
+
 def fit_predict(features: DataFrame, k: int, classifier: str = "lr") -> DataFrame:
-    """item, fold, label, pred: each fold predicted by MLlib's logistic regression (lr) or random forest (rf) of the others.
+    """item, fold, label, pred: each fold predicted by a classifier (see CLASSIFIERS) of the others.
 
-    features: item, fold, label (numeric), features (array<double>): made once by any encoder, or TF-IDF of a bounded
-    vocabulary. One fit a fold; nothing but the model comes to the driver.
+    features: item, fold, label (numeric), features (array<double>), made once by any encoder. One fit a fold; nothing but
+    the model comes to the driver.
     """
-    from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
     from pyspark.ml.functions import array_to_vector
 
-    made = {"lr": lambda: LogisticRegression(labelCol="label", maxIter=100, regParam=0.0), "rf": lambda: RandomForestClassifier(labelCol="label", numTrees=100, seed=42)}
     d = materialize(features.select("item", "fold", F.col("label").cast("double").alias("label"), array_to_vector("features").alias("features")))
     out = None
     for f in range(k):
-        held = made[classifier]().fit(d.where(F.col("fold") != f)).transform(d.where(F.col("fold") == f))
+        held = CLASSIFIERS[classifier](d.where(F.col("fold") != f)).transform(d.where(F.col("fold") == f))
         out = held if out is None else out.unionByName(held)
     return out.select("item", "fold", F.col("label").cast("long").alias("label"), F.col("prediction").cast("long").alias("pred"))

@@ -48,20 +48,27 @@ class NormalizationStudy:
     def kl(self, epsilon: float = 1e-12) -> DataFrame:
         return vocabulary.kl_divergence(self.types, [], "raw", "norm", epsilon, weight=F.col("n"))
 
-    def downstream(self, k: int = 5, seed: int = 42, classifier: str = "mnb") -> DataFrame:
+    def downstream(self, k: int = 5, seed: int = 42, classifier: str = "mnb", vectorizer: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
         """f1_raw, f1_norm, delta, lo, hi, p over the same stratified folds of both sides; needs label.
 
-        classifier: mnb over counts of tokens, or lr or rf over the vectors, which may be features of any kind.
+        classifier: mnb, or one of learning.CLASSIFIERS. vectorizer: a function of (item, text) and the side's name that returns item and features
+        (array<double>), fitted on nothing. Without it the vectors of the corpus are the features, where it has any and the
+        classifier isn't mnb; else TF-IDF of the tokens, fitted on each fold's training side.
         """
         items = materialize(learning.stratified_folds(self.corpus.select(F.col("doc_id").alias("item"), "label"), "item", "label", k, seed))
         side = {}
         for c in ("raw", "norm"):
-            if classifier == "mnb":
-                tf = self.pairs.select(F.col("doc_id").alias("item"), F.explode(c).alias("term")).groupBy("item", "term").agg(F.count("*").alias("tf"))
-                pred = learning.naive_bayes(tf, items, k)
-            else:
+            if vectorizer:
+                features = vectorizer(self.corpus.select(F.col("doc_id").alias("item"), F.col(c).alias("text")), c)
+            elif classifier != "mnb" and "raw_vec" in self.corpus.columns:
                 features = self.corpus.select(F.col("doc_id").alias("item"), F.transform(f"{c}_vec", lambda x: x.cast("double")).alias("features"))
+            else:
+                features = None
+            if features is not None:
                 pred = learning.fit_predict(items.join(features, "item"), k, classifier)
+            else:
+                tf = self.pairs.select(F.col("doc_id").alias("item"), F.explode(c).alias("term")).groupBy("item", "term").agg(F.count("*").alias("tf"))
+                pred = learning.text_predict(tf, items, k, classifier)
             side[c] = learning.macro_f1(pred, ["fold"]).withColumnRenamed("f1", c)
         both = materialize(side["raw"].join(side["norm"], "fold").withColumn("g", F.lit(0)).withColumn("d", F.col("norm") - F.col("raw")))
         paired = statistics.paired(both, ["g"], "raw", "norm")

@@ -9,6 +9,7 @@ from tessellex.operators import inference
 from tessellex.operators import learning as ml
 from tessellex.operators import statistics as st
 from tessellex.sources import spread, table
+from tessellex.sources.scratch import materialize
 
 from . import query
 from .texts import SHORT_OUT, TOKENS, VALID
@@ -48,15 +49,21 @@ def q_tfidf(spark, sf_dir):
 
 
 def mnb_sql(cut: int | None = None) -> str:
-    return f"""WITH {counts_sql(cut)}, k AS (SELECT DISTINCT fold FROM f), y AS (SELECT DISTINCT label AS y FROM f),
-train AS (SELECT k.fold, f.label AS y, tf.term, sum(tf.tf) AS c FROM k JOIN f ON f.fold <> k.fold JOIN tf ON tf.item = f.item GROUP BY k.fold, f.label, tf.term),
-voc AS (SELECT fold, count(DISTINCT term) AS v FROM train GROUP BY fold), tot AS (SELECT fold, y, sum(c) AS total FROM train GROUP BY fold, y),
+    return f"""WITH {counts_sql(cut)}, k AS (SELECT DISTINCT fold FROM f),
+size AS (SELECT k.fold, count(*)::DOUBLE AS n FROM k JOIN f ON f.fold <> k.fold GROUP BY k.fold),
+df AS (SELECT k.fold, tf.term, count(*) AS df FROM k JOIN f ON f.fold <> k.fold JOIN tf ON tf.item = f.item GROUP BY k.fold, tf.term),
+voc AS (SELECT fold, count(*) AS v FROM df GROUP BY fold),
+w0 AS (SELECT df.fold, tf.item, tf.term, tf.tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN df ON df.term = tf.term JOIN size ON size.fold = df.fold),
+nrm AS (SELECT fold, item, sqrt(sum(w * w)) AS s FROM w0 GROUP BY fold, item),
+w AS (SELECT w0.fold, w0.item, w0.term, w / s AS w FROM w0 JOIN nrm ON nrm.fold = w0.fold AND nrm.item = w0.item),
+train AS (SELECT w.fold, f.label AS y, w.term, sum(w.w) AS c FROM w JOIN f ON f.item = w.item AND f.fold <> w.fold GROUP BY w.fold, f.label, w.term),
+tot AS (SELECT fold, y, sum(c) AS total FROM train GROUP BY fold, y),
 pri AS (SELECT k.fold, f.label AS y, count(*) AS n FROM k JOIN f ON f.fold <> k.fold GROUP BY k.fold, f.label), al AS (SELECT fold, sum(n) AS n_all FROM pri GROUP BY fold),
-known AS (SELECT f.item, f.fold, tf.term, tf.tf FROM f JOIN tf ON tf.item = f.item WHERE EXISTS (SELECT 1 FROM train t WHERE t.fold = f.fold AND t.term = tf.term)),
-len AS (SELECT item, sum(tf) AS len FROM known GROUP BY item),
-hit AS (SELECT kn.item, t.y, sum(kn.tf * ln(t.c + 1.0::DOUBLE)) AS s FROM known kn JOIN train t ON t.fold = kn.fold AND t.term = kn.term GROUP BY kn.item, t.y),
-sc AS (SELECT f.item, f.fold, f.label, pri.y, round(ln(pri.n::DOUBLE / al.n_all) + coalesce(hit.s, 0) - coalesce(len.len, 0) * ln((coalesce(tot.total, 0) + voc.v)::DOUBLE), 9) AS score
-FROM f JOIN pri ON pri.fold = f.fold JOIN al ON al.fold = f.fold JOIN voc ON voc.fold = f.fold LEFT JOIN tot ON tot.fold = f.fold AND tot.y = pri.y LEFT JOIN len ON len.item = f.item LEFT JOIN hit ON hit.item = f.item AND hit.y = pri.y)
+known AS (SELECT f.item, f.fold, w.term, w.w FROM f JOIN w ON w.item = f.item AND w.fold = f.fold),
+len AS (SELECT item, sum(w) AS len FROM known GROUP BY item),
+hit AS (SELECT kn.item, t.y, sum(kn.w * ln(t.c + 1.0::DOUBLE)) AS s FROM known kn JOIN train t ON t.fold = kn.fold AND t.term = kn.term GROUP BY kn.item, t.y),
+sc AS (SELECT f.item, f.fold, f.label, pri.y, round(ln(pri.n::DOUBLE / al.n_all) + coalesce(hit.s, 0) - coalesce(len.len, 0) * ln(coalesce(tot.total, 0)::DOUBLE + coalesce(voc.v, 0)), 9) AS score
+FROM f JOIN pri ON pri.fold = f.fold JOIN al ON al.fold = f.fold LEFT JOIN voc ON voc.fold = f.fold LEFT JOIN tot ON tot.fold = f.fold AND tot.y = pri.y LEFT JOIN len ON len.item = f.item LEFT JOIN hit ON hit.item = f.item AND hit.y = pri.y)
 SELECT item, fold::INT AS fold, label, y AS pred FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, y) AS k FROM sc) WHERE k = 1"""
 
 
@@ -94,6 +101,26 @@ def q_dsp(spark, sf_dir):
     return s.select(F.col("n").alias("n_folds"), F.round("mean_a", 6).alias("f1_raw"), F.round("mean_b", 6).alias("f1_norm"), F.round("delta", 6).alias("delta"))
 
 
+def dsp_of(spark, sf_dir, classifier: str):
+    """clf, n_folds, f1_raw, f1_norm, delta, p of a classifier over TF-IDF of both sides, each fitted on its own training side."""
+    sides = [ml.macro_f1(ml.text_predict(counts(spark, sf_dir, cut), folds(spark, sf_dir), K, classifier), ["fold"]).withColumnRenamed("f1", name) for cut, name in ((None, "raw"), (4, "norm"))]
+    both = materialize(sides[0].join(sides[1], "fold").select(F.lit(classifier).alias("clf"), "raw", "norm", F.round(F.col("norm") - F.col("raw"), 9).alias("d")))
+    s = st.paired(both, ["clf"], "raw", "norm").join(st.wilcoxon(both.select("clf", "d"), ["clf"], "d"), "clf")
+    return s.select("clf", F.col("n").alias("n_folds"), *[F.round(c, 6).alias(n) for c, n in (("mean_a", "f1_raw"), ("mean_b", "f1_norm"), ("delta", "delta"), ("p", "p"))])
+
+
+@query()
+def q_dsp_lr(spark, sf_dir):
+    """The downstream change for logistic regression over all terms."""
+    return dsp_of(spark, sf_dir, "lr")
+
+
+@query()
+def q_dsp_rf(spark, sf_dir):
+    """The downstream change for a random forest of 100 trees over the 4096 commonest terms."""
+    return dsp_of(spark, sf_dir, "rf")
+
+
 @query(f"""WITH d AS (SELECT fold, round(norm - raw, 9) AS d FROM {SIDES}), r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0::DOUBLE AS r, row_number() OVER (ORDER BY fold) - 1 AS i FROM d WHERE d <> 0),
 w AS (SELECT least(coalesce(sum(r) FILTER (WHERE d > 0), 0), coalesce(sum(r) FILTER (WHERE d < 0), 0))::DOUBLE AS w, count(*) AS n FROM r),
 s AS (SELECT b, coalesce(sum(r) FILTER (WHERE (b >> i) & 1 = 1), 0) AS t FROM (SELECT unnest(range(0, (1 << n)::BIGINT)) AS b FROM w) LEFT JOIN r ON true GROUP BY b)

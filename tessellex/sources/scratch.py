@@ -73,9 +73,13 @@ def _remove(spark: SparkSession, made: list[str], first: int) -> None:
     del made[first:]
 
 
+def written(df: DataFrame) -> str:
+    """The folder of a new scratch table of df's rows."""
+    path = scratch_dir(df.sparkSession)
+    df.write.parquet(path)
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Writes df to the shared scratch folder and reads it back: a lost executor costs no more than a task, and nothing is computed twice."""
-    spark = df.sparkSession
-    path = scratch_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(written(df))
