@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessellex.functions import probability
 
 from . import ranking
+from .resampling import bootstrap
+
 
 def paired(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     """keys, n, mean_a, mean_b, delta, sd, d_z, lo, hi of b - a; sd over n - 1, d_z null where sd is 0, lo and hi the 95 % t-interval of delta."""
@@ -54,30 +55,6 @@ def wilcoxon(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.groupBy(*keys).applyInPandas(run, schema)
 
 
-def bootstrap(df: DataFrame, keys: list[str], value: str, order: str, n_boot: int = 10_000, seed: int = 12345) -> DataFrame:
-    """keys, mean, lo, hi: percentile interval of the mean, the values ordered by `order`; indices are drawn in pieces of bounded size."""
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        x = g.sort_values(order)[value].to_numpy(float)
-        rng = np.random.default_rng(seed)
-        step = max(1, 4_000_000 // len(x))
-        means = np.concatenate([x[rng.integers(0, len(x), (min(step, n_boot - i), len(x)))].mean(axis=1) for i in range(0, n_boot, step)])
-        return pd.DataFrame([[*(g[k].iloc[0] for k in keys), x.mean(), *np.percentile(means, [2.5, 97.5])]], columns=[*keys, "mean", "lo", "hi"])
-
-    schema = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys) + ", mean double, lo double, hi double"
-    return df.groupBy(*keys).applyInPandas(run, schema)
-
-
-def hash_bootstrap(df: DataFrame, keys: list[str], value: str, item: str, n_boot: int = 200) -> DataFrame:
-    """keys, lo, hi: the same with weights from a hash: replicate r draws items by Poisson(1) of MD5(item, r). One aggregate, any group size."""
-    u = lambda r: F.conv(F.substring(F.md5(F.concat(F.col(item).cast("string"), F.lit(":"), r.cast("string"))), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
-    drawn = df.select(*keys, value, item, F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("r")).withColumn("u", u(F.col("r")))
-    cuts = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563)
-    w = sum(((F.col("u") >= c).cast("int") for c in cuts[1:]), (F.col("u") >= cuts[0]).cast("int"))
-    each = drawn.withColumn("w", w).groupBy(*keys, "r").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("m"))
-    return each.groupBy(*keys).agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"))
-
-
 def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """keys, n, rho, p: correlation of midranks, and Student's p."""
     r = ranking.midranks(ranking.midranks(df, keys, x, "rx"), keys, y, "ry")
@@ -103,8 +80,8 @@ def comparison(df: DataFrame, keys: list[str], a: str, b: str, item: str, n_boot
     bootstrap interval, and McNemar's test of rank one.
     """
     rr = lambda c: F.when(F.col(c) <= 10, 1 / F.col(c)).otherwise(0.0)
-    d = df.withColumn("cp_key", F.lit(0))
+    d = df.withColumn("cp_key", F.lit(0))  # so that a join has a key
     by = ["cp_key", *keys]
-    ci = bootstrap(d.select(*by, item, (rr(b) - rr(a)).alias("cp_d")), by, "cp_d", item, n_boot).withColumnRenamed("mean", "delta")
+    ci = bootstrap(d.select(*by, item, (rr(b) - rr(a)).alias("cp_d")), by, "cp_d", item, n_boot).drop("n").withColumnRenamed("mean", "delta")
     test = mcnemar(d.select(*by, (F.col(a) == 1).alias("x"), (F.col(b) == 1).alias("y")), by, "x", "y")
     return test.join(ci, by).select(*keys, "delta", "lo", "hi", "a_only", "b_only", "statistic", "exact", "p")

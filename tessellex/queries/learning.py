@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessellex.functions import text
-from tessellex.operators import inference
+from tessellex.operators import inference, resampling
 from tessellex.operators import learning as ml
 from tessellex.operators import statistics as st
 from tessellex.sources import spread, table
@@ -167,16 +167,14 @@ def q_paired_stats(spark, sf_dir):
     return st.paired(d, ["lang"], "a", "b").select("lang", "n", *[F.round(c, 4).alias(c) for c in ("mean_a", "mean_b", "delta", "sd", "d_z")])
 
 
-POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563]
+VALUES = "SELECT label, vec_id AS item, round(list_sum(list_transform(embedding, lambda x: abs(x::DOUBLE))), 6) AS v FROM embeddings"
 
 
-@query(f"""WITH d AS (SELECT label, vec_id, round(list_sum(list_transform(embedding, lambda x: abs(x::DOUBLE))), 6) AS v FROM embeddings),
-r AS (SELECT label, v, r, ('0x' || substr(md5(vec_id || ':' || r), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM d, (SELECT unnest(range(1, 101)) AS r)),
-m AS (SELECT label, r, sum(w * v) / sum(w) AS m FROM (SELECT label, r, v, {' + '.join(f'(u >= {c})::INT' for c in POISSON)} AS w FROM r) GROUP BY label, r)
-SELECT label, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM m GROUP BY label""")
+@query(f"SELECT label, round(lo, 6) AS lo, round(hi, 6) AS hi FROM ({resampling.bootstrap_sql(VALUES, 'label')})")
 def q_bootstrap(spark, sf_dir):
+    """The interval of each label's mean from 10,000 replicates."""
     e = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + F.abs(x.cast("double"))), 6).alias("v"))
-    return st.hash_bootstrap(e, ["label"], "v", "vec_id", n_boot=100).select("label", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
+    return resampling.bootstrap(e, ["label"], "v", "vec_id").select("label", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
 
 def by_user(spark, sf_dir):

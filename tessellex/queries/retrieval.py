@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessellex.functions import text
+from tessellex.operators import resampling
 from tessellex.operators import retrieval as ir
-from tessellex.operators import statistics as st
 from tessellex.sources import table
 
 from . import query
@@ -207,8 +207,11 @@ def q_dense_vs_sparse(spark, sf_dir):
     return recall(spark, sf_dir).select("label", "delta").join(n, "label", "left")
 
 
-@query()
+RANKED = f"SELECT 'tok' AS condition, qid AS item, {RR.format(r='rank')} AS v FROM ({rank_sql()})"
+
+
+@query(f"SELECT b.condition, n, round(mean, 9) AS mean, round(lo, 9) AS lo, round(hi, 9) AS hi FROM ({resampling.bootstrap_sql(RANKED, 'condition')}) b JOIN (SELECT condition, count(*)::BIGINT AS n, avg(v) AS mean FROM ({RANKED}) GROUP BY condition) m ON m.condition = b.condition")
 def q_bootstrap_mrr(spark, sf_dir):
-    """Percentile interval of the reciprocal rank by NumPy's generator, one group of one value a query."""
+    """The interval of the mean reciprocal rank from 10,000 replicates."""
     r = ranks(spark, sf_dir).select(F.lit("tok").alias("condition"), "qid", F.when(F.col("rank") <= 10, 1 / F.col("rank")).otherwise(0.0).alias("rr"))
-    return st.bootstrap(r, ["condition"], "rr", "qid")
+    return resampling.bootstrap(r, ["condition"], "rr", "qid").select("condition", "n", *[F.round(c, 9).alias(c) for c in ("mean", "lo", "hi")])

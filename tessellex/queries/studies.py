@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessellex.functions import text
-from tessellex.operators import alignment, inference, ranking
+from tessellex.operators import alignment, inference, ranking, resampling
 from tessellex.operators import learning as ml
 from tessellex.operators import retrieval as ir
 from tessellex.operators import statistics as st
@@ -48,8 +48,8 @@ def stemmed(spark, sf_dir):
 def anld_ci(pairs_, n_boot=10_000):
     """lang, anld, lo, hi, n_types: the distances of words and their bootstrap interval."""
     words = alignment.word_distances(alignment.align(pairs_, padded=False, keys=("lang",), first_only=True), ["lang"])
-    ci = st.hash_bootstrap(words, ["lang"], "distance", "src", n_boot=min(n_boot, 200))
-    return words.groupBy("lang").agg(F.avg("distance").alias("anld"), F.count("*").alias("n_types")).join(ci, "lang")
+    ci = resampling.bootstrap(words, ["lang"], "distance", "src", n_boot)
+    return ci.select("lang", F.col("mean").alias("anld"), "lo", "hi", F.col("n").alias("n_types"))
 
 
 @query()
@@ -61,12 +61,16 @@ def q_anld_ci(spark, sf_dir):
 
 @query()
 def q_tier_b(spark, sf_dir):
-    """Stems against orthography by language: sizes and ratios, distance with its interval, divergence, gain and score (its retention from the embeddings)."""
+    """Stems against orthography by language: sizes and ratios, distance with its interval, divergence, gain and score.
+
+    Retention is the mean cosine of the vectors of the language's documents (those of their ids) and of their signs.
+    """
     sizes = texts.q_cr_stems(spark, sf_dir)
     kl = vo.kl_divergence(texts.conditions(spark, sf_dir, ["lang"], stems=True).where("condition <> 'raw'"), ["lang"], "ortho", "full", weight=F.col("n"))
-    irs = pairs(spark, sf_dir).agg(F.avg(vo.cosine(F.col("e"), F.col("s"))).alias("irs"), F.lit(1).alias("one"))
+    of = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "lang")
+    irs = pairs(spark, sf_dir).join(of, "vec_id").groupBy("lang").agg(F.avg(vo.cosine(F.col("e"), F.col("s"))).alias("irs"))
     a = anld_ci(stemmed(spark, sf_dir))
-    out = sizes.join(a, "lang").join(kl, "lang").withColumn("one", F.lit(1)).join(irs, "one").drop("one")
+    out = sizes.join(a, "lang").join(kl, "lang").join(irs, "lang", "left")
     gain = vo.vrg(F.col("cr_morph"))
     return out.withColumns({"vrg": F.round(gain, 6), "aes": F.round(vo.aes(F.col("irs"), gain), 6)}).select(
         "lang", *texts.ALL_SIZES, "cr_total", "cr_ortho", "cr_morph", "morph_share", "n_types", *[F.round(c, 6).alias(c) for c in ("anld", "lo", "hi", "kl", "irs")], "vrg", "aes",
@@ -144,16 +148,16 @@ def q_paired_ci(spark, sf_dir):
     return st.paired(d, ["lang"], "a", "b").select("lang", "n", *[F.round(c, 6).alias(c) for c in ("delta", "sd", "lo", "hi")])
 
 
-BOOT = f"""WITH d AS (SELECT label, vec_id, embedding[1]::DOUBLE - embedding[2]::DOUBLE AS v FROM embeddings), r AS (SELECT label, v, r, ('0x' || substr(md5(vec_id || ':' || r), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM d, (SELECT unnest(range(1, 101)) AS r)),
-m AS (SELECT label, r, sum(w * v) / sum(w) AS m FROM (SELECT label, r, v, {' + '.join(f'(u >= {c})::INT' for c in ql.POISSON)} AS w FROM r) GROUP BY label, r)
-SELECT label, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM m GROUP BY label"""
+BETTER = resampling.bootstrap_sql("SELECT label, vec_id AS item, (list_sum(embedding[1:len(embedding) // 2]::DOUBLE[]) - list_sum(embedding[len(embedding) // 2 + 1:]::DOUBLE[])) AS v FROM embeddings", "label")
 
 
-@query(f"SELECT CASE WHEN lo > 0 THEN 'better' WHEN hi < 0 THEN 'worse' ELSE 'same' END AS verdict, count(*)::BIGINT AS n FROM ({BOOT}) GROUP BY ALL")
+@query(f"SELECT CASE WHEN lo > 0 THEN 'better' WHEN hi < 0 THEN 'worse' ELSE 'same' END AS verdict, count(*)::BIGINT AS n FROM ({BETTER}) GROUP BY ALL")
 def q_interval_verdict(spark, sf_dir):
-    """Better, worse or same by the sign of each group's bootstrap interval of a paired difference (100 replicates, as the SQL has them)."""
-    e = table(spark, sf_dir, "embeddings").select("label", "vec_id", (F.get("embedding", 0).cast("double") - F.get("embedding", 1).cast("double")).alias("v"))
-    ci = st.hash_bootstrap(e, ["label"], "v", "vec_id", n_boot=100).select(F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
+    """Better, worse or same by the sign of each group's interval (10,000 replicates) of a paired difference: the halves of a vector."""
+    half = (F.size("embedding") / 2).cast("int")
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v.cast("double"))
+    v = total(F.slice("embedding", F.lit(1), half)) - total(F.slice("embedding", half + 1, F.size("embedding")))
+    ci = resampling.bootstrap(table(spark, sf_dir, "embeddings").select("label", "vec_id", v.alias("v")), ["label"], "v", "vec_id")
     return ci.groupBy(F.when(F.col("lo") > 0, "better").when(F.col("hi") < 0, "worse").otherwise("same").alias("verdict")).agg(F.count("*").alias("n"))
 
 

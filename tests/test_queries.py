@@ -16,17 +16,6 @@ def test_query(spark, duck, name):
         assert len(got)
 
 
-def test_bootstrap_mrr_draws_ten_thousand_replicates(spark):
-    import numpy as np
-    from tessellex.queries.retrieval import ranks
-
-    sf = str(DATA / "sf0.001")
-    x = np.array([1 / r["rank"] if r["rank"] is not None and r["rank"] <= 10 else 0.0 for r in ranks(spark, sf).orderBy("qid").collect()])
-    means = x[np.random.default_rng(12345).integers(0, len(x), (10_000, len(x)))].mean(axis=1)
-    (got,) = QUERIES["q_bootstrap_mrr"](spark, sf).collect()
-    assert (got.lo, got.hi) == pytest.approx(tuple(np.percentile(means, [2.5, 97.5])), abs=1e-12)
-
-
 def test_entry(spark):
     import __spark_entry__ as entry
 
