@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessellex.functions import text
-from tessellex.operators import resampling
+from tessellex.operators import postings, resampling
 from tessellex.operators import retrieval as ir
 from tessellex.sources import table
 
@@ -49,8 +49,7 @@ SELECT gs.qid, CASE WHEN g > 0 THEN (SELECT count(*) FROM s WHERE s.qid = gs.qid
 
 
 def ranks(spark, sf_dir, condition="tok", k1=0.9, b=0.4):
-    p, q = passages(spark, sf_dir, condition), questions(spark, sf_dir, condition)
-    return ir.gold_ranks(q, ir.bm25_scores(q, ir.bm25_weights(p, k1, b)), p.count())
+    return postings.gold_ranks(questions(spark, sf_dir, condition), passages(spark, sf_dir, condition), k1, b)
 
 
 @query(f"WITH {sql()} SELECT did, term, tf::BIGINT AS tf, round(w, 6) AS w FROM w")
