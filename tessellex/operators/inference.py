@@ -32,9 +32,9 @@ def encode(df: DataFrame, text: str, load: Callable[[], Callable[[list[str]], li
 
 def by_length(df: DataFrame, text: str, batch: int) -> DataFrame:
     """df with batch: numbers of batches of so many rows, the longest texts first, so that a batch holds texts of like length."""
-    d = df.withColumn("bl_size", -F.char_length(F.coalesce(text, F.lit(""))))
-    ranges = ranking.range_of(F.col("bl_size"), ranking.bounds(d, "bl_size"))
-    return ranking.positions(d, [], ranges, ["bl_size", F.xxhash64(text), text], "bl_at").withColumn("batch", F.floor(F.col("bl_at") / batch)).drop("bl_size", "bl_at")
+    d = df.withColumns({"bl_size": -F.char_length(F.coalesce(text, F.lit(""))), "bl_tie": F.xxhash64(text)})
+    ranges = ranking.range_of(F.col("bl_size"), ranking.bounds(d, "bl_size", "bl_tie"), F.col("bl_tie"))
+    return ranking.positions(d, [], ranges, ["bl_size", "bl_tie", text], "bl_at").withColumn("batch", F.floor(F.col("bl_at") / batch)).drop("bl_size", "bl_tie", "bl_at")
 
 
 def normalise(df: DataFrame, text: str, load: Callable[[], Callable[[list[str]], list[str | None]]], batch: int = 32, out: str = "norm") -> DataFrame:

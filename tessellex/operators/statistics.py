@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessellex.functions import probability
+from tessellex.sources.scratch import materialize
 
 from . import ranking
 from .resampling import bootstrap
@@ -57,7 +58,8 @@ def wilcoxon(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """keys, n, rho, p: correlation of midranks, and Student's p."""
-    r = ranking.midranks(ranking.midranks(df, keys, x, "rx"), keys, y, "ry")
+    d = materialize(df.select(*keys, x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull()))
+    r = ranking.midranks(ranking.midranks(d, keys, x, "rx"), keys, y, "ry") if x != y else ranking.midranks(d, keys, x, "rx").withColumn("ry", F.col("rx"))
     out = r.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("rho"))
 
     @F.pandas_udf("double")
@@ -67,12 +69,14 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     return out.withColumn("p", p("rho", "n"))
 
 
-def holm(df: DataFrame, keys: list[str], p: str, tie: str) -> DataFrame:
-    """df with p_holm: step-down within keys, a running maximum, at most 1."""
-    ranges = ranking.range_of(F.col(p), ranking.bounds(df, p))
-    d = ranking.positions(df, keys, ranges, [p, tie], "p_at").join(df.groupBy(*keys).agg(F.count("*").alias("p_n")), keys)
-    d = d.withColumn("p_step", F.least(F.lit(1.0), F.col(p) * (F.col("p_n") - F.col("p_at"))))
-    return ranking.running_max(d, keys, ranges, [p, tie], "p_step", "p_holm").drop("p_step", "p_at", "p_n")
+def holm(df: DataFrame, keys: list[str], p: str) -> DataFrame:
+    """df with p_holm: step-down within keys, a running maximum, at most 1. Rows without a p or a key go.
+
+    Of equal p the first step is the greatest, so they share its value: the steps are over distinct p.
+    """
+    each = ranking.by_value(df, keys, p)
+    each = each.withColumn("rk_step", F.least(F.lit(1.0), F.col(p) * (F.col("rk_all") - F.col("rk_before"))))
+    return df.join(ranking.running_max(each, keys, p, "rk_step", "p_holm").select(*keys, p, "p_holm"), [*keys, p])
 
 
 def comparison(df: DataFrame, keys: list[str], a: str, b: str, item: str, n_boot: int = 10_000) -> DataFrame:

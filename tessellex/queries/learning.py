@@ -211,7 +211,7 @@ SELECT g, doc_id, round(max(s) OVER (PARTITION BY g ORDER BY p, doc_id ROWS UNBO
 def q_holm(spark, sf_dir):
     u = F.conv(F.substring(F.md5(F.concat(F.lit("p:"), F.col("doc_id").cast("string"))), 1, 6), 16, 10).cast("long") / F.lit(16777216.0)
     d = table(spark, sf_dir, "labels").select(F.col("toxic").alias("g"), "doc_id", F.pow(u, F.lit(4)).alias("p"))
-    return st.holm(d, ["g"], "p", "doc_id").select("g", "doc_id", F.round("p_holm", 6).alias("p_holm"))
+    return st.holm(d, ["g"], "p").select("g", "doc_id", F.round("p_holm", 6).alias("p_holm"))
 
 
 @query("SELECT event_type, min(value) AS least, max(value) AS most, round(median(value), 6) AS mid, (count(*) FILTER (WHERE value > 50))::BIGINT AS above FROM events GROUP BY event_type")

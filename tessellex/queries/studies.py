@@ -290,7 +290,7 @@ def q_two_sheets(spark, sf_dir):
 def q_longest_first(spark, sf_dir):
     """Batches of 32 texts of like length, the longest first."""
     d = table(spark, sf_dir, "documents").select("doc_id", (-F.char_length(F.coalesce("text", F.lit("")))).alias("size"))
-    at = ranking.positions(d, [], ranking.range_of(F.col("size"), ranking.bounds(d, "size")), ["size", "doc_id"])
+    at = ranking.positions(d, [], ranking.range_of(F.col("size"), ranking.bounds(d, "size", "doc_id"), F.col("doc_id")), ["size", "doc_id"])
     return at.select("doc_id", F.floor(F.col("pos") / 32).alias("batch"))
 
 

@@ -163,7 +163,7 @@ def test_anld(spark):
 
 def test_holm(spark):
     d = spark.createDataFrame([(1, 0.01), (2, 0.04), (3, 0.03)], "i int, p double").withColumn("g", F.lit(0))
-    got = {r.i: r.p_holm for r in statistics.holm(d, ["g"], "p", "i").collect()}
+    got = {r.i: r.p_holm for r in statistics.holm(d, ["g"], "p").collect()}
     assert [round(got[i], 9) for i in (1, 2, 3)] == [0.03, 0.06, 0.06]
 
 

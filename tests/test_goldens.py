@@ -121,6 +121,6 @@ def test_correlations(spark):
     for _, rho, p, _ in CORRELATIONS:
         assert probability.spearman_p(rho, 15) == close(p)
     d = spark.createDataFrame([(i, t, p) for i, (t, _, p, _) in enumerate(CORRELATIONS)], "i int, target string, p double")
-    assert {r.i: r.p_holm for r in statistics.holm(d, ["target"], "p", "i").collect()} == close({i: r[3] for i, r in enumerate(CORRELATIONS)})
+    assert {r.i: r.p_holm for r in statistics.holm(d, ["target"], "p").collect()} == close({i: r[3] for i, r in enumerate(CORRELATIONS)})
     (r,) = statistics.spearman(spark.createDataFrame([(0, *map(float, x)) for x in PAIRS], "g int, x double, y double"), ["g"], "x", "y").collect()
     assert (r.n, r.rho, r.p) == (15, close(CORRELATIONS[0][1]), close(CORRELATIONS[0][2]))
