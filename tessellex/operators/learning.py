@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessellex.sources.scratch import materialize, written
 
-from . import linear, ranking
+from . import kernel, linear, ranking
 
 
 def order_hash(item: Column, seed: int) -> Column:
@@ -128,10 +128,10 @@ def fold_features(rows: DataFrame, fold: int, size: int) -> DataFrame:
 
 
 def text_predict(tf: DataFrame, items: DataFrame, k: int, classifier: str = "lr", most_terms: int = 4096) -> DataFrame:
-    """item, fold, label, pred: each fold predicted by a classifier over TF-IDF of the others' texts: mnb, or one of CLASSIFIERS.
+    """item, fold, label, pred: each fold predicted by a classifier over TF-IDF of the others' texts: mnb, svc, or one of CLASSIFIERS.
 
     lr is fitted by linear.logistic, all folds at once: MLlib scales every feature by its deviation, and isn't done with rare terms after
-    hundreds of steps. rf reads the most_terms terms that most items have (ties by MD5), since MLlib bins every feature of a row; the
+    hundreds of steps; svc is kernel.svc over the same rows. rf reads the most_terms terms that most items have (ties by MD5), since MLlib bins every feature of a row; the
     others read all terms. The rows are made once; each fold fits on its own weights.
     """
     if classifier == "rf":
@@ -141,9 +141,13 @@ def text_predict(tf: DataFrame, items: DataFrame, k: int, classifier: str = "lr"
     if classifier == "mnb":
         return bayes(rows, terms, k)
     size, out = max(1, terms.count()), None
-    if classifier == "lr":
+    if classifier in ("lr", "svc"):
         w = F.flatten(F.transform("entries", lambda e: F.array(*[weight(e, F.col("norms"), F.lit(f)) for f in range(k)])))
-        return linear.logistic(rows.select("item", "fold", "label", F.transform("entries", lambda e: e["id"].cast("int")).alias("ids"), w.alias("w")), size, k)
+        flat = rows.select("item", "fold", "label", F.transform("entries", lambda e: e["id"].cast("int")).alias("ids"), w.alias("w"))
+        if classifier == "lr":
+            return linear.logistic(flat, size, k)
+        sizes = terms.agg(*[F.count(F.get("idf", F.lit(f))) for f in range(k)]).first()
+        return kernel.svc(flat, k, list(sizes))
     for f in range(k):
         features = fold_features(rows, f, size)
         pred = CLASSIFIERS[classifier](features.where(F.col("fold") != f)).transform(features.where(F.col("fold") == f))
@@ -180,13 +184,15 @@ CLASSIFIERS = {"lr": _logistic, "rf": _forest}
 
 
 def fit_predict(features: DataFrame, k: int, classifier: str = "lr") -> DataFrame:
-    """item, fold, label, pred: each fold predicted by a classifier (see CLASSIFIERS) of the others.
+    """item, fold, label, pred: each fold predicted by a classifier (svc, or one of CLASSIFIERS) of the others.
 
     features: item, fold, label (numeric), features (array<double>), made once by any encoder. One fit a fold; nothing but
     the model comes to the driver.
     """
     from pyspark.ml.functions import array_to_vector
 
+    if classifier == "svc":
+        return kernel.svc(features.select("item", "fold", "label", F.col("features").alias("x")), k)
     d = materialize(features.select("item", "fold", F.col("label").cast("double").alias("label"), array_to_vector("features").alias("features")))
     out = None
     for f in range(k):

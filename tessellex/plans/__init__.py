@@ -51,7 +51,7 @@ class NormalizationStudy:
     def downstream(self, k: int = 5, seed: int = 42, classifier: str = "mnb", vectorizer: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
         """f1_raw, f1_norm, delta, lo, hi, p over the same stratified folds of both sides; needs label.
 
-        classifier: mnb, or one of learning.CLASSIFIERS. vectorizer: a function of (item, text) and the side's name that returns item and features
+        classifier: mnb, svc, or one of learning.CLASSIFIERS. vectorizer: a function of (item, text) and the side's name that returns item and features
         (array<double>), fitted on nothing. Without it the vectors of the corpus are the features, where it has any and the
         classifier isn't mnb; else TF-IDF of the tokens, fitted on each fold's training side.
         """

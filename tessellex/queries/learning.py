@@ -115,6 +115,20 @@ def q_dsp_lr(spark, sf_dir):
     return dsp_of(spark, sf_dir, "lr")
 
 
+@query()
+def q_dsp_svc(spark, sf_dir):
+    """The downstream change for a support vector machine over all terms."""
+    return dsp_of(spark, sf_dir, "svc")
+
+
+@query()
+def q_svc(spark, sf_dir):
+    """Labels of all vectors, each fold predicted by a Gaussian support vector machine of the others."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item"), "label", F.transform("embedding", lambda x: x.cast("double")).alias("features"))
+    d = ml.stratified_folds(e.select("item", "label"), "item", "label", K).join(e.drop("label"), "item")
+    return ml.fit_predict(d, K, "svc")
+
+
 @query()
 def q_dsp_rf(spark, sf_dir):
     """The downstream change for a random forest of 100 trees over the 4096 commonest terms."""
@@ -153,11 +167,11 @@ def q_mcnemar_p(spark, sf_dir):
     return st.mcnemar(o, [], "a", "b").select("statistic", "p", "exact")
 
 
-@query("SELECT unit, seed, clf FROM (SELECT DISTINCT lang AS unit FROM documents), (VALUES (42), (7), (2024)) s(seed), (VALUES ('mnb'), ('lr'), ('rf')) c(clf)")
+@query("SELECT unit, seed, clf FROM (SELECT DISTINCT lang AS unit FROM documents), (VALUES (42), (7), (2024)) s(seed), (VALUES ('mnb'), ('lr'), ('svc'), ('rf')) c(clf)")
 def q_grid(spark, sf_dir):
     u = table(spark, sf_dir, "documents").select(F.col("lang").alias("unit")).distinct()
     u = u.withColumn("seed", F.explode(F.array(*map(F.lit, (42, 7, 2024)))))
-    return u.withColumn("clf", F.explode(F.array(*map(F.lit, ("mnb", "lr", "rf")))))
+    return u.withColumn("clf", F.explode(F.array(*map(F.lit, ("mnb", "lr", "svc", "rf")))))
 
 
 @query(f"""SELECT lang, count(*)::BIGINT AS n, round(avg(a), 4) AS mean_a, round(avg(b), 4) AS mean_b, round(avg(b - a), 4) AS delta, round(stddev_samp(b - a), 4) AS sd, round(avg(b - a) / stddev_samp(b - a), 4) AS d_z

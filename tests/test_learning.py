@@ -99,7 +99,7 @@ def test_classifiers_find_a_word(spark):
     """Each classifier tells texts apart by one word, on TF-IDF and through a vectorizer; items without terms are predicted, too."""
     rows = [(i, w := ("good " if i % 2 else "bad ") + f"w{i % 7} w{i}", w.upper(), i % 2) for i in range(40)]
     study = NormalizationStudy(spark.createDataFrame([*rows, (40, "", "", 0), (41, "", "", 1)], "doc_id long, raw string, norm string, label int"))
-    for clf in ("mnb", "lr", "rf"):
+    for clf in ("mnb", "lr", "svc", "rf"):
         r = study.downstream(k=2, classifier=clf).head()
         assert r.f1_raw >= 0.9 and r.f1_norm >= 0.9
     ends = lambda d, side: d.select("item", F.array(F.lower("text").startswith("good").cast("double")).alias("features"))
