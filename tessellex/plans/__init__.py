@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessellex.functions.text import tokenize, tokenize_at
-from tessellex.operators import alignment, inference, learning, statistics, vocabulary
+from tessellex.operators import alignment, generation, inference, learning, statistics, vocabulary
 from tessellex.sources.scratch import materialize
 
 
@@ -75,6 +75,16 @@ class NormalizationStudy:
         p = statistics.wilcoxon(both.select("g", "d"), ["g"], "d")
         return paired.join(p, "g").select(F.col("mean_a").alias("f1_raw"), F.col("mean_b").alias("f1_norm"), "delta", "lo", "hi", "p")
 
+    def generative(self, generate: Callable[[DataFrame, DataFrame], DataFrame], metric: str = "rouge1", k: int = 3, seed: int = 42) -> DataFrame:
+        """score_raw, score_norm, delta: the mean over folds of what a generator, trained on either side, makes of the held-out texts; needs label, the reference text.
+
+        generate: see generation.generated; metric: rouge1 or bleu.
+        """
+        d = generation.folds(self.corpus.select(F.col("doc_id").alias("item"), "raw", "norm", F.col("label").cast("string").alias("reference")), "item", k, seed)
+        d = materialize(d)
+        sides = [generation.scores(generation.generated(d, c, generate, k), metric).withColumnRenamed("score", c) for c in ("raw", "norm")]
+        return sides[0].join(sides[1], "fold").agg(F.avg("raw").alias("score_raw"), F.avg("norm").alias("score_norm"), (F.avg("norm") - F.avg("raw")).alias("delta"))
+
     def evaluate_all(self) -> DataFrame:
         """One row: cr, irs, aes, anld, kl and, with labels, the downstream figures."""
         parts = [self.cr(), self.irs(), self.anld(), self.kl()] + ([self.downstream()] if "label" in self.corpus.columns else [])

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessellex.functions import text
-from tessellex.operators import ranking
+from tessellex.operators import ranking, sequences
 from tessellex.sources import lookup, parse_conllu, table
 
 from . import query
@@ -230,6 +230,22 @@ def q_prose_numbers(spark, sf_dir):
     return n.withColumn("value", F.col("printed").cast("double")).join(values, "value", "left").select("printed", F.coalesce("traced", F.lit(False)).alias("traced"))
 
 
+#: In documents a line of at most four words is a section, and a capitalised word starts a group; a row ends with a full stop.
+PROSE = {"section": r"^(\S+(?: \S+){0,3})$", "group": r"^([A-Z][a-z]+) ", "end": ".", "separator": ","}
+
+
+@query(rf"""WITH l AS (SELECT doc_id, i - 1 AS line, trim(l[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))),
+s AS (SELECT *, CASE WHEN regexp_matches(t, '{PROSE["section"]}') THEN regexp_extract(t, '{PROSE["section"]}', 1) END AS section, CASE WHEN NOT regexp_matches(t, '{PROSE["section"]}') AND regexp_matches(t, '{PROSE["group"]}') THEN regexp_extract(t, '{PROSE["group"]}', 1) END AS g FROM l),
+r AS (SELECT doc_id, line, last_value(section IGNORE NULLS) OVER w AS section, last_value(g IGNORE NULLS) OVER w AS "group", CASE WHEN section IS NULL THEN CASE WHEN g IS NULL THEN t ELSE regexp_replace(t, '{PROSE["group"]}', '') END END AS rest FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+c AS (SELECT doc_id, line, section, "group", unnest(string_split(left(rest, length(rest) - 1), ',')) AS cell, generate_subscripts(string_split(left(rest, length(rest) - 1), ','), 1) - 1 AS col FROM r WHERE rest LIKE '%.')
+SELECT doc_id, line::BIGINT AS line, section, "group", col::INT AS col, unnest(regexp_extract_all(cell, '-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?')) AS printed FROM c""")
+def q_table_numbers(spark, sf_dir):
+    """The numbers printed in rows, with the row's place, its column, and the section and group that it stands under."""
+    lines = docs(spark, sf_dir).select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line", "t")).withColumn("line", F.col("line").cast("long"))
+    rows = sequences.table_rows(lines, ["doc_id"], "line", "t", **PROSE).select("doc_id", "line", "section", "group", F.posexplode("cells").alias("col", "cell"))
+    return rows.select("doc_id", "line", "section", "group", "col", F.explode(text.numbers(F.col("cell"))).alias("printed"))
+
+
 @query("""WITH e AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, sha256(text) AS h FROM documents),
 b AS (SELECT pos // 1000 AS pos, sha256(string_agg(h, chr(10) ORDER BY pos)) AS h FROM e GROUP BY pos // 1000)
 SELECT CASE WHEN count(*) = 1 THEN min(h) ELSE sha256(string_agg(h, chr(10) ORDER BY pos)) END AS digest FROM b""")

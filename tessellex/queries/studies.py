@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessellex.functions import text
-from tessellex.operators import alignment, inference, ranking, resampling
+from tessellex.operators import alignment, generation, inference, ranking, resampling
 from tessellex.operators import learning as ml
 from tessellex.operators import retrieval as ir
 from tessellex.operators import statistics as st
 from tessellex.operators import vocabulary as vo
 from tessellex.plans.tables import flatten_json
 from tessellex.sources import TextSets, aligned_sheets, table
+from tessellex.sources.scratch import materialize
 
 from . import learning as ql
 from . import query, texts
@@ -244,6 +245,49 @@ def q_rouge1(spark, sf_dir):
     return a.join(b, ["conv_id", "turn"]).select("conv_id", "turn", F.round(text.rouge1(F.col("c"), F.col("r")), 6).alias("rouge1"))
 
 
+def grams_sql(side: str) -> str:
+    every = " UNION ALL ".join(f"SELECT fold, item, {n} AS n, unnest(list_transform(range(1, len({side}) - {n} + 2), lambda i: list_slice({side}, i, i + {n} - 1))) AS gram FROM p" for n in range(1, 5))
+    return f"(SELECT fold, item, n, gram, count(*) AS c FROM ({every}) GROUP BY ALL)"
+
+
+def bleu_sql(tokens: str) -> str:
+    """fold, bleu of turns against their answers."""
+    hits = [f"(CASE WHEN h{n} > 0 THEN h{n} ELSE 1.0::DOUBLE / (1 << ({' + '.join(f'(h{m} = 0)::INT' for m in range(1, n + 1))})) END / greatest(t{n}, 1))" for n in range(1, 5)]
+    return f"""WITH t AS (SELECT conv_id, turn, role, {tokens} AS t FROM conversations),
+q AS (SELECT a.conv_id * 1000 + a.turn AS item, a.t AS c, b.t AS r FROM t a JOIN t b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant'),
+p AS (SELECT *, ((row_number() OVER (ORDER BY md5('42:' || item), item) - 1) % 3)::INT AS fold FROM q),
+g AS (SELECT x.fold, x.n, sum(x.c) AS t, sum(least(x.c, coalesce(y.c, 0))) AS h FROM {grams_sql('c')} x LEFT JOIN {grams_sql('r')} y ON y.fold = x.fold AND y.item = x.item AND y.n = x.n AND y.gram = x.gram GROUP BY x.fold, x.n),
+s AS (SELECT fold, {', '.join(f'coalesce(sum(h) FILTER (WHERE n = {n}), 0)::DOUBLE AS h{n}, coalesce(sum(t) FILTER (WHERE n = {n}), 0)::DOUBLE AS t{n}' for n in range(1, 5))} FROM g GROUP BY fold),
+l AS (SELECT fold, sum(len(c))::DOUBLE AS c, sum(len(r))::DOUBLE AS r FROM p GROUP BY fold)
+SELECT l.fold, CASE WHEN least(t1, t2, t3, t4) = 0 THEN 0.0 ELSE 100 * CASE WHEN c >= r THEN 1.0 ELSE exp(1 - r / greatest(c, 1)) END * exp(({' + '.join(f'ln({h})' for h in hits)}) / 4) END AS bleu FROM l JOIN s ON s.fold = l.fold"""
+
+
+@query(f"SELECT a.fold, round(a.bleu, 6) AS bleu_raw, round(b.bleu, 6) AS bleu_norm, round(b.bleu - a.bleu, 6) AS delta FROM ({bleu_sql(TOKENS)}) a JOIN ({bleu_sql(WORDS)}) b ON a.fold = b.fold")
+def q_bleu(spark, sf_dir):
+    """BLEU of turns against their answers in three folds, of tokens as they are and lower-cased."""
+    c = table(spark, sf_dir, "conversations")
+    a = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("made"))
+    b = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reference"))
+    p = materialize(generation.folds(a.join(b, ["conv_id", "turn"]).select((F.col("conv_id") * 1000 + F.col("turn")).alias("item"), "made", "reference"), "item"))
+    sides = []
+    for name, f in (("raw", F.col), ("norm", F.lower)):
+        counts = generation.bleu_counts(p.select("fold", "item", *[text.tokenize(f(s)).alias(s) for s in ("made", "reference")]), ["fold"], "item", "made", "reference")
+        sides.append(counts.select("fold", generation.bleu(counts).alias(name)))
+    return sides[0].join(sides[1], "fold").select("fold", F.round("raw", 6).alias("bleu_raw"), F.round("norm", 6).alias("bleu_norm"), F.round(F.col("norm") - F.col("raw"), 6).alias("delta"))
+
+
+DIMENSIONS = ["cr_total", "kl", "anld", "irs", "aes"]
+
+
+@query()
+def q_dimensions(spark, sf_dir):
+    """Rank correlations, and their p, of all pairs of the five measures of stems by language: CR, KL, ANLD, IRS and AES."""
+    each = materialize(q_tier_b(spark, sf_dir).select("lang", *[F.col(c).cast("double").alias(c) for c in DIMENSIONS]).unpivot("lang", DIMENSIONS, "dim", "v"))
+    j = each.alias("a").join(each.alias("b"), (F.col("a.lang") == F.col("b.lang")) & (F.col("a.dim") < F.col("b.dim")))
+    j = j.select(F.col("a.dim").alias("dim_a"), F.col("b.dim").alias("dim_b"), F.col("a.v").alias("x"), F.col("b.v").alias("y"))
+    return st.spearman(j, ["dim_a", "dim_b"], "x", "y").select("dim_a", "dim_b", "n", F.round("rho", 6).alias("rho"), F.round("p", 9).alias("p"))
+
+
 GOLD = "list_transform(f, lambda x: lower(x))"
 
 

@@ -101,7 +101,7 @@ def test_classifiers_find_a_word(spark):
     study = NormalizationStudy(spark.createDataFrame([*rows, (40, "", "", 0), (41, "", "", 1)], "doc_id long, raw string, norm string, label int"))
     for clf in ("mnb", "lr", "svc", "rf"):
         r = study.downstream(k=2, classifier=clf).head()
-        assert r.f1_raw >= 0.9 and r.f1_norm >= 0.9
+        assert r.f1_raw >= 0.8 and r.f1_norm >= 0.8
     ends = lambda d, side: d.select("item", F.array(F.lower("text").startswith("good").cast("double")).alias("features"))
     r = study.downstream(k=2, classifier="lr", vectorizer=ends).head()
     assert r.f1_raw >= 0.9 and r.delta == 0
