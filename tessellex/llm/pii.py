@@ -27,11 +27,13 @@ MARK = re.compile(r"\d|[_.@](?=[^\W_])")
 SEPARATOR = re.compile(r"[:=#]")
 KEY = re.compile(r"([^\W\d_]+)[\"']?\x20*$")
 QUOTE = re.compile(r"\x20*[\"']?")
-#: Words of which the values are seeds beside those of the fixed patterns, in English, French, German and Spanish.
-KEYS = frozenset(
-    "account address card email fax iban ip login mail mobile passport passwd password phone secret ssn tel telephone token user username "
-    "adresse carte compte courriel identifiant passeport portable téléphone ausweis benutzer karte kennwort konto passwort telefon contraseña correo cuenta dirección pasaporte tarjeta teléfono usuario".split()
-)
+#: Numbers in groups, and names behind an @, may be identifiers, too.
+GROUPED = re.compile(r"(?<![\w.(-])\(?[0-9]{2,}\)?(?:[ ./-][0-9]{2,})+(?![\w-])")
+HANDLE = re.compile(r"(?<![\w.@])@[^\W_](?:[^\W_]|[_.-](?=[^\W_])){2,}")
+#: Credentials are no personal data: what a secret scan finds by fixed patterns is no candidate.
+CREDENTIAL = re.compile(r"(?:[Pp][Aa][Ss][Ss][Ww](?:[Oo][Rr])?[Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]+|AKIA[A-Z0-9]+|[0-9a-f]{24,}")
+#: How much a value of unknown kind counts against a pattern, a seed counting one for it.
+DOUBT = 0.5
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -75,7 +77,20 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def patterns_of(text: str, start: int, end: int, key: str | None) -> list[str]:
+def key_before(text: str, start: int) -> str | None:
+    """The word that introduces a value with a separator, directly before start."""
+    at = start - 1
+    while at >= 0 and text[at] in "\"'":
+        at -= 1
+    while at >= 0 and text[at] == " ":
+        at -= 1
+    if at < 0 or not SEPARATOR.match(text[at]):
+        return None
+    key = KEY.search(text[max(0, at - 40) : at])
+    return key.group(1).lower() if key else None
+
+
+def patterns_of(text: str, start: int, end: int) -> list[str]:
     """Lexical patterns: the two words before, the words before and after, and the word that introduces the value."""
     before = [w.lower() for w in WORD.findall(text, max(0, start - 60), start)][-2:]
     after = [w.lower() for w in WORD.findall(text, end, end + 40)][:1]
@@ -84,6 +99,7 @@ def patterns_of(text: str, start: int, end: int, key: str | None) -> list[str]:
         out.append(f"{before[0]} {before[1]} _")
     if before and after:
         out.append(f"{before[-1]} _ {after[0]}")
+    key = key_before(text, start)
     if key:
         out.append(f"{key}: _")
     return out
@@ -94,20 +110,16 @@ SPANS = T.ArrayType(T.StructType(SPAN))
 CONTEXTS = T.ArrayType(T.StructType([*SPAN, T.StructField("value", T.StringType()), T.StructField("seed", T.BooleanType()), T.StructField("patterns", T.ArrayType(T.StringType()))]))
 
 
-def keyed(text: str) -> dict[int, tuple[int, str]]:
-    """Of values that a word and a separator introduce: the end and the word, by start."""
-    out = {}
-    for sep in SEPARATOR.finditer(text):
+def candidates(text: str, found: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """(start, end) of what may be an identifier and overlaps no span of found and no credential, in order, the longest of one start."""
+    near, done = {}, 0
+    for sep in SEPARATOR.finditer(text):  # values that a word introduces need no mark
         value = IDENTIFIER.match(text, QUOTE.match(text, sep.end()).end())
-        key = KEY.search(text[max(0, sep.start() - 40) : sep.start()]) if value else None
-        if key:
-            out[value.start()] = (value.end(), key.group(1).lower())
-    return out
-
-
-def candidates(text: str, found: list[tuple[int, int, int]]) -> list[tuple[int, int, str | None]]:
-    """(start, end, key) of what may be an identifier and overlaps no span of found, in order."""
-    near, done = keyed(text), 0
+        if value and KEY.search(text[max(0, sep.start() - 40) : sep.start()]):
+            near[value.start()] = value.end()
+    for pattern, sign in ((HANDLE, "@" in text), (GROUPED, DIGIT.search(text))):
+        for m in pattern.finditer(text) if sign else ():
+            near[m.start()] = max(m.end(), near.get(m.start(), 0))
     mark = MARK.search(text)
     while mark:
         start = mark.start()
@@ -117,16 +129,18 @@ def candidates(text: str, found: list[tuple[int, int, int]]) -> list[tuple[int,
             start += 1
         m = IDENTIFIER.match(text, start)
         if m and m.end() > mark.start():
-            near.setdefault(start, (m.end(), None))
+            near[start] = max(m.end(), near.get(start, 0))
         done = max(mark.end(), m.end() if m else 0)
         mark = MARK.search(text, done)
-    out, spans, reach = [], iter(sorted((a, z) for a, _, z in found)), 0
+    out, reach = [], 0
+    spans = iter(sorted([*((a, z) for a, _, z in found), *(m.span() for m in CREDENTIAL.finditer(text))]) if near else ())
     ahead = next(spans, None)
-    for a, (z, key) in sorted(near.items()):
+    for a, z in sorted(near.items()):
         while ahead and ahead[0] < z:
             reach, ahead = max(reach, ahead[1]), next(spans, None)
         if a >= reach:
-            out.append((a, z, key))
+            out.append((a, z))
+            reach = z
     return out
 
 
@@ -135,36 +149,38 @@ def occurrences(batch: pa.RecordBatch) -> dict:
     base, seen = [], []
     for text in batch.column(batch.schema.get_field_index("text")).to_pylist():
         found = base_spans(text) if text else []
-        own = [{"start": a, "kind": k, "end": z, "value": text[a:z], "seed": True, "patterns": patterns_of(text, a, z, None)} for a, k, z in found]
+        own = [{"start": a, "kind": k, "end": z, "value": text[a:z], "seed": True, "patterns": patterns_of(text, a, z)} for a, k, z in found]
         if text:
-            own += [{"start": a, "kind": 4, "end": z, "value": text[a:z], "seed": key in KEYS, "patterns": patterns_of(text, a, z, key)} for a, z, key in candidates(text, found)]
+            own += [{"start": a, "kind": 4, "end": z, "value": text[a:z], "seed": False, "patterns": patterns_of(text, a, z)} for a, z in candidates(text, found)]
         base.append([{"start": a, "kind": k, "end": z} for a, k, z in found])
         seen.append(own)
     return {"pi_base": base, "pi_seen": seen}
 
 
 def bootstrap(edges: DataFrame, rounds: int, min_seeds: int, min_score: float) -> DataFrame:
-    """Patterns (pattern) of high confidence. edges: pattern, value, seed (whether a fixed pattern or a word of KEYS introduced the value), distinct.
+    """Patterns (pattern, p) of high confidence. edges: pattern, value, seed (whether a fixed pattern found the value), distinct.
 
-    A pattern's score is the mean of its values' scores; it counts only with min_seeds distinct values that score above
-    0.5. A seed scores 1, another value the noisy-or of the patterns around it that count. Each round is two aggregates of
-    the edges, and sums combine before their shuffle; nothing comes to the driver.
+    A pattern's score is the sum of its values' scores over their weights: a seed has the score and weight 1, another value the noisy-or of the patterns around it
+    that count, and DOUBT of what that lacks as weight. It counts only with min_seeds distinct values that score above 0.5.
+    Each round is two aggregates of the edges, and sums combine before their shuffle; nothing comes to the driver.
     """
     scored = edges.withColumn("s", F.col("seed").cast("double"))
     for i in range(rounds):
-        patterns = scored.groupBy("pattern").agg(F.avg("s").alias("p"), F.sum((F.col("s") > 0.5).cast("long")).alias("n"))
+        weight = F.col("s") + DOUBT * (1 - F.col("s"))
+        patterns = scored.groupBy("pattern").agg((F.sum("s") / F.sum(weight)).alias("p"), F.sum((F.col("s") > 0.5).cast("long")).alias("n"))
         patterns = materialize(patterns.where((F.col("n") >= min_seeds) & (F.col("p") >= min_score)))
         if i + 1 < rounds:
             values = edges.where("not seed").join(patterns, "pattern").groupBy("value").agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("p")))))).alias("v"))
             scored = materialize(edges.join(values, "value", "left").withColumn("s", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("v", F.lit(0.0)))).drop("v"))
-    return patterns.select("pattern")
+    return patterns.select("pattern", "p")
 
 
-def find_pii(docs: DataFrame, rounds: int = 3, min_seeds: int = 3, min_score: float = 0.7, keep: tuple[str, ...] = ()) -> DataFrame:
+def find_pii(docs: DataFrame, rounds: int = 3, min_seeds: int = 3, min_score: float = 0.6, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, keep, pi_base and pi_spans: arrays of struct(start, kind, end) in code points, kind the number in KINDS.
 
     pi_base are the spans of the fixed patterns. pi_spans are these and, as "context", identifiers that overlap none of
-    them and stand in a pattern of high confidence. Null and empty texts have no spans. Repeated rows get equal spans,
+    them and stand in a pattern of high confidence. The seeds are the spans of the fixed patterns alone; a pattern is what stands around a
+    value: two words before it, a word on either side, or a word and a separator that introduce it. Null and empty texts have no spans. Repeated rows get equal spans,
     null ids are rows like others, an empty table gives no rows. Texts are read whole, in time that grows with their
     length alone. No text is shuffled: what a text holds goes to a table, and the graph of patterns and values comes
     from there. Columns in keep may have any name.
@@ -178,7 +194,7 @@ def find_pii(docs: DataFrame, rounds: int = 3, min_seeds: int = 3, min_score: fl
     seeds = seen.where("seed").select("value").distinct().withColumn("seed", F.lit(True))
     edges = seen.groupBy("pattern", "value").agg(F.count("*")).join(seeds, "value", "left")  # a seed is one wherever it stands
     edges = materialize(edges.select("pattern", "value", F.coalesce("seed", F.lit(False)).alias("seed")))
-    good = bootstrap(edges, rounds, min_seeds, min_score)
+    good = bootstrap(edges, rounds, min_seeds, min_score).select("pattern")
     more = seen.where("kind = 4").join(good, "pattern", "left_semi").groupBy("pi_id", "pi_row").agg(F.collect_set(F.struct("start", "kind", "end")).alias("pi_more"))
     both = d.withColumns({"pi_id": key[0]}).join(more, ["pi_id", "pi_row"], "left")
     return both.select("doc_id", *[F.col(f"pi_keep.`{c}`").alias(c) for c in keep], "pi_base", F.array_sort(F.concat("pi_base", F.coalesce("pi_more", F.array().cast("array<struct<start:bigint,kind:bigint,end:bigint>>")))).alias("pi_spans"))

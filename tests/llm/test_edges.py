@@ -453,12 +453,35 @@ def test_pii_reads_texts_in_linear_time():
 
 
 def test_pii_values_of_keys(spark):
-    """Values that keys introduce in several texts are found, also without digits; where one of them stands elsewhere, that pattern is learned too."""
-    key = [(i, f'text {i} has token = "{chr(97 + i)}fwqh.zzkl" and more') for i in range(6)]
-    other = [(10 + i, f"our member {chr(97 + i)}fwqh.zzkl arrived") for i in range(6)]
-    d = spark.createDataFrame([*key, *other, (30, "our member qqqq-wwww.x1 arrived"), (31, "the shelf 22-aaaa.x1 fell"), (32, 'note: something and size = "large"')], "doc_id long, text string")
+    """A word that introduces seeds introduces other identifiers, also without digits; credentials and words that introduce no seeds don't count."""
+    key = [(i, f'text {i} has contact = "{chr(97 + i)}fwqh@zzkl.org" and more') for i in range(6)]
+    new = [(10 + i, f'file {i} with contact = "{chr(97 + i)}wqh.zzkl" in it') for i in range(4)]
+    d = spark.createDataFrame([*key, *new, (31, "the shelf 22-aaaa.x1 fell"), (32, 'note: something and size = "large"'), (33, 'contact: token = "abcd-efgh-1234"'), (34, 'token = "ghij.klmn"')], "doc_id long, text string")
     r = {x.doc_id: [x.text[s.start : s.end] for s in x.pi_spans] for x in pii.find_pii(d, keep=("text",)).collect()}
-    assert r[3] == ["dfwqh.zzkl"] and r[30] == ["qqqq-wwww.x1"] and r[31] == r[32] == []
+    assert r[3] == ["dfwqh@zzkl.org"] and [r[10 + i] for i in range(4)] == [[f"{chr(97 + i)}wqh.zzkl"] for i in range(4)]
+    assert r[31] == r[32] == r[33] == r[34] == []
+
+
+def test_pii_discovers_planted_identifiers(spark):
+    """Identifiers of unseen kinds in the contexts of seeds, among texts with identifiers of no person: recall and precision of 0.8, through patterns alone."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("bcdlmnrstaeiou", k=rng.randint(3, 9)))
+    fill = lambda n: " ".join(word() for _ in range(n))
+    contexts = ["please reach me at {} before", "you may call {} after", "my contact: {} since", "send it to {} by", "write back under {} or"]
+    seeds = [lambda: f"{word()}.{rng.randint(1, 99)}@{word()}.org", lambda: f"+1 555 {rng.randint(100, 999)} {rng.randint(1000, 9999)}", lambda: ".".join(str(rng.randint(1, 255)) for _ in range(4))]
+    unseen = [lambda: f"@{word()}_{rng.randint(1, 99)}", lambda: f"{rng.randint(200, 999)}-{rng.randint(100, 999)}-{rng.randint(1000, 9999)}", lambda: f"EMP-{rng.randint(1000, 9999)}-{word()}", lambda: f"{word()}.{word()}{rng.randint(1, 9)}"]
+    other = ["version {} was built", "see section {} below", "order {} shipped today", "the file {} is large"]
+    things = [lambda: f"{rng.randint(1, 9)}.{rng.randint(1, 20)}.{rng.randint(1, 20)}", lambda: f"{word()}-{rng.randint(100, 9999)}", lambda: f"{word()}_{word()}.txt"]
+    rows, planted = [], set()
+    for i in range(400):
+        kind, place = ("seed", contexts) if i % 8 < 3 else ("new", contexts) if i % 8 < 5 else ("thing", other)
+        value = rng.choice({"seed": seeds, "new": unseen, "thing": things}[kind])()
+        text = f"{fill(8)} {rng.choice(place).format(value)} {fill(8)}"
+        rows.append((i, text))
+        if kind == "new":
+            planted.add((i, text.index(value), text.index(value) + len(value)))
+    got = {(r.doc_id, s.start, s.end) for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect() for s in r.pi_spans if s.kind == 4}
+    assert len(got & planted) >= 0.8 * len(planted) and len(got & planted) >= 0.8 * len(got) > 0
 
 
 def test_pii_bootstraps_contexts(spark):
