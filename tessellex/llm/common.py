@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -45,6 +46,28 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def any_names(prefix: str, *own: str) -> Callable[[Callable], Callable]:
+    """For an operator on docs whose keep may name columns that it makes or reads itself (those of prefix, and own): they travel in one struct.
+
+    They come back in their place under their names, also where a column of the result has the same one.
+    """
+
+    def around(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @functools.wraps(operator)
+        def called(docs: DataFrame, *args, keep=None, **options) -> DataFrame:
+            if keep is None or not any(c.lower().startswith(prefix) or c.lower() in own for c in keep):
+                return operator(docs, *args, **({} if keep is None else {"keep": keep}), **options)
+            held = f"{prefix}kept"
+            packed = docs.select(*[c for c in ("doc_id", "text", "source") if c in docs.columns], F.struct(*[F.col(f"`{c}`") for c in keep]).alias(held))
+            out = operator(packed, *args, keep=type(keep)([held]), **options)
+            names = [x for c in out.columns for x in ([F.col(f"{held}.`{k}`").alias(k) for k in keep] if c == held else [F.col(c)])]
+            return out.select(*names)
+
+        return called
+
+    return around
+
+
 # --- Arrow and numpy ------------------------------------------------------------------------------
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, table
+from .common import any_names, append_columns, table
 
 #: Words of a lane. Lanes of one chunk advance together, each by its own shifts.
 LANE = 512
@@ -114,6 +114,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 HITS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
+@any_names("dc_")
 def find_items(docs: DataFrame, items: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES, keep: list[str] | None = None) -> DataFrame:
     """docs' columns keep (doc_id where None), then dc_n_words (long), dc_hits (array of struct start, end) and dc_items (sorted strings).
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, table
+from .common import any_names, append_columns, table
 
 #: Symbols of a lane. The lanes of a chunk are parsed together; where a phrase crosses into a lane, that lane is parsed again.
 LANE = 512
@@ -219,6 +219,7 @@ def learn(docs: DataFrame, max_symbols: int = 24_000, max_docs: int = 200, max_c
     return {"letters": letters, "models": models}
 
 
+@any_names("li_")
 def identify(docs: DataFrame, model: dict, keep: list[str] | None = None) -> DataFrame:
     """docs' columns keep (doc_id where None), then li_lang, li_score (0 to 1), li_entropy (bits a symbol; null for und) and li_lettered.
 

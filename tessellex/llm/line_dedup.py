@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, lower_ascii, materialize, table
+from .common import NO_ID, any_names, lower_ascii, materialize, table
 
 BLANK = " \t\n\x0b\x0c\r"
 
@@ -15,6 +15,7 @@ def line_key(line: Column) -> Column:
     return lower_ascii(F.btrim(line, F.lit(BLANK)))
 
 
+@any_names("ld_", "doc_id", "text")
 def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, keep: tuple[str, ...] = ()) -> DataFrame:
     """Drops lines that at least min_docs documents hold, except in the smallest doc_id that holds them.
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import any_names, materialize, table
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -55,6 +55,7 @@ def bin_digits(rows: int) -> int:
     return min(7, max(3, math.ceil(math.log(max(1, rows), 16) / 2)))
 
 
+@any_names("mx_", "doc_id", "source")
 def mix_sources(docs: DataFrame, seed: int = 42, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, keep: tuple[str, ...] = ()) -> DataFrame:
     """Draws documents so that each source's words come to its target.
 

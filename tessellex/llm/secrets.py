@@ -8,7 +8,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, table
+from .common import any_names, let, table
 
 #: Kinds in the order in which spans with one start are listed.
 KINDS = ("assign", "access", "hex", "markov")
@@ -174,6 +174,7 @@ def fit_llr(samples: DataFrame) -> list[float]:
     return [math.log(b / a) for a, b in zip(*p, strict=True)]
 
 
+@any_names("sc_", "doc_id")
 def scan_secrets(docs: DataFrame, min_chars: int = 16, min_mean: float = 1.0, min_total: float = 12.0, max_train_docs: int = 2000, seed: int = 7, keep: tuple[str, ...] = (), train: DataFrame | None = None) -> DataFrame:
     """doc_id, keep, sc_base and sc_spans: arrays of struct(start, kind, end) in order, kind the number in KINDS.
 

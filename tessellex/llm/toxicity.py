@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Shingler, append_columns, materialize, table
+from .common import Shingler, any_names, append_columns, materialize, table
 
 TOKEN = re.compile(r"[^\W_]+(?:[@$_]+[^\W_]+)*")
 #: Digits and signs that stand for letters in misspelled words.
@@ -287,6 +287,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_docs: int = 10_000, max_terms:
 HIT = T.ArrayType(T.StructType([T.StructField("token", T.LongType()), T.StructField("word", T.StringType()), T.StructField("term", T.StringType()), T.StructField("edits", T.LongType()), T.StructField("quoted", T.BooleanType())]))
 
 
+@any_names("tx_")
 def score_toxicity(docs: DataFrame, model: dict, keep: list[str] | None = None) -> DataFrame:
     """docs' columns keep (doc_id where None), then tx_score (0 to 1) and tx_hits (token number, word, term, edits, quoted).
 

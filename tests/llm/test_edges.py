@@ -622,3 +622,25 @@ def test_near_dedup_blocks_of_large_buckets(spark):
     want = {d: find(d) for d in sets}
     assert len(set(want.values())) > 3
     assert {r["doc_id"]: r["nd_component"] for r in found} == want
+
+
+def test_kept_columns_of_any_name(spark, docs, none):
+    """Kept columns that an operator makes or reads itself come back as they were, beside its results."""
+    d = docs.select("doc_id", "text", "source", *[F.concat(F.lit("kept "), F.col("doc_id").cast("string")).alias(c) for c in ("sc_text", "sc_base", "mx_size", "mx_order", "ld_id", "ld_text", "dc_hits", "li_lang", "tx_score")])
+    items = spark.createDataFrame([(1, "two three")], "item_id long, text string")
+    toxic = toxicity.learn(d, d.where("false").select("doc_id", F.lit(1).alias("toxic")))
+    runs = [
+        (secrets.scan_secrets, (), ("sc_text", "sc_base", "doc_id"), 1), (mixing.mix_sources, (), ("mx_size", "mx_order", "source"), 2), (line_dedup.dedup_lines, (), ("ld_id", "ld_text", "text"), 1),
+        (decontaminate.find_items, (items,), ["dc_hits", "doc_id"], 0), (language_id.identify, (language_id.learn(d.withColumn("lang", F.lit("en"))),), ["li_lang", "doc_id"], 0), (toxicity.score_toxicity, (toxic,), ["tx_score", "doc_id"], 0),
+    ]
+    for operator, args, keep, at in runs:
+        plain = operator(d, *args)
+        if at == 0:
+            plain = plain.drop("doc_id")
+        got = operator(d, *args, keep=keep)
+        want = d.select(*keep)
+        assert got.columns == [*plain.columns[:at], *keep, *plain.columns[at:]]
+        rows = got.collect()
+        assert bag(tuple(r)[at : at + len(keep)] for r in rows) == bag(map(tuple, want.collect()))
+        assert bag((*tuple(r)[:at], *tuple(r)[at + len(keep) :]) for r in rows) == bag(map(tuple, plain.collect()))
+        assert operator(d.where("false"), *args, keep=keep).count() == 0
