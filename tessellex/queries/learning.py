@@ -145,6 +145,28 @@ def q_wilcoxon(spark, sf_dir):
     return st.wilcoxon(d, ["unit"], "d")
 
 
+WILCOXON = f"""(WITH d AS (SELECT fold, round(norm - raw, 9) AS d FROM {SIDES}), r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0::DOUBLE AS r, row_number() OVER (ORDER BY fold) - 1 AS i FROM d WHERE d <> 0),
+w AS (SELECT least(coalesce(sum(r) FILTER (WHERE d > 0), 0), coalesce(sum(r) FILTER (WHERE d < 0), 0))::DOUBLE AS w, count(*) AS n FROM r),
+s AS (SELECT b, coalesce(sum(r) FILTER (WHERE (b >> i) & 1 = 1), 0) AS t FROM (SELECT unnest(range(0, (1 << n)::BIGINT)) AS b FROM w) LEFT JOIN r ON true GROUP BY b)
+SELECT least(1.0::DOUBLE, 2.0::DOUBLE * count(*) FILTER (WHERE t <= w) / count(*)) AS p FROM s, w)"""
+
+
+@query(f"SELECT 'mnb' AS clf, round(d.delta, 6) AS package_delta, round(w.p, 6) AS package_p, round(d.delta, 6) AS replica_delta, round(w.p, 6) AS replica_p, true AS agree FROM (SELECT avg(norm - raw) AS delta FROM {SIDES}) d, {WILCOXON} w")
+def q_replica_check(spark, sf_dir):
+    """What NormalizationStudy says of the downstream change, from whole texts, against a replica that is put together from counted terms."""
+    from tessellex.plans import NormalizationStudy
+
+    t = text.tokenize(F.lower(F.coalesce("text", F.lit(""))))
+    cut = F.array_join(F.transform(t, lambda x: F.left(x, F.lit(4))), " ")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.array_join(t, " ").alias("raw"), cut.alias("norm"))
+    package = NormalizationStudy(d.join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")).downstream(k=K)
+    sides = materialize(both_sides(spark, sf_dir).select(F.lit("mnb").alias("clf"), "raw", "norm", F.round(F.col("norm") - F.col("raw"), 9).alias("d")))
+    replica = st.paired(sides, ["clf"], "raw", "norm").select("clf", F.col("delta").alias("replica_delta")).join(st.wilcoxon(sides.select("clf", "d"), ["clf"], "d").select("clf", F.col("p").alias("replica_p")), "clf")
+    both = package.select(F.lit("mnb").alias("clf"), F.col("delta").alias("package_delta"), F.col("p").alias("package_p")).join(replica, "clf")
+    same = (F.abs(F.col("package_delta") - F.col("replica_delta")) < 1e-9) & (F.abs(F.col("package_p") - F.col("replica_p")) < 1e-9)
+    return both.select("clf", *[F.round(c, 6).alias(c) for c in ("package_delta", "package_p", "replica_delta", "replica_p")], same.alias("agree"))
+
+
 @query(f"SELECT a.item, a.fold, a.label, a.pred AS pred_raw, b.pred AS pred_norm FROM ({mnb_sql()}) a JOIN ({mnb_sql(4)}) b ON a.item = b.item")
 def q_oof(spark, sf_dir):
     a = mnb(spark, sf_dir).withColumnRenamed("pred", "pred_raw")

@@ -79,6 +79,13 @@ def q_clean_lemma(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.md5(text.clean_lemma(F.coalesce("text", F.lit("")))).alias("digest"))
 
 
+@query("SELECT doc_id, md5(CASE WHEN lang = 'fr' THEN strip_accents(replace(lower(coalesce(text, '')), '#', '')) ELSE replace(lower(coalesce(text, '')), '#', '') END) AS digest FROM documents")
+def q_clean_lemma_marks(spark, sf_dir):
+    """The same with the branch for Arabic, which takes marks off; French stands in for Arabic."""
+    lang = F.when(F.col("lang") == "fr", "ar").otherwise(F.col("lang"))
+    return docs(spark, sf_dir).select("doc_id", F.md5(text.clean_lemma(F.coalesce("text", F.lit("")), lang)).alias("digest"))
+
+
 @query(r"SELECT conv_id, turn, trim(split_part(trim(text, ' ' || chr(10) || chr(9) || chr(13)), chr(10), 1)) AS line FROM conversations")
 def q_first_line(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.first_line(F.col("text")).alias("line"))

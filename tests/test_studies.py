@@ -190,13 +190,60 @@ def test_classifiers_over_features(spark):
     assert set(r) == {"lr", "rf"} and all(x.n_folds == 3 and 0 <= x.f1_norm <= 1 and x.delta == pytest.approx(x.f1_norm - x.f1_raw, abs=2e-6) and x.p in (0.25, 0.5, 0.75, 1.0) for x in r.values())
 
 
+def newton(x, y):
+    """Weights and intercept of the logistic regression whose loss is the sum over rows plus half the squared norm."""
+    a = np.column_stack((x, np.ones(len(x))))
+    w, ridge = np.zeros(a.shape[1]), np.append(np.ones(x.shape[1]), 0.0)
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-(a @ w)))
+        w = w - np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(ridge), a.T @ (p - y) + ridge * w)
+    return w[:-1], w[-1]
+
+
+def f1(pairs):
+    """Macro-F1 of (label, prediction) pairs."""
+    labels = {v for p in pairs for v in p}
+    return np.mean([2 * sum(a == b == y for a, b in pairs) / (sum(a == y for a, _ in pairs) + sum(b == y for _, b in pairs)) for y in labels])
+
+
 def test_mpd(spark):
+    """One half's regression against Newton's method; by label the F1s and discordant counts of its predictions."""
     both = {r.side: r.f1 for r in QUERIES["q_mpd"](spark, SF).collect()}
     assert set(both) == {"raw", "sign"} and all(0 <= v <= 1 for v in both.values())
-    for r in QUERIES["q_mpd_change"](spark, SF).collect():
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
+    train, held = ([r for r in rows if r.vec_id % 2 == h] for h in (0, 1))
+    w, b = newton(np.array([r.embedding for r in train], float), np.array([r.label % 2 for r in train], float))
+    sides = [np.array([r.embedding for r in held], float) @ w + b, np.sign(np.array([r.embedding for r in held], float)) @ w + b]
+    near = max(np.mean(np.abs(m) < 1e-3) for m in sides)
+    by = defaultdict(list)
+    for r, x, y in zip(held, *sides, strict=True):
+        by[r.label].append((r.label % 2, int(x > 0), int(y > 0)))
+    got = {r.group: r for r in QUERIES["q_mpd_change"](spark, SF).collect()}
+    assert set(got) == set(by) and near < 0.02
+    for g, own in by.items():
+        r = got[g]
+        assert r.f1_raw == pytest.approx(f1([(y, a) for y, a, _ in own]), abs=0.03) and r.f1_norm == pytest.approx(f1([(y, c) for y, _, c in own]), abs=0.03)
+        assert abs(r.a_only - sum(y == a != c for y, a, c in own)) <= 1 and abs(r.b_only - sum(y == c != a for y, a, c in own)) <= 1
         assert r.mpd == pytest.approx(r.f1_norm - r.f1_raw, abs=2e-6) and r.p == pytest.approx(probability.mcnemar(r.a_only, r.b_only)[1], abs=1e-8)
 
 
+def test_downstream_change_over_features(spark):
+    """Logistic regression of each fold against Newton's method, and the query's figures from its F1s."""
+    rows = {r.vec_id: r for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
+    items = learning.stratified_folds(spark.createDataFrame([(i, r.label % 2) for i, r in rows.items()], "item long, label int"), "item", "label", k=3).collect()
+    fold = {r["item"]: r["fold"] for r in items}
+    figures = {}
+    for name, turn in (("raw", lambda v: v), ("norm", np.sign)):
+        x = {i: turn(np.array(r.embedding, float)) for i, r in rows.items()}
+        each = []
+        for f in range(3):
+            w, b = newton(np.array([x[i] for i in x if fold[i] != f]), np.array([rows[i].label % 2 for i in x if fold[i] != f], float))
+            each.append(f1([(rows[i].label % 2, int(x[i] @ w + b > 0)) for i in x if fold[i] == f]))
+        figures[name] = np.mean(each)
+    r = next(x for x in QUERIES["q_dsp_features"](spark, SF).collect() if x.clf == "lr")
+    assert r.f1_raw == pytest.approx(figures["raw"], abs=0.02) and r.f1_norm == pytest.approx(figures["norm"], abs=0.02)
+
+
 def test_ranks_of_large_groups(spark):
     rng = np.random.default_rng(2)
     values = [(int(g), float(v)) for g, v in zip(rng.integers(0, 2, 3000), rng.integers(0, 40, 3000) ** 2, strict=True)] + [(0, 0.0)] * 1500
