@@ -166,8 +166,8 @@ def as_printed(printed: Column, value: Column) -> Column:
 
 
 def p_text(p: Column) -> Column:
-    """A p-value with three decimals, those below 0.001 as <0.001."""
-    return F.when(p < 0.001, F.lit("<0.001")).otherwise(F.format_string("%.3f", F.round(p, 3)))
+    """A p-value with three decimals, those below 0.001 as <0.001. The binary value is rounded, as SQL and printf do: 0.5065 is less than its digits say."""
+    return F.when(p < 0.001, F.lit("<0.001")).otherwise(F.format_string("%.3f", F.round(p * 1000) / 1000))
 
 
 def rouge1(candidate: Column, reference: Column) -> Column:

@@ -83,6 +83,12 @@ def test_conllu_file(spark, tmp_path):
     assert [(r.text, [tuple(t) for t in r.tokens]) for r in got] == [("A cat", [("A", "a", "DET"), ("cat", "cat", "NOUN")]), ("B", [("B", "b", "X")])]
 
 
+def test_p_text_rounds_the_binary_value(spark):
+    """0.5065 is stored as a little less, 0.0625 exactly; DuckDB's round gives the same."""
+    one = lambda c: spark.range(1).select(c).head()[0]
+    assert [one(text.p_text(F.lit(p))) for p in (0.5065, 0.0625, 0.9996, 0.001)] == ["0.506", "0.063", "1.000", "0.001"]
+
+
 def test_text_reports(spark):
     one = lambda c: spark.range(1).select(c).head()[0]
     assert [one(text.as_printed(F.lit(p), F.lit(v))) for p, v in (("0.12", 0.1249), ("0.12", 0.126), ("1.2e-3", 0.00124), ("1.2e-3", 0.00126), ("-3", -3.4), ("9.2e+2", 918.0))] == [True, False, True, False, True, True]
