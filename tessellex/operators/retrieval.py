@@ -51,8 +51,10 @@ def dense_top1(queries: DataFrame, pool: DataFrame, block: int = 4096) -> DataFr
     best of a block leaves it. A query doesn't find the vector of its own id.
     """
     qn, pn = (max(1, -(-df.count() // block)) for df in (queries, pool))
-    q = queries.select("qid", F.col("vector").alias("qv"), F.pmod(F.xxhash64("qid"), F.lit(qn)).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(pn - 1))).alias("j"))
-    p = pool.select("did", F.col("vector").alias("pv"), F.pmod(F.xxhash64("did"), F.lit(pn)).alias("j"), F.explode(F.sequence(F.lit(0), F.lit(qn - 1))).alias("i"))
+    # one type a key on both sides: a cogroup deals an int and a long of one value to different tasks
+    of = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    q = queries.select("qid", F.col("vector").alias("qv"), of("qid", qn).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(pn - 1))).alias("j"))
+    p = pool.select("did", F.col("vector").alias("pv"), of("did", pn).alias("j"), F.explode(F.sequence(F.lit(0), F.lit(qn - 1))).alias("i"))
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):

@@ -1,5 +1,6 @@
 """Retrieval that skips pairs, against retrieval over all of them."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tests_support import DATA
@@ -34,3 +35,18 @@ def test_gold_ranks_edges(spark):
     want = {r["qid"]: r["rank"] for r in ir.gold_ranks(q, ir.bm25_scores(q, ir.bm25_weights(d)), d.count()).collect()}
     assert {r["qid"]: r["rank"] for r in postings.gold_ranks(q, d).collect()} == want and want[2] == want[3] == 42 and want[4] == 38 and want[0] == 2
     assert {r["qid"]: r["rank"] for r in postings.gold_ranks(q, d.where("false")).collect()} == dict.fromkeys(range(5), 0)
+
+
+@pytest.mark.parametrize("n_queries, n_pool", [(300, 10), (10, 300), (300, 200)])
+def test_dense_top1_blocks(spark, n_queries, n_pool):
+    """Each query has its answer however many blocks the two sides have, also if one has a single block."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        v = np.random.default_rng(1).normal(size=(n_queries + n_pool, 4))
+        q = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v[:n_queries])], "qid long, vector array<double>")
+        p = spark.createDataFrame([(1000 + i, x.tolist()) for i, x in enumerate(v[n_queries:])], "did long, vector array<double>")
+        got = {r["qid"]: r["did"] for r in ir.dense_top1(q, p, block=32).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    assert got == {i: 1000 + int(k) for i, k in enumerate((u[:n_queries] @ u[n_queries:].T).argmax(axis=1))}
