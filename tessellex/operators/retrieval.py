@@ -44,13 +44,24 @@ def ir_metrics(ranks: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def dense_top1(queries: DataFrame, pool: DataFrame, block: int = 4096) -> DataFrame:
+#: Vectors of a block of top-1, if there are few; for more of them, BLOCKS blocks a side, until these hold MOST vectors each.
+BLOCK, BLOCKS, MOST = 4096, 16, 1 << 16
+#: Rows of each side whose products are in hand at once.
+TILE = 2048
+
+
+def block_count(n: int, block: int = BLOCK) -> int:
+    """The number of blocks of n vectors. Each vector travels once a block of the other side: BLOCKS times at most up to BLOCKS * MOST vectors."""
+    return max(1, min(-(-n // block), max(BLOCKS, -(-n // MOST))))
+
+
+def dense_top1(queries: DataFrame, pool: DataFrame, block: int = BLOCK) -> DataFrame:
     """qid, did, sim: the most similar of pool (did, vector) for each query (qid, vector), cosine, the least did on ties.
 
-    Both sides are cut into blocks of about `block` vectors; each pair of blocks is one matrix product, and only the
+    Both sides are cut into block_count() blocks; each pair of blocks is a task's matrix products, tile by tile, and only the
     best of a block leaves it. A query doesn't find the vector of its own id.
     """
-    qn, pn = (max(1, -(-df.count() // block)) for df in (queries, pool))
+    qn, pn = (block_count(df.count(), block) for df in (queries, pool))
     # one type a key on both sides: a cogroup deals an int and a long of one value to different tasks
     of = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     q = queries.select("qid", F.col("vector").alias("qv"), of("qid", qn).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(pn - 1))).alias("j"))
@@ -62,10 +73,21 @@ def dense_top1(queries: DataFrame, pool: DataFrame, block: int = 4096) -> DataFr
         b = b.sort_values("did")
         x, y = (np.stack(v.tolist()).astype(np.float64) for v in (a.qv, b.pv))
         x, y = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-30) for v in (x, y))
-        sim = np.round(x @ y.T, 9)
-        sim[a.qid.to_numpy()[:, None] == b.did.to_numpy()] = -np.inf
-        k = sim.argmax(axis=1)
-        return pd.DataFrame({"qid": a.qid.to_numpy(), "did": b.did.to_numpy()[k], "sim": sim[np.arange(len(k)), k]})
+        qid, did = a.qid.to_numpy(), b.did.to_numpy()
+        found, sims = np.zeros(len(x), np.int64), np.full(len(x), -np.inf)
+        for r in range(0, len(x), TILE):
+            for c in range(0, len(y), TILE):
+                sim = x[r : r + TILE] @ y[c : c + TILE].T
+                sim[qid[r : r + TILE, None] == did[c : c + TILE]] = -np.inf
+                most, row = sim.max(axis=1), np.arange(len(sim))
+                # the first of those that round to the most is mostly the first that is near it
+                k, top = (sim >= most[:, None] - 2e-9).argmax(axis=1), np.round(most, 9)
+                unsure = np.round(sim[row, k], 9) != top
+                k[unsure] = np.round(sim[unsure], 9).argmax(axis=1)
+                # on ties the tile before has the lesser did; NaN is above all, as in SQL
+                better = (top > sims[r : r + TILE]) | (np.isnan(top) & ~np.isnan(sims[r : r + TILE]))
+                sims[r : r + TILE][better], found[r : r + TILE][better] = top[better], k[better] + c
+        return pd.DataFrame({"qid": qid, "did": did[found], "sim": sims})
 
     top = q.groupBy("i", "j").cogroup(p.groupBy("i", "j")).applyInPandas(best, "qid long, did long, sim double")
     return top.groupBy("qid").agg(F.max(F.struct("sim", (-F.col("did")).alias("n"))).alias("m")).select("qid", (-F.col("m.n")).alias("did"), F.col("m.sim").alias("sim"))

@@ -37,6 +37,20 @@ def test_gold_ranks_edges(spark):
     assert {r["qid"]: r["rank"] for r in postings.gold_ranks(q, d.where("false")).collect()} == dict.fromkeys(range(5), 0)
 
 
+def test_dense_top1_travels_a_bounded_number_of_times(spark, monkeypatch):
+    """Blocks a side don't grow with the vectors until these are a million, and tiles and ties give what one product gives."""
+    assert [ir.block_count(n) for n in (0, 5000, 65_536, 615_384, 1 << 20, 1 << 22)] == [1, 2, 16, 16, 16, 64]
+    monkeypatch.setattr(ir, "TILE", 7)
+    v = np.random.default_rng(2).integers(-1, 2, size=(150, 3)).astype(float)
+    v[7] = np.nan
+    d = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "qid long, vector array<double>")
+    got = {r["qid"]: (r["did"], str(r["sim"])) for r in ir.dense_top1(d, d.withColumnRenamed("qid", "did")).collect()}
+    u = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-30)
+    sim = np.round(u @ u.T, 9)
+    np.fill_diagonal(sim, -np.inf)
+    assert got == {i: (int(s.argmax()), str(s.max())) for i, s in enumerate(sim)}
+
+
 @pytest.mark.parametrize("n_queries, n_pool", [(300, 10), (10, 300), (300, 200)])
 def test_dense_top1_blocks(spark, n_queries, n_pool):
     """Each query has its answer however many blocks the two sides have, also if one has a single block."""
