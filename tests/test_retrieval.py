@@ -63,3 +63,20 @@ def test_dense_top1_blocks(spark, n_queries, n_pool):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
     assert got == {i: 1000 + int(k) for i, k in enumerate((u[:n_queries] @ u[n_queries:].T).argmax(axis=1))}
+
+
+def test_a_block_answers_queries_together(spark):
+    """Common terms (a matrix), rare ones, repeated words, ties and unknown words, for several queries at once, against all scores."""
+    rng = np.random.default_rng(3)
+    held = rng.random((200, 12)) < np.linspace(0.9, 0.02, 12)
+    held[:2] = True
+    w = np.where(held, rng.integers(1, 5, held.shape) / 4, 0.0)
+    rows = [(0, int(d), f"t{t:02}", float(w[d, t])) for d, t in zip(*np.nonzero(held), strict=True)]
+    batch = postings.posting_blocks(spark.createDataFrame(rows, "block int, did long, term string, w double"), 1).toArrow().to_batches()[0]
+    block = postings.Postings(batch, 0)
+    assert 0 < len(block.rows) < 12
+    asked = [(rng.choice(12, 4, replace=False), rng.integers(1, 3, 4)) for _ in range(40)]
+    scores = [w[:, t] @ c for t, c in asked]
+    for at in (0, 100):
+        queries = [([*(f"t{x:02}" for x in t), "no"], [*c.tolist(), 1], float(np.sort(s)[::-1][at]) or 0.25) for (t, c), s in zip(asked, scores, strict=True)]
+        assert [n for n, _ in block.at_least(queries)] == [int((s >= q[2]).sum()) for s, q in zip(scores, queries, strict=True)]
