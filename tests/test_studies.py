@@ -286,3 +286,23 @@ def test_normaliser_hook(spark):
     assert got[1] == got[2] == ("ONE TWO THREE", "retry") and got[7][1] == "retry" and got[4] == ("bad text here", "input") and got[5] == (None, None)
     got = {r.id: (r.norm, r.used) for r in inference.normalise(d.where("id <> 7"), "t", load, batch=2).collect()}
     assert got[1] == ("ONE TWO THREE", "made") and got[6][1] == "made" and got[4][1] == "input" and len(got) == 6
+
+
+def test_alignment_holds_few_rows(spark):
+    """A task gives rows as it goes: no batch of more than it may hold, whatever a batch of documents has, and the same distances."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from tessellex.operators import alignment
+
+    docs = [(i, "x", [f"W{i % 7}", "same", f"U{j}"] * 5, [f"w{i % 7}", "same", f"u{j}"] * 5) for i, j in enumerate([3, 1, 2] * 10)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*docs, strict=True)], ["doc_id", "lang", "raw", "norm"])
+    schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("pos", pa.int64()), ("op", pa.string()), ("src", pa.string()), ("dst", pa.string())])
+    given = lambda first, most: list(alignment.aligned_batches(iter([batch]), schema, 1, True, first, most))
+    assert [b.num_rows for b in given(False, 20)] == [20] * 22 + [10] and all(b.num_rows <= 4 for b in given(True, 4))
+    want = [r for d in docs for r in [(d[0], p, s, t) for _, p, s, t in alignment.aligned(d[2], d[3], True)]]
+    assert [(r["doc_id"], r["pos"], r["src"], r["dst"]) for b in given(False, 20) for r in b.to_pylist()] == want
+    firsts = lambda most: {s: min((r["doc_id"], r["pos"], r["dst"]) for b in given(True, most) for r in b.to_pylist() if r["src"] == s) for s in {x[2] for x in want}}
+    assert firsts(4) == firsts(10**6) == {s: min((d, p, t) for d, p, x, t in want if x == s) for s in {x[2] for x in want}}
+    d = spark.createDataFrame(docs, "doc_id long, lang string, raw array<string>, norm array<string>")
+    assert alignment.align(d, keys=("lang",)).agg(F.count("*")).first()[0] == len(want)
