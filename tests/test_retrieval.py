@@ -37,6 +37,21 @@ def test_gold_ranks_edges(spark):
     assert {r["qid"]: r["rank"] for r in postings.gold_ranks(q, d.where("false")).collect()} == dict.fromkeys(range(5), 0)
 
 
+def test_scores_without_a_shuffle_of_pairs(spark):
+    """All pairs and their scores in one block and in many, cut anywhere; nothing groups pairs, and a block's ids may be strings."""
+    q, p = qr.questions(spark, SF).cache(), qr.passages(spark, SF).cache()
+    weights = ir.bm25_weights(p).cache()
+    key = lambda d: {(r["qid"], r["did"]): r["score"] for r in d.collect()}
+    want = key(ir.bm25_scores(q, weights))
+    for size, cells, rows in ((postings.POSTINGS, postings.CELLS, postings.ROWS), (700, 1, 7), (700, 1000, 100)):
+        assert key(postings.scores(q, weights, size, cells, rows)) == pytest.approx(want, abs=1e-9)
+    plan = qr.q_bm25_scores(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    above, below, _ = plan.partition("MapInArrow")
+    assert below and "Exchange" not in above and "Aggregate" not in above
+    assert key(postings.scores(q, weights.withColumn("did", F.concat(F.lit("d"), "did")), 700)) == pytest.approx({(a, f"d{b}"): s for (a, b), s in want.items()}, abs=1e-9)
+    assert not key(postings.scores(q.where("false"), weights)) and not key(postings.scores(q, weights.where("false")))
+
+
 def test_dense_top1_travels_a_bounded_number_of_times(spark, monkeypatch):
     """Blocks a side don't grow with the vectors until these are a million, and tiles and ties give what one product gives."""
     assert [ir.block_count(n) for n in (0, 5000, 65_536, 615_384, 1 << 20, 1 << 22)] == [1, 2, 16, 16, 16, 64]
