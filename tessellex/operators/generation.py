@@ -2,45 +2,52 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from tessellex.functions import text
-from tessellex.sources.scratch import materialize
 
 from . import learning, ranking
 
 ORDER = 4
 
 
-def ngrams(tokens: Column, order: int = ORDER) -> Column:
-    """(n, gram) of all n-grams of an array of tokens, n from 1 to order."""
-    each = lambda n: F.transform(F.sequence(F.lit(0), F.size(tokens) - n), lambda i: F.struct(F.lit(n).alias("n"), F.slice(tokens, i + 1, F.lit(n)).alias("gram")))
-    return F.flatten(F.array(*[F.when(F.size(tokens) >= n, each(n)).otherwise(F.array().cast("array<struct<n:int,gram:array<string>>>")) for n in range(1, order + 1)]))
+@F.pandas_udf(ArrayType(LongType()))
+def _hits(made: pd.Series, reference: pd.Series, order: pd.Series) -> pd.Series:
+    def of(a: np.ndarray, b: np.ndarray, top: int) -> list[int]:
+        grams = lambda t, n: Counter(zip(*(t[i:] for i in range(n)), strict=False))
+        a, b = list(a), list(b)
+        return [(grams(a, n) & grams(b, n)).total() for n in range(1, top + 1)]
+
+    return pd.Series([of(*x) for x in zip(made, reference, order, strict=True)], index=made.index, dtype=object)
+
+
+def gram_counts(made: Column, reference: Column, order: int = ORDER) -> Column:
+    """made_length, reference_length, hits and totals of one text, two arrays of tokens; a null side is empty."""
+    a, b = (F.coalesce(c, F.array().cast("array<string>")) for c in (made, reference))
+    totals = F.array(*[F.greatest(F.size(a) - n + 1, F.lit(0)).cast("long") for n in range(1, order + 1)])
+    return F.struct(F.size(a).cast("long").alias("made_length"), F.size(b).cast("long").alias("reference_length"), _hits(a, b, F.lit(order)).alias("hits"), totals.alias("totals"))
+
+
+def summed(texts: DataFrame, keys: list[str], counts: str, order: int = ORDER) -> DataFrame:
+    """keys and the sums of gram_counts, a column of texts."""
+    at = lambda c: F.array(*[F.coalesce(F.sum(F.get(F.col(f"{counts}.{c}"), F.lit(n))), F.lit(0)) for n in range(order)]).alias(c)
+    return texts.groupBy(*keys).agg(*[F.sum(f"{counts}.{c}").alias(c) for c in ("made_length", "reference_length")], at("hits"), at("totals"))
 
 
 def bleu_counts(pairs: DataFrame, keys: list[str], item: str, made: str, reference: str, order: int = ORDER) -> DataFrame:
     """keys, made_length, reference_length, hits and totals (arrays by n): the sums that BLEU needs, which add up over any parts of a corpus.
 
-    made and reference are arrays of tokens; an n-gram of a made text counts as often as the reference has it at most. N-grams of a
-    text are counted by text, n and gram, so a long text is no single row; item must tell texts apart within keys. A null side is empty.
+    made and reference are arrays of tokens; an n-gram of a made text counts as often as the reference has it at most. A row is a text, named by
+    item, and holds both sides, so its n-grams are counted where it is and only numbers are shuffled. A null side is empty.
     """
-    side = lambda c: F.coalesce(c, F.array().cast("array<string>"))
-    p = materialize(pairs.select(*keys, F.col(item).alias("bl_item"), side(F.col(made)).alias("bl_made"), side(F.col(reference)).alias("bl_reference")))
-    grams = None
-    for c, own in (("bl_made", 1), ("bl_reference", 0)):
-        g = p.select(*keys, "bl_item", F.explode(ngrams(F.col(c), order)).alias("g"), F.lit(own).alias("own"))
-        grams = g if grams is None else grams.unionByName(g)
-    both = grams.groupBy(*keys, "bl_item", "g.n", "g.gram").agg(F.sum("own").alias("made"), F.sum(1 - F.col("own")).alias("reference"))
-    at = lambda c: F.array(*[F.coalesce(F.sum(F.when(F.col("n") == n, c)), F.lit(0)) for n in range(1, order + 1)])
-    matched = both.groupBy(*keys).agg(at(F.least("made", "reference")).alias("hits"), at(F.col("made")).alias("totals"))
-    sizes = p.groupBy(*keys).agg(F.sum(F.size("bl_made")).alias("made_length"), F.sum(F.size("bl_reference")).alias("reference_length"))
-    if not keys:
-        return sizes.withColumn("bl_one", F.lit(1)).join(matched.withColumn("bl_one", F.lit(1)), "bl_one").drop("bl_one")  # of one row each
-    none = F.array(*[F.lit(0).cast("long")] * order)
-    return sizes.join(matched, keys, "left").withColumns({"hits": F.coalesce("hits", none), "totals": F.coalesce("totals", none)})
+    return summed(pairs.select(*keys, item, gram_counts(F.col(made), F.col(reference), order).alias("bl_counts")), keys, "bl_counts", order)
 
 
 def bleu(counts: DataFrame, order: int = ORDER) -> Column:

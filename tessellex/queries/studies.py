@@ -268,11 +268,13 @@ def q_bleu(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     a = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("made"))
     b = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reference"))
-    p = materialize(generation.folds(a.join(b, ["conv_id", "turn"]).select((F.col("conv_id") * 1000 + F.col("turn")).alias("item"), "made", "reference"), "item"))
+    counts = lambda f: generation.gram_counts(*[text.tokenize(f(F.col(c))) for c in ("made", "reference")])
+    p = a.join(b, ["conv_id", "turn"]).select((F.col("conv_id") * 1000 + F.col("turn")).alias("item"), counts(lambda c: c).alias("raw"), counts(F.lower).alias("norm"))
+    p = materialize(generation.folds(materialize(p), "item"))  # numbers of each text: its words are shuffled by the join alone
     sides = []
-    for name, f in (("raw", F.col), ("norm", F.lower)):
-        counts = generation.bleu_counts(p.select("fold", "item", *[text.tokenize(f(s)).alias(s) for s in ("made", "reference")]), ["fold"], "item", "made", "reference")
-        sides.append(counts.select("fold", generation.bleu(counts).alias(name)))
+    for name in ("raw", "norm"):
+        sums = generation.summed(p, ["fold"], name)
+        sides.append(sums.select("fold", generation.bleu(sums).alias(name)))
     return sides[0].join(sides[1], "fold").select("fold", F.round("raw", 6).alias("bleu_raw"), F.round("norm", 6).alias("bleu_norm"), F.round(F.col("norm") - F.col("raw"), 6).alias("delta"))
 
 

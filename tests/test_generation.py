@@ -59,6 +59,15 @@ def test_bleu(spark):
     assert [parts[f"hits{n}"] for n in range(4)] == whole["hits"] and parts["made_length"] == whole["made_length"]
 
 
+def test_bleu_shuffles_numbers(spark):
+    """A text's n-grams are counted where it is: none is a row, and nothing is joined."""
+    df = spark.createDataFrame([(1, ["a", "b", "a"], ["a", "b"]), (2, None, ["c"])], "i int, made array<string>, reference array<string>")
+    counts = generation.bleu_counts(df, [], "i", "made", "reference")
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
+    assert counts.select("made_length", "reference_length", "hits", "totals").first() == (3, 3, [2, 1, 0, 0], [3, 2, 1, 0])
+
+
 def test_generators(spark):
     """A generator that knows the training side's last words; each item is made by the fold that hasn't seen it."""
     rows = [(i, f"Text {i} ends", f"text {i} ends", f"text {i} ends so") for i in range(12)]
