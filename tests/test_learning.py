@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from tests_support import DATA
 
-from tessellex.operators import learning
+from tessellex.operators import bayes, learning
 from tessellex.plans import NormalizationStudy
 from tessellex.queries import learning as ql
 
@@ -66,6 +66,16 @@ def test_naive_bayes(corpus):
             score = lambda y: math.log(prior[y] / sum(prior.values())) + sum(v * math.log((mass[y][t] + 1) / (sum(mass[y].values()) + len(df))) for t, v in w[i].items())  # noqa: B023, E731
             assert got[i] == max(sorted(prior), key=lambda y: round(score(y), 9))
 
+def test_naive_bayes_in_blocks(corpus, monkeypatch):
+    """The same predictions in one block and in many; a block's terms travel once, so there are fewer rows than items have terms."""
+    tf, items, _, _ = corpus
+    want = {r["item"]: r["pred"] for r in learning.naive_bayes(tf, items, ql.K).collect()}
+    monkeypatch.setattr(bayes, "ENTRIES", max(1, tf.count() // 40))
+    assert {r["item"]: r["pred"] for r in learning.naive_bayes(tf, items, ql.K).collect()} == want
+    t = tf.join(items.select("item", "fold", F.lit(0).alias("y")), "item")
+    held = bayes.held_counts(bayes.packed(t, 2), ql.K)
+    assert held.count() < t.count() and held.agg(F.sum(F.aggregate("own", F.lit(0).cast("long"), lambda x, v: x + v))).first()[0] == t.count()
+
 
 def test_logistic_regression(corpus):
     """The same objective by Newton's method over the kernel of the rows; labels agree wherever the margin isn't next to nothing."""
