@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from tests_support import DATA
 
-from tessellex.operators import bayes, learning
+from tessellex.operators import bayes, learning, linear, logistic
 from tessellex.plans import NormalizationStudy
 from tessellex.queries import learning as ql
 
@@ -105,6 +105,68 @@ def test_logistic_regression(corpus):
     assert checked > 0.9 * len(of)
 
 
+def test_logistic_regression_of_three_labels(spark, monkeypatch):
+    """The multinomial model in many blocks and pieces, with items without terms, against L-BFGS over the whole matrix."""
+    monkeypatch.setattr(bayes, "ENTRIES", 40)
+    monkeypatch.setattr(logistic, "PIECE", 512)
+    rng = np.random.default_rng(5)
+    of = {i: (f"class {i % 3}", i // 3 % 2) for i in range(90)}
+    terms = {i: Counter(f"w{w}" for w in rng.integers(0, 40, 12) + 6 * (i % 3)) if i % 15 else Counter() for i in of}
+    tf = spark.createDataFrame([(i, t, c) for i in of for t, c in terms[i].items()], "item long, term string, tf long")
+    items = spark.createDataFrame([(i, y, f) for i, (y, f) in of.items()], "item long, label string, fold int")
+    got = {r["item"]: (r["label"], r["pred"]) for r in logistic.logistic(tf, items, 2).collect()}
+    assert set(got) == set(of) and all(got[i][0] == of[i][0] for i in of)
+    names, checked = sorted({y for y, _ in of.values()}), 0
+    for f in range(2):
+        train = [i for i in of if of[i][1] != f]
+        df = Counter(t for i in train for t in terms[i])
+        ids = {t: j for j, t in enumerate(sorted(df))}
+        x = np.zeros((len(of), len(ids) + 1))
+        for i in of:
+            for t, c in terms[i].items():
+                if t in ids:
+                    x[i, ids[t]] = c * (math.log((1 + len(train)) / (1 + df[t])) + 1)
+        x /= np.maximum(np.sqrt((x * x).sum(axis=1)), 1e-300)[:, None]
+        x[:, -1] = 1
+        y, side = np.array([names.index(of[i][0]) for i in of]), np.isin(np.arange(len(of)), train)
+        weighed = np.tile(np.append(np.ones(len(ids)), 0.0), (3, 1))
+        run = linear.lbfgs(3 * x.shape[1], 1e-9, 500)
+        w = next(run)
+        try:
+            while True:
+                a = w.reshape(3, -1)
+                value, slopes = logistic.loss(x[side] @ a.T, y[side])
+                w = run.send((value.sum() + 0.5 * float((weighed * a * a).sum()), (slopes.T @ x[side] + weighed * a).ravel()))
+        except StopIteration as end:
+            w = end.value.reshape(3, -1)
+        for i in of:
+            margins = np.sort(x[i] @ w.T)
+            if of[i][1] == f and margins[-1] - margins[-2] > 1e-3:
+                checked += 1
+                assert got[i][1] == names[int((x[i] @ w.T).argmax())]
+    assert checked > 80
+
+
+def test_logistic_regression_sends_the_driver_no_model(spark, monkeypatch):
+    """24,000 terms: nothing is broadcast, and what the driver collects at once is a few numbers a block and fold."""
+    sent = []
+
+    def collect(df, _collect=type(spark.range(1)).collect):
+        rows = _collect(df)
+        sent.append(sum(len(c) if isinstance(c, (list, bytes, bytearray, str)) else 1 for r in rows for c in r))
+        return rows
+
+    def broadcast(*_):
+        raise AssertionError("a broadcast")
+
+    tf = spark.range(60).selectExpr("id AS item", "explode(sequence(0, 400)) AS w").selectExpr("item", "if(w = 0, concat('y', item % 2), concat(item, ' ', w)) AS term", "1L AS tf")
+    items = spark.range(60).selectExpr("id AS item", "id % 2 AS label", "int(id div 2 % 2) AS fold")
+    monkeypatch.setattr(type(spark.range(1)), "collect", collect)
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", broadcast)
+    assert len(learning.text_predict(tf, items, 2, "lr").collect()) == 60
+    assert len(sent) > 3 and max(sent) < 2 * 8 * 100
+
+
 def test_classifiers_find_a_word(spark):
     """Each classifier tells texts apart by one word, on TF-IDF and through a vectorizer; items without terms are predicted, too."""
     rows = [(i, w := ("good " if i % 2 else "bad ") + f"w{i % 7} w{i}", w.upper(), i % 2) for i in range(40)]
