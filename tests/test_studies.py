@@ -306,3 +306,33 @@ def test_alignment_holds_few_rows(spark):
     assert firsts(4) == firsts(10**6) == {s: min((d, p, t) for d, p, x, t in want if x == s) for s in {x[2] for x in want}}
     d = spark.createDataFrame(docs, "doc_id long, lang string, raw array<string>, norm array<string>")
     assert alignment.align(d, keys=("lang",)).agg(F.count("*")).first()[0] == len(want)
+
+
+def test_alignment_by_bounds_is_that_of_difflib():
+    """Blocks found by bounds are difflib's, ties among them; and a long text with common words is searched a few times, not once a block."""
+    import random
+
+    from tessellex.operators import alignment
+
+    def mapped(a, b, padded):
+        ids: dict[str, int] = {}
+        x, y = (np.array([ids.setdefault(w, len(ids)) for w in t], np.int32) for t in (a, b))
+        target, op = alignment.mapped(x, y, padded, np.random.default_rng(0).integers(0, 1 << 64, len(ids), np.uint64))
+        return [(alignment.OPERATIONS[o], i, a[i], b[t] if t >= 0 else "") for i, (t, o) in enumerate(zip(target.tolist(), op.tolist(), strict=True)) if t > -2]
+
+    rnd = random.Random(3)
+    for _ in range(400):
+        a = [f"w{rnd.randrange(rnd.choice([2, 9, 80]))}" for _ in range(rnd.choice([0, 1, 7, 60, 230]))]
+        a = a[: len(a) // 3] * 3 if rnd.random() < 0.3 else a
+        b = [x if rnd.random() < 0.8 else rnd.choice([x + "s", "w1"]) for x in a]
+        b = [x for x in b if rnd.random() < 0.95] if rnd.random() < 0.4 else b
+        for padded in (False, True):
+            assert mapped(a, b, padded) == list(alignment.aligned(a, b, padded))
+    a = [w for i in range(1000) for w in ("the", f"U{i}", "of", f"v{i}")]
+    searched, longest = [], alignment.longest
+    alignment.longest = lambda x, y, *r: searched.append(r) or longest(x, y, *r)
+    try:
+        assert mapped(a, [w.lower() for w in a], False) == list(alignment.aligned(a, [w.lower() for w in a], False))
+    finally:
+        alignment.longest = longest
+    assert len(searched) < 50
