@@ -328,11 +328,13 @@ def test_alignment_by_bounds_is_that_of_difflib():
         b = [x for x in b if rnd.random() < 0.95] if rnd.random() < 0.4 else b
         for padded in (False, True):
             assert mapped(a, b, padded) == list(alignment.aligned(a, b, padded))
-    a = [w for i in range(1000) for w in ("the", f"U{i}", "of", f"v{i}")]
-    searched, longest = [], alignment.longest
-    alignment.longest = lambda x, y, *r: searched.append(r) or longest(x, y, *r)
+    a = [w for i in range(100) for w in ("the", f"U{i}", "of", f"v{i}")]
+    searched, longest = [], alignment.Sides.longest
+    alignment.Sides.longest = lambda self, *r: searched.append(r) or longest(self, *r)
     try:
         assert mapped(a, [w.lower() for w in a], False) == list(alignment.aligned(a, [w.lower() for w in a], False))
     finally:
-        alignment.longest = longest
+        alignment.Sides.longest = longest
     assert len(searched) < 50
+    a = [f"w{i % 40}" for i in range(1500)]
+    assert mapped(a, ["x", *a[7:900], "y", *a[900:]], False) == list(alignment.aligned(a, ["x", *a[7:900], "y", *a[900:]], False))
