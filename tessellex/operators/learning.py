@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessellex.sources.scratch import materialize, written
+from tessellex.sources.scratch import materialize, release, written
 
 from . import bayes, kernel, logistic, ranking
 
@@ -77,15 +77,26 @@ def naive_bayes(tf: DataFrame, items: DataFrame, k: int) -> DataFrame:
     tf: item, term, tf (term counts); items: item, label, fold. TF-IDF is fitted on each fold's training side, all
     folds at once: a term's mass for a label is an array of k sums. Terms unseen in training are left out. An item without
     terms gets the likeliest label of its training side, and ties go to the least label. Items are dealt to blocks (bayes.packed), and
-    what is shuffled are a block's distinct terms instead of its items' terms.
+    what is shuffled are a block's distinct terms instead of its items' terms. The predictions are a scratch table; those of the terms, and their
+    shuffles, go as soon as they have been read, so queries of several fits hold those of one at a time.
     """
     items = materialize(items.select("item", "label", "fold"))
+    with logistic.brief_shuffles(items.sparkSession):
+        pred = materialize(_naive_bayes(tf, items, k, made := []))
+    for d in (*made, items):
+        release(d)
+    return pred
+
+
+def _naive_bayes(tf: DataFrame, items: DataFrame, k: int, made: list[DataFrame]) -> DataFrame:
+    """naive_bayes() unread; made is given the scratch tables that it reads."""
     own = {(r["label"], r["fold"]): r["n"] for r in items.groupBy("label", "fold").agg(F.count("*").alias("n")).collect()}  # a row a label and fold
     labels = sorted({y for y, _ in own})
     sizes = [float(sum(n for (_, g), n in own.items() if g != f)) for f in range(k)]
     number = F.array_position(F.array(*map(F.lit, labels)), F.col("label")).cast("int") - 1 if labels else F.lit(0)
     t = materialize(tf.select("item", "term", F.col("tf").cast("double").alias("tf")).join(items.select("item", number.alias("y"), F.col("fold").cast("int").alias("fold")), "item"))
     blocks = materialize(bayes.packed(t, max(items.sparkSession.sparkContext.defaultParallelism, 1 + t.count() // bayes.ENTRIES)))
+    release(t)
     held = materialize(bayes.held_counts(blocks, k))
     every = lambda c, f: F.sum(F.get(c, F.lit(f)))
     summed = held.groupBy("term").agg(F.array(*[every("own", f) for f in range(k)]).alias("own"))
@@ -93,11 +104,14 @@ def naive_bayes(tf: DataFrame, items: DataFrame, k: int) -> DataFrame:
     idf = F.array(*[F.when(df(f) > 0, F.log((1 + F.lit(n)) / (1 + df(f))) + 1) for f, n in enumerate(sizes)])
     terms = materialize(summed.select("term", idf.alias("idf")))
     known = materialize(held.select("block", "at", "term").join(terms, "term"))
+    release(held)
     mass = bayes.masses(blocks, known, k).groupBy("term", "y").agg(F.array(*[every("mass", f) for f in range(k)]).alias("mass"))
     mass = materialize(mass)
     # of a label and of all terms there are k sums each
     totals = {r["y"]: r["total"] for r in mass.groupBy("y").agg(F.array(*[every("mass", f) for f in range(k)]).alias("total")).collect()}
     seen = terms.agg(*[F.count(F.get("idf", F.lit(f))) for f in range(k)]).first()
+    release(terms)
+    made += [blocks, known, mass]
     model = []
     for f in range(k):
         n = {y: sum(c for (label, g), c in own.items() if label == y and g != f) for y in labels}

@@ -177,3 +177,14 @@ def test_classifiers_find_a_word(spark):
     ends = lambda d, side: d.select("item", F.array(F.lower("text").startswith("good").cast("double")).alias("features"))
     r = study.downstream(k=2, classifier="lr", vectorizer=ends).head()
     assert r.f1_raw >= 0.9 and r.delta == 0
+
+
+def test_naive_bayes_leaves_only_its_predictions(corpus):
+    """Scratch tables of the terms go when a fit has been read, so queries of four fits hold those of one at a time."""
+    from tessellex.sources import scratch
+
+    tf, items = corpus[:2]
+    made = scratch._tables(items.sparkSession)
+    before = len(made)
+    pred = learning.naive_bayes(tf, items, ql.K)
+    assert len(made) == before + 1 and pred.count() == items.count()
