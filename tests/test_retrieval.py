@@ -95,3 +95,9 @@ def test_a_block_answers_queries_together(spark):
     for at in (0, 100):
         queries = [([*(f"t{x:02}" for x in t), "no"], [*c.tolist(), 1], float(np.sort(s)[::-1][at]) or 0.25) for (t, c), s in zip(asked, scores, strict=True)]
         assert [n for n, _ in block.at_least(queries)] == [int((s >= q[2]).sum()) for s, q in zip(scores, queries, strict=True)]
+
+
+def test_scores_copy_no_query_for_a_block(spark):
+    """Queries and blocks are read by tasks in pairs; neither side is shuffled once for each row of the other."""
+    plan = qr.q_bm25_scores(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan and "Sort" not in plan
